@@ -26,7 +26,7 @@ ord AS (
   SELECT o_orderkey, o_custkey, o_totalprice, CAST(date_trunc('month', o_orderdate) AS DATE) AS period
   FROM orders),
 m1 AS (SELECT period, sum(o_totalprice) AS s, CAST(count(*) AS DOUBLE) AS c,
-              stddev_pop(o_totalprice) AS vol FROM ord GROUP BY period),
+              stddev_pop(ln(o_totalprice)) AS vol FROM ord GROUP BY period),
 m2 AS (SELECT period, vol, ln(s / lag(s) OVER (ORDER BY period)) AS mret,
               c / lag(c) OVER (ORDER BY period) - 1.0 AS indpro FROM m1),
 m3 AS (SELECT *, lead(indpro) OVER (ORDER BY period) AS indprol1 FROM m2),
@@ -35,7 +35,7 @@ macro AS (
   UNION ALL SELECT period, 'vol', vol FROM m3
   UNION ALL SELECT period, 'indpro', indpro FROM m3
   UNION ALL SELECT period, 'indprol1', indprol1 FROM m3
-  UNION ALL SELECT o.period, lower(c.c_mktsegment) || '_vol', stddev_pop(o.o_totalprice)
+  UNION ALL SELECT o.period, lower(c.c_mktsegment) || '_vol', stddev_pop(ln(o.o_totalprice))
             FROM ord o JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY 1, 2),
 outc AS (SELECT period, outcome, y FROM macro WHERE y IS NOT NULL AND NOT isnan(y))
 """

@@ -72,10 +72,10 @@ def macro_long(spark: SparkSession, sf_dir: str, complete_months_only: bool = Fa
     """Outcomes in long form ``(period date, outcome string, y double)``, NULLs kept.
 
     mret      ln(total price / previous month's total price)
-    vol       population std of order prices in the month
+    vol       population std of ln(order price) in the month
     indpro    growth of the monthly order count
     indprol1  next month's indpro
-    <seg>_vol population std of order prices per customer market segment
+    <seg>_vol the same per customer market segment
     """
     orders = read_table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_totalprice", F.col("o_orderdate").cast("timestamp_ntz").alias("o_orderdate"))
@@ -83,7 +83,7 @@ def macro_long(spark: SparkSession, sf_dir: str, complete_months_only: bool = Fa
         orders = _complete_orders(orders)
     orders = orders.withColumn("period", month("o_orderdate"))
     m = orders.groupBy("period").agg(F.sum("o_totalprice").alias("s"), F.count("*").alias("c"),
-                                     F.stddev_pop("o_totalprice").alias("vol"))
+                                     F.stddev_pop(F.ln("o_totalprice")).alias("vol"))
     w = Window.orderBy("period")  # month-level table: one small task
     m = (m.withColumn("mret", F.ln(F.col("s") / F.lag("s").over(w)))
           .withColumn("indpro", F.col("c") / F.lag("c").over(w) - 1.0)
@@ -94,7 +94,7 @@ def macro_long(spark: SparkSession, sf_dir: str, complete_months_only: bool = Fa
         F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
     seg = (orders.join(cust, "o_custkey")
            .groupBy("period", "c_mktsegment")
-           .agg(F.stddev_pop("o_totalprice").alias("y"))
+           .agg(F.stddev_pop(F.ln("o_totalprice")).alias("y"))
            .select("period", F.concat(F.lower("c_mktsegment"), F.lit("_vol")).alias("outcome"), "y"))
     return base.unionByName(seg).select("period", "outcome", F.col("y").cast("double").alias("y"))
 
