@@ -95,3 +95,159 @@ SELECT period, outcome, round(y, 8) AS y FROM outc"""
 
 SQL["topic_shares"] = with_(TOPICS) + """
 SELECT period, feature, round(value, 8) AS value FROM topics WHERE value <> 0"""
+
+
+# ------------------------------------------------------------ complete months
+COMPLETE = """
+cutm AS (SELECT CASE WHEN CAST(max(o_orderdate) AS DATE) = last_day(max(o_orderdate)) THEN NULL
+                     ELSE CAST(date_trunc('month', max(o_orderdate)) AS DATE) END AS c FROM orders),
+ordc AS (SELECT o.* FROM orders o, cutm
+         WHERE cutm.c IS NULL OR CAST(date_trunc('month', o.o_orderdate) AS DATE) < cutm.c)
+"""
+MACRO_C = COMPLETE + "," + MACRO.replace("FROM orders)", "FROM ordc)", 1)
+
+SQL["count_moments"] = with_(ARTICLES, """
+mc AS (SELECT period, term AS feature, count(*) AS value FROM ctoks GROUP BY 1, 2),
+nm AS (SELECT count(DISTINCT period) AS n FROM articles)""") + """
+SELECT feature, CAST(n AS BIGINT) AS n, round(sum(value) / n, 8) AS mu,
+       round(sqrt(greatest(sum(value * value) / n - (sum(value) / n) * (sum(value) / n), 0)), 8) AS sigma
+FROM mc, nm GROUP BY feature, n"""
+
+SQL["lasso_alpha_max"] = with_(ARTICLES, MACRO_C, """
+mc AS (SELECT period, term AS feature, count(*) AS value FROM ctoks GROUP BY 1, 2),
+ap AS (SELECT DISTINCT period FROM articles),
+yy AS (SELECT o.outcome, o.period, o.y FROM outc o JOIN ap ON o.period = ap.period),
+yn AS (SELECT outcome, count(*) AS n, avg(y) AS ybar FROM yy GROUP BY outcome),
+cells AS (SELECT yy.outcome, mc.feature, mc.value, yy.y - yn.ybar AS r, yn.n
+          FROM mc JOIN yy ON mc.period = yy.period JOIN yn ON yy.outcome = yn.outcome),
+st AS (SELECT outcome, feature, any_value(n) AS n, sum(value) AS s1, sum(value * value) AS s2,
+              sum(value * r) AS xr FROM cells GROUP BY outcome, feature),
+sc AS (SELECT outcome, abs(xr / (n * sqrt(s2 / n - (s1 / n) * (s1 / n)))) AS score FROM st
+       WHERE s2 / n - (s1 / n) * (s1 / n) > 1e-12 * s2 / n)""") + """
+SELECT outcome, round(max(score), 6) AS alpha_max FROM sc GROUP BY outcome"""
+
+# ------------------------------------------------------------ inference layer
+from monthlens.operators.inference import PROMPT_HEAD, PROMPT_TAIL  # noqa: E402
+from monthlens.operators.audit import LOOKAHEAD_KEYWORDS  # noqa: E402
+
+
+def _lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+NUMBERED = """
+na AS (SELECT d.doc_id AS article_id, trim(regexp_replace(d.text, '\\s+', ' ', 'g')) AS item
+       FROM documents d JOIN orders o ON d.doc_id = o.o_orderkey),
+nb AS (SELECT article_id, item, row_number() OVER (ORDER BY article_id) - 1 AS rn FROM na),
+bt AS (SELECT article_id, CAST(rn // 50 AS BIGINT) AS batch_id, CAST(rn % 50 + 1 AS INT) AS pos, item FROM nb)
+"""
+
+SQL["batch_prompts"] = with_(NUMBERED, """
+pb AS (SELECT batch_id, count(*) AS n,
+              string_agg(CAST(pos AS VARCHAR) || '. ' || item, chr(10) ORDER BY pos) AS numbered
+       FROM bt GROUP BY batch_id)""") + f"""
+SELECT batch_id, n, md5(replace({_lit(PROMPT_HEAD)}, '{{n}}', CAST(n AS VARCHAR)) || numbered || {_lit(PROMPT_TAIL)})
+       AS prompt_md5 FROM pb"""
+
+RANKED = """
+dt AS (SELECT DISTINCT article_id, term FROM ctoks),
+cnt AS (SELECT a.article_id, count(dt.term) AS c FROM articles a LEFT JOIN dt ON a.article_id = dt.article_id
+        GROUP BY a.article_id),
+rk AS (SELECT article_id, term, row_number() OVER (PARTITION BY article_id ORDER BY length(term) DESC, term) AS r
+       FROM dt)
+"""
+
+
+def _kw(shift_expr: str) -> str:
+    return ("coalesce(string_agg(rk.term, ', ' ORDER BY rk.r) FILTER (WHERE rk.r > " + shift_expr +
+            " AND rk.r <= " + shift_expr + " + 3), 'none')")
+
+
+SQL["generated_topics"] = with_(ARTICLES, RANKED) + f"""
+SELECT a.article_id, {_kw('0')} AS generated_topics
+FROM articles a LEFT JOIN rk ON a.article_id = rk.article_id GROUP BY a.article_id"""
+
+SQL["persona_empty_share"] = with_(NUMBERED, """
+vv AS (SELECT * FROM (VALUES ('base'), ('bull'), ('bear')) t(variant)),
+xx AS (SELECT vv.variant, CASE WHEN vv.variant = 'bull' AND bt.batch_id % 5 = 4 THEN 1 ELSE 0 END AS e
+       FROM bt, vv)""") + """
+SELECT variant, count(*) AS n_articles, CAST(sum(e) AS BIGINT) AS n_empty, round(avg(e), 6) AS empty_share
+FROM xx GROUP BY variant"""
+
+SQL["topic_stability"] = with_(ARTICLES, RANKED, """
+sett AS (SELECT CAST(t AS DOUBLE) AS temperature, r AS run
+         FROM (VALUES (0.1), (0.9)) a(t), (VALUES (0), (1), (2)) b(r)),
+sh AS (SELECT c.article_id, s.temperature, s.run,
+              CASE WHEN s.run > 0 AND (c.c + 7 * s.run) % 10 < CAST(round(10 * s.temperature) AS INT)
+                   THEN 1 ELSE 0 END AS shift
+       FROM cnt c, sett s),
+gen AS (SELECT sh.article_id, sh.temperature, sh.run,
+               coalesce(string_agg(rk.term, ', ' ORDER BY rk.r)
+                        FILTER (WHERE rk.r > sh.shift AND rk.r <= sh.shift + 3), 'none') AS topics
+        FROM sh LEFT JOIN rk ON sh.article_id = rk.article_id
+        GROUP BY sh.article_id, sh.temperature, sh.run),
+per AS (SELECT temperature, article_id, count(DISTINCT topics) AS nu FROM gen GROUP BY 1, 2),
+ch AS (SELECT g.temperature, count(*) FILTER (WHERE g.topics <> f.topics) AS n_changed_vs_first
+       FROM gen g JOIN gen f ON g.article_id = f.article_id AND g.temperature = f.temperature AND f.run = 0
+       WHERE g.run > 0 GROUP BY g.temperature),
+agg AS (SELECT temperature, count(*) AS n_articles, count(*) FILTER (WHERE nu = 1) AS n_identical,
+               round(avg(nu), 6) AS avg_unique FROM per GROUP BY temperature)""") + """
+SELECT agg.temperature, n_articles, n_identical, round(n_identical / n_articles, 6) AS share_identical,
+       avg_unique, n_changed_vs_first
+FROM agg JOIN ch ON agg.temperature = ch.temperature"""
+
+_FLAG = " OR ".join(f"contains(lower(%s), {_lit(k)})" for k in LOOKAHEAD_KEYWORDS)
+
+SQL["lookahead_audit"] = with_(ARTICLES, RANKED, """
+rkc AS (SELECT article_id, term, row_number() OVER (PARTITION BY article_id ORDER BY length(term) DESC, term) AS r
+        FROM dt WHERE NOT regexp_matches(term, '[0-9]')),
+gb AS (SELECT a.article_id, coalesce(string_agg(rk.term, ', ' ORDER BY rk.r) FILTER (WHERE rk.r <= 3), 'none') AS ta
+       FROM articles a LEFT JOIN rk ON a.article_id = rk.article_id GROUP BY a.article_id),
+gc AS (SELECT a.article_id, coalesce(string_agg(rkc.term, ', ' ORDER BY rkc.r) FILTER (WHERE rkc.r <= 3), 'none') AS tb
+       FROM articles a LEFT JOIN rkc ON a.article_id = rkc.article_id GROUP BY a.article_id)""") + f"""
+SELECT count(*) AS n_articles,
+       count(*) FILTER (WHERE {_FLAG % (('ta',) * len(LOOKAHEAD_KEYWORDS))}) AS n_flagged_base,
+       count(*) FILTER (WHERE {_FLAG % (('tb',) * len(LOOKAHEAD_KEYWORDS))}) AS n_flagged_constrained,
+       count(*) FILTER (WHERE ta <> tb) AS n_different
+FROM gb JOIN gc ON gb.article_id = gc.article_id"""
+
+# ------------------------------------------------------------ time series
+SERIES = """
+ser AS (SELECT period, y FROM outc WHERE outcome = 'indprol1'),
+pos AS (SELECT period, y, row_number() OVER (ORDER BY period) - 1 AS t, count(*) OVER () AS n,
+               avg(y) OVER (ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS forecast
+        FROM ser),
+te AS (SELECT * FROM pos WHERE t >= floor(n * 0.5))
+"""
+
+SQL["hist_mean_forecast"] = with_(MACRO_C, SERIES, """
+rr AS (SELECT *, sum((y - forecast) * (y - forecast)) OVER w AS e2, sum(y) OVER w AS sy,
+              sum(y * y) OVER w AS sy2, count(*) OVER w AS m
+       FROM te WINDOW w AS (ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""") + """
+SELECT period, CAST(t AS BIGINT) AS t, round(y, 8) AS y, round(forecast, 8) AS forecast,
+       round(CASE WHEN m > 1 THEN 1 - e2 / (sy2 - sy * sy / m) END, 6) AS running_r2
+FROM rr"""
+
+SQL["hist_mean_oos"] = with_(MACRO_C, SERIES) + """
+SELECT count(*) AS n_test,
+       round(1 - sum((y - forecast) * (y - forecast)) / (sum(y * y) - sum(y) * sum(y) / count(*)), 6) AS oos_r2,
+       round(avg((y - forecast) * (y - forecast)), 10) AS mse
+FROM te"""
+
+SQL["chrono_split_folds"] = with_(MACRO_C, TOPICS, """
+al AS (SELECT DISTINCT o.period FROM outc o JOIN (SELECT DISTINCT period FROM topics) tp ON o.period = tp.period
+       WHERE o.outcome = 'mret'),
+ps AS (SELECT period, row_number() OVER (ORDER BY period) - 1 AS t, count(*) OVER () AS n FROM al),
+sp AS (SELECT period, CASE WHEN t < floor(n * 0.8) THEN 'train' ELSE 'test' END AS split FROM ps),
+fo AS (SELECT period, ntile(5) OVER (ORDER BY period) - 1 AS fold FROM sp WHERE split = 'train')""") + """
+SELECT sp.period, sp.split, CAST(fo.fold AS BIGINT) AS fold FROM sp LEFT JOIN fo ON sp.period = fo.period"""
+
+# ------------------------------------------------------------ ridge
+SQL["gram_embeddings"] = with_(VECTORS, """
+nm AS (SELECT count(DISTINCT period) AS n FROM embm),
+mom AS (SELECT feature, sum(value) / n AS mu, sum(value * value) / n - (sum(value) / n) * (sum(value) / n) AS var
+        FROM embm, nm GROUP BY feature, n),
+zz AS (SELECT e.period, e.feature, (e.value - m.mu) / sqrt(m.var) AS z FROM embm e JOIN mom m ON e.feature = m.feature
+       WHERE m.var > 0)""") + """
+SELECT a.period AS period_a, b.period AS period_b, round(sum(a.z * b.z), 6) AS k
+FROM zz a JOIN zz b ON a.feature = b.feature GROUP BY 1, 2"""

@@ -66,3 +66,215 @@ def q_macro(spark, sf):
 @query("topic_shares")
 def q_topics(spark, sf):
     return S.topics_long(spark, sf).select("period", "feature", r("value").alias("value"))
+
+
+# ----------------------------------------------------------- design / screening
+@query("count_moments")
+def q_count_moments(spark, sf):
+    f = V.monthly_counts(S.articles(spark, sf))
+    n = f.periods.count()
+    m = f.values.groupBy("feature").agg(F.sum("value").alias("s1"), F.sum(F.col("value") ** 2).alias("s2"))
+    mu = F.col("s1") / n
+    return m.select("feature", F.lit(n).cast("bigint").alias("n"), r(mu).alias("mu"),
+                    r(F.sqrt(F.greatest(F.col("s2") / n - mu * mu, F.lit(0.0)))).alias("sigma"))
+
+
+@query("lasso_alpha_max")
+def q_alpha_max(spark, sf):
+    from monthlens.operators import design as D
+    f = V.monthly_counts(S.articles(spark, sf))
+    des = D.build_design(f, S.outcomes(spark, sf, complete_months_only=True))
+    s = D.standardised_scores(des)
+    return s.groupBy("outcome").agg(r(F.max(F.abs("score")), 6).alias("alpha_max"))
+
+
+# ----------------------------------------------------------- lasso -> ols
+def _lasso_all(spark, sf, rep):
+    from monthlens.plans import analyses as A
+    return A.order_terms_by_abs_coef(A.lasso_ols(spark, sf, rep, ks=(5,)))
+
+
+@query("lasso_topics_mret")
+def q_lasso_topics_mret(spark, sf):
+    from monthlens.plans import analyses as A
+    return A.order_terms_by_abs_coef(A.lasso_ols(spark, sf, "topics", ks=(5,), outcomes=["mret"]))
+
+
+@query("lasso_topics_all")
+def q_lasso_topics_all(spark, sf):
+    return _lasso_all(spark, sf, "topics")
+
+
+@query("lasso_topics_summary")
+def q_lasso_topics_summary(spark, sf):
+    from monthlens.plans import analyses as A
+    return A.r2_summary(_lasso_all(spark, sf, "topics"))
+
+
+@query("selection_frequency")
+def q_selection_frequency(spark, sf):
+    from monthlens.plans import analyses as A
+    return A.selection_frequency(_lasso_all(spark, sf, "topics"))
+
+
+@query("counts_vs_topics")
+def q_counts_vs_topics(spark, sf):
+    from monthlens.plans import analyses as A
+    t = _lasso_all(spark, sf, "topics")
+    c = _lasso_all(spark, sf, "counts")
+    cmp = A.compare_reps(t, c, "topics", "counts")
+    km = A.k_to_match(spark, sf, "counts", t.select("outcome", F.col("r2").alias("target_r2")))
+    return cmp.join(km.drop("target_r2"), "outcome", "left")
+
+
+@query("tfidf_vs_counts")
+def q_tfidf_vs_counts(spark, sf):
+    from monthlens.plans import analyses as A
+    return A.compare_reps(_lasso_all(spark, sf, "tfidf"), _lasso_all(spark, sf, "counts"), "tfidf", "counts")
+
+
+@query("tfidf_counts_side_by_side")
+def q_side_by_side(spark, sf):
+    from monthlens.plans import analyses as A
+    c = A.lasso_ols(spark, sf, "counts", ks=(5,), outcomes=["mret"])
+    t = A.lasso_ols(spark, sf, "tfidf", ks=(5,), outcomes=["mret"])
+    return A.side_by_side(c, t, "counts", "tfidf")
+
+
+@query("generated_topics_mret")
+def q_generated_mret(spark, sf):
+    from monthlens.plans import analyses as A
+    return A.order_terms_by_abs_coef(A.lasso_ols(spark, sf, "generated", ks=(5,), outcomes=["mret"]))
+
+
+@query("persona_lasso")
+def q_persona_lasso(spark, sf):
+    from monthlens.plans import analyses as A
+    g = A.generated_articles(spark, sf, variants=("base", "bull", "bear")).cache()
+    out = None
+    for v in ("base", "bull", "bear"):
+        gv = g.where(F.col("variant") == v).select("article_id", "display_date",
+                                                  F.col("generated_topics").alias("headline"))
+        res = A.lasso_ols(spark, sf, V.monthly_counts(gv, rep="generated"), ks=(5,), outcomes=["mret"])
+        # one aggregate value per variant comes back as a literal
+        empty = g.where(F.col("variant") == v).agg(F.avg((F.col("generated_topics") == "").cast("double"))).first()[0]
+        res = res.withColumn("variant", F.lit(v)).withColumn("empty_share", F.lit(empty))
+        out = res if out is None else out.unionByName(res)
+    return out.select("variant", F.upper("variant").alias("label"), "empty_share", "outcome", "k", "nnz", "r2",
+                      "adj_r2", "f_pvalue", "terms")
+
+
+@query("embeddings_k_sweep")
+def q_embeddings_k_sweep(spark, sf):
+    from monthlens.plans import analyses as A
+    return A.k_sweep_table(A.lasso_ols(spark, sf, "embeddings", ks=A.K_SWEEP, outcomes=["mret"]))
+
+
+# ----------------------------------------------------------- inference layer
+def _gen(spark, sf, **kw):
+    from monthlens.plans import analyses as A
+    return A.generated_articles(spark, sf, **kw)
+
+
+@query("batch_prompts")
+def q_batch_prompts(spark, sf):
+    from monthlens.operators import inference as I
+    items = I.batches(S.articles(spark, sf), 50)
+    return I.prompts(items).select("batch_id", F.col("n").cast("bigint").alias("n"), F.md5("prompt").alias("prompt_md5"))
+
+
+@query("generated_topics")
+def q_generated_topics(spark, sf):
+    return _gen(spark, sf).select("article_id", "generated_topics")
+
+
+@query("persona_empty_share")
+def q_persona_empty(spark, sf):
+    g = _gen(spark, sf, variants=("base", "bull", "bear"))
+    return g.groupBy("variant").agg(F.count("*").alias("n_articles"),
+                                    F.count_if(F.col("generated_topics") == "").alias("n_empty"),
+                                    r(F.avg((F.col("generated_topics") == "").cast("double")), 6).alias("empty_share"))
+
+
+@query("topic_stability")
+def q_topic_stability(spark, sf):
+    from monthlens.operators import audit as AU
+    g = _gen(spark, sf, temperatures=(0.1, 0.9), runs=3)
+    return AU.stability(g)
+
+
+@query("lookahead_audit")
+def q_lookahead(spark, sf):
+    from monthlens.operators import audit as AU
+    g = _gen(spark, sf, variants=("base", "constrained"))
+    return AU.lookahead(g, "base", "constrained")
+
+
+# ----------------------------------------------------------- time series
+def _indprol1(spark, sf):
+    return S.outcomes(spark, sf, complete_months_only=True, names=["indprol1"]).select("period", "y")
+
+
+@query("hist_mean_forecast")
+def q_hist_mean_forecast(spark, sf):
+    from monthlens.operators import timeseries as TS
+    fc = TS.expanding_mean_forecast(_indprol1(spark, sf)).where("is_test")
+    fc = TS.running_r2(fc)
+    return fc.select("period", F.col("t").cast("bigint").alias("t"), r("y").alias("y"),
+                     r("forecast").alias("forecast"), r("running_r2", 6).alias("running_r2"))
+
+
+@query("hist_mean_oos")
+def q_hist_mean_oos(spark, sf):
+    from monthlens.operators import timeseries as TS
+    fc = TS.expanding_mean_forecast(_indprol1(spark, sf))
+    return fc.where("is_test").agg(F.count("*").alias("n_test"), r(TS.r2("y", "forecast"), 6).alias("oos_r2"),
+                                   r(TS.mse("y", "forecast"), 10).alias("mse"))
+
+
+@query("chrono_split_folds")
+def q_split_folds(spark, sf):
+    from monthlens.operators import timeseries as TS
+    y = S.outcomes(spark, sf, complete_months_only=True, names=["mret"]).select("period", "y")
+    al = y.join(S.topics_long(spark, sf).select("period").distinct(), "period")
+    sp = TS.chrono_split(al, 0.8)
+    folds = TS.contiguous_folds(sp.where(F.col("split") == "train").select("period"), 5)
+    return sp.join(folds, "period", "left").select("period", "split", F.col("fold").cast("bigint").alias("fold"))
+
+
+# ----------------------------------------------------------- ridge
+@query("gram_embeddings")
+def q_gram_embeddings(spark, sf):
+    from monthlens.operators import ridge as R
+    g = R.centred_gram(V.monthly_embeddings(S.article_vectors(spark, sf)))
+    return g.select("period_a", "period_b", r("k", 6).alias("k"))
+
+
+@query("recover_topics")
+def q_recover_topics(spark, sf):
+    from monthlens.plans import ridge_plans as RP
+    return RP.recover_topics(spark, sf)
+
+
+@query("recover_terms_top50")
+def q_recover_top50(spark, sf):
+    from monthlens.plans import ridge_plans as RP
+    return RP.recover_generated_terms(spark, sf, top=50)
+
+
+@query("recover_terms_all")
+def q_recover_all(spark, sf):
+    from monthlens.plans import ridge_plans as RP
+    return RP.recover_generated_terms(spark, sf, top=None)
+
+
+@query("expanding_ridge_terms")
+def q_expanding_terms(spark, sf):
+    from monthlens.plans import ridge_plans as RP
+    return RP.expanding_forecast(spark, sf, "generated")
+
+
+@query("expanding_ridge_embeddings")
+def q_expanding_emb(spark, sf):
+    from monthlens.plans import ridge_plans as RP
+    return RP.expanding_forecast(spark, sf, "embeddings")
