@@ -81,11 +81,11 @@ def build_design(features: Features, outcomes: DataFrame, collapse_twins: bool =
     re-tokenising the corpus, and executor loss cannot force a recompute from
     the raw text."""
     periods = cut_lineage(features.periods)
-    fs0 = Features(features.rep, features.values, periods)
+    vals = cut_lineage(features.values)          # one pass over the corpus
+    fs0 = Features(features.rep, vals, periods)
     y = cut_lineage(align(fs0, outcomes))
     op, pp = patterns(y)
-    op, pp = cut_lineage(op), cut_lineage(pp)
-    vals = features.values
+    op, pp = op.cache(), pp.cache()              # month-level, read from the checkpointed y
     if collapse_twins:
         reps = twin_classes(vals).select("feature")
         vals = vals.join(reps, "feature", "left_semi")

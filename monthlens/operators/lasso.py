@@ -10,9 +10,10 @@ Plan (never collects the feature matrix):
 2. Candidates: top-m features per outcome (two-stage, bounded groups).
 3. Path: candidate cells are co-grouped with the outcome series and each
    outcome's n x m block is solved exactly (homotopy) in a grouped Arrow task.
-4. Optimality check, distributed: residuals per (outcome, month, alpha) join
-   every non-candidate cell; any feature with |z_j' r(alpha)|/n > alpha joins
-   the candidates and step 3 repeats. On exit every feature satisfies the
+4. Optimality check, distributed: features are hashed into buckets and each
+   bucket's task scores its columns against the residual matrix (outcomes x
+   months x solved alphas) with one matrix product; any non-candidate with
+   |z_j' r(alpha)|/n > alpha joins the candidates and step 3 repeats. On exit every feature satisfies the
    optimality conditions at every solved alpha, so the result is the full-p
    path whatever ``m_init`` was -- there is no cap on candidates.
 
@@ -23,6 +24,9 @@ the whole grid.
 
 from __future__ import annotations
 
+import os
+import sys
+import time
 from dataclasses import dataclass
 
 import numpy as np
@@ -48,10 +52,7 @@ class LassoPath:
     rounds: int
 
 
-REF_STEP = 8
-
-
-def _fit_fn(alphas: list[float], max_nnz: int | None, tol: float = 1e-9):
+def _fit_fn(alphas: list[float], max_nnz: int | None):
     grid = np.asarray(alphas, dtype=float)
 
     def fit(key, cells: pd.DataFrame, ys: pd.DataFrame) -> pd.DataFrame:
@@ -81,24 +82,11 @@ def _fit_fn(alphas: list[float], max_nnz: int | None, tol: float = 1e-9):
             for j in nz:
                 rows.append(("coef", outcome, i, float(grid[i]), feats[j], float(coefs[i, j]), None, None, None, None))
         # residuals only where the solution is non-trivial (alpha below the
-        # largest score: above it b = 0 and every score is <= alpha already).
-        # 'rref' rows hold residuals at every REF_STEP-th solved alpha and
-        # 'thr' the block thresholds  min_i alpha_i(1+tol) - ||r_i - r_ref||/sqrt(n);
-        # a column whose |score| at the reference is below its block threshold
-        # satisfies the conditions on the whole block (Cauchy-Schwarz, ||z_j||^2 = n).
+        # largest score: above it b = 0 and every score is <= alpha already)
         amax = float(np.max(np.abs(Z.T @ (yv - yv.mean()) / n))) if len(feats) else 0.0
         first = int(np.searchsorted(-grid[:solved], -amax, side="right"))
         if first < solved:
-            refs = list(range(first, solved, REF_STEP))
-            thr = []
-            for rf in refs:
-                blk = range(rf, min(rf + REF_STEP, solved))
-                thr.append(min(grid[i] * (1 + tol) - float(np.linalg.norm(resids[i] - resids[rf])) / np.sqrt(n)
-                               for i in blk))
-            rows.append(("thr", outcome, None, None, None, None, None, None, first, thr))
             for t, p in enumerate(periods):
-                rows.append(("rref", outcome, None, None, None, None, None, p, first,
-                             [float(resids[i, t]) for i in refs]))
                 rows.append(("rfull", outcome, None, None, None, None, None, p, first,
                              [float(v) for v in resids[first:solved, t]]))
         return pd.DataFrame(rows, columns=["kind", "outcome", "alpha_idx", "alpha", "feature", "coef",
@@ -106,47 +94,86 @@ def _fit_fn(alphas: list[float], max_nnz: int | None, tol: float = 1e-9):
     return fit
 
 
-def _scores_against(d: Design, cells: DataFrame, resid: DataFrame) -> DataFrame:
-    """sum_t x_tj r_t(a) / (n sigma_j) for residual arrays -> (outcome, feature, first_idx, c array)."""
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
-
-    # residual tables: outcomes x months x solved alphas -> calendar-bounded
-    rr = resid.select("outcome", "period", "first_idx", "resid")
-    prod = (cells.join(F.broadcast(rr), "period")
-            .select("outcome", "feature", "first_idx",
-                    array_to_vector(F.transform("resid", lambda v: v * F.col("value"))).alias("v")))
-    s = (prod.groupBy("outcome", "feature", "first_idx").agg(Summarizer.sum(F.col("v")).alias("s"))
-             .join(F.broadcast(d.op), "outcome")
-             .join(d.moments, ["pattern", "feature"]))
-    return s.select("outcome", "feature", "first_idx",
-                    F.transform(vector_to_array("s"), lambda x: F.abs(x) / (F.col("n") * F.col("sigma"))).alias("c"))
+VIOL_SCHEMA = "outcome string, feature string"
 
 
-def _violators(d: Design, path: DataFrame, cand: DataFrame, alphas: list[float], tol: float) -> DataFrame:
+def _violators(d: Design, path: DataFrame, cand: DataFrame, alphas: list[float], tol: float,
+               buckets: int | None = None) -> DataFrame:
     """Non-candidate features whose |score| exceeds alpha at some solved alpha.
 
-    Pass 1 scores every non-candidate column at the block references only and
-    keeps the suspects above a block threshold; pass 2 checks the suspects
-    exactly at every solved alpha."""
-    thr = path.where(F.col("kind") == "thr").select("outcome", F.col("resid").alias("thr"))
-    # candidate pairs are removed after the aggregate (they are few); AQE
-    # broadcasts the candidate list when it is small at run time
-    pass1 = (_scores_against(d, d.features.values, path.where(F.col("kind") == "rref"))
-             .join(cand.select("outcome", "feature"), ["outcome", "feature"], "left_anti")
-             .join(F.broadcast(thr), "outcome"))
-    suspects = pass1.where(F.exists(F.zip_with("c", "thr", lambda c, t: c - t), lambda m: m > 1e-12)) \
-                    .select("outcome", "feature")
-    suspects = cut_lineage(suspects)
-    if suspects.isEmpty():
-        return suspects
-    grid = F.array(*[F.lit(float(a)) for a in alphas])
-    cells = d.features.values.join(suspects.select("feature").distinct(), "feature", "left_semi")
-    exact = (_scores_against(d, cells, path.where(F.col("kind") == "rfull"))
-             .join(suspects, ["outcome", "feature"], "left_semi"))
-    a = F.slice(grid, F.col("first_idx") + 1, F.size("c"))
-    margin = F.zip_with("c", a, lambda c, al: c - al * (1 + tol))
-    return exact.where(F.exists(margin, lambda m: m > 1e-12)).select("outcome", "feature")
+    Blocked sparse x dense product in grouped Arrow tasks: features are hashed
+    into buckets; each bucket's task receives its feature cells, moments and
+    candidate flags, plus one copy of the residual matrix (outcomes x months x
+    solved alphas -- calendar-bounded), and scores all its columns against all
+    residuals with one matrix product."""
+    spark = path.sparkSession
+    # pattern keys travel as strings: a nullable bigint would become float64 in pandas
+    nb = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
+    grid = np.asarray(alphas, dtype=float)
+    bkt = F.pmod(F.xxhash64("feature"), F.lit(nb)).cast("int")
+    none_s, none_d, none_i = F.lit(None).cast("string"), F.lit(None).cast("double"), F.lit(None).cast("int")
+    cells = d.features.values.select(bkt.alias("b"), F.lit("x").alias("kind"), none_s.alias("outcome"), "feature",
+                                     "period", "value", none_s.alias("pattern"), none_d.alias("sigma"))
+    moms = d.moments.select(bkt.alias("b"), F.lit("m").alias("kind"), none_s.alias("outcome"), "feature",
+                            F.lit(None).cast("date").alias("period"), none_d.alias("value"),
+                            F.col("pattern").cast("string").alias("pattern"), "sigma")
+    cands = cand.select(bkt.alias("b"), F.lit("c").alias("kind"), "outcome", "feature",
+                        F.lit(None).cast("date").alias("period"), none_d.alias("value"),
+                        none_s.alias("pattern"), none_d.alias("sigma"))
+    left = cells.unionByName(moms).unionByName(cands)
+    ids = F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("b")
+    res = (path.where(F.col("kind") == "rfull").join(F.broadcast(d.op), "outcome")
+               .select(ids, "outcome", "period", "first_idx", "resid",
+                       F.col("pattern").cast("string").alias("pattern"), "n"))
+
+    def check(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
+        if lp.empty or rp.empty:
+            return pd.DataFrame(columns=["outcome", "feature"])
+        x = lp[lp["kind"] == "x"]
+        m = lp[lp["kind"] == "m"]
+        c = lp[lp["kind"] == "c"]
+        feats = sorted(m["feature"].unique())
+        if not feats:
+            return pd.DataFrame(columns=["outcome", "feature"])
+        fidx = {f: j for j, f in enumerate(feats)}
+        periods = sorted(rp["period"].unique())
+        pidx = {p: i for i, p in enumerate(periods)}
+        x = x[x["feature"].isin(fidx.keys()) & x["period"].isin(pidx.keys())]
+        xi = x["period"].map(pidx).to_numpy()
+        xj = x["feature"].map(fidx).to_numpy()
+        xv = x["value"].to_numpy(dtype=float)
+        dense = len(periods) * len(feats) <= 4_000_000
+        if dense:
+            X = np.zeros((len(periods), len(feats)))
+            X[xi, xj] = xv
+        sig = {(pt, f): s for pt, f, s in zip(m["pattern"], m["feature"], m["sigma"])}
+        is_cand = set(zip(c["outcome"], c["feature"]))
+        out = []
+        for outcome, g in rp.groupby("outcome"):
+            first = int(g["first_idx"].iloc[0])
+            n = float(g["n"].iloc[0])
+            pat = g["pattern"].iloc[0]
+            Rm = np.zeros((len(periods), len(g["resid"].iloc[0])))
+            Rm[g["period"].map(pidx).to_numpy()] = np.vstack(g["resid"].to_numpy())
+            if dense:
+                S = np.abs(X.T @ Rm)                   # features x solved alphas
+            else:                                      # sparse accumulation, bounded chunks
+                S = np.zeros((len(feats), Rm.shape[1]))
+                for s0 in range(0, len(xv), 100_000):
+                    sl = slice(s0, s0 + 100_000)
+                    np.add.at(S, xj[sl], xv[sl, None] * Rm[xi[sl]])
+                S = np.abs(S)
+            sd = np.array([sig.get((pat, f), np.nan) for f in feats])
+            ok = ~np.isnan(sd)
+            a = grid[first:first + Rm.shape[1]]
+            marg = S[ok] / (n * sd[ok, None]) - a[None, :] * (1 + tol)
+            for j in np.nonzero((marg > 1e-12).any(axis=1))[0]:
+                f = np.array(feats)[ok][j]
+                if (outcome, f) not in is_cand:
+                    out.append((outcome, f))
+        return pd.DataFrame(out, columns=["outcome", "feature"])
+
+    return left.groupBy("b").cogroup(res.groupBy("b")).applyInPandas(check, VIOL_SCHEMA)
 
 
 def lasso_path(d: Design, alphas: list[float] | None = None, max_nnz: int | None = 20,
@@ -157,8 +184,10 @@ def lasso_path(d: Design, alphas: list[float] | None = None, max_nnz: int | None
     scores = standardised_scores(d)
     cand = top_per_group(scores, "outcome", F.desc(F.abs("score")), m_init).select("outcome", "feature")
     cand = cut_lineage(cand)
-    fit = _fit_fn(alphas, max_nnz, tol)
+    fit = _fit_fn(alphas, max_nnz)
     rounds = 0
+    debug = os.environ.get("MONTHLENS_DEBUG")
+    t0 = time.time()
     while True:
         rounds += 1
         cm = (cand.join(F.broadcast(d.op), "outcome")
@@ -168,8 +197,13 @@ def lasso_path(d: Design, alphas: list[float] | None = None, max_nnz: int | None
         path = (cells.groupBy("outcome").cogroup(d.y.groupBy("outcome"))
                      .applyInPandas(fit, PATH_SCHEMA))
         path = cut_lineage(path)
+        t1 = time.time()
         viol = _violators(d, path, cand, alphas, tol)
         viol = cut_lineage(viol)
+        if debug:
+            print(f"[lasso] round {rounds}: path {t1 - t0:.1f}s check {time.time() - t1:.1f}s "
+                  f"cand {cand.count()} viol {viol.count()}", file=sys.stderr, flush=True)
+            t0 = time.time()
         if viol.isEmpty() or rounds >= max_rounds:
             if rounds >= max_rounds and not viol.isEmpty():
                 raise RuntimeError("Lasso optimality check did not converge")

@@ -61,15 +61,29 @@ def monthly_counts(articles: DataFrame, text_col: str = "headline", rep: str = "
 
 
 # ------------------------------------------------------------------ tf-idf
+# idf rows (term string + double) broadcast only below this many terms (~100 MB)
+IDF_BROADCAST_MAX_TERMS = 2_000_000
+
+
 def tfidf_article(articles: DataFrame, text_col: str = "headline") -> DataFrame:
     """Smooth TF-IDF, L2-normalised per article:
     w = tf * (ln((1+N)/(1+df)) + 1), divided by the article's L2 norm.
-    N counts every article, including ones without a token."""
+    N counts every article, including ones without a token.
+
+    The DTM is materialised once (one pass over the corpus) and keeps its
+    per-article partitioning; the idf table is broadcast only when the
+    vocabulary is below ``IDF_BROADCAST_MAX_TERMS`` (checked), so neither the
+    join nor the per-article norm window shuffles the DTM. Larger
+    vocabularies take a shuffle join."""
+    from monthlens.session import cut_lineage
+
     a = with_period(articles) if "period" not in articles.columns else articles
     n_docs = a.count()
-    d = dtm(a, text_col)
+    d = cut_lineage(dtm(a, text_col))
     df_ = d.groupBy("term").agg(F.count("*").alias("df"))
     idf = df_.select("term", (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+    if df_.count() <= IDF_BROADCAST_MAX_TERMS:
+        idf = F.broadcast(idf)
     w = d.join(idf, "term").select("article_id", "period", "term", (F.col("tf") * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("article_id")))
     return w.select("article_id", "period", "term", (F.col("w") / norm).alias("w"))

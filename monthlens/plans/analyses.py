@@ -102,21 +102,39 @@ def selection_frequency(res: DataFrame, top: int = 25) -> DataFrame:
 
 # ------------------------------------------------------------------ k to match
 def k_to_match(spark: SparkSession, sf: str, rep: str | V.Features, targets: DataFrame,
-               complete_months_only: bool = True, max_k: int | None = None) -> DataFrame:
+               complete_months_only: bool = True, start_k: int = 8) -> DataFrame:
     """Smallest support size k (fine grid, smallest alpha per k) whose OLS R²
     reaches the outcome's target R². ``targets(outcome, target_r2)``.
-    -> (outcome, target_r2, k_match, matched_r2); NULL when never reached."""
+    -> (outcome, target_r2, k_match, matched_r2); NULL when never reached.
+
+    Staged: the path is solved only until its support exceeds m; a path
+    stopped there is an exact prefix of the full path, so every k <= m is
+    final. Outcomes that reach their target stop; the rest continue with m
+    doubled until the grid is exhausted. Same answer as the full grid."""
     f = rep if isinstance(rep, V.Features) else features(spark, sf, rep)
-    names = [r[0] for r in targets.select("outcome").collect()]
+    targets = targets.cache()
+    names = [r[0] for r in targets.select("outcome").collect()]   # outcome names only
     y = S.outcomes(spark, sf, complete_months_only, names)
     des = D.build_design(f, y)
-    path = L.lasso_path(des, log_grid(*LASSO_FINE_GRID), max_nnz=max_k)
-    picks = L.exact_k_points(path)
-    sel = L.selected_features(path, picks)
-    res = O.ols_groups(picks.select("outcome", "k"), sel, des.features.values, des.y, ["outcome", "k"])
-    hit = (res.join(targets, "outcome").where(F.col("r2") >= F.col("target_r2"))
-              .groupBy("outcome").agg(F.min_by(F.struct("k", "r2"), "k").alias("m")))
-    return (targets.join(hit, "outcome", "left")
+    grid = log_grid(*LASSO_FINE_GRID)
+    pending, found, m = list(names), None, start_k
+    while pending:
+        sub = D.Design(des.features, des.y.where(F.col("outcome").isin(*pending)),
+                       des.op.where(F.col("outcome").isin(*pending)), des.pp, des.moments)
+        path = L.lasso_path(sub, grid, max_nnz=m)
+        picks = L.exact_k_points(path).where(F.col("k") <= m)
+        sel = L.selected_features(path, picks)
+        res = O.ols_groups(picks.select("outcome", "k"), sel, des.features.values, sub.y, ["outcome", "k"])
+        hit = (res.join(targets, "outcome").where(F.col("r2") >= F.col("target_r2"))
+                  .groupBy("outcome").agg(F.min_by(F.struct("k", "r2"), "k").alias("m")))
+        hit = hit.cache()
+        found = hit if found is None else found.unionByName(hit)
+        done = {r[0] for r in hit.select("outcome").collect()}
+        solved = {r[0]: r[1] for r in path.nnz.groupBy("outcome").agg(F.count("*")).collect()}
+        exhausted = {o for o, c in solved.items() if c >= len(grid)}
+        pending = [o for o in pending if o not in done and o not in exhausted and o in solved]
+        m *= 2
+    return (targets.join(found, "outcome", "left")
                    .select("outcome", "target_r2", F.col("m.k").alias("k_match"), F.col("m.r2").alias("matched_r2")))
 
 

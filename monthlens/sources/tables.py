@@ -31,6 +31,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition a scan on ``key`` when it yields fewer partitions than the
+    shuffle parallelism (e.g. a file with one row group). A large input already
+    has many splits and is returned unchanged, so no extra shuffle is added at
+    scale. The partition count comes from planning only (no job)."""
+    spark = df.sparkSession
+    want = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want, key)
+
+
 def month(col: str | F.Column) -> F.Column:
     """Month start as DATE (``trunc`` gives a date; ``date_trunc`` a timestamp)."""
     c = F.col(col) if isinstance(col, str) else col
@@ -39,8 +51,8 @@ def month(col: str | F.Column) -> F.Column:
 
 # ---------------------------------------------------------------- articles
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("article_id"), F.col("text").alias("headline"))
+    docs = spread(read_table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("article_id"), F.col("text").alias("headline")), "article_id")
     orders = read_table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("article_id"),
         F.col("o_orderdate").cast("timestamp_ntz").alias("display_date"))
@@ -48,8 +60,8 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def article_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    emb = read_table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("article_id"), "embedding")
+    emb = spread(read_table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("article_id"), "embedding"), "article_id")
     orders = read_table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("article_id"),
         F.col("o_orderdate").cast("timestamp_ntz").alias("display_date"))
@@ -120,8 +132,8 @@ def topics_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(period, feature, value)``: share of the month's l_quantity per brand.
 
     Zero shares are absent (long sparse form)."""
-    li = read_table(spark, sf_dir, "lineitem").select(
-        "l_partkey", "l_quantity", month(F.col("l_shipdate").cast("timestamp_ntz")).alias("period"))
+    li = spread(read_table(spark, sf_dir, "lineitem").select(
+        "l_partkey", "l_quantity", month(F.col("l_shipdate").cast("timestamp_ntz")).alias("period")), "l_partkey")
     part = read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
     cell = li.join(part, "l_partkey").groupBy("period", "p_brand").agg(F.sum("l_quantity").alias("q"))
     tot = Window.partitionBy("period")
