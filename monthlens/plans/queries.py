@@ -278,3 +278,28 @@ def q_expanding_terms(spark, sf):
 def q_expanding_emb(spark, sf):
     from monthlens.plans import ridge_plans as RP
     return RP.expanding_forecast(spark, sf, "embeddings")
+
+
+@query("kernel_ridge_compare")
+def q_kernel_ridge(spark, sf):
+    from monthlens.plans import ridge_plans as RP
+    return RP.kernel_ridge_compare(spark, sf)
+
+
+@query("oos_ridge_lasso_compare")
+def q_oos_ridge_lasso(spark, sf):
+    from monthlens.plans import ridge_plans as RP
+    return RP.oos_ridge_lasso_compare(spark, sf)
+
+
+@query("recover_topics_summary")
+def q_recover_summary(spark, sf):
+    from monthlens.plans import ridge_plans as RP
+    return RP.recovery_summary(RP.recover_topics(spark, sf))
+
+
+@query("expanding_ridge_terms_months")
+def q_expanding_terms_rows(spark, sf):
+    from monthlens.plans import ridge_plans as RP
+    return RP.forecast_rows(spark, sf, "generated").select("period", "t", "y", "pred", "alpha", "hist_mean",
+                                                           "running_r2")

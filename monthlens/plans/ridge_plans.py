@@ -71,3 +71,33 @@ def expanding_forecast(spark: SparkSession, sf: str, rep: str, target: str = "in
                     TS.r2("y", "pred").alias("oos_r2"), TS.mse("y", "pred").alias("mse"),
                     TS.r2("y", "hist_mean").alias("hist_mean_r2"), TS.mse("y", "hist_mean").alias("hist_mean_mse"),
                     F.median("alpha").alias("median_alpha"))
+
+
+# --- fixed values: comparison grids ---------------------------------------------
+CMP_ALPHAS_TOPICS = np.logspace(-3, 3, 50).tolist()
+CMP_ALPHAS_COUNTS = np.logspace(-1, 4, 50).tolist()
+# --- end fixed values -------------------------------------------------------------
+
+
+def kernel_ridge_compare(spark: SparkSession, sf: str, target: str = "indprol1") -> DataFrame:
+    """Topics -> target, chronological 80/20: RBF kernel ridge (5-fold alpha),
+    plain OLS and linear ridge (5-fold alpha), out-of-sample R² and MSE."""
+    from monthlens.operators.cv import compare_models
+    from monthlens.plans.analyses import features
+    f = features(spark, sf, "topics")
+    y = S.outcomes(spark, sf, complete_months_only=True, names=[target]).select("period", "y")
+    return compare_models(f, y, ["rbf_ridge", "ols", "ridge"], CMP_ALPHAS_TOPICS)
+
+
+def oos_ridge_lasso_compare(spark: SparkSession, sf: str, target: str = "indprol1") -> DataFrame:
+    """Counts vs topics, chronological 80/20, 5-fold Ridge and 5-fold Lasso."""
+    from monthlens.operators.cv import compare_models, lasso_kfold
+    from monthlens.plans.analyses import features
+    y = S.outcomes(spark, sf, complete_months_only=True, names=[target]).select("period", "y")
+    out = None
+    for rep, alphas in (("topics", CMP_ALPHAS_TOPICS), ("counts", CMP_ALPHAS_COUNTS)):
+        f = features(spark, sf, rep)
+        r = compare_models(f, y, ["ridge"], alphas).unionByName(lasso_kfold(f, y))
+        r = r.withColumn("rep", F.lit(rep))
+        out = r if out is None else out.unionByName(r)
+    return out.select("rep", "model", "alpha", "oos_r2", "oos_mse", "n_train", "n_test", "n_features")
