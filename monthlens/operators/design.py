@@ -76,14 +76,16 @@ def twin_classes(values: DataFrame) -> DataFrame:
 def build_design(features: Features, outcomes: DataFrame, collapse_twins: bool = True) -> Design:
     """Aligned, collapsed and standardised design, materialised once.
 
-    The pieces are written to the reliable checkpoint folder: every later job
-    (screening, path rounds, optimality checks, OLS) reads them instead of
-    re-tokenising the corpus, and executor loss cannot force a recompute from
-    the raw text."""
-    periods = cut_lineage(features.periods)
+    The corpus-derived pieces (feature cells, moments) are written to the
+    reliable checkpoint folder: every later job (screening, path rounds,
+    optimality checks, OLS) reads them instead of re-tokenising the corpus,
+    and executor loss cannot force a recompute from the raw text. Month-level
+    tables are only cached."""
     vals = cut_lineage(features.values)          # one pass over the corpus
+    # month-level tables: cheap to recompute from their short lineage, so cached
+    periods = features.periods.cache()
     fs0 = Features(features.rep, vals, periods)
-    y = cut_lineage(align(fs0, outcomes))
+    y = align(fs0, outcomes).cache()
     op, pp = patterns(y)
     op, pp = op.cache(), pp.cache()              # month-level, read from the checkpointed y
     if collapse_twins:

@@ -127,10 +127,10 @@ def _arrow_rows(spark: SparkSession, rows: int):
             spark.conf.set(key, old)
 
 
-def call_model(work: DataFrame, model: Callable[[pd.DataFrame], pd.Series], attempt: int) -> DataFrame:
+def call_model(work: DataFrame, model: Callable[[pd.DataFrame], pd.Series]) -> DataFrame:
+    """One model call per work row (a batch prompt); ``attempt`` comes with the row."""
     def run(it):
         for pdf in it:
-            pdf = pdf.assign(attempt=attempt)
             try:
                 out = model(pdf)
                 text = pd.Series(list(out), index=pdf.index, dtype=object)
@@ -139,36 +139,38 @@ def call_model(work: DataFrame, model: Callable[[pd.DataFrame], pd.Series], atte
                 text = pd.Series([None] * len(pdf), index=pdf.index, dtype=object)
                 err = pd.Series([f"{type(e).__name__}: {e}"[:500]] * len(pdf), index=pdf.index, dtype=object)
             yield pd.DataFrame({"variant": pdf["variant"], "temperature": pdf["temperature"], "run": pdf["run"],
-                                "batch_id": pdf["batch_id"], "n": pdf["n"], "attempt": attempt,
+                                "batch_id": pdf["batch_id"], "n": pdf["n"], "attempt": pdf["attempt"],
                                 "text": text, "error": err})
-    return work.select(*KEYS, "n", "system", "prompt", F.lit(attempt).alias("attempt")).mapInPandas(run, REPLY_SCHEMA)
+    return work.select(*KEYS, "n", "system", "prompt", "attempt").mapInPandas(run, REPLY_SCHEMA)
 
 
 def generate(work: DataFrame, model: Callable[[pd.DataFrame], pd.Series], max_attempts: int = 5,
              store_path: str | None = None, rows_per_call_batch: int = 16) -> DataFrame:
-    """Retry rounds: each round calls the model for batches without a valid
-    reply yet and appends the replies; returns the latest reply per batch key
-    ``KEYS + n, attempt, text, error, valid``. Reruns with the same
-    ``store_path`` skip finished batches."""
+    """Retry rounds: each round calls the model for work rows without a valid
+    reply yet (attempts counted per key) and appends the replies to the
+    store; returns the latest reply per work key ``KEYS + n, attempt, text,
+    error, valid``. A rerun with the same ``store_path`` resumes: finished
+    keys are skipped, failed ones continue their attempt count."""
     spark = work.sparkSession
     ship_package(spark)
     store = IncrementalTable(spark, store_path or default_path(spark, "replies"), KEYS, "attempt")
     work = cut_lineage(work)
-    for attempt in range(max_attempts):
+    for _ in range(max_attempts):
         done = store.read(REPLY_SCHEMA)
-        if done is not None:
-            valid = done.where(parse_strict("text", "n").isNotNull()).select(*KEYS)
-            pending = work.join(valid, KEYS, "left_anti")
-            attempt = int(done.agg(F.max("attempt")).first()[0]) + 1
-            if attempt >= max_attempts:
-                break
+        if done is None:
+            pending = work.withColumn("attempt", F.lit(0))
         else:
-            pending = work
+            st = done.select(*KEYS, F.col("attempt").alias("last"),
+                             parse_strict("text", "n").isNotNull().alias("ok"))
+            pending = (work.join(st, KEYS, "left").where(F.col("ok").isNull() | ~F.col("ok"))
+                           .withColumn("attempt", F.coalesce(F.col("last") + 1, F.lit(0)))
+                           .where(F.col("attempt") < max_attempts).drop("last", "ok"))
+        pending = cut_lineage(pending)
         if pending.isEmpty():
             break
         with _arrow_rows(spark, rows_per_call_batch):
-            store.append(call_model(pending, model, attempt))
-    out = store.read(REPLY_SCHEMA)
+            store.append(call_model(pending, model))
+    out = store.read(REPLY_SCHEMA).join(work.select(*KEYS), KEYS, "left_semi")
     return out.withColumn("valid", parse_strict("text", "n").isNotNull())
 
 
@@ -190,6 +192,17 @@ def to_articles(parsed: DataFrame, items: DataFrame) -> DataFrame:
                  .select("article_id", "variant", "temperature", "run", "generated_topics", "status")
 
 
+def stable_store_path(spark: SparkSession, *key: str) -> str:
+    """Deterministic store location for (input, model, batching) so that a
+    later job resumes from finished batches instead of calling the model again."""
+    import hashlib
+    import os
+
+    from monthlens.session import ensure_checkpoint_dir
+    h = hashlib.sha1("|".join(key).encode()).hexdigest()[:16]
+    return os.path.join(ensure_checkpoint_dir(spark), "incremental", f"replies-{h}")
+
+
 def generate_topics(articles: DataFrame, model: Callable[[pd.DataFrame], pd.Series], variants=("base",),
                     temperatures=(0.3,), runs: int = 1, batch_size: int = 50, max_attempts: int = 5,
                     store_path: str | None = None) -> DataFrame:

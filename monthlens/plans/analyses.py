@@ -50,20 +50,30 @@ def generated_articles(spark: SparkSession, sf: str, variants=("base",), tempera
                        model=keyword_model) -> DataFrame:
     """Articles with model-generated topics (stand-in model by default)."""
     a = S.articles(spark, sf)
-    g = I.generate_topics(a, model, variants=variants, temperatures=temperatures, runs=runs)
+    # one reply store per (input, model, batching): later analyses resume from
+    # it instead of calling the model again (generate once, re-read)
+    store = I.stable_store_path(spark, sf, f"{model.__module__}.{model.__qualname__}", "batch=50")
+    g = I.generate_topics(a, model, variants=variants, temperatures=temperatures, runs=runs, store_path=store)
     return g.join(a.select("article_id", "display_date"), "article_id")
 
 
 # ------------------------------------------------------------------ lasso -> ols
-def lasso_ols(spark: SparkSession, sf: str, rep: str | V.Features, ks=(5,), outcomes=None,
+def lasso_ols(spark: SparkSession, sf: str, rep: str | V.Features | D.Design, ks=(5,), outcomes=None,
               complete_months_only: bool = True, max_nnz: int | None = None) -> DataFrame:
     """Lasso-select exactly k features per outcome, then OLS on the raw
     selected columns. One row per (outcome, k)."""
+    des = rep if isinstance(rep, D.Design) else design(spark, sf, rep, outcomes, complete_months_only)
+    path = L.lasso_path(des, log_grid(*LASSO_GRID), max_nnz=max_nnz if max_nnz is not None else 4 * max(ks))
+    return select_and_fit(des, path, ks, des.features.rep)
+
+
+def design(spark: SparkSession, sf: str, rep: str | V.Features, outcomes=None,
+           complete_months_only: bool = True) -> D.Design:
+    """Materialised design of one representation against the outcomes (build
+    once, reuse for several selections)."""
     f = rep if isinstance(rep, V.Features) else features(spark, sf, rep)
     y = S.outcomes(spark, sf, complete_months_only, list(outcomes) if outcomes else None)
-    des = D.build_design(f, y)
-    path = L.lasso_path(des, log_grid(*LASSO_GRID), max_nnz=max_nnz if max_nnz is not None else 4 * max(ks))
-    return select_and_fit(des, path, ks, f.rep)
+    return D.build_design(f, y)
 
 
 def select_and_fit(des: D.Design, path: L.LassoPath, ks, rep: str) -> DataFrame:
@@ -101,7 +111,7 @@ def selection_frequency(res: DataFrame, top: int = 25) -> DataFrame:
 
 
 # ------------------------------------------------------------------ k to match
-def k_to_match(spark: SparkSession, sf: str, rep: str | V.Features, targets: DataFrame,
+def k_to_match(spark: SparkSession, sf: str, rep: str | V.Features | D.Design, targets: DataFrame,
                complete_months_only: bool = True, start_k: int = 8) -> DataFrame:
     """Smallest support size k (fine grid, smallest alpha per k) whose OLS R²
     reaches the outcome's target R². ``targets(outcome, target_r2)``.
@@ -111,11 +121,9 @@ def k_to_match(spark: SparkSession, sf: str, rep: str | V.Features, targets: Dat
     stopped there is an exact prefix of the full path, so every k <= m is
     final. Outcomes that reach their target stop; the rest continue with m
     doubled until the grid is exhausted. Same answer as the full grid."""
-    f = rep if isinstance(rep, V.Features) else features(spark, sf, rep)
     targets = targets.cache()
     names = [r[0] for r in targets.select("outcome").collect()]   # outcome names only
-    y = S.outcomes(spark, sf, complete_months_only, names)
-    des = D.build_design(f, y)
+    des = rep if isinstance(rep, D.Design) else design(spark, sf, rep, names, complete_months_only)
     grid = log_grid(*LASSO_FINE_GRID)
     pending, found, m = list(names), None, start_k
     while pending:

@@ -121,9 +121,10 @@ def q_selection_frequency(spark, sf):
 def q_counts_vs_topics(spark, sf):
     from monthlens.plans import analyses as A
     t = _lasso_all(spark, sf, "topics")
-    c = _lasso_all(spark, sf, "counts")
+    dc = A.design(spark, sf, "counts")          # one counts design for both selections
+    c = A.order_terms_by_abs_coef(A.lasso_ols(spark, sf, dc, ks=(5,)))
     cmp = A.compare_reps(t, c, "topics", "counts")
-    km = A.k_to_match(spark, sf, "counts", t.select("outcome", F.col("r2").alias("target_r2")))
+    km = A.k_to_match(spark, sf, dc, t.select("outcome", F.col("r2").alias("target_r2")))
     return cmp.join(km.drop("target_r2"), "outcome", "left")
 
 
