@@ -169,7 +169,10 @@ def lasso_kfold(f: Features, y: DataFrame, k: int = 5, n_alphas: int = 100, eps:
     folds = train.withColumn("fold", (F.ntile(k).over(Window.orderBy("t")) - 1).cast("int"))  # month-level
     folds = cut_lineage(folds)
     # training std per feature (population, implicit zeros) -> scaled cells
-    vals = f.values.join(F.broadcast(rows.select("period")), "period")
+    vals = cut_lineage(f.values.join(F.broadcast(rows.select("period")), "period"))
+    # proportional columns are identical after scaling by their own std:
+    # keep one per class (the prediction does not change)
+    vals = vals.join(D.twin_classes(vals).select("feature"), "feature", "left_semi")
     m = (vals.join(F.broadcast(train.select("period")), "period").groupBy("feature")
              .agg(F.sum("value").alias("s1"), F.sum(F.col("value") ** 2).alias("s2")))
     var = F.col("s2") / n_tr - (F.col("s1") / n_tr) ** 2

@@ -146,8 +146,8 @@ def _violators(d: Design, path: DataFrame, cand: DataFrame, alphas: list[float],
         if dense:
             X = np.zeros((len(periods), len(feats)))
             X[xi, xj] = xv
-        sig = {(pt, f): s for pt, f, s in zip(m["pattern"], m["feature"], m["sigma"])}
-        is_cand = set(zip(c["outcome"], c["feature"]))
+        sig = m.set_index(["pattern", "feature"])["sigma"]
+        feats_arr = np.array(feats, dtype=object)
         out = []
         for outcome, g in rp.groupby("outcome"):
             first = int(g["first_idx"].iloc[0])
@@ -163,14 +163,13 @@ def _violators(d: Design, path: DataFrame, cand: DataFrame, alphas: list[float],
                     sl = slice(s0, s0 + 100_000)
                     np.add.at(S, xj[sl], xv[sl, None] * Rm[xi[sl]])
                 S = np.abs(S)
-            sd = np.array([sig.get((pat, f), np.nan) for f in feats])
+            sd = sig.reindex(pd.MultiIndex.from_arrays([[pat] * len(feats), feats])).to_numpy(dtype=float)
             ok = ~np.isnan(sd)
             a = grid[first:first + Rm.shape[1]]
-            marg = S[ok] / (n * sd[ok, None]) - a[None, :] * (1 + tol)
-            for j in np.nonzero((marg > 1e-12).any(axis=1))[0]:
-                f = np.array(feats)[ok][j]
-                if (outcome, f) not in is_cand:
-                    out.append((outcome, f))
+            hit = np.zeros(len(feats), dtype=bool)
+            hit[ok] = (S[ok] / (n * sd[ok, None]) - a[None, :] * (1 + tol) > 1e-12).any(axis=1)
+            cands = set(c.loc[c["outcome"] == outcome, "feature"])
+            out.extend((outcome, f) for f in feats_arr[hit] if f not in cands)
         return pd.DataFrame(out, columns=["outcome", "feature"])
 
     return left.groupBy("b").cogroup(res.groupBy("b")).applyInPandas(check, VIOL_SCHEMA)
