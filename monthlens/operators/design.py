@@ -64,11 +64,10 @@ def twin_classes(values: DataFrame) -> DataFrame:
     alphabetically first member of each class -- the member a cyclic solver
     over sorted columns would load. Signatures hold at most one entry per
     month, so each collected list is calendar-bounded."""
-    tot = values.groupBy("feature").agg(F.sum("value").alias("tot"))
-    sig = (values.join(tot, "feature")
-                 .groupBy("feature")
-                 .agg(F.array_sort(F.collect_list(F.struct("period", (F.col("value") / F.col("tot")).alias("v"))))
-                      .alias("sig")))
+    cells = (values.groupBy("feature")
+                   .agg(F.array_sort(F.collect_list(F.struct("period", "value"))).alias("c"), F.sum("value").alias("tot")))
+    sig = cells.select("feature", F.transform(
+        "c", lambda x: F.struct(x["period"].alias("period"), (x["value"] / F.col("tot")).alias("v"))).alias("sig"))
     return sig.groupBy("sig").agg(F.min("feature").alias("feature"), F.count("*").alias("class_size")) \
               .select("feature", "class_size")
 

@@ -87,12 +87,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` to the reliable checkpoint folder (survives executor loss)."""
-    from pyspark import StorageLevel
-    ensure_checkpoint_dir(df.sparkSession)
-    # persist first: the checkpoint write then reads the computed blocks
-    # instead of recomputing the lineage a second time
-    df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = df.checkpoint(eager=True)
-    df.unpersist(blocking=False)
-    return out
+    """Materialise ``df`` as a Parquet table under the reliable checkpoint
+    folder and read it back: one job, the lineage ends at the files (survives
+    executor loss), and later reads get column pruning and filter pushdown."""
+    import uuid
+
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark)
+    path = os.path.join(base, "tables", uuid.uuid4().hex)
+    df.write.mode("error").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
