@@ -168,3 +168,19 @@ def side_by_side(a: DataFrame, b: DataFrame, name_a: str, name_b: str) -> DataFr
 
 def k_sweep_table(res: DataFrame) -> DataFrame:
     return res.select("rep", "outcome", "k", "alpha", "nnz", "n_features", "r2", "adj_r2", "f_pvalue")
+
+
+def comparison_summary(cmp: DataFrame, name_a: str, name_b: str) -> DataFrame:
+    """Mean / median R² per representation, wins of each, and (when present)
+    the k needed by ``name_b`` to match ``name_a``: mean, median, min, max and
+    the count of outcomes never matched."""
+    ra, rb = F.col(f"r2_{name_a}"), F.col(f"r2_{name_b}")
+    aggs = [F.count("*").alias("n_outcomes"),
+            F.avg(ra).alias(f"mean_r2_{name_a}"), F.median(ra).alias(f"median_r2_{name_a}"),
+            F.avg(rb).alias(f"mean_r2_{name_b}"), F.median(rb).alias(f"median_r2_{name_b}"),
+            F.count_if(ra > rb).alias(f"wins_{name_a}"), F.count_if(rb > ra).alias(f"wins_{name_b}")]
+    if "k_match" in cmp.columns:
+        aggs += [F.avg("k_match").alias("mean_k_match"), F.median("k_match").alias("median_k_match"),
+                 F.min("k_match").alias("min_k_match"), F.max("k_match").alias("max_k_match"),
+                 F.count_if(F.col("k_match").isNull()).alias("n_unmatched")]
+    return cmp.agg(*aggs)

@@ -304,3 +304,21 @@ def q_expanding_terms_rows(spark, sf):
     from monthlens.plans import ridge_plans as RP
     return RP.forecast_rows(spark, sf, "generated").select("period", "t", "y", "pred", "alpha", "hist_mean",
                                                            "running_r2")
+
+
+@query("counts_vs_topics_summary")
+def q_counts_vs_topics_summary(spark, sf):
+    from monthlens.plans import analyses as A
+    return A.comparison_summary(QUERIES["counts_vs_topics"](spark, sf), "topics", "counts")
+
+
+@query("embedded_articles_monthly")
+def q_embedded_monthly(spark, sf):
+    """Batch embedding map (stand-in hashing model, 100 items per call) ->
+    failed-vector counts and the monthly element-wise mean, long form."""
+    from monthlens.functions.standin import hashed_embedding_model
+    from monthlens.operators import inference as I
+    a = S.articles(spark, sf)
+    e = I.embed(a, hashed_embedding_model(64), batch_size=100)
+    v = e.join(a.select("article_id", "display_date"), "article_id")
+    return V.monthly_embeddings(v).values

@@ -94,3 +94,25 @@ def test_entry_smoke(spark):
     rows = df.collect()
     assert len(rows) == 25 and df.columns == ["rank", "term", "freq"]
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_embedding_map_and_monthly_mean(spark):
+    import numpy as np
+
+    from monthlens.functions.standin import hashed_embedding_model
+    from monthlens.operators import vectorize as V
+    a = _articles(spark, 30)
+    e = I.embed(a, hashed_embedding_model(8), batch_size=7, dims=8)
+    pdf = e.toPandas().set_index("article_id")
+    assert len(pdf) == 30 and (pdf.status == "ok").all()
+    norms = pdf.embedding.map(lambda v: float(np.linalg.norm(v)))
+    assert np.allclose(norms, 1.0, atol=1e-6)
+    v = e.join(a.select("article_id", "display_date"), "article_id")
+    m = V.monthly_vector_mean(v).toPandas()
+    # independent pandas mean per month
+    ap = a.toPandas()
+    ap["period"] = ap.display_date.dt.to_period("M").dt.to_timestamp().dt.date
+    ap["vec"] = ap.article_id.map(pdf.embedding)
+    ref = ap.groupby("period").vec.apply(lambda s: np.mean(np.vstack(s.to_list()), axis=0))
+    for _, r in m.iterrows():
+        assert np.allclose(r["mean"], ref[r["period"]], atol=1e-6)
