@@ -53,3 +53,18 @@ def lookahead(g: DataFrame, a: str = "base", b: str = "constrained") -> DataFram
 def flagged_rows(g: DataFrame) -> DataFrame:
     """Per generated row, the keywords it contains."""
     return g.withColumn("flags", flags(F.col("generated_topics")))
+
+
+def seeded_sample(df: DataFrame, n: int, seed: int, key: str = "article_id") -> DataFrame:
+    """Deterministic sample of ``n`` rows without replacement: the n smallest
+    xxhash64(key, seed) values (top-n per task, then merged).
+    Independent of partitioning and row order."""
+    return (df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)))
+              .orderBy("_h", key).limit(n).drop("_h"))
+
+
+def in_window(df: DataFrame, start: str, end: str, col: str = "display_date") -> DataFrame:
+    """Inclusive date-range filter (pushed to the Parquet scan when ``col`` is a stored column)."""
+    lo = F.to_timestamp_ntz(F.lit(start))
+    hi = F.to_timestamp_ntz(F.lit(end + " 23:59:59.999999"))
+    return df.where(F.col(col).between(lo, hi))

@@ -322,3 +322,16 @@ def q_embedded_monthly(spark, sf):
     e = I.embed(a, hashed_embedding_model(64), batch_size=100)
     v = e.join(a.select("article_id", "display_date"), "article_id")
     return V.monthly_embeddings(v).values
+
+
+@query("lookahead_audit_sample")
+def q_lookahead_sample(spark, sf):
+    """Look-ahead audit on a seeded sample of 10 articles from a 16-month window
+    at the end of the data (the sample is the feature of this audit)."""
+    from monthlens.operators import audit as AU
+    a = S.articles(spark, sf)
+    last = a.agg(F.max("display_date")).first()[0]
+    start = f"{last.year - 1}-{last.month:02d}-01"
+    pick = AU.seeded_sample(AU.in_window(a, start, str(last.date())), 10, 123).select("article_id")
+    g = _gen(spark, sf, variants=("base", "constrained")).join(pick, "article_id")
+    return AU.flagged_rows(g).select("article_id", "variant", "generated_topics", F.size("flags").alias("n_flags"))
