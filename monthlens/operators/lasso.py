@@ -95,6 +95,7 @@ def _fit_fn(alphas: list[float], max_nnz: int | None):
 
 
 VIOL_SCHEMA = "outcome string, feature string"
+FEATURES_PER_BUCKET = 200_000
 
 
 def _violators(d: Design, path: DataFrame, cand: DataFrame, alphas: list[float], tol: float,
@@ -108,7 +109,7 @@ def _violators(d: Design, path: DataFrame, cand: DataFrame, alphas: list[float],
     residuals with one matrix product."""
     spark = path.sparkSession
     # pattern keys travel as strings: a nullable bigint would become float64 in pandas
-    nb = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
+    nb = buckets or 8
     grid = np.asarray(alphas, dtype=float)
     bkt = F.pmod(F.xxhash64("feature"), F.lit(nb)).cast("int")
     none_s, none_d, none_i = F.lit(None).cast("string"), F.lit(None).cast("double"), F.lit(None).cast("int")
@@ -184,6 +185,12 @@ def lasso_path(d: Design, alphas: list[float] | None = None, max_nnz: int | None
     cand = top_per_group(scores, "outcome", F.desc(F.abs("score")), m_init).select("outcome", "feature")
     cand = cut_lineage(cand)
     fit = _fit_fn(alphas, max_nnz)
+    # feature buckets for the optimality check: about FEATURES_PER_BUCKET
+    # columns each (sparse accumulation in-task), so the month-level residual
+    # matrix is replicated in proportion to the vocabulary, not to the cluster
+    n_feat = d.moments.select("feature").distinct().count()
+    sp = int(d.y.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nb = int(min(max(8, -(-n_feat // FEATURES_PER_BUCKET)), max(8, sp)))
     rounds = 0
     debug = os.environ.get("MONTHLENS_DEBUG")
     t0 = time.time()
@@ -197,7 +204,7 @@ def lasso_path(d: Design, alphas: list[float] | None = None, max_nnz: int | None
                      .applyInPandas(fit, PATH_SCHEMA))
         path = cut_lineage(path)
         t1 = time.time()
-        viol = _violators(d, path, cand, alphas, tol)
+        viol = _violators(d, path, cand, alphas, tol, nb)
         viol = cut_lineage(viol)
         if debug:
             print(f"[lasso] round {rounds}: path {t1 - t0:.1f}s check {time.time() - t1:.1f}s "

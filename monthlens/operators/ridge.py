@@ -69,7 +69,7 @@ def _dense_k0(kdf: pd.DataFrame, pidx: dict) -> np.ndarray:
     return K
 
 
-def ridge_recovery(x: Features, targets: DataFrame, alphas: list[float], blocks: int = 8) -> DataFrame:
+def ridge_recovery(x: Features, targets: DataFrame, alphas: list[float], blocks: int | None = None) -> DataFrame:
     """Each target series (target, period, y; zeros implicit) regressed on all
     features of ``x`` over the months both cover; LOO alpha; in-sample R².
 
@@ -78,6 +78,10 @@ def ridge_recovery(x: Features, targets: DataFrame, alphas: list[float], blocks:
     targets. -> (target, n, alpha, r2, loo_mse)"""
     spark = targets.sparkSession
     ship_package(spark)
+    if blocks is None:   # ~2,000 targets per block, at least 8, at most the shuffle parallelism
+        n_t = targets.select("target").distinct().count()
+        sp = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        blocks = int(min(max(8, -(-n_t // 2000)), max(8, sp)))
     months = x.periods.join(targets.select("period").distinct(), "period")
     xs = restrict(x, months)
     months = cut_lineage(xs.periods)
@@ -119,23 +123,29 @@ def ridge_recovery(x: Features, targets: DataFrame, alphas: list[float], blocks:
         lam, U = np.linalg.eigh((Kc + Kc.T) / 2)
         lam = np.clip(lam, 0, None)
         U2 = U * U
-        out = []
-        for j, t in enumerate(names):
-            y = Y[:, j]
-            if np.std(y) == 0:
-                continue
-            ybar = y.mean()
-            Uy = U.T @ (y - ybar)
-            best, best_mse, best_fit = None, np.inf, None
-            for a in grid:
-                s = lam / (lam + a)
-                fit = U @ (s * Uy) + ybar
-                h = U2 @ s + 1.0 / n
-                e = (y - fit) / (1.0 - h)
-                m = float(np.mean(e * e))
-                if m < best_mse:
-                    best, best_mse, best_fit = float(a), m, fit
-            out.append((t, n, best, r2_score(y, best_fit), best_mse))
+        keep = Y.std(axis=0) > 0                  # zero-variance targets are skipped
+        Y = Y[:, keep]
+        names = [t for t, k in zip(names, keep) if k]
+        if not names:
+            return pd.DataFrame(columns=["target", "n", "alpha", "r2", "loo_mse"])
+        ybar = Y.mean(axis=0)
+        UY = U.T @ (Y - ybar)                     # all targets of the block at once
+        mse = np.empty((len(grid), Y.shape[1]))
+        for i, a in enumerate(grid):
+            sh = lam / (lam + a)
+            fit = U @ (sh[:, None] * UY) + ybar
+            h = U2 @ sh + 1.0 / n
+            e = (Y - fit) / (1.0 - h)[:, None]
+            mse[i] = np.mean(e * e, axis=0)
+        best = np.argmin(mse, axis=0)             # first alpha wins ties
+        r2 = np.empty(Y.shape[1])
+        for i in np.unique(best):
+            cols = best == i
+            sh = lam / (lam + grid[i])
+            fit = U @ (sh[:, None] * UY[:, cols]) + ybar[cols]
+            d = Y[:, cols] - ybar[cols]
+            r2[cols] = 1.0 - ((Y[:, cols] - fit) ** 2).sum(axis=0) / (d * d).sum(axis=0)
+        out = [(t, n, float(grid[best[j]]), float(r2[j]), float(mse[best[j], j])) for j, t in enumerate(names)]
         return pd.DataFrame(out, columns=["target", "n", "alpha", "r2", "loo_mse"])
 
     return left.groupBy("blk").applyInPandas(solve, "target string, n int, alpha double, r2 double, loo_mse double")
