@@ -49,8 +49,10 @@ def gram0(f: Features, weights: DataFrame | None = None) -> DataFrame:
 
 def centred_gram(f: Features) -> DataFrame:
     """Double-centred Gram of the standardised features, (period_a, period_b, k).
-    Dense in the months; built from K0 with row/column/grand means."""
-    k0 = gram0(f)
+    Built from K0 with row/column/grand means; entries are emitted for month
+    pairs that share a feature (a pair without one has k = -ra - cb + g, which
+    the grouped solvers complete in-task)."""
+    k0 = cut_lineage(gram0(f))
     n = f.periods.count()
     row = k0.groupBy("period_a").agg((F.sum("k0") / n).alias("ra"))
     col = k0.groupBy("period_b").agg((F.sum("k0") / n).alias("cb"))

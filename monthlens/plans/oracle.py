@@ -251,3 +251,17 @@ zz AS (SELECT e.period, e.feature, (e.value - m.mu) / sqrt(m.var) AS z FROM embm
        WHERE m.var > 0)""") + """
 SELECT a.period AS period_a, b.period AS period_b, round(sum(a.z * b.z), 6) AS k
 FROM zz a JOIN zz b ON a.feature = b.feature GROUP BY 1, 2"""
+
+# dense restatement: every (month, term) cell standardised, then summed over terms
+SQL["gram_counts"] = with_(ARTICLES, """
+mc AS (SELECT period, term AS feature, CAST(count(*) AS DOUBLE) AS value FROM ctoks GROUP BY 1, 2),
+ap AS (SELECT DISTINCT period FROM articles),
+nm AS (SELECT count(*) AS n FROM ap),
+mom AS (SELECT feature, sum(value) / n AS mu,
+               sum(value * value) / n - (sum(value) / n) * (sum(value) / n) AS var
+        FROM mc, nm GROUP BY feature, n),
+ok AS (SELECT * FROM mom WHERE var > 1e-12 * (var + mu * mu)),
+dense AS (SELECT ap.period, ok.feature, (coalesce(mc.value, 0) - ok.mu) / sqrt(ok.var) AS z
+          FROM ap CROSS JOIN ok LEFT JOIN mc ON mc.period = ap.period AND mc.feature = ok.feature)""") + """
+SELECT a.period AS period_a, b.period AS period_b, round(sum(a.z * b.z), 4) AS k
+FROM dense a JOIN dense b ON a.feature = b.feature GROUP BY 1, 2"""

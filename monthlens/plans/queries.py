@@ -335,3 +335,12 @@ def q_lookahead_sample(spark, sf):
     pick = AU.seeded_sample(AU.in_window(a, start, str(last.date())), 10, 123).select("article_id")
     g = _gen(spark, sf, variants=("base", "constrained")).join(pick, "article_id")
     return AU.flagged_rows(g).select("article_id", "variant", "generated_topics", F.size("flags").alias("n_flags"))
+
+
+@query("gram_counts")
+def q_gram_counts(spark, sf):
+    """Centred Gram of the standardised monthly term counts, from the sparse
+    K0 self-join (pairs of months sharing a term) plus the centring identity."""
+    from monthlens.operators import ridge as R
+    g = R.centred_gram(V.monthly_counts(S.articles(spark, sf)))
+    return g.select("period_a", "period_b", r("k", 4).alias("k"))
