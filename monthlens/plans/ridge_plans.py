@@ -4,7 +4,7 @@ forecasts against the historical-mean baseline."""
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from monthlens.functions.text import bar
@@ -20,8 +20,14 @@ FORECAST_ALPHAS = np.logspace(0, 6, 15).tolist()
 
 
 def ranked(res: DataFrame, scale: int = 30) -> DataFrame:
-    w = Window.orderBy(F.desc("r2"), "target")  # one row per target after the solve
-    return res.withColumn("rank", F.row_number().over(w)).withColumn("bar", bar("r2", scale))
+    """Rank by R² (descending, ties by target) with the distributed global
+    numbering (range sort + partition offsets), not a single-task window:
+    the number of targets grows with the vocabulary."""
+    from monthlens.operators.inference import global_row_number
+    r = res.withColumn("_neg", -F.col("r2"))
+    r = global_row_number(r, ["_neg", "target"], "rank0")
+    return (r.withColumn("rank", (F.col("rank0") + 1).cast("int")).drop("rank0", "_neg")
+             .withColumn("bar", bar("r2", scale)))
 
 
 def recover_topics(spark: SparkSession, sf: str) -> DataFrame:
