@@ -165,7 +165,8 @@ def generate(work: DataFrame, model: Callable[[pd.DataFrame], pd.Series], max_at
             pending = (work.join(st, KEYS, "left").where(F.col("ok").isNull() | ~F.col("ok"))
                            .withColumn("attempt", F.coalesce(F.col("last") + 1, F.lit(0)))
                            .where(F.col("attempt") < max_attempts).drop("last", "ok"))
-        pending = cut_lineage(pending)
+        # ``work`` (the prompts) is already materialised; ``pending`` is that
+        # table filtered by the small reply state, so it is not rewritten
         if pending.isEmpty():
             break
         with _arrow_rows(spark, rows_per_call_batch):
