@@ -147,88 +147,81 @@ def lasso_path_homotopy(Z: np.ndarray, y: np.ndarray, alphas: np.ndarray,
     """Exact Lasso path (piecewise linear in alpha) by the homotopy / LARS
     algorithm with the lasso drop step, evaluated on descending ``alphas``.
 
-    Same objective and return value as :func:`lasso_path_cd`. Between kinks
-    the coefficients are linear, so grid values are interpolated exactly and
-    zeros are exact zeros.
+    Same objective and return value as :func:`lasso_path_cd`. Grid points are
+    evaluated segment by segment as the kinks are computed (linear
+    interpolation is exact between kinks; zeros stay exact zeros), and the
+    path stops right after the first grid point whose support exceeds
+    ``max_nnz`` -- so every returned grid point is final.
     """
     n, p = Z.shape
+    grid = np.asarray(alphas, dtype=float)
     yc = y - y.mean()
     usable = (Z * Z).sum(axis=0) > 0
     c = Z.T @ yc / n
     c[~usable] = 0.0
     b = np.zeros(p)
     lam = float(np.max(np.abs(c))) if p else 0.0
-    kinks_a, kinks_b = [lam], [b.copy()]
-    active: list[int] = []
-    if lam > 0:
-        active.append(int(np.argmax(np.abs(c))))
+    out: list[np.ndarray] = []
+    gi = 0
+    while gi < len(grid) and grid[gi] >= lam:        # above alpha_max: all zero
+        out.append(np.zeros(p))
+        gi += 1
+    active: list[int] = [int(np.argmax(np.abs(c)))] if lam > 0 else []
     rank_cap = min(n - 1, int(usable.sum()))
-    last_drop = -1
-    while lam > eps and active:
+    just_in = -1
+    stop = False
+    while gi < len(grid) and not stop:
+        if not active or lam <= eps:                  # end of the path: solution stays
+            while gi < len(grid) and not stop:
+                out.append(b.copy())
+                gi += 1
+                stop = max_nnz is not None and np.count_nonzero(b) > max_nnz
+            break
         A = np.array(active)
         s = np.sign(c[A])
         ZA = Z[:, A]
-        G = ZA.T @ ZA / n
-        d = np.linalg.lstsq(G, s, rcond=None)[0]
+        d = np.linalg.lstsq(ZA.T @ ZA / n, s, rcond=None)[0]
         a = Z.T @ (ZA @ d) / n
-        # next entry: |c_j - g a_j| = lam - g for some inactive j
         inactive = np.ones(p, dtype=bool)
         inactive[A] = False
         inactive &= usable
-        g_in = np.full(p, np.inf)
         with np.errstate(divide="ignore", invalid="ignore"):
             g1 = (lam - c) / (1.0 - a)
             g2 = (lam + c) / (1.0 + a)
+            gd = -b[A] / d
         g1 = np.where(inactive & (g1 > eps), g1, np.inf)
         g2 = np.where(inactive & (g2 > eps), g2, np.inf)
         g_in = np.minimum(g1, g2)
-        j_in = int(np.argmin(g_in)) if p else -1
-        gamma_in = g_in[j_in] if p else np.inf
-        if len(active) >= rank_cap:
-            gamma_in = np.inf
-        # drop: an active coefficient reaches zero
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gd = -b[A] / d
-        gd = np.where((gd > eps) & (np.arange(len(A)) != (active.index(last_drop) if last_drop in active else -1)), gd, np.inf)
-        k_out = int(np.argmin(gd)) if len(gd) else -1
-        gamma_out = gd[k_out] if len(gd) else np.inf
+        j_in = int(np.argmin(g_in))
+        gamma_in = g_in[j_in] if len(active) < rank_cap else np.inf
+        gd = np.where((gd > eps) & (A != just_in), gd, np.inf)
+        k_out = int(np.argmin(gd))
+        gamma_out = gd[k_out]
         gamma = min(gamma_in, gamma_out, lam)
-        b[A] += gamma * d
-        c -= gamma * a
-        lam -= gamma
-        last_drop = -1
-        if gamma == gamma_out and gamma < lam + gamma:
+        b_new = b.copy()
+        b_new[A] += gamma * d
+        new_lam = lam - gamma
+        just_in = -1
+        if gamma == gamma_out and gamma < lam:
             j = int(A[k_out])
-            b[j] = 0.0
+            b_new[j] = 0.0
             active.remove(j)
-        elif gamma == gamma_in:
+        elif gamma == gamma_in and gamma < lam:
             active.append(j_in)
-            last_drop = j_in
-        kinks_a.append(max(lam, 0.0))
-        kinks_b.append(b.copy())
-        if max_nnz is not None and np.count_nonzero(b) > max_nnz + 1:
-            break
-        if gamma == lam + gamma and lam <= eps:
-            break
-    ka = np.array(kinks_a)
-    kb = np.array(kinks_b)
-    out = []
-    for al in alphas:
-        if al >= ka[0]:
-            bb = np.zeros(p)
-        elif al <= ka[-1]:
-            if ka[-1] > eps and (max_nnz is not None):
-                break  # path stopped early above this alpha
-            bb = kb[-1].copy()
-        else:
-            i = int(np.searchsorted(-ka, -al, side="right"))  # ka[i-1] > al >= ka[i]
-            hi_a, lo_a = ka[i - 1], ka[i]
-            w = (hi_a - al) / (hi_a - lo_a) if hi_a > lo_a else 1.0
-            bb = kb[i - 1] + w * (kb[i] - kb[i - 1])
-            bb[(kb[i - 1] == 0) & (kb[i] == 0)] = 0.0
-        out.append(bb)
-        if max_nnz is not None and np.count_nonzero(bb) > max_nnz:
-            break
+            just_in = j_in
+        # grid points inside this segment: lam > alpha >= new_lam
+        both_zero = (b == 0) & (b_new == 0)
+        while gi < len(grid) and grid[gi] >= new_lam:
+            w = (lam - grid[gi]) / (lam - new_lam) if lam > new_lam else 1.0
+            bb = b + w * (b_new - b)
+            bb[both_zero] = 0.0
+            out.append(bb)
+            gi += 1
+            if max_nnz is not None and np.count_nonzero(bb) > max_nnz:
+                stop = True
+                break
+        c = c - gamma * a
+        b, lam = b_new, max(new_lam, 0.0)
     coefs = np.array(out).reshape(len(out), p)
     resids = (yc[None, :] - coefs @ Z.T) if len(out) else np.zeros((0, n))
     return coefs, resids
