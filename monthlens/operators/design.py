@@ -64,10 +64,15 @@ def twin_classes(values: DataFrame) -> DataFrame:
     alphabetically first member of each class -- the member a cyclic solver
     over sorted columns would load. Signatures hold at most one entry per
     month, so each collected list is calendar-bounded."""
+    # normalise by the column's largest |value| (exact and independent of
+    # summation order, unlike a sum) and round to 12 digits, so a twin pair
+    # gets the same signature under any partitioning
     cells = (values.groupBy("feature")
-                   .agg(F.array_sort(F.collect_list(F.struct("period", "value"))).alias("c"), F.sum("value").alias("tot")))
+                   .agg(F.array_sort(F.collect_list(F.struct("period", "value"))).alias("c"),
+                        F.max(F.abs("value")).alias("mx")))
     sig = cells.select("feature", F.transform(
-        "c", lambda x: F.struct(x["period"].alias("period"), (x["value"] / F.col("tot")).alias("v"))).alias("sig"))
+        "c", lambda x: F.struct(x["period"].alias("period"),
+                                F.round(x["value"] / F.col("mx"), 12).alias("v"))).alias("sig"))
     return sig.groupBy("sig").agg(F.min("feature").alias("feature"), F.count("*").alias("class_size")) \
               .select("feature", "class_size")
 

@@ -167,3 +167,36 @@ def test_expanding_ridge_and_no_lookahead(spark):
     got2 = R.expanding_ridge(f, ys2, alphas, 0.5).orderBy("t").toPandas()
     keep = got["t"] <= 18
     assert np.allclose(got.loc[keep, "pred"], got2.loc[keep, "pred"])
+
+
+def test_staged_k_to_match_equals_full_grid(spark):
+    from monthlens.plans import analyses as A
+    X, y1, y2 = fixture(7, n=40, p=60)
+    f, out = to_spark(spark, X, {"a": y1, "b": y2})
+    des = D.build_design(f, out)
+    targets = spark.createDataFrame([("a", 0.5), ("b", 0.3)], "outcome string, target_r2 double")
+    staged = {r.outcome: (r.k_match, r.matched_r2) for r in A.k_to_match(spark, "", des, targets, start_k=2).collect()}
+    # full grid in one go: OLS at the smallest alpha of every support size
+    path = L.lasso_path(des, log_grid(*A.LASSO_FINE_GRID), max_nnz=None)
+    picks = L.exact_k_points(path)
+    res = O.ols_groups(picks.select("outcome", "k"), L.selected_features(path, picks), des.features.values, des.y,
+                       ["outcome", "k"]).toPandas()
+    for o, tgt in (("a", 0.5), ("b", 0.3)):
+        hit = res[(res.outcome == o) & (res.r2 >= tgt)].sort_values("k")
+        want = (int(hit.k.iloc[0]), float(hit.r2.iloc[0])) if len(hit) else (None, None)
+        assert staged[o][0] == want[0]
+        if want[0] is not None:
+            assert staged[o][1] == pytest.approx(want[1])
+
+
+def test_results_do_not_depend_on_partitioning(spark):
+    X, y1, _ = fixture(8)
+    f, out = to_spark(spark, X, {"a": y1})
+    grid = log_grid(-4, 1, 30)
+
+    def run(parts):
+        ff = Features("t", f.values.repartition(parts), f.periods.repartition(parts))
+        p = L.lasso_path(D.build_design(ff, out.repartition(parts)), grid, max_nnz=None, m_init=5)
+        return sorted((r.alpha_idx, r.feature, round(r.coef, 10)) for r in p.coefs.collect())
+
+    assert run(1) == run(7)
