@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from monthlens.functions.stats import r2_score, ridge_loo_dual
+from monthlens.functions.stats import ridge_loo_dual
 from monthlens.operators.vectorize import Features
 from monthlens.session import cut_lineage, ship_package
 

@@ -23,10 +23,6 @@ from pyspark.sql import types as T
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
-# Outcome columns of the macro view besides the per-segment volatilities.
-MACRO_BASE = ("mret", "vol", "indpro", "indprol1")
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
