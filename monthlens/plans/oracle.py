@@ -265,3 +265,19 @@ dense AS (SELECT ap.period, ok.feature, (coalesce(mc.value, 0) - ok.mu) / sqrt(o
           FROM ap CROSS JOIN ok LEFT JOIN mc ON mc.period = ap.period AND mc.feature = ok.feature)""") + """
 SELECT a.period AS period_a, b.period AS period_b, round(sum(a.z * b.z), 4) AS k
 FROM dense a JOIN dense b ON a.feature = b.feature GROUP BY 1, 2"""
+
+SQL["article_term_counts"] = with_(ARTICLES) + """
+SELECT article_id, term, tf FROM dtm"""
+
+SQL["vector_failure_summary"] = with_(VECTORS) + """
+SELECT count(*) AS n_vectors,
+       count(*) FILTER (WHERE len(list_filter(embedding, lambda x: x <> 0)) = 0) AS n_failed,
+       CAST(max(len(embedding)) AS BIGINT) AS dims
+FROM vec"""
+
+SQL["generated_term_counts"] = with_(ARTICLES, RANKED, """
+gen AS (SELECT a.article_id, a.period, """ + _kw("0") + """ AS topics
+        FROM articles a LEFT JOIN rk ON a.article_id = rk.article_id GROUP BY a.article_id, a.period),
+gt AS (SELECT period, unnest(regexp_extract_all(lower(topics), '[\\p{L}\\p{N}_]{2,}')) AS term FROM gen)""") + """
+SELECT period, term AS feature, CAST(count(*) AS DOUBLE) AS value FROM gt
+WHERE term NOT IN (""" + STOP_SQL + """) GROUP BY period, term"""

@@ -344,3 +344,25 @@ def q_gram_counts(spark, sf):
     from monthlens.operators import ridge as R
     g = R.centred_gram(V.monthly_counts(S.articles(spark, sf)))
     return g.select("period_a", "period_b", r("k", 4).alias("k"))
+
+
+@query("article_term_counts")
+def q_article_term_counts(spark, sf):
+    """Document-term counts (article_id, term, tf), zeros absent."""
+    return V.dtm(S.articles(spark, sf)).select("article_id", "term", "tf")
+
+
+@query("vector_failure_summary")
+def q_vector_failures(spark, sf):
+    """Vectors, all-zero (failed) vectors and dimensionality."""
+    s = V.vectors_failed_summary(S.article_vectors(spark, sf))
+    return s.select(F.col("n_vectors").cast("bigint"), F.col("n_failed").cast("bigint"),
+                    F.col("dims").cast("bigint"))
+
+
+@query("generated_term_counts")
+def q_generated_term_counts(spark, sf):
+    """Monthly counts of the tokens of the generated topics (base variant):
+    the 'generated' feature representation."""
+    from monthlens.plans import analyses as A
+    return A.features(spark, sf, "generated").values
