@@ -39,7 +39,9 @@ def running_r2(df: DataFrame, pred: str = "forecast", part: list[str] | None = N
     sy2 = F.sum(F.col("y") * F.col("y")).over(w)
     m = F.count("*").over(w)
     sst = sy2 - sy * sy / m
-    return df.withColumn("running_r2", F.when(m > 1, 1 - e2 / sst)).withColumn("step", m.cast("int"))
+    # NULL (not an ANSI divide-by-zero error) while the evaluated y are constant
+    return (df.withColumn("running_r2", F.when((m > 1) & (sst > 0), 1 - e2 / sst))
+              .withColumn("step", m.cast("int")))
 
 
 def r2(y: Column | str, p: Column | str) -> Column:
@@ -48,7 +50,7 @@ def r2(y: Column | str, p: Column | str) -> Column:
     pc = F.col(p) if isinstance(p, str) else p
     sse = F.sum((yc - pc) ** 2)
     sst = F.sum(yc * yc) - F.sum(yc) * F.sum(yc) / F.count(yc)
-    return 1 - sse / sst
+    return F.when(sst > 0, 1 - sse / sst)
 
 
 def mse(y: Column | str, p: Column | str) -> Column:
