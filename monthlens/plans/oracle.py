@@ -281,3 +281,8 @@ gen AS (SELECT a.article_id, a.period, """ + _kw("0") + """ AS topics
 gt AS (SELECT period, unnest(regexp_extract_all(lower(topics), '[\\p{L}\\p{N}_]{2,}')) AS term FROM gen)""") + """
 SELECT period, term AS feature, CAST(count(*) AS DOUBLE) AS value FROM gt
 WHERE term NOT IN (""" + STOP_SQL + """) GROUP BY period, term"""
+
+_OUTCOME_COLS = ["automobile_vol", "building_vol", "furniture_vol", "household_vol", "indpro", "indprol1",
+                 "machinery_vol", "mret", "vol"]
+SQL["macro_table"] = with_(MACRO) + "SELECT period, " + ", ".join(
+    f"round(max(y) FILTER (WHERE outcome = '{c}'), 8) AS {c}" for c in _OUTCOME_COLS) + " FROM macro GROUP BY period"

@@ -366,3 +366,10 @@ def q_generated_term_counts(spark, sf):
     the 'generated' feature representation."""
     from monthlens.plans import analyses as A
     return A.features(spark, sf, "generated").values
+
+
+@query("macro_table")
+def q_macro_table(spark, sf):
+    """One row per month, one column per outcome (display edge; NULLs kept)."""
+    w = S.macro_wide(spark, sf)
+    return w.select("period", *[r(c).alias(c) for c in w.columns if c != "period"])
