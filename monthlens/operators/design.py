@@ -91,7 +91,7 @@ def build_design(features: Features, outcomes: DataFrame, collapse_twins: bool =
     fs0 = Features(features.rep, vals, periods)
     y = align(fs0, outcomes).cache()
     op, pp = patterns(y)
-    op, pp = op.cache(), pp.cache()              # month-level, read from the checkpointed y
+    op, pp = op.cache(), pp.cache()              # month-level, derived from the cached y
     if collapse_twins:
         reps = twin_classes(vals).select("feature")
         vals = vals.join(reps, "feature", "left_semi")
