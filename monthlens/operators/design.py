@@ -66,13 +66,15 @@ def twin_classes(values: DataFrame) -> DataFrame:
     month, so each collected list is calendar-bounded."""
     # normalise by the column's largest |value| (exact and independent of
     # summation order, unlike a sum) and round to 12 digits, so a twin pair
-    # gets the same signature under any partitioning
+    # gets the same signature under any partitioning. The signature is spelled
+    # out as a string ("period=value;..."; double -> string is round-trip
+    # exact) so the grouping runs on a plain string key in generated code.
     cells = (values.groupBy("feature")
                    .agg(F.array_sort(F.collect_list(F.struct("period", "value"))).alias("c"),
                         F.max(F.abs("value")).alias("mx")))
-    sig = cells.select("feature", F.transform(
-        "c", lambda x: F.struct(x["period"].alias("period"),
-                                F.round(x["value"] / F.col("mx"), 12).alias("v"))).alias("sig"))
+    sig = cells.select("feature", F.array_join(F.transform(
+        "c", lambda x: F.concat(x["period"].cast("string"), F.lit("="),
+                                F.round(x["value"] / F.col("mx"), 12).cast("string"))), ";").alias("sig"))
     return sig.groupBy("sig").agg(F.min("feature").alias("feature"), F.count("*").alias("class_size")) \
               .select("feature", "class_size")
 
