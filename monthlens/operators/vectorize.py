@@ -85,8 +85,11 @@ def tfidf_article(articles: DataFrame, text_col: str = "headline") -> DataFrame:
     if df_.count() <= IDF_BROADCAST_MAX_TERMS:
         idf = F.broadcast(idf)
     w = d.join(idf, "term").select("article_id", "period", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("article_id")))
-    return w.select("article_id", "period", "term", (F.col("w") / norm).alias("w"))
+    # per-article L2 norms: a partial-aggregated table with one row per article,
+    # joined back; AQE broadcasts it when small (runtime size check), so the
+    # weighted DTM is not shuffled for the norm; otherwise a sort-merge join
+    norms = w.groupBy("article_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return w.join(norms, "article_id").select("article_id", "period", "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
 def monthly_tfidf(articles: DataFrame, text_col: str = "headline", rep: str = "tfidf") -> Features:
