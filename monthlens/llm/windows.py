@@ -240,8 +240,8 @@ def found_runs(docs: DataFrame, make_body: Callable, everywhere: bool) -> DataFr
     rows = docs.count()
     hot = hot_seeds(docs, make_body, rows)
     runs = docs.mapInArrow(make_body(hot), RUN)
-    # rows without pk are finished marks; they are spread by document
-    dealt = runs.repartition(F.coalesce("pk", "thash"))
+    # rows without pk are finished marks; they may lie anywhere
+    dealt = runs.repartition(F.coalesce("pk", F.xxhash64("doc_id", "span")))
     dealt = dealt.sortWithinPartitions("pk", "seed", "shash", "doc_id", "thash", "span")
     return stored(dealt.mapInArrow(scan(everywhere), FOUND))
 
