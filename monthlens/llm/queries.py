@@ -2,18 +2,45 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from monthlens.llm import oracle
+from monthlens.llm import langid, oracle, tokens
 from monthlens.llm.common import table
+from monthlens.llm.minhash import near_duplicates
+from monthlens.llm.suffix import dedup_bytes
 from monthlens.llm.superkmer import dedup_substrings
 
+#: Where the public vocabulary files lie; a parameter of the operators.
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_bytes(table(spark, sf_dir, "documents")).drop("removed")
+
 
 def op4_superkmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents")).drop("removed")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokens.summary(docs, PIECE_MODEL).drop("text")
+
+
 QUERIES = {
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op4_superkmer_dedup": op4_superkmer_dedup,
+    "op8_language_id": op8_language_id,
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op10_sentence_pieces": op10_sentence_pieces,
 }
 ORACLE_SQL = oracle.SQL
