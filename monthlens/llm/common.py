@@ -79,3 +79,8 @@ def runs_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and lengths of the runs of True."""
     edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]])))
     return edge[::2], edge[1::2] - edge[::2]
+
+
+def signed64(x: int) -> int:
+    """An unsigned 64-bit integer as Spark's long."""
+    return x - (1 << 64) if x >> 63 else x

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from monthlens.llm import langid, oracle, tokens
+from monthlens.llm import decontaminate, langid, oracle, quality, tokens, toxicity
 from monthlens.llm.common import table
+from monthlens.llm.fingerprint import fingerprints
+from monthlens.llm.lines import dedup_lines
 from monthlens.llm.minhash import near_duplicates
 from monthlens.llm.suffix import dedup_bytes
 from monthlens.llm.superkmer import dedup_substrings
@@ -15,14 +18,38 @@ from monthlens.llm.superkmer import dedup_substrings
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.withColumn("n_spans", F.size("spans").cast("long")).drop("spans")
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_bytes(table(spark, sf_dir, "documents")).drop("removed")
 
 
+def op3_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and benchmark question that it holds."""
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("thash")
+
+
 def op4_superkmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents")).drop("removed")
 
 
+def op5_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(table(spark, sf_dir, "documents"))
+    return out.withColumn("kept_sha256", F.sha2(F.coalesce("kept_text", F.lit("")), 256)).drop("kept_text")
+
+
+def op7_parsing_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -36,11 +63,7 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.summary(docs, PIECE_MODEL).drop("text")
 
 
-QUERIES = {
-    "op2_suffix_dedup": op2_suffix_dedup,
-    "op4_superkmer_dedup": op4_superkmer_dedup,
-    "op8_language_id": op8_language_id,
-    "op9_minhash_near_dedup": op9_minhash_near_dedup,
-    "op10_sentence_pieces": op10_sentence_pieces,
-}
+QUERIES = {f.__name__: f for f in (
+    op1_toxic_spans, op2_suffix_dedup, op3_template_decontamination, op4_superkmer_dedup, op5_quality_ranking,
+    op6_line_dedup, op7_parsing_fingerprint, op8_language_id, op9_minhash_near_dedup, op10_sentence_pieces)}
 ORACLE_SQL = oracle.SQL

@@ -14,6 +14,7 @@ from monthlens.llm.pieces import Model
 
 #: Text bytes encoded at a time.
 CHUNK = 4 << 20
+DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string, n_covered long"
 _MODELS: dict[str, Model] = {}
 
 
@@ -63,12 +64,21 @@ def summary(docs: DataFrame, model_path: str, *, text: str = "text") -> DataFram
     ids are hashed as little-endian unsigned 32-bit integers, the decoded text as UTF-8, the
     spans as pairs of 64-bit integers; n_covered counts the text's bytes within spans.
     """
-    return _mapped(docs, model_path, text, "n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string, n_covered long", _digests)
+    return _mapped(docs, model_path, text, DIGESTS, _digests)
 
 
-def _digests(model: Model, texts: list[str]) -> list[pa.Array]:
+def encoded_with_digests(docs: DataFrame, model_path: str, *, text: str = "text") -> DataFrame:
+    """The columns of docs plus ids array<int> and those of ``summary``."""
+    def make(model: Model, texts: list[str]) -> list[pa.Array]:
+        got = list(model.encode(texts))
+        return [pa.array([g[0] for g in got], pa.list_(pa.int32())), *_digests(model, texts, got)]
+
+    return _mapped(docs, model_path, text, f"ids array<int>, {DIGESTS}", make)
+
+
+def _digests(model: Model, texts: list[str], got=None) -> list[pa.Array]:
     n, ids_sha, text_sha, spans_sha, covered = [], [], [], [], []
-    for ids, first, past in model.encode(texts):
+    for ids, first, past in got or model.encode(texts):
         n.append(len(ids))
         ids_sha.append(hashlib.sha256(ids).hexdigest())
         text_sha.append(hashlib.sha256(model.decode(ids).encode("utf-8", "replace")).hexdigest())
