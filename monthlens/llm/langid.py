@@ -163,7 +163,10 @@ def learn(labelled: DataFrame, sample: int = SAMPLE):
 
     # the sample is bounded, so one task trains on it; its order is fixed
     rows = labelled.filter(draw).select("doc_id", "text", "lang").repartition(1).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    w, t = rows.mapInArrow(body, "w binary, t double").first()
+    got = rows.mapInArrow(body, "w binary, t double").first()
+    if got is None:  # the draw left nothing
+        return [], np.zeros((BUCKETS, 0)), 1.0, idf
+    w, t = got
     return classes, np.frombuffer(w, np.float64).reshape(BUCKETS, -1), t, idf
 
 

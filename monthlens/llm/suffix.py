@@ -144,7 +144,7 @@ def prefixes_reach(data: np.ndarray, sa: np.ndarray, parted: np.ndarray, h: int,
     return reach
 
 
-def match_suffixes(window: int):
+def match_suffixes(window: int, shard: int):
     """Kernel: every window of a shard that another place of the shard starts too is marked."""
 
     def kernel(rows: pa.Table) -> pa.RecordBatch:
@@ -177,7 +177,7 @@ def match_suffixes(window: int):
         run, length = split_runs(again, edge)
         at = first[string] + np.arange(len(data)) - base[string]
         out = [(np.zeros(len(run), np.int64), np.zeros(len(run), np.int64), string[run], (at[run] << 32) | length, W.MARK)]
-        many = pd.Series(sid).groupby(sid).transform("size").to_numpy() >= W.SHARD
+        many = pd.Series(sid).groupby(sid).transform("size").to_numpy() >= shard
         wide = (flag > 0) | many
         if wide.any():
             # one place for each distinct window of each wide shard
@@ -190,30 +190,77 @@ def match_suffixes(window: int):
                 digest = xxhash.xxh3_128_intdigest(text[p : p + window])
                 prints[k] = digest >> 64, digest & 0xFFFFFFFFFFFFFFFF
             out.append((W.signed(prints[:, 0]), W.signed(prints[:, 1]), string[pick], (at[pick] << 32) | 1, W.FINGERPRINT))
-        return found_batch(out, doc, null, thash)
+        return found_batch(out, doc, null, thash, (sid >> 33).astype(np.int32))
 
     return kernel
 
 
-def dedup_bytes(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def dedup_bytes(docs: DataFrame, window: int = WINDOW, shard: int = W.SHARD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and removed (byte ranges) of each row.
 
     Every byte covered by a ``window``-byte string that also starts anywhere else, same
     document included, is removed; overlaps count; strings are judged on the input and never
     cross documents.
 
+    ``shard``: strings of one minimiser that one suffix array takes; the result does not
+    depend on it.
+
     A null text is empty.  A row given twice is two documents, so all its windows repeat.
     A null doc_id is an id like any other.  Other columns are ignored.
     """
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = W.found_runs(docs, lambda hot: W.local_runs(bytes_of, window, GRAM, hot, True), True)
+    found = W.found_runs(docs, lambda hot: W.local_runs(bytes_of, window, GRAM, hot, True), True, shard)
     packed = W.pack(docs, found, bytes_of, window).repartition("sid").sortWithinPartitions("sid")
-    checked = stored(packed.mapInArrow(W.by_shard(match_suffixes(window)), W.FOUND))
-    marks = found.unionAll(checked).filter(F.col("kind") == W.MARK).unionAll(W.merged(checked.filter(F.col("kind") == W.FINGERPRINT), True))
+    checked = stored(packed.mapInArrow(W.by_shard(match_suffixes(window, shard)), W.FOUND))
+    marks = found.unionAll(checked).filter(F.col("kind") == W.MARK).unionAll(merged(checked.filter(F.col("kind") == W.FINGERPRINT)))
     return W.with_spans(docs, marks).mapInArrow(remove(window), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<first:int,past:int>>")
 
 
+def merged(prints: DataFrame) -> DataFrame:
+    """MARK rows of the windows that several shards hold.
+
+    Each shard has sent its distinct windows.  They are dealt out and sorted by fingerprint;
+    of every stretch each shard's part is a sorted list, and is looked up in the merged list
+    of all shards by binary search: what stands there twice is held by another shard too."""
+    rows = prints.repartition("sid").sortWithinPartitions("sid", "fp")
+
+    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            both = pa.Table.from_batches([batch] if held is None else [*held, batch])
+            key = both.column("sid").to_numpy()
+            whole = int(np.searchsorted(key, key[-1]))  # equal fingerprints may go on in the next batch
+            yield from look(both.slice(0, whole))
+            held = both.slice(whole).to_batches()
+        if held is not None:
+            yield from look(pa.Table.from_batches(held))
+
+    def look(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        if not rows.num_rows:
+            return
+        key = np.empty(rows.num_rows, [("hi", "<i8"), ("lo", "<i8")])
+        key["hi"], key["lo"] = rows.column("sid").to_numpy(), rows.column("fp").to_numpy()
+        # names of equal fingerprints, in their order
+        name = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
+        shard = rows.column("flag").to_numpy()
+        again = np.zeros(len(name), bool)
+        for s in np.unique(shard):
+            own = np.flatnonzero(shard == s)
+            again[own] = np.searchsorted(name, name[own], "right") - np.searchsorted(name, name[own], "left") > 1
+        table = rows.filter(pa.array(again)).combine_chunks()
+        n = table.num_rows
+        if n:
+            zero = pa.array(np.zeros(n, np.int64))
+            none = zero.cast(pa.int32())
+            at = [table.column(c).combine_chunks() for c in ("doc_id", "thash", "span")]
+            yield pa.RecordBatch.from_arrays([none, zero, zero, none, *at], W.FOUND_NAMES)
+
+    return rows.mapInArrow(body, W.FOUND)
+
+
 def remove(window: int):
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -59,7 +59,7 @@ def gram_hashes(word: np.ndarray, k: int) -> np.ndarray:
     return mix(total)
 
 
-def sort_windows(window: int):
+def sort_windows(window: int, shard: int):
     """Kernel: of equal windows of a shard all but the earliest are marked."""
 
     def kernel(rows: pa.Table) -> pa.RecordBatch:
@@ -99,7 +99,7 @@ def sort_windows(window: int):
         where = string[run]
         out = [(np.zeros(len(run), np.int64), np.zeros(len(run), np.int64), where, (at[run] << 32) | length, W.MARK)]
         # shards of a seed that has several tell each other what they hold
-        many = pd.Series(sid).groupby(sid).transform("size").to_numpy() >= W.SHARD
+        many = pd.Series(sid).groupby(sid).transform("size").to_numpy() >= shard
         wide = np.flatnonzero(((flag > 0) | many)[string] & ~later)
         if len(wide):
             words_of = {}
@@ -123,18 +123,22 @@ def split_runs(mask: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return at, np.flatnonzero(last) - at + 1
 
 
-def found_batch(parts: list, doc, null, thash) -> pa.RecordBatch:
+def found_batch(parts: list, doc, null, thash, shard=None) -> pa.RecordBatch:
+    """FOUND rows of (sid, fp, string, span, kind) parts; flag: the string's shard."""
     sid, fp, row, span = (np.concatenate([p[i] for p in parts]) for i in range(4))
     kind = np.concatenate([np.full(len(p[0]), p[4], np.int32) for p in parts])
-    return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(sid), pa.array(fp), pa.array(np.zeros(len(kind), np.int32)), int_column(doc[row], null[row]), pa.array(thash[row]), pa.array(span)], W.FOUND_NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(sid), pa.array(fp), pa.array(np.zeros(len(kind), np.int32) if shard is None else shard[row]), int_column(doc[row], null[row]), pa.array(thash[row]), pa.array(span)], W.FOUND_NAMES)
 
 
-def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, shard: int = W.SHARD) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and removed (word ranges [first, past)) of each row.
 
     Each word covered by a window whose word sequence also starts earlier (smaller doc_id,
     or same document and earlier start) is removed; windows are judged on the input.
 
+    ``shard``: strings of one minimiser that one kernel call compares; the result does not
+    depend on it.
+
     Null and blank texts have no words.  A null doc_id counts as the smallest.  Rows with
     equal doc_id and text are one document given twice: each gets the same result.  Rows
     with equal doc_id and different texts are ordered by a hash of the text.  Other columns
@@ -143,9 +147,9 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = W.found_runs(docs, lambda hot: W.local_runs(words, window, GRAM, hot, False), False)
+    found = W.found_runs(docs, lambda hot: W.local_runs(words, window, GRAM, hot, False), False, shard)
     packed = W.pack(docs, found, words, window).repartition("sid").sortWithinPartitions("sid")
-    checked = stored(packed.mapInArrow(W.by_shard(sort_windows(window)), W.FOUND))
+    checked = stored(packed.mapInArrow(W.by_shard(sort_windows(window, shard)), W.FOUND))
     marks = found.unionAll(checked).filter(F.col("kind") == W.MARK).unionAll(W.merged(checked.filter(F.col("kind") == W.FINGERPRINT), False))
     return W.with_spans(docs, marks).mapInArrow(remove(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<first:int,past:int>>")
 

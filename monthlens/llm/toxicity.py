@@ -148,6 +148,11 @@ class Field:
         return np.split(np.log(odds), np.cumsum(sizes)[:-1])
 
 
+def nothing() -> Field:
+    """The field that knows no toxic word."""
+    return Field(np.zeros(BUCKETS), np.zeros(BUCKETS), np.zeros(BUCKETS), -4.0, np.zeros((2, 2)))
+
+
 def strength(logits: np.ndarray) -> float:
     """The marginals of a text in one number: close to the largest, more where several are high."""
     if not len(logits):
@@ -212,9 +217,9 @@ def train(texts: list[list[bytes]], toxic: np.ndarray) -> Field:
             tokens += words[start[k] : past[k]]
             head += [True] + [False] * (past[k] - start[k] - 1)
             tags += marked[start[k] : past[k]].tolist()
-    own, before, after, bias, trans = np.zeros(BUCKETS), np.zeros(BUCKETS), np.zeros(BUCKETS), -4.0, np.zeros((2, 2))
     if not any(tags):
-        return Field(own, before, after, bias, trans, middle=0.0)
+        return nothing()
+    own, before, after, bias, trans = np.zeros(BUCKETS), np.zeros(BUCKETS), np.zeros(BUCKETS), -4.0, np.zeros((2, 2))
     head, tags = np.array(head), np.array(tags)
     names = {t: [bucket(s) for s in shapes(plain(t))] for t in set(tokens)}
     shape = np.array([b for t in tokens for b in names[t]])
@@ -272,13 +277,13 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
         for batch in batches:
             texts += [bytes(v).split() for v in binary_views(batch.column("text"))]
             y += batch.column("y").to_pylist()
-        field = train(texts, np.array(y, int)) if texts else Field(np.zeros(BUCKETS), np.zeros(BUCKETS), np.zeros(BUCKETS), -4.0, np.zeros((2, 2)))
+        field = train(texts, np.array(y, int)) if texts else nothing()
         own, before, after, rest = field.state()
         yield pa.RecordBatch.from_arrays([pa.array([own], pa.binary()), pa.array([before], pa.binary()), pa.array([after], pa.binary()), pa.array([rest], pa.list_(pa.float64()))], ["own", "b", "a", "rest"])
 
     # the sample is bounded, so one task trains on it, in a fixed order
     got = rows.repartition(1).sortWithinPartitions("doc_id", "y", F.xxhash64("text")).mapInArrow(body, "own binary, b binary, a binary, rest array<double>").first()
-    return Field.of(*got)
+    return nothing() if got is None else Field.of(*got)  # None: no labelled row
 
 
 def tag(docs: DataFrame, field: Field) -> DataFrame:

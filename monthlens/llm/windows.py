@@ -147,11 +147,11 @@ def hot_seeds(docs: DataFrame, body: Callable, rows: int) -> np.ndarray:
     return np.array([r[0] for r in found], np.int64).view(U64)
 
 
-def scan(everywhere: bool) -> Callable:
+def scan(everywhere: bool, most: int) -> Callable:
     """mapInArrow body over RUN rows sorted by (pk, seed, shash, doc_id, thash, span).
 
     Emits MARK rows for runs whose whole string repeats and CHECK rows for the first run of
-    each string that must be compared.  One row is carried from batch to batch, so a seed
+    each string that must be compared, ``most`` strings of a seed to a shard.  One row is carried from batch to batch, so a seed
     may have any number of rows."""
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,8 +200,8 @@ def scan(everywhere: bool) -> Callable:
                 i = at[-1]
                 carry = ([x[i : i + 1] for x in (pk, seed, shash, doc, null, thash, span, flag)], bool(many[-1]) if everywhere else False, bool(before[-1]), int(number[-1]))
             c = at[check]
-            shard = mix(pk[c].view(U64) + U64(0x9E3779B97F4A7C15) * (number[check] // SHARD).astype(U64))
-            hot = ((flag[c] & HOT) > 0) | (number[check] >= SHARD)
+            shard = mix(pk[c].view(U64) + U64(0x9E3779B97F4A7C15) * (number[check] // most).astype(U64))
+            hot = ((flag[c] & HOT) > 0) | (number[check] >= most)
             m = np.flatnonzero(marked)
             n = len(m)
             both = np.concatenate([m, c])
@@ -235,7 +235,7 @@ def scan(everywhere: bool) -> Callable:
     return body
 
 
-def found_runs(docs: DataFrame, make_body: Callable, everywhere: bool) -> DataFrame:
+def found_runs(docs: DataFrame, make_body: Callable, everywhere: bool, shard: int) -> DataFrame:
     """Steps 1 and 2, stored: MARK and CHECK rows of all documents."""
     rows = docs.count()
     hot = hot_seeds(docs, make_body, rows)
@@ -243,14 +243,14 @@ def found_runs(docs: DataFrame, make_body: Callable, everywhere: bool) -> DataFr
     # rows without pk are finished marks; they may lie anywhere
     dealt = runs.repartition(F.coalesce("pk", F.xxhash64("doc_id", "span")))
     dealt = dealt.sortWithinPartitions("pk", "seed", "shash", "doc_id", "thash", "span")
-    return stored(dealt.mapInArrow(scan(everywhere), FOUND))
+    return stored(dealt.mapInArrow(scan(everywhere, shard), FOUND))
 
 
 def merged(prints: DataFrame, everywhere: bool) -> DataFrame:
     """MARK rows of FINGERPRINT rows: the windows that several shards hold."""
     rows = prints.select(F.col("sid").alias("pk"), F.col("sid").alias("seed"), F.col("fp").alias("shash"), "doc_id", "thash", "span", F.lit(0).alias("flag"))
     rows = rows.repartition("pk").sortWithinPartitions("pk", "seed", "shash", "doc_id", "thash", "span")
-    return rows.mapInArrow(scan(everywhere), FOUND).filter(F.col("kind") == MARK)
+    return rows.mapInArrow(scan(everywhere, SHARD), FOUND).filter(F.col("kind") == MARK)
 
 
 def pack(docs: DataFrame, found: DataFrame, units: Callable, window: int) -> DataFrame:
