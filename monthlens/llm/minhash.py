@@ -9,12 +9,17 @@ with a Jaccard similarity of 0.85 agree in 54 of 64 coordinates on average, and
    coordinates share one of the first K - MATCHES + 1 of either, in any common order of the
    pairs; pairs that a sample of the nodes shows to be frequent come last in that order, so
    what many documents share is hardly posted (the prefix).
-3. In each posting list the smallest node is the pivot; members are compared with it.  Lists
-   whose members then lie in one component are done (the skip); only members of different
-   components are compared further, in blocks of bounded size, by counting collisions of
-   whole signatures.  Nothing is capped: every pair that shares a list is either in one
-   component or has been counted.
-4. Pairs with enough collisions are confirmed on the full shingle sets.
+3. In each posting list the members' collisions with its smallest node are counted.  Lists
+   whose members are then connected are done (the skip); in the others the members of
+   different parts are compared too.  What is connected by MATCHES collisions is a *cluster*;
+   every pair with so many lies in one.
+4. In a cluster links are confirmed on the full shingle sets: first those of each node with
+   the partner it has most collisions with, then, where that leaves several components, of
+   all pairs of different components.
+
+Comparisons run in blocks of bounded size, and a block reports the few links that connect its
+members, not its pairs.  The largest component of a list or cluster is never compared with
+itself.  Nothing is capped or sampled: the sample decides the order of posting alone.
 """
 
 from __future__ import annotations
@@ -37,7 +42,7 @@ PERCENT = 85
 K, MATCHES = 64, 36
 PREFIX = K - MATCHES + 1
 SAMPLE, HOT_SHARE = 4000, 0.004
-#: Nodes compared with each other in one block of an unsettled list.
+#: Nodes compared with each other in one block.
 BLOCK = 1024
 #: Most pairs whose ids (16 bytes each) are broadcast to the scan of the sets.
 BROADCAST_PAIRS = 200_000
@@ -62,19 +67,20 @@ def shingles(view, size: int = SHINGLE) -> np.ndarray:
 def signature(names: np.ndarray) -> np.ndarray:
     """The smallest name under each of K functions; names in slices, so memory is bounded."""
     low = np.full(K, np.iinfo(U64).max, U64)
-    for at in range(0, len(names), 4096):
-        x = names[at : at + 4096]
-        for k in range(K):
-            y = x * _MUL[k]
-            y ^= y >> U64(32)
-            y += _ADD[k]
-            y *= _MUL[K - 1 - k]
-            low[k] = min(low[k], y.min())
-    return low
+    for at in range(0, len(names), 1024):
+        y = names[at : at + 1024, None] * _MUL
+        y += _ADD
+        np.minimum(low, y.min(axis=0), out=low)
+    return (low >> U64(32)).astype(np.uint32)
 
 
 def elements(low: np.ndarray) -> np.ndarray:
-    return mix(low + np.arange(K, dtype=U64) * U64(0x9E3779B97F4A7C15))
+    """64-bit names of the coordinate-value pairs of signatures."""
+    return mix(low.astype(U64) | np.arange(K, dtype=U64) << U64(32))
+
+
+def signatures(col: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), np.uint32).reshape(-1, K)
 
 
 def sets_of(batches: Iterator[pa.RecordBatch], size: int):
@@ -94,7 +100,7 @@ def sign(size: int):
             node = np.array([node_of(s) for s in sets], U64).view(np.int64)
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), pa.array(node), pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([None if x is None else elements(x).tobytes() for x in lows], pa.binary())], ["doc_id", "node", "n_shingles", "elements"])
+                pa.array([None if x is None else x.tobytes() for x in lows], pa.binary())], ["doc_id", "node", "n_shingles", "low"])
 
     return body
 
@@ -104,7 +110,7 @@ def post(hot: np.ndarray, hot_rank: np.ndarray):
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            e = np.frombuffer(b"".join(batch.column(1).to_pylist()), U64).reshape(-1, K)
+            e = elements(signatures(batch.column(1)))
             rank = np.zeros(e.shape, np.int64)
             if len(hot):
                 at = np.minimum(np.searchsorted(hot, e), len(hot) - 1)
@@ -143,24 +149,18 @@ def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = (e[-1], node[-1], pivot[-1], told_last)
 
 
-def collisions(a: pa.Array, b: pa.Array) -> np.ndarray:
-    x = np.frombuffer(b"".join(a.to_pylist()), U64).reshape(-1, K)
-    y = np.frombuffer(b"".join(b.to_pylist()), U64).reshape(-1, K)
-    return (x == y).sum(axis=1)
-
-
 def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            n = collisions(batch.column("ea"), batch.column("eb"))
-            keep = n >= MATCHES
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep)), pa.array(n[keep].astype(np.int32))], ["a", "b", "n"])
+            n = (signatures(batch.column("ea")) == signatures(batch.column("eb"))).sum(axis=1)
+            keep = pa.array(n >= MATCHES)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep), pa.array(n.astype(np.int32)).filter(keep)], ["a", "b", "n"])
 
 
 def counted(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs (a, b) with MATCHES collisions at least, and how many."""
-    left = nodes.select(F.col("node").alias("a"), F.col("elements").alias("ea"))
-    right = nodes.select(F.col("node").alias("b"), F.col("elements").alias("eb"))
+    left = nodes.select(F.col("node").alias("a"), F.col("low").alias("ea"))
+    right = nodes.select(F.col("node").alias("b"), F.col("low").alias("eb"))
     return pairs.join(right, "b").join(left, "a").select("a", "b", "ea", "eb").mapInArrow(count_pairs, "a long, b long, n int")
 
 
@@ -206,57 +206,139 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(body, "a long, b long")
 
 
-def unsettled(members: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b, n) of one list and of different components with MATCHES collisions.
-
-    The members of a list's largest component are compared with the others only, the others
-    with each other too, block by block."""
-    named = members.join(labels, "node", "left").select("e", "node", F.coalesce("label", "node").alias("label"))
-    per = named.groupBy("e", "label").agg(F.count("*").alias("n"))
-    per = per.groupBy("e").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("parts")).filter("parts > 1")
-    per = per.select("e", F.col("top.label").alias("main"), F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("top.n")) / BLOCK)).cast("int").alias("blocks"))
-    rows = named.join(per, "e").withColumn("mine", (F.xxhash64("node") % F.col("blocks") + F.col("blocks")) % F.col("blocks"))
-    every = F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)
-    minor = F.transform(every, lambda j: F.struct(F.least(j, F.col("mine")).alias("i"), F.greatest(j, F.col("mine")).alias("j")))
-    major = F.transform(every, lambda j: F.struct(j.alias("i"), F.lit(-1).cast("long").alias("j")))
-    # a minor member also stands in (own block, -1), where the main component comes
-    own = F.array(F.struct(F.col("mine").alias("i"), F.lit(-1).cast("long").alias("j")))
-    rows = rows.withColumn("at", F.explode(F.when(F.col("label") == F.col("main"), major).otherwise(F.concat(minor, own))))
-    rows = (rows.select("e", "at.i", "at.j", "node", "label", (F.col("label") == F.col("main")).alias("major"))
-            .join(nodes.select("node", "elements"), "node").repartition("e", "i", "j").sortWithinPartitions("e", "i", "j", "major"))
+def blocks(members: DataFrame, labels: DataFrame, block: int) -> DataFrame:
+    """(key, i, j, major, node, label) of (key, node): the blocks in which members of one key
+    and of different labels meet; keys with one label are left out.
+
+    The members of a key's largest label are major; they meet the others (the minor ones,
+    dealt over numbered blocks) in blocks (i, -1), and the minor ones meet in blocks (i, j)."""
+    named = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    per = named.groupBy("key", "label").agg(F.count("*").alias("n"))
+    per = per.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("parts")).filter("parts > 1")
+    per = per.select("key", F.col("top.label").alias("main"), F.ceil((F.col("all") - F.col("top.n")) / block).cast("long").alias("blocks"))
+    rows = named.join(per, "key").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    place = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    none = F.lit(-1).cast("long")
+    major = F.transform(every, lambda j: place(j, none))
+    minor = F.concat(F.transform(every, lambda j: place(F.least(j, F.col("mine")), F.greatest(j, F.col("mine")))), F.array(place(F.col("mine"), none)))
+    is_major = F.col("label") == F.col("main")
+    rows = rows.select("key", "node", "label", is_major.alias("major"), F.explode(F.when(is_major, major).otherwise(minor)).alias("at"))
+    return rows.select("key", "at.i", "at.j", "major", "node", "label")
+
+
+class Forest:
+    """Which of a block's members are connected; tells the links that connect more."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        path = []
+        while (y := self.up.get(x, x)) != x:
+            path.append(x)
+            x = y
+        for p in path:
+            self.up[p] = x
+        return x
+
+    def joins(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        self.up[b] = a
+        return a != b
+
+
+def compared(rows: DataFrame, value: str, near, part: int = 256) -> DataFrame:
+    """Links (a, b) that connect what ``near`` finds alike in the blocks of rows (key, i, j,
+    major, node, label, value), members of equal labels apart.
+
+    near(values, values) gives a boolean matrix.  A block's minor members are held, two blocks
+    of them at most; its major ones stream past in parts."""
+
+    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, minor, forest, held, links = None, [], Forest(), [], []
+
+        def meet(some: list) -> None:
+            if not minor or not some:
+                return
+            alike = near([m[2] for m in minor], [x[2] for x in some])
+            alike &= np.array([m[1] for m in minor])[:, None] != np.array([x[1] for x in some])[None, :]
+            for a, b in zip(*(x.tolist() for x in np.nonzero(alike))):
+                x, y = minor[a][0], some[b][0]
+                if forest.joins(x, y):
+                    links.append((min(x, y), max(x, y)))
+
+        def close() -> None:
+            meet(held)
+            held.clear()
+            if key is not None and key[2] >= 0:
+                for lo in range(0, len(minor), part):
+                    meet(minor[lo : lo + part])
+
+        def told() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+            links.clear()
+            return out
 
-    def body(batches):
-        key, minor, lab = None, None, None  # the minor members of the block; the major ones stream past
         for batch in batches:
-            keys = list(zip(*(batch.column(n).to_pylist() for n in ("e", "i", "j"))))
-            node, label = batch.column("node").to_numpy(), batch.column("label").to_numpy()
-            major = batch.column("major").to_pylist()
-            e = np.frombuffer(b"".join(batch.column("elements").to_pylist()), U64).reshape(-1, K)
-            found = []
-            for r in range(batch.num_rows):
-                if keys[r] != key:
-                    key, minor, lab, who = keys[r], np.empty((0, K), U64), np.empty(0, np.int64), np.empty(0, np.int64)
-                if len(minor) and (major[r] or keys[r][2] >= 0):
-                    n = (minor == e[r]).sum(axis=1)
-                    for at in np.flatnonzero((n >= MATCHES) & (lab != label[r])).tolist():
-                        x, y = int(who[at]), int(node[r])
-                        found.append((min(x, y), max(x, y), int(n[at])))
-                if not major[r]:
-                    minor, lab, who = np.concatenate([minor, e[r : r + 1]]), np.append(lab, label[r]), np.append(who, node[r])
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int32())], ["a", "b", "n"])
-
-    return rows.mapInArrow(body, "a long, b long, n int").distinct()
-
-
-def across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose ends lie in different components."""
-    la = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
-    lb = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-    return (pairs.join(la, "a", "left").join(lb, "b", "left")
-            .filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b"))
-
-
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
+            names = ("key", "i", "j", "major", "node", "label", value)
+            for k, i, j, major, node, label, v in zip(*(batch.column(n).to_pylist() for n in names)):
+                if (k, i, j) != key:
+                    close()
+                    key, minor, forest = (k, i, j), [], Forest()
+                if not major:
+                    minor.append((node, label, v))
+                else:
+                    held.append((node, label, v))
+                    if len(held) == part:
+                        meet(held)
+                        held.clear()
+            yield told()
+        close()
+        yield told()
+
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "major", "node")
+    return rows.mapInArrow(body, "a long, b long").distinct()
+
+
+def collide(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    x, y = (np.frombuffer(b"".join(v), np.uint32).reshape(-1, K) for v in (a, b))
+    n = np.zeros((len(x), len(y)), np.uint8)
+    for k in range(K):
+        n += x[:, k, None] == y[None, :, k]
+    return n >= MATCHES
+
+
+def similar(percent: int):
+    """near() of full sets: products of membership matrices over the shared shingles."""
+
+    def near(a: list[bytes], b: list[bytes]) -> np.ndarray:
+        size = [np.array([len(v) // 8 for v in x]) for x in (a, b)]
+        names = [np.frombuffer(b"".join(x), U64) for x in (a, b)]
+        shared = np.intersect1d(names[0], names[1])
+        both = np.zeros((len(a), len(b)), np.float32)
+        cells = []
+        for n, s in zip(names, size):
+            at = np.searchsorted(shared, n)
+            ok = shared[np.minimum(at, len(shared) - 1)] == n if len(shared) else np.zeros(len(n), bool)
+            at, r = at[ok], np.repeat(np.arange(len(s)), s)[ok]
+            order = np.argsort(at, kind="stable")
+            cells.append((at[order], r[order]))
+        for lo in range(0, len(shared), 4096):
+            m = []
+            for (at, r), n in zip(cells, (len(a), len(b))):
+                i, j = np.searchsorted(at, [lo, lo + 4096])
+                x = np.zeros((n, min(4096, len(shared) - lo)), np.float32)
+                x[r[i:j], at[i:j] - lo] = 1
+                m.append(x)
+            both += m[0] @ m[1].T
+        both = both.astype(np.int64)
+        return 100 * both >= percent * (size[0][:, None] + size[1][None, :] - both)
+
+    return near
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row.
 
     Words are runs without ASCII white space, A-Z lower-cased; a document is the set of its
@@ -272,30 +354,30 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = stored(docs.mapInArrow(sign(shingle), "doc_id long, node long, n_shingles long, elements binary"))
-    nodes = stored(signed.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("elements").alias("elements")))
+    signed = stored(docs.mapInArrow(sign(shingle), "doc_id long, node long, n_shingles long, low binary"))
+    nodes = stored(signed.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("low").alias("low")))
     n_nodes = nodes.count()
-    sample = nodes.sample(min(1.0, SAMPLE / max(n_nodes, 1)), seed=3).select("elements").limit(4 * SAMPLE).collect()
-    seen, times = np.unique(np.frombuffer(b"".join(r[0] for r in sample), U64), return_counts=True)
+    sample = nodes.sample(min(1.0, SAMPLE / max(n_nodes, 1)), seed=3).select("low").limit(4 * SAMPLE).collect()
+    seen, times = np.unique(elements(np.frombuffer(b"".join(r[0] for r in sample), np.uint32).reshape(-1, K)), return_counts=True)
     hot = times >= max(4, int(HOT_SHARE * len(sample)))
-    members = stored(nodes.select("node", "elements").mapInArrow(post(seen[hot], times[hot]), "e long, node long")
+    members = stored(nodes.select("node", "low").mapInArrow(post(seen[hot], times[hot]), "e long, node long")
                      .repartition("e").sortWithinPartitions("e", "node").mapInArrow(lists, "e long, node long, pivot long"))
     pairs = members.filter("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     pairs = stored(counted(pairs, nodes))
-    # one pair of each node first: the one with most collisions
+    # clusters: parts connected by MATCHES collisions
+    labels = stored(components(pairs))
+    apart = blocks(members.select(F.col("e").alias("key"), "node"), labels, block).join(nodes.select("node", "low"), "node")
+    more = stored(compared(apart, "low", collide))
+    clusters = labels if more.isEmpty() else stored(components(pairs.select("a", "b").unionAll(more)))
+    sets = stored(full_sets(docs, nodes, clusters.select("node"), shingle))
+    # links: of each node with the partner it has most collisions with, then between components
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
-    sets = stored(full_sets(docs, nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), shingle))
     links = stored(confirmed(best, sets, percent))
     labels = stored(components(links))
-    rest = stored(across(pairs.join(best, ["a", "b"], "left_anti"), labels))
-    links = stored(links.unionAll(confirmed(rest, sets, percent)))
-    labels = stored(components(links))
-    tried = pairs.select("a", "b")
-    rest = stored(unsettled(members, labels, nodes).select("a", "b").join(tried, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        lacking = rest.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node"), "node", "left_anti")
-        sets = stored(full_sets(docs, nodes, stored(lacking), shingle)).unionAll(sets)
-        labels = stored(components(links.unionAll(confirmed(rest, sets, percent))))
+    apart = blocks(clusters.select(F.col("label").alias("key"), "node"), labels, block).join(sets, "node")
+    more = stored(compared(apart, "names", similar(percent)))
+    if not more.isEmpty():
+        labels = stored(components(links.unionAll(more)))
     group = labels.join(nodes.select("node", "doc_id"), "node").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     of_node = nodes.join(labels, "node", "left").join(group, "label", "left").select("node", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     out = signed.select("doc_id", "node", "n_shingles").join(of_node, "node", "left")
