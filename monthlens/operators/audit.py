@@ -12,21 +12,21 @@ LOOKAHEAD_KEYWORDS = ("crash", "crisis", "lehman", "collapse", "recession", "tar
 # --- end fixed values ---------------------------------------------------------
 
 
-def stability(g: DataFrame) -> DataFrame:
-    """Per temperature: articles whose runs all agree, mean distinct outputs
+def stability(g: DataFrame, setting: str = "temperature") -> DataFrame:
+    """Per setting: articles whose runs all agree, mean distinct outputs
     per article, and (article, run) cells that differ from the first run.
 
-    ``g(article_id, temperature, run, generated_topics)``."""
-    per = g.groupBy("temperature", "article_id").agg(F.countDistinct("generated_topics").alias("n_unique"))
-    first = F.first_value("generated_topics").over(Window.partitionBy("temperature", "article_id").orderBy("run"))
-    changed = (g.withColumn("first", first).where(F.col("run") > 0)
-                .groupBy("temperature").agg(F.count_if(F.col("generated_topics") != F.col("first")).alias("n_changed_vs_first")))
-    s = per.groupBy("temperature").agg(
+    ``g(article_id, <setting>, run, generated_topics)``."""
+    per = g.groupBy(setting, "article_id").agg(F.countDistinct("generated_topics").alias("n_unique"))
+    first = F.first_value("generated_topics").over(Window.partitionBy(setting, "article_id").orderBy("run"))
+    changed = (g.withColumn("first", first).groupBy(setting)
+                .agg(F.count_if((F.col("run") > 0) & (F.col("generated_topics") != F.col("first"))).alias("n_changed_vs_first")))
+    s = per.groupBy(setting).agg(
         F.count("*").alias("n_articles"),
         F.count_if(F.col("n_unique") == 1).alias("n_identical"),
         F.round(F.avg("n_unique"), 6).alias("avg_unique"))
-    return (s.join(changed, "temperature")
-             .select("temperature", "n_articles", "n_identical",
+    return (s.join(changed, setting)
+             .select(setting, "n_articles", "n_identical",
                      F.round(F.col("n_identical") / F.col("n_articles"), 6).alias("share_identical"),
                      "avg_unique", "n_changed_vs_first"))
 

@@ -195,7 +195,7 @@ def lasso_kfold(f: Features, y: DataFrame, k: int = 5, n_alphas: int = 100, eps:
     amax = (D.standardised_scores(D.Design(feats, yy.where("outcome = 'all'"), op.where("outcome = 'all'"), pp, mom))
             .agg(F.max(F.abs("score"))).first()[0])
     grid = list(np.logspace(np.log10(amax * eps), np.log10(amax), n_alphas)[::-1])
-    path = L.lasso_path(des, grid, max_nnz=None)
+    path = L.lasso_path(des, grid)
     # held-out predictions: ybar_f - sum_j mu_fj b_j + sum_j x_tj b_j
     cb = path.coefs.join(F.broadcast(op), "outcome").join(mom, ["pattern", "feature"])
     icpt = cb.groupBy("outcome", "alpha_idx").agg(F.sum(-F.col("mu") * F.col("coef")).alias("shift"))

@@ -6,7 +6,11 @@ instruction variant and parameter setting, call the model per batch inside
 ``mapInPandas``, parse replies with SQL expressions, retry invalid batches in
 rounds (one job per round, finished batches appended to an incremental store
 and skipped on rerun), fall back to a lenient parse or a filler, and join the
-items back to articles by ``(batch_id, pos)`` -- keyed rows cannot misalign.
+items back to articles.
+
+Stored replies are keyed by what was asked (a hash of instruction and prompt),
+not by a batch's number: after articles were inserted or changed, a batch with
+another prompt is asked anew and an unchanged one keeps its reply.
 
 Model interface: ``model(batch: pandas.DataFrame) -> pandas.Series[str|None]``
 with columns ``batch_id, variant, temperature, run, attempt, system, prompt, n``;
@@ -51,9 +55,11 @@ PROMPT_HEAD = ("Below are {n} newspaper headlines, numbered 1 to {n}.\n\n"
 PROMPT_TAIL = "\n\nOutput:"
 # --- end fixed values --------------------------------------------------------
 
-KEYS = ["variant", "temperature", "run", "batch_id"]
-REPLY_SCHEMA = ("variant string, temperature double, run int, batch_id bigint, n int, attempt int, "
+KEYS = ["variant", "temperature", "run", "asked"]
+REPLY_SCHEMA = ("variant string, temperature double, run int, asked string, n int, attempt int, "
                 "text string, error string")
+#: Calls whose replies are committed together: what a failed job loses at most.
+CALLS_PER_COMMIT = 5000
 
 
 # ------------------------------------------------------------------ numbering
@@ -109,7 +115,8 @@ def work_items(pr: DataFrame, grid: list[tuple]) -> DataFrame:
     return (pr.withColumn("s", F.explode(arr))
               .select(F.col("s.variant").alias("variant"), F.col("s.temperature").alias("temperature"),
                       F.col("s.run").alias("run"), "batch_id", "n",
-                      F.coalesce(sysmap[F.col("s.variant")], F.lit(SYSTEM_BASE)).alias("system"), "prompt"))
+                      F.coalesce(sysmap[F.col("s.variant")], F.lit(SYSTEM_BASE)).alias("system"), "prompt")
+              .withColumn("asked", F.md5(F.concat_ws("\n", "system", "prompt"))))
 
 
 # ------------------------------------------------------------------ model map
@@ -128,29 +135,36 @@ def _arrow_rows(spark: SparkSession, rows: int):
 
 
 def call_model(work: DataFrame, model: Callable[[pd.DataFrame], pd.Series]) -> DataFrame:
-    """One model call per work row (a batch prompt); ``attempt`` comes with the row."""
+    """One model call per work row (a batch prompt); ``attempt`` comes with the row.
+    A call that raises fails its own row only."""
     def run(it):
         for pdf in it:
-            try:
-                out = model(pdf)
-                text = pd.Series(list(out), index=pdf.index, dtype=object)
-                err = text.isna().map(lambda b: "no reply" if b else None)
-            except Exception as e:  # the whole Arrow batch failed
-                text = pd.Series([None] * len(pdf), index=pdf.index, dtype=object)
-                err = pd.Series([f"{type(e).__name__}: {e}"[:500]] * len(pdf), index=pdf.index, dtype=object)
+            text, err = [], []
+            for i in range(len(pdf)):
+                try:
+                    reply = list(model(pdf.iloc[i:i + 1]))[0]
+                    error = "no reply" if reply is None or pd.isna(reply) else None
+                except Exception as e:
+                    reply, error = None, f"{type(e).__name__}: {e}"[:500]
+                text.append(reply if error is None else None)
+                err.append(error)
             yield pd.DataFrame({"variant": pdf["variant"], "temperature": pdf["temperature"], "run": pdf["run"],
-                                "batch_id": pdf["batch_id"], "n": pdf["n"], "attempt": pdf["attempt"],
-                                "text": text, "error": err})
-    return work.select(*KEYS, "n", "system", "prompt", "attempt").mapInPandas(run, REPLY_SCHEMA)
+                                "asked": pdf["asked"], "n": pdf["n"], "attempt": pdf["attempt"],
+                                "text": pd.Series(text, index=pdf.index, dtype=object),
+                                "error": pd.Series(err, index=pdf.index, dtype=object)})
+    return work.select(*KEYS, "batch_id", "n", "system", "prompt", "attempt").mapInPandas(run, REPLY_SCHEMA)
 
 
 def generate(work: DataFrame, model: Callable[[pd.DataFrame], pd.Series], max_attempts: int = 5,
-             store_path: str | None = None, rows_per_call_batch: int = 16) -> DataFrame:
+             store_path: str | None = None, rows_per_call_batch: int = 16,
+             calls_per_commit: int = CALLS_PER_COMMIT) -> DataFrame:
     """Retry rounds: each round calls the model for work rows without a valid
-    reply yet (attempts counted per key) and appends the replies to the
-    store; returns the latest reply per work key ``KEYS + n, attempt, text,
-    error, valid``. A rerun with the same ``store_path`` resumes: finished
-    keys are skipped, failed ones continue their attempt count."""
+    reply yet (attempts counted per key) and appends the replies to the store,
+    ``calls_per_commit`` at a time, so an interrupted round keeps what was
+    committed; returns the latest reply of each work row: its columns and
+    ``attempt, text, error, valid``. A rerun with the same ``store_path``, in
+    this or another application, resumes: finished keys are skipped, failed
+    ones continue their attempt count. Equal prompts are asked once."""
     spark = work.sparkSession
     ship_package(spark)
     store = IncrementalTable(spark, store_path or default_path(spark, "replies"), KEYS, "attempt")
@@ -165,13 +179,20 @@ def generate(work: DataFrame, model: Callable[[pd.DataFrame], pd.Series], max_at
             pending = (work.join(st, KEYS, "left").where(F.col("ok").isNull() | ~F.col("ok"))
                            .withColumn("attempt", F.coalesce(F.col("last") + 1, F.lit(0)))
                            .where(F.col("attempt") < max_attempts).drop("last", "ok"))
-        # ``work`` (the prompts) is already materialised; ``pending`` is that
-        # table filtered by the small reply state, so it is not rewritten
-        if pending.isEmpty():
+        # the round's keys are fixed before the first commit changes the store
+        pending = cut_lineage(pending.dropDuplicates(KEYS))
+        calls = pending.count()
+        if not calls:
             break
+        parts = -(-calls // calls_per_commit)
+        part = F.pmod(F.xxhash64(*KEYS), F.lit(parts))
         with _arrow_rows(spark, rows_per_call_batch):
-            store.append(call_model(pending, model))
-    out = store.read(REPLY_SCHEMA).join(work.select(*KEYS), KEYS, "left_semi")
+            for k in range(parts):
+                store.append(call_model(pending.where(part == k), model))
+    replies = store.read(REPLY_SCHEMA)
+    if replies is None:                                # no work at all
+        replies = spark.createDataFrame([], REPLY_SCHEMA)
+    out = work.select(*KEYS, "batch_id").join(replies, KEYS)
     return out.withColumn("valid", parse_strict("text", "n").isNotNull())
 
 
@@ -182,9 +203,10 @@ def parsed_items(replies: DataFrame) -> DataFrame:
               .when(F.col("text").isNotNull(), parse_lenient("text", "n"))
               .otherwise(F.array_repeat(F.lit(""), F.col("n"))))
     status = F.when(F.col("valid"), "ok").when(F.col("text").isNotNull(), "lenient").otherwise("failed")
-    return replies.select(*KEYS, status.alias("status"),
+    keys = ["variant", "temperature", "run", "batch_id"]
+    return replies.select(*keys, status.alias("status"),
                           F.posexplode(items).alias("p0", "generated_topics")) \
-                  .select(*KEYS, (F.col("p0") + 1).cast("int").alias("pos"), "generated_topics", "status")
+                  .select(*keys, (F.col("p0") + 1).cast("int").alias("pos"), "generated_topics", "status")
 
 
 def to_articles(parsed: DataFrame, items: DataFrame) -> DataFrame:
@@ -194,14 +216,15 @@ def to_articles(parsed: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def stable_store_path(spark: SparkSession, *key: str) -> str:
-    """Deterministic store location for (input, model, batching) so that a
-    later job resumes from finished batches instead of calling the model again."""
+    """Store location for a model and its batching below ``spark.checkpoint.dir``
+    itself (not below the application's own folder), so another application
+    resumes from it. Replies are keyed by content, so inputs may share it."""
     import hashlib
     import os
 
-    from monthlens.session import ensure_checkpoint_dir
+    from monthlens.session import checkpoint_root, ensure_checkpoint_dir
     h = hashlib.sha1("|".join(key).encode()).hexdigest()[:16]
-    return os.path.join(ensure_checkpoint_dir(spark), "incremental", f"replies-{h}")
+    return os.path.join(checkpoint_root(spark) or ensure_checkpoint_dir(spark), "incremental", f"replies-{h}")
 
 
 def generate_topics(articles: DataFrame, model: Callable[[pd.DataFrame], pd.Series], variants=("base",),

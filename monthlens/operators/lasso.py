@@ -9,7 +9,9 @@ Plan (never collects the feature matrix):
    aggregate over the non-zero cells (design.standardised_scores).
 2. Candidates: top-m features per outcome (two-stage, bounded groups).
 3. Path: candidate cells are co-grouped with the outcome series and each
-   outcome's n x m block is solved exactly (homotopy) in a grouped Arrow task.
+   outcome's n x m block is solved exactly (homotopy) in a grouped Arrow task;
+   every grid point is checked on all its columns, active ones included, and
+   solved anew where ties made the homotopy miss an entry.
 4. Optimality check, distributed: features are hashed into buckets and each
    bucket's task scores its columns against the residual matrix (outcomes x
    months x solved alphas) with one matrix product; any non-candidate with
@@ -17,9 +19,9 @@ Plan (never collects the feature matrix):
    optimality conditions at every solved alpha, so the result is the full-p
    path whatever ``m_init`` was -- there is no cap on candidates.
 
-``max_nnz`` stops each path after the first alpha whose support exceeds it
-(the selection rule only needs supports up to the wanted k); ``None`` solves
-the whole grid.
+``max_nnz`` ends each path after the first alpha whose support exceeds it;
+``None`` solves the whole grid, which alone shows the support sizes that come
+back further down.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from monthlens.functions.stats import lasso_path_homotopy
+from monthlens.functions.stats import lasso_path_checked
 from monthlens.functions.text import log_grid
 from monthlens.operators.design import Design, standardised_scores, top_per_group
 from monthlens.session import cut_lineage, ship_package
@@ -73,7 +75,7 @@ def _fit_fn(alphas: list[float], max_nnz: int | None):
             c = cells[cells["period"].isin(pidx.keys())]
             X[c["period"].map(pidx).to_numpy(), c["feature"].map(fidx).to_numpy()] = c["value"].to_numpy(dtype=float)
             Z = (X - mu) / sd
-        coefs, resids = lasso_path_homotopy(Z, yv, grid, max_nnz=max_nnz)
+        coefs, resids = lasso_path_checked(Z, yv, grid, max_nnz=max_nnz)
         solved = coefs.shape[0]
         rows = []
         for i in range(solved):
@@ -176,7 +178,7 @@ def _violators(d: Design, path: DataFrame, cand: DataFrame, alphas: list[float],
     return left.groupBy("b").cogroup(res.groupBy("b")).applyInPandas(check, VIOL_SCHEMA)
 
 
-def lasso_path(d: Design, alphas: list[float] | None = None, max_nnz: int | None = 20,
+def lasso_path(d: Design, alphas: list[float] | None = None, max_nnz: int | None = None,
                m_init: int = 128, tol: float = 1e-9, max_rounds: int = 1000) -> LassoPath:
     alphas = list(alphas) if alphas is not None else log_grid(-6, 1, 200)
     alphas = sorted(alphas, reverse=True)

@@ -48,18 +48,22 @@ def gram0(f: Features, weights: DataFrame | None = None) -> DataFrame:
 
 
 def centred_gram(f: Features) -> DataFrame:
-    """Double-centred Gram of the standardised features, (period_a, period_b, k).
-    Built from K0 with row/column/grand means; entries are emitted for month
-    pairs that share a feature (a pair without one has k = -ra - cb + g, which
-    the grouped solvers complete in-task)."""
+    """Double-centred Gram of the standardised features, (period_a, period_b, k),
+    for every pair of months. Built from K0 with row/column/grand means; a pair
+    that shares no feature has k0 = 0."""
     k0 = cut_lineage(gram0(f))
     n = f.periods.count()
     row = k0.groupBy("period_a").agg((F.sum("k0") / n).alias("ra"))
     col = k0.groupBy("period_b").agg((F.sum("k0") / n).alias("cb"))
     grand = k0.agg((F.sum("k0") / (n * n)).alias("g")).first()["g"]
-    # pairs without a shared feature have k0 = 0; they are completed in-task
-    return (k0.join(F.broadcast(row), "period_a").join(F.broadcast(col), "period_b")
-              .select("period_a", "period_b", (F.col("k0") - F.col("ra") - F.col("cb") + F.lit(grand)).alias("k")))
+    # every pair of months, from one calendar-bounded list of periods
+    every = f.periods.agg(F.sort_array(F.collect_set("period")).alias("ps"))
+    pairs = every.select(F.explode("ps").alias("period_a"), "ps").select("period_a", F.explode("ps").alias("period_b"))
+    none = F.lit(0.0)
+    return (pairs.join(k0, ["period_a", "period_b"], "left")
+                 .join(F.broadcast(row), "period_a", "left").join(F.broadcast(col), "period_b", "left")
+                 .select("period_a", "period_b", (F.coalesce("k0", none) - F.coalesce("ra", none)
+                                                  - F.coalesce("cb", none) + F.lit(grand or 0.0)).alias("k")))
 
 
 # ------------------------------------------------------------------ recovery

@@ -19,9 +19,8 @@ from monthlens.operators import ols as O
 from monthlens.operators import vectorize as V
 from monthlens.sources import tables as S
 
-# --- fixed values: outcome families, k sweeps and grids ----------------------
-MACRO_OUTCOMES = ("mret", "vol", "indpro", "indprol1")
-K_SWEEP = (3, 5, 7, 10, 15, 20)
+# --- fixed values: k sweeps and grids ----------------------
+K_SWEEP = (3, 5, 7, 10, 14, 15, 19, 20, 25, 30)
 LASSO_GRID = (-6, 1, 200)        # k selection
 LASSO_FINE_GRID = (-7, 1, 300)   # smallest k reaching a target R²
 # --- end fixed values ---------------------------------------------------------
@@ -47,28 +46,37 @@ def features(spark: SparkSession, sf: str, rep: str, drop_failed: bool = False)
 
 
 def generated_articles(spark: SparkSession, sf: str, variants=("base",), temperatures=(0.3,), runs: int = 1,
-                       model=keyword_model) -> DataFrame:
-    """Articles with model-generated topics (stand-in model by default)."""
+                       model=keyword_model, store_path: str | None = None) -> DataFrame:
+    """Articles with model-generated topics (stand-in model by default).
+
+    ``store_path``: where replies are kept, a folder of the caller's; by default
+    one store per model below ``spark.checkpoint.dir``. Later analyses and other
+    applications resume from it instead of calling the model again."""
     a = S.articles(spark, sf)
-    # one reply store per (input, model, batching): later analyses resume from
-    # it instead of calling the model again (generate once, re-read)
-    store = I.stable_store_path(spark, sf, f"{model.__module__}.{model.__qualname__}", "batch=50")
+    store = store_path or I.stable_store_path(spark, f"{model.__module__}.{model.__qualname__}", "batch=50")
     g = I.generate_topics(a, model, variants=variants, temperatures=temperatures, runs=runs, store_path=store)
     return g.join(a.select("article_id", "display_date"), "article_id")
 
 
 # ------------------------------------------------------------------ lasso -> ols
 def lasso_ols(spark: SparkSession, sf: str, rep: str | V.Features | D.Design, ks=(5,), outcomes=None,
-              complete_months_only: bool = True, max_nnz: int | None = None) -> DataFrame:
+              complete_months_only: bool = False, max_nnz: int | None = None) -> DataFrame:
     """Lasso-select exactly k features per outcome, then OLS on the raw
-    selected columns. One row per (outcome, k)."""
+    selected columns. One row per (outcome, k).
+
+    Topics and embeddings (fewer features than a few hundred) are solved over
+    the whole grid. For representations with far more features than months the
+    path ends after the first grid point with more than ``max_nnz`` features,
+    4 * max(ks) unless given; the README says what that leaves out."""
     des = rep if isinstance(rep, D.Design) else design(spark, sf, rep, outcomes, complete_months_only)
-    path = L.lasso_path(des, log_grid(*LASSO_GRID), max_nnz=max_nnz if max_nnz is not None else 4 * max(ks))
+    if max_nnz is None and des.features.rep not in ("topics", "embeddings"):
+        max_nnz = 4 * max(ks)
+    path = L.lasso_path(des, log_grid(*LASSO_GRID), max_nnz=max_nnz)
     return select_and_fit(des, path, ks, des.features.rep)
 
 
 def design(spark: SparkSession, sf: str, rep: str | V.Features, outcomes=None,
-           complete_months_only: bool = True) -> D.Design:
+           complete_months_only: bool = False) -> D.Design:
     """Materialised design of one representation against the outcomes (build
     once, reuse for several selections)."""
     f = rep if isinstance(rep, V.Features) else features(spark, sf, rep)
@@ -89,13 +97,14 @@ def select_and_fit(des: D.Design, path: L.LassoPath, ks, rep: str) -> DataFrame:
 def order_terms_by_abs_coef(df: DataFrame) -> DataFrame:
     return df.withColumn("terms", F.array_sort(
         "terms", lambda a, b: F.when(F.abs(a["coef"]) > F.abs(b["coef"]), -1)
-                                .when(F.abs(a["coef"]) < F.abs(b["coef"]), 1).otherwise(0)))
+                                .when(F.abs(a["coef"]) < F.abs(b["coef"]), 1)
+                                .when(a["feature"] < b["feature"], -1).otherwise(1)))
 
 
 def r2_summary(res: DataFrame) -> DataFrame:
     """Mean / median / min / max R², best and worst outcome, per outcome family
     and overall (rollup; family NULL = all)."""
-    fam = F.when(F.col("outcome").isin(*MACRO_OUTCOMES), "macro").otherwise("industry_vol")
+    fam = F.when(F.col("outcome").endswith("_vol"), "industry_vol").otherwise("macro")
     return (res.withColumn("family", fam).rollup("family")
                .agg(F.count("*").alias("n_models"), F.avg("r2").alias("mean_r2"),
                     F.median("r2").alias("median_r2"), F.min("r2").alias("min_r2"), F.max("r2").alias("max_r2"),
@@ -112,7 +121,7 @@ def selection_frequency(res: DataFrame, top: int = 25) -> DataFrame:
 
 # ------------------------------------------------------------------ k to match
 def k_to_match(spark: SparkSession, sf: str, rep: str | V.Features | D.Design, targets: DataFrame,
-               complete_months_only: bool = True, start_k: int = 8) -> DataFrame:
+               complete_months_only: bool = False, start_k: int = 8) -> DataFrame:
     """Smallest support size k (fine grid, smallest alpha per k) whose OLS R²
     reaches the outcome's target R². ``targets(outcome, target_r2)``.
     -> (outcome, target_r2, k_match, matched_r2); NULL when never reached.
@@ -120,7 +129,8 @@ def k_to_match(spark: SparkSession, sf: str, rep: str | V.Features | D.Design, t
     Staged: the path is solved only until its support exceeds m; a path
     stopped there is an exact prefix of the full path, so every k <= m is
     final. Outcomes that reach their target stop; the rest continue with m
-    doubled until the grid is exhausted. Same answer as the full grid."""
+    doubled until the grid is exhausted. A support size that comes back after
+    the stop is not seen (see the README)."""
     targets = targets.cache()
     names = [r[0] for r in targets.select("outcome").collect()]   # outcome names only
     des = rep if isinstance(rep, D.Design) else design(spark, sf, rep, names, complete_months_only)
@@ -166,6 +176,17 @@ def side_by_side(a: DataFrame, b: DataFrame, name_a: str, name_b: str) -> DataFr
     return ranked(a, name_a).join(ranked(b, name_b), ["outcome", "rank"], "full")
 
 
+def representation_table(spark: SparkSession, sf: str, outcome: str = "mret", k: int = 5) -> DataFrame:
+    """One row per representation: number of features, R², adjusted R², picks."""
+    out = None
+    for rep in ("topics", "counts", "tfidf", "generated", "embeddings"):
+        des = design(spark, sf, rep, [outcome])
+        size = des.features.values.agg(F.count_distinct("feature").alias("p"))
+        row = lasso_ols(spark, sf, des, ks=(k,)).crossJoin(F.broadcast(size))   # one row each
+        out = row if out is None else out.unionByName(row)
+    return out.select("rep", "outcome", "k", "p", "nnz", "n", "r2", "adj_r2", "f_pvalue")
+
+
 def k_sweep_table(res: DataFrame) -> DataFrame:
     return res.select("rep", "outcome", "k", "alpha", "nnz", "n_features", "r2", "adj_r2", "f_pvalue")
 
@@ -178,7 +199,8 @@ def comparison_summary(cmp: DataFrame, name_a: str, name_b: str) -> DataFrame:
     aggs = [F.count("*").alias("n_outcomes"),
             F.avg(ra).alias(f"mean_r2_{name_a}"), F.median(ra).alias(f"median_r2_{name_a}"),
             F.avg(rb).alias(f"mean_r2_{name_b}"), F.median(rb).alias(f"median_r2_{name_b}"),
-            F.count_if(ra > rb).alias(f"wins_{name_a}"), F.count_if(rb > ra).alias(f"wins_{name_b}")]
+            F.count_if(ra > rb).alias(f"wins_{name_a}"), F.count_if(rb > ra).alias(f"wins_{name_b}"),
+            F.count_if(ra == rb).alias("ties")]
     if "k_match" in cmp.columns:
         aggs += [F.avg("k_match").alias("mean_k_match"), F.median("k_match").alias("median_k_match"),
                  F.min("k_match").alias("min_k_match"), F.max("k_match").alias("max_k_match"),

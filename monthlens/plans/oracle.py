@@ -97,15 +97,7 @@ SQL["topic_shares"] = with_(TOPICS) + """
 SELECT period, feature, round(value, 8) AS value FROM topics WHERE value <> 0"""
 
 
-# ------------------------------------------------------------ complete months
-COMPLETE = """
-cutm AS (SELECT CASE WHEN CAST(max(o_orderdate) AS DATE) = last_day(max(o_orderdate)) THEN NULL
-                     ELSE CAST(date_trunc('month', max(o_orderdate)) AS DATE) END AS c FROM orders),
-ordc AS (SELECT o.* FROM orders o, cutm
-         WHERE cutm.c IS NULL OR CAST(date_trunc('month', o.o_orderdate) AS DATE) < cutm.c)
-"""
-MACRO_C = COMPLETE + "," + MACRO.replace("FROM orders)", "FROM ordc)", 1)
-
+# ------------------------------------------------------------ moments and scores
 SQL["count_moments"] = with_(ARTICLES, """
 mc AS (SELECT period, term AS feature, count(*) AS value FROM ctoks GROUP BY 1, 2),
 nm AS (SELECT count(DISTINCT period) AS n FROM articles)""") + """
@@ -113,7 +105,7 @@ SELECT feature, CAST(n AS BIGINT) AS n, round(sum(value) / n, 8) AS mu,
        round(sqrt(greatest(sum(value * value) / n - (sum(value) / n) * (sum(value) / n), 0)), 8) AS sigma
 FROM mc, nm GROUP BY feature, n"""
 
-SQL["lasso_alpha_max"] = with_(ARTICLES, MACRO_C, """
+SQL["lasso_alpha_max"] = with_(ARTICLES, MACRO, """
 mc AS (SELECT period, term AS feature, count(*) AS value FROM ctoks GROUP BY 1, 2),
 ap AS (SELECT DISTINCT period FROM articles),
 yy AS (SELECT o.outcome, o.period, o.y FROM outc o JOIN ap ON o.period = ap.period),
@@ -167,34 +159,26 @@ SQL["generated_topics"] = with_(ARTICLES, RANKED) + f"""
 SELECT a.article_id, {_kw('0')} AS generated_topics
 FROM articles a LEFT JOIN rk ON a.article_id = rk.article_id GROUP BY a.article_id"""
 
-SQL["persona_empty_share"] = with_(NUMBERED, """
-vv AS (SELECT * FROM (VALUES ('base'), ('bull'), ('bear')) t(variant)),
-xx AS (SELECT vv.variant, CASE WHEN vv.variant = 'bull' AND bt.batch_id % 5 = 4 THEN 1 ELSE 0 END AS e
-       FROM bt, vv)""") + """
-SELECT variant, count(*) AS n_articles, CAST(sum(e) AS BIGINT) AS n_empty, round(avg(e), 6) AS empty_share
-FROM xx GROUP BY variant"""
-
-SQL["topic_stability"] = with_(ARTICLES, RANKED, """
-sett AS (SELECT CAST(t AS DOUBLE) AS temperature, r AS run
-         FROM (VALUES (0.1), (0.9)) a(t), (VALUES (0), (1), (2)) b(r)),
-sh AS (SELECT c.article_id, s.temperature, s.run,
-              CASE WHEN s.run > 0 AND (c.c + 7 * s.run) % 10 < CAST(round(10 * s.temperature) AS INT)
-                   THEN 1 ELSE 0 END AS shift
-       FROM cnt c, sett s),
-gen AS (SELECT sh.article_id, sh.temperature, sh.run,
-               coalesce(string_agg(rk.term, ', ' ORDER BY rk.r)
-                        FILTER (WHERE rk.r > sh.shift AND rk.r <= sh.shift + 3), 'none') AS topics
-        FROM sh LEFT JOIN rk ON sh.article_id = rk.article_id
-        GROUP BY sh.article_id, sh.temperature, sh.run),
-per AS (SELECT temperature, article_id, count(DISTINCT topics) AS nu FROM gen GROUP BY 1, 2),
-ch AS (SELECT g.temperature, count(*) FILTER (WHERE g.topics <> f.topics) AS n_changed_vs_first
-       FROM gen g JOIN gen f ON g.article_id = f.article_id AND g.temperature = f.temperature AND f.run = 0
-       WHERE g.run > 0 GROUP BY g.temperature),
-agg AS (SELECT temperature, count(*) AS n_articles, count(*) FILTER (WHERE nu = 1) AS n_identical,
-               round(avg(nu), 6) AS avg_unique FROM per GROUP BY temperature)""") + """
-SELECT agg.temperature, n_articles, n_identical, round(n_identical / n_articles, 6) AS share_identical,
+SQL["turn_stability"] = """
+WITH g AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1 AS run
+           FROM conversations),
+per AS (SELECT role, conv_id, count(DISTINCT text) AS nu FROM g GROUP BY 1, 2),
+ch AS (SELECT g.role, count(*) FILTER (WHERE g.run > 0 AND g.text <> f.text) AS n_changed_vs_first
+       FROM g JOIN g f ON g.conv_id = f.conv_id AND g.role = f.role AND f.run = 0 GROUP BY g.role),
+agg AS (SELECT role, count(*) AS n_articles, count(*) FILTER (WHERE nu = 1) AS n_identical,
+               round(avg(nu), 6) AS avg_unique FROM per GROUP BY role)
+SELECT agg.role, n_articles, n_identical, round(n_identical / n_articles, 6) AS share_identical,
        avg_unique, n_changed_vs_first
-FROM agg JOIN ch ON agg.temperature = ch.temperature"""
+FROM agg JOIN ch ON agg.role = ch.role"""
+
+SQL["empty_share_by_source"] = """
+WITH d AS (SELECT source, NOT regexp_matches(coalesce(text, ''), '[\\p{L}\\p{N}]{2}') AS e FROM documents)
+SELECT source, count(*) AS n_documents, count(*) FILTER (WHERE e) AS n_empty,
+       round(avg(CAST(e AS INT)), 6) AS empty_share FROM d GROUP BY source"""
+
+SQL["target_moments"] = with_(MACRO) + """
+SELECT outcome, count(*) AS n, min(period) AS first_period, max(period) AS last_period,
+       round(avg(y), 8) AS mean, round(stddev_samp(y), 8) AS std FROM outc GROUP BY outcome"""
 
 _FLAG = " OR ".join(f"contains(lower(%s), {_lit(k)})" for k in LOOKAHEAD_KEYWORDS)
 
@@ -220,7 +204,7 @@ pos AS (SELECT period, y, row_number() OVER (ORDER BY period) - 1 AS t, count(*)
 te AS (SELECT * FROM pos WHERE t >= floor(n * 0.5))
 """
 
-SQL["hist_mean_forecast"] = with_(MACRO_C, SERIES, """
+SQL["hist_mean_forecast"] = with_(MACRO, SERIES, """
 rr AS (SELECT *, sum((y - forecast) * (y - forecast)) OVER w AS e2, sum(y) OVER w AS sy,
               sum(y * y) OVER w AS sy2, count(*) OVER w AS m
        FROM te WINDOW w AS (ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""") + """
@@ -228,13 +212,13 @@ SELECT period, CAST(t AS BIGINT) AS t, round(y, 8) AS y, round(forecast, 8) AS f
        round(CASE WHEN m > 1 THEN 1 - e2 / (sy2 - sy * sy / m) END, 6) AS running_r2
 FROM rr"""
 
-SQL["hist_mean_oos"] = with_(MACRO_C, SERIES) + """
+SQL["hist_mean_oos"] = with_(MACRO, SERIES) + """
 SELECT count(*) AS n_test,
        round(1 - sum((y - forecast) * (y - forecast)) / (sum(y * y) - sum(y) * sum(y) / count(*)), 6) AS oos_r2,
        round(avg((y - forecast) * (y - forecast)), 10) AS mse
 FROM te"""
 
-SQL["chrono_split_folds"] = with_(MACRO_C, TOPICS, """
+SQL["chrono_split_folds"] = with_(MACRO, TOPICS, """
 al AS (SELECT DISTINCT o.period FROM outc o JOIN (SELECT DISTINCT period FROM topics) tp ON o.period = tp.period
        WHERE o.outcome = 'mret'),
 ps AS (SELECT period, row_number() OVER (ORDER BY period) - 1 AS t, count(*) OVER () AS n FROM al),

@@ -83,7 +83,7 @@ def q_count_moments(spark, sf):
 def q_alpha_max(spark, sf):
     from monthlens.operators import design as D
     f = V.monthly_counts(S.articles(spark, sf))
-    des = D.build_design(f, S.outcomes(spark, sf, complete_months_only=True))
+    des = D.build_design(f, S.outcomes(spark, sf, complete_months_only=False))
     s = D.standardised_scores(des)
     return s.groupBy("outcome").agg(r(F.max(F.abs("score")), 6).alias("alpha_max"))
 
@@ -142,6 +142,13 @@ def q_side_by_side(spark, sf):
     return A.side_by_side(c, t, "counts", "tfidf")
 
 
+@query("representation_table")
+def q_representation_table(spark, sf):
+    """Five representations side by side: k = 5 on mret, with the size of each."""
+    from monthlens.plans import analyses as A
+    return A.representation_table(spark, sf)
+
+
 @query("generated_topics_mret")
 def q_generated_mret(spark, sf):
     from monthlens.plans import analyses as A
@@ -189,19 +196,25 @@ def q_generated_topics(spark, sf):
     return _gen(spark, sf).select("article_id", "generated_topics")
 
 
-@query("persona_empty_share")
-def q_persona_empty(spark, sf):
-    g = _gen(spark, sf, variants=("base", "bull", "bear"))
-    return g.groupBy("variant").agg(F.count("*").alias("n_articles"),
-                                    F.count_if(F.col("generated_topics") == "").alias("n_empty"),
-                                    r(F.avg((F.col("generated_topics") == "").cast("double")), 6).alias("empty_share"))
-
+@query("turn_stability")
+def q_turn_stability(spark, sf):
+    """Run-to-run stability on given texts: a conversation's turns of one role
+    as the runs, the first such turn as the first run."""
+    from pyspark.sql import Window
 
-@query("topic_stability")
-def q_topic_stability(spark, sf):
     from monthlens.operators import audit as AU
-    g = _gen(spark, sf, temperatures=(0.1, 0.9), runs=3)
-    return AU.stability(g)
+    c = S.read_table(spark, sf, "conversations")
+    run = F.row_number().over(Window.partitionBy("conv_id", "role").orderBy("turn")) - 1
+    g = c.select(F.col("conv_id").alias("article_id"), "role", run.alias("run"), F.col("text").alias("generated_topics"))
+    return AU.stability(g, "role")
+
+
+@query("empty_share_by_source")
+def q_empty_share(spark, sf):
+    """Documents, texts without a word of two letters or digits, and their share, per source."""
+    d = S.read_table(spark, sf, "documents").select("source", (~F.coalesce(F.col("text"), F.lit("")).rlike("[\\p{L}\\p{N}]{2}")).alias("e"))
+    return d.groupBy("source").agg(F.count("*").alias("n_documents"), F.count_if("e").alias("n_empty"),
+                                   r(F.avg(F.col("e").cast("double")), 6).alias("empty_share"))
 
 
 @query("lookahead_audit")
@@ -212,8 +225,16 @@ def q_lookahead(spark, sf):
 
 
 # ----------------------------------------------------------- time series
+@query("target_moments")
+def q_target_moments(spark, sf):
+    """Sample, span, mean and standard deviation of every outcome."""
+    return S.outcomes(spark, sf).groupBy("outcome").agg(
+        F.count("*").alias("n"), F.min("period").alias("first_period"), F.max("period").alias("last_period"),
+        r(F.avg("y"), 8).alias("mean"), r(F.stddev_samp("y"), 8).alias("std"))
+
+
 def _indprol1(spark, sf):
-    return S.outcomes(spark, sf, complete_months_only=True, names=["indprol1"]).select("period", "y")
+    return S.outcomes(spark, sf, complete_months_only=False, names=["indprol1"]).select("period", "y")
 
 
 @query("hist_mean_forecast")
@@ -236,7 +257,7 @@ def q_hist_mean_oos(spark, sf):
 @query("chrono_split_folds")
 def q_split_folds(spark, sf):
     from monthlens.operators import timeseries as TS
-    y = S.outcomes(spark, sf, complete_months_only=True, names=["mret"]).select("period", "y")
+    y = S.outcomes(spark, sf, complete_months_only=False, names=["mret"]).select("period", "y")
     al = y.join(S.topics_long(spark, sf).select("period").distinct(), "period")
     sp = TS.chrono_split(al, 0.8)
     folds = TS.contiguous_folds(sp.where(F.col("split") == "train").select("period"), 5)
@@ -257,6 +278,20 @@ def q_recover_topics(spark, sf):
     return RP.recover_topics(spark, sf)
 
 
+@query("recover_topics_report")
+def q_recover_report(spark, sf):
+    """The 20 best and the 10 worst recovered topics (the limits are the report)."""
+    from monthlens.plans import ridge_plans as RP
+    return RP.best_and_worst(RP.recover_topics(spark, sf), 20, 10)
+
+
+@query("recover_topics_featured")
+def q_recover_featured(spark, sf):
+    """Topics looked up by name, with their rank among all."""
+    from monthlens.plans import ridge_plans as RP
+    return RP.featured(RP.recover_topics(spark, sf), RP.FEATURED)
+
+
 @query("recover_terms_top50")
 def q_recover_top50(spark, sf):
     from monthlens.plans import ridge_plans as RP

@@ -17,6 +17,19 @@ from monthlens.sources import tables as S
 RECOVERY_ALPHAS = np.logspace(-2, 4, 50).tolist()
 FORECAST_ALPHAS = np.logspace(0, 6, 15).tolist()
 # --- end fixed values ---------------------------------------------------------
+#: Topics that the report looks up by name.
+FEATURED = ("Brand#11", "Brand#23", "Brand#34", "Brand#45")
+
+
+def best_and_worst(res: DataFrame, top: int, bottom: int) -> DataFrame:
+    """The first ``top`` and last ``bottom`` rows by rank, and which they are."""
+    last = res.agg(F.max("rank")).first()[0] or 0
+    part = F.when(F.col("rank") <= top, "top").when(F.col("rank") > last - bottom, "bottom")
+    return res.withColumn("part", part).where(F.col("part").isNotNull())
+
+
+def featured(res: DataFrame, names) -> DataFrame:
+    return res.where(F.col("target").isin(*names))
 
 
 def ranked(res: DataFrame, scale: int = 30) -> DataFrame:
@@ -44,15 +57,16 @@ def recover_generated_terms(spark: SparkSession, sf: str, top: int | None = 50)
     g = features(spark, sf, "generated")
     x = V.monthly_embeddings(S.article_vectors(spark, sf))
     t = g.values.select(F.col("feature").alias("target"), "period", F.col("value").alias("y"))
+    freq = t.groupBy("target").agg(F.sum("y").alias("freq"))
     if top:
-        freq = t.groupBy("target").agg(F.sum("y").alias("freq"))
         keep = freq.orderBy(F.desc("freq"), "target").limit(top)
         t = t.join(F.broadcast(keep.select("target")), "target")   # top-n: n rows
-    return ranked(R.ridge_recovery(x, t, RECOVERY_ALPHAS))
+    return ranked(R.ridge_recovery(x, t, RECOVERY_ALPHAS)).join(freq, "target")
 
 
 def recovery_summary(res: DataFrame) -> DataFrame:
     return res.agg(F.count("*").alias("n_targets"), F.avg("r2").alias("mean_r2"), F.median("r2").alias("median_r2"),
+                   F.min("r2").alias("min_r2"), F.max("r2").alias("max_r2"),
                    F.count_if(F.col("r2") > 0.5).alias("n_r2_gt_05"), F.count_if(F.col("r2") > 0.7).alias("n_r2_gt_07"),
                    F.count_if(F.col("r2") > 0.9).alias("n_r2_gt_09"), F.median("alpha").alias("median_alpha"))
 
@@ -61,7 +75,7 @@ def forecast_rows(spark: SparkSession, sf: str, rep: str, target: str = "indprol
                   min_train_frac: float = 0.5) -> DataFrame:
     from monthlens.plans.analyses import features
     x = features(spark, sf, rep)
-    y = S.outcomes(spark, sf, complete_months_only=True, names=[target]).select("period", "y")
+    y = S.outcomes(spark, sf, complete_months_only=False, names=[target]).select("period", "y")
     fc = R.expanding_ridge(x, y, FORECAST_ALPHAS, min_train_frac)
     rows = y.join(F.broadcast(x.periods), "period")
     hm = TS.expanding_mean_forecast(rows, min_train_frac).select("period", F.col("forecast").alias("hist_mean"))
@@ -91,7 +105,7 @@ def kernel_ridge_compare(spark: SparkSession, sf: str, target: str = "indprol1")
     from monthlens.operators.cv import compare_models
     from monthlens.plans.analyses import features
     f = features(spark, sf, "topics")
-    y = S.outcomes(spark, sf, complete_months_only=True, names=[target]).select("period", "y")
+    y = S.outcomes(spark, sf, complete_months_only=False, names=[target]).select("period", "y")
     return compare_models(f, y, ["rbf_ridge", "ols", "ridge"], CMP_ALPHAS_TOPICS)
 
 
@@ -99,7 +113,7 @@ def oos_ridge_lasso_compare(spark: SparkSession, sf: str, target: str = "indprol
     """Counts vs topics, chronological 80/20, 5-fold Ridge and 5-fold Lasso."""
     from monthlens.operators.cv import compare_models, lasso_kfold
     from monthlens.plans.analyses import features
-    y = S.outcomes(spark, sf, complete_months_only=True, names=[target]).select("period", "y")
+    y = S.outcomes(spark, sf, complete_months_only=False, names=[target]).select("period", "y")
     out = None
     for rep, alphas in (("topics", CMP_ALPHAS_TOPICS), ("counts", CMP_ALPHAS_COUNTS)):
         f = features(spark, sf, rep)

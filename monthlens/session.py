@@ -69,23 +69,39 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def checkpoint_root(spark: SparkSession) -> str | None:
+    """The folder that ``spark.checkpoint.dir`` names, or None where it is unset."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the reliable checkpoint directory, setting one only when unset.
+    """The application's reliable checkpoint folder.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is. Only when nothing is configured (local tests) a scratch folder is made.
-    """
+    is; without it there is an error, as executors could not see a folder of
+    the driver's. Only a local session gets a scratch folder of its own."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    conf_dir = checkpoint_root(spark)
     if not conf_dir:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="monthlens-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 
 
+def drop_tables(spark: SparkSession) -> None:
+    """Delete what ``cut_lineage`` has written in this application, once no
+    DataFrame that reads it is needed any more (bench and tools call it
+    between queries; an application that ends calls it last)."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(os.path.join(ensure_checkpoint_dir(spark), "tables"))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` as a Parquet table under the reliable checkpoint
     folder and read it back: one job, the lineage ends at the files (survives

@@ -200,3 +200,23 @@ def test_results_do_not_depend_on_partitioning(spark):
         return sorted((r.alpha_idx, r.feature, round(r.coef, 10)) for r in p.coefs.collect())
 
     assert run(1) == run(7)
+
+
+def test_centred_gram_has_every_pair_of_months(spark):
+    import datetime as dt
+
+    import numpy as np
+
+    from monthlens.operators import ridge as R
+    from monthlens.operators.vectorize import Features
+    days = [dt.date(2020, m, 1) for m in range(1, 7)]
+    cells = [(days[0], "a", 2.0), (days[1], "a", 1.0), (days[2], "b", 3.0), (days[3], "c", 1.0)]   # few shared features
+    f = Features("x", spark.createDataFrame(cells, "period date, feature string, value double"),
+                 spark.createDataFrame([(d,) for d in days], "period date"))
+    got = {(r.period_a, r.period_b): r.k for r in R.centred_gram(f).collect()}
+    X = np.zeros((6, 3))
+    for d, n, v in cells:
+        X[days.index(d), "abc".index(n)] = v
+    Z = (X - X.mean(0)) / X.std(0)
+    assert len(got) == 36
+    assert all(abs(got[a, b] - Z[i] @ Z[j]) < 1e-9 for i, a in enumerate(days) for j, b in enumerate(days))
