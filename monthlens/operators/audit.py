@@ -57,9 +57,9 @@ def flagged_rows(g: DataFrame) -> DataFrame:
 
 def seeded_sample(df: DataFrame, n: int, seed: int, key: str = "article_id") -> DataFrame:
     """Deterministic sample of ``n`` rows without replacement: the n smallest
-    xxhash64(key, seed) values (top-n per task, then merged).
+    md5(key:seed) values (top-n per task, then merged).
     Independent of partitioning and row order."""
-    return (df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)))
+    return (df.withColumn("_h", F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))))
               .orderBy("_h", key).limit(n).drop("_h"))
 
 

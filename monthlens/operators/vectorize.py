@@ -73,7 +73,7 @@ def tfidf_article(articles: DataFrame, text_col: str = "headline") -> DataFrame:
     The DTM is materialised once (one pass over the corpus) and keeps its
     per-article partitioning; the idf table is broadcast only when the
     vocabulary is below ``IDF_BROADCAST_MAX_TERMS`` (checked), so neither the
-    join nor the per-article norm window shuffles the DTM. Larger
+    join nor the per-article norms shuffle the DTM. Larger
     vocabularies take a shuffle join."""
     from monthlens.session import cut_lineage
 

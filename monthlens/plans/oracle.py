@@ -195,6 +195,25 @@ SELECT count(*) AS n_articles,
        count(*) FILTER (WHERE ta <> tb) AS n_different
 FROM gb JOIN gc ON gb.article_id = gc.article_id"""
 
+SQL["lookahead_audit_sample"] = with_(ARTICLES, RANKED, """
+rkc AS (SELECT article_id, term, row_number() OVER (PARTITION BY article_id ORDER BY length(term) DESC, term) AS r
+        FROM dt WHERE NOT regexp_matches(term, '[0-9]')),
+lastd AS (SELECT max(display_date) AS m FROM articles),
+pick AS (SELECT article_id FROM articles, lastd
+         WHERE display_date >= date_trunc('month', m) - INTERVAL 12 MONTH
+         ORDER BY md5(CAST(article_id AS VARCHAR) || ':123'), article_id LIMIT 10),
+both_ AS (
+  SELECT p.article_id, 'base' AS variant,
+         coalesce(string_agg(rk.term, ', ' ORDER BY rk.r) FILTER (WHERE rk.r <= 3), 'none') AS generated_topics
+  FROM pick p LEFT JOIN rk ON p.article_id = rk.article_id GROUP BY p.article_id
+  UNION ALL
+  SELECT p.article_id, 'constrained',
+         coalesce(string_agg(rkc.term, ', ' ORDER BY rkc.r) FILTER (WHERE rkc.r <= 3), 'none')
+  FROM pick p LEFT JOIN rkc ON p.article_id = rkc.article_id GROUP BY p.article_id)""") + f"""
+SELECT article_id, variant, generated_topics,
+       CAST({" + ".join(f"CAST(contains(lower(generated_topics), {_lit(k)}) AS INT)" for k in LOOKAHEAD_KEYWORDS)} AS BIGINT) AS n_flags
+FROM both_"""
+
 # ------------------------------------------------------------ time series
 SERIES = """
 ser AS (SELECT period, y FROM outc WHERE outcome = 'indprol1'),

@@ -361,15 +361,20 @@ def q_embedded_monthly(spark, sf):
 
 @query("lookahead_audit_sample")
 def q_lookahead_sample(spark, sf):
-    """Look-ahead audit on a seeded sample of 10 articles from a 16-month window
-    at the end of the data (the sample is the feature of this audit)."""
+    """Look-ahead audit on a seeded sample of 10 articles from the last months of
+    the data, from the month a year before the last article's on (the sample is
+    the feature of this audit). Picked first; only they are sent to the model."""
+    from monthlens.functions.standin import keyword_model
     from monthlens.operators import audit as AU
+    from monthlens.operators import inference as I
     a = S.articles(spark, sf)
     last = a.agg(F.max("display_date")).first()[0]
     start = f"{last.year - 1}-{last.month:02d}-01"
-    pick = AU.seeded_sample(AU.in_window(a, start, str(last.date())), 10, 123).select("article_id")
-    g = _gen(spark, sf, variants=("base", "constrained")).join(pick, "article_id")
-    return AU.flagged_rows(g).select("article_id", "variant", "generated_topics", F.size("flags").alias("n_flags"))
+    pick = AU.seeded_sample(AU.in_window(a, start, str(last.date())), 10, 123)
+    g = I.generate_topics(pick, keyword_model, variants=("base", "constrained"),
+                          store_path=I.stable_store_path(spark, "lookahead sample", "batch=50"))
+    return AU.flagged_rows(g).select("article_id", "variant", "generated_topics",
+                                     F.size("flags").cast("bigint").alias("n_flags"))
 
 
 @query("gram_counts")
