@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from monthlens.llm import langid, tokens
-from monthlens.llm.common import fold, stored, table
+from monthlens.llm.common import fold, free, stored, table
 from monthlens.llm.decontaminate import decontaminate
-from monthlens.llm.lines import dedup_lines
+from monthlens.llm.lines import OUT, dedup_lines
 from monthlens.llm.minhash import near_duplicates
 from monthlens.llm.queries import PIECE_MODEL
 
@@ -27,16 +27,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; learns as op8 does."""
     langid.ship(spark)
     learnt = docs.filter((fold(F.col("doc_id"), 5) != 0) & F.col("lang").isNotNull())
-    found = langid.predict(docs, langid.learn(learnt), "_lang", "_score")
-    return found.filter((F.col("_lang") != langid.UNKNOWN) & (F.col("_score") >= LEAST_SCORE)).drop("_lang", "_score")
+    lang, score = free(docs, "_lang"), free(docs, "_score")
+    found = langid.predict(docs, langid.learn(learnt.select("doc_id", "text", "lang")), lang, score)
+    return found.filter((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= LEAST_SCORE)).drop(lang, score)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without the lines that stand earlier; one of which nothing is left goes."""
-    kept = dedup_lines(docs, keep=True)
-    kept = kept.filter((F.col("n_removed") == 0) | (F.trim("kept_text") != ""))
-    text = F.col("kept_text")
-    return kept.withColumn("text", text).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    names = {c: free(docs, c) for c in OUT}
+    kept = dedup_lines(docs, keep=names)
+    kept = kept.filter((F.col(names["n_removed"]) == 0) | (F.trim(names["kept_text"]) != ""))
+    return kept.withColumn("text", F.col(names["kept_text"])).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,6 +23,14 @@ def stored(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have: ``name``, or with underscores before it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def ship(spark: SparkSession) -> None:
     ship_package(spark)
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from monthlens.llm.common import binary_views, int_column, long_column, mix, ship, signed64, stored
+from monthlens.llm.common import binary_views, free, int_column, long_column, mix, ship, signed64, stored
 from monthlens.llm.superkmer import gram_hashes
 
 U64 = np.uint64
@@ -222,13 +222,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
     """The rows of docs, with their columns, that hold no question (see ``leaks``)."""
     found = leaks(docs, benchmark, window, share).select("doc_id", "thash").distinct()
+    mark, leak_id, leak_hash = (free(docs, c) for c in ("_text_hash", "_leak_id", "_leak_hash"))
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [signed64(xxhash.xxh3_64_intdigest(v)) for v in binary_views(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int64())], [*batch.schema.names, "_text_hash"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int64())], [*batch.schema.names, mark])
 
-    marked = docs.mapInArrow(body, docs.select("*", F.lit(0).cast("long").alias("_text_hash")).schema)
-    found = found.select(F.col("doc_id").alias("_leak_id"), F.col("thash").alias("_leak_hash"))
-    cond = marked["doc_id"].cast("long").eqNullSafe(found["_leak_id"]) & (marked["_text_hash"] == found["_leak_hash"])
-    return marked.join(found, cond, "left_anti").drop("_text_hash")
+    marked = docs.mapInArrow(body, docs.select("*", F.lit(0).cast("long").alias(mark)).schema)
+    found = found.select(F.col("doc_id").alias(leak_id), F.col("thash").alias(leak_hash))
+    cond = marked["doc_id"].cast("long").eqNullSafe(found[leak_id]) & (marked[mark] == found[leak_hash])
+    return marked.join(found, cond, "left_anti").drop(mark)

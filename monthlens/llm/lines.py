@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from monthlens.llm.common import stored
+from monthlens.llm.common import free, stored
 from monthlens.llm.components import components
 
 EDITS = 2
@@ -24,7 +24,7 @@ SHORTEST = 40
 #: Members up to which a list's pairs are all looked at.
 LIST = 64
 #: Rows (of a few longs) up to which a side of a join is broadcast; beyond, Spark joins by shuffle.
-SMALL = 200_000
+SMALL = 1_000_000
 OUT = ("n_lines", "n_removed", "n_near", "kept_text")
 
 
@@ -63,14 +63,15 @@ def probe_keys(text: Column, size: Column, salt: Column, edits: int) -> Column:
                 at = first + shift
                 fits = (at >= 1) & (at + n - 1 <= size) & (n > 0)
                 out.append(F.when(fits, F.struct(F.xxhash64(salt, other, F.lit(i), F.substring(text, at, n)).alias("key"), at.alias("first"), n.alias("n"))))
-    return F.filter(F.array(*out), lambda x: x.isNotNull())
+    return F.array(*out)
 
 
 def posted(lines: DataFrame, keys, salt: Column, edits: int) -> DataFrame:
-    """(key, id, first, n) of lines (id, line)."""
-    size = F.length("line")
-    at = F.explode(keys(F.col("line"), size, salt, edits))
-    return lines.select("id", at.alias("k")).select(F.col("k.key").alias("key"), "id", F.col("k.first").alias("first"), F.col("k.n").alias("n"))
+    """(key, id, first, n) of lines (id, line[, salt])."""
+    # the length is a column of its own, as the keys name it many times
+    rows = lines.withColumn("size", F.length("line"))
+    rows = rows.select("id", F.explode(keys(F.col("line"), F.col("size"), salt, edits)).alias("k")).filter("k is not null")
+    return rows.select(F.col("k.key").alias("key"), "id", F.col("k.first").alias("first"), F.col("k.n").alias("n"))
 
 
 def let(value: Column, use) -> Column:
@@ -84,47 +85,50 @@ def common_prefix(a: Column, b: Column, most: Column) -> Column:
     return F.aggregate(steps, F.lit(0), lambda lo, s: F.when((lo + s <= most) & (F.substr(a, lo + 1, s) == F.substr(b, lo + 1, s)), lo + s).otherwise(lo))
 
 
-def within(a: Column, b: Column, edits: int) -> Column:
+def within(a: Column, b: Column, edits: int, first: int = 32) -> Column:
     """Is the edit distance of a and b (a no longer than b) ``edits`` at most?
 
     What both begin and end with is cut off; the rest goes through a bit-parallel recursion
-    on the vertical differences of a band of 2 * edits + 1 rows, a column at a time."""
+    on the vertical differences of a band of 2 * edits + 1 rows, a column at a time.  After
+    ``first`` columns a pair whose whole band is beyond ``edits`` is given up."""
     width, top, mask = 2 * edits + 1, 1 << (2 * edits), (1 << (2 * edits + 1)) - 1
-    head = common_prefix(a, b, F.length(a))
-    rest = lambda x, h: F.substr(x, h + 1, F.length(x))
-
-    def tail_cut(x: Column, y: Column) -> Column:
-        t = common_prefix(F.reverse(x), F.reverse(y), F.length(x))
-        return let(t, lambda n: F.struct(F.split(F.substr(x, F.lit(1), F.length(x) - n), "").alias("p"), F.split(F.substr(y, F.lit(1), F.length(y) - n), "").alias("t")))
+    chars = lambda x, n: F.split(F.substr(x, F.lit(1), n), "")
 
-    def distance(p: Column, t: Column, m: Column, n: Column) -> Column:
+    def columns(p: Column, t: Column, m: Column, lo: Column, hi: Column, start: Column) -> Column:
+        """The recursion over columns lo..hi of t; dist: the entry of the band's last row or,
+        once that is below p, of p's last row."""
         def step(acc: Column, j: Column) -> Column:
             c = F.get(t, j - 1)
             x = sum((F.when(F.get(p, j - edits + k - 1) == c, F.lit(1 << k)).otherwise(F.lit(0)) for k in range(width)), F.lit(0))
-
-            def columns(v: Column) -> Column:
-                d0 = ((((v.x.bitwiseAND(acc.vp)) + acc.vp).bitwiseXOR(acc.vp)).bitwiseOR(v.x).bitwiseOR(acc.vn)).bitwiseAND(F.lit(mask))
-                return let(d0, lambda d: let(F.struct(
-                    d.alias("d"), acc.vn.bitwiseOR(F.bitwise_not(d.bitwiseOR(acc.vp))).bitwiseAND(F.lit(mask)).alias("hp"), d.bitwiseAND(acc.vp).alias("hn")),
-                    lambda h: F.struct(
-                        h.hn.bitwiseOR(F.bitwise_not(F.shiftright(h.d, 1).bitwiseOR(h.hp))).bitwiseAND(F.lit(mask)).alias("vp"),
-                        F.shiftright(h.d, 1).bitwiseAND(h.hp).alias("vn"),
-                        # down the band's last row until it is the last of p, then along that row
-                        F.when(j + edits <= m, acc.dist + F.when(h.d.bitwiseAND(F.lit(top)) == 0, 1).otherwise(0))
-                        .otherwise(acc.dist + let(F.pow(F.lit(2), m - j + edits).cast("int"), lambda bit: F.when(h.hp.bitwiseAND(bit) != 0, 1).when(h.hn.bitwiseAND(bit) != 0, -1).otherwise(0))).alias("dist"))))
-
-            return let(F.struct(x.alias("x")), columns)
-
-        start = F.struct(F.lit(mask & ~((1 << edits) - 1)).alias("vp"), F.lit(0).alias("vn"), F.lit(edits).alias("dist"))
-        return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda acc: acc.dist)
-
-    def decide(cut: Column) -> Column:
-        m, n = F.when(cut.p[0] == "", 0).otherwise(F.size(cut.p)), F.when(cut.t[0] == "", 0).otherwise(F.size(cut.t))
-        # rests of `edits` characters at most need no more edits; a band needs `edits` rows
-        tiny = F.levenshtein(F.array_join(cut.p, ""), F.array_join(cut.t, "")) <= edits
-        return F.when(n <= edits, True).when(n - m > edits, False).when(m < edits, tiny).otherwise(distance(cut.p, cut.t, m, n) <= edits)
-
-    return let(head, lambda h: let(tail_cut(rest(a, h), rest(b, h)), decide))
+            d0 = let(x, lambda v: ((v.bitwiseAND(acc.vp) + acc.vp).bitwiseXOR(acc.vp)).bitwiseOR(v).bitwiseOR(acc.vn).bitwiseAND(F.lit(mask)))
+            return let(d0, lambda d: let(
+                F.struct(d.alias("d"), acc.vn.bitwiseOR(F.bitwise_not(d.bitwiseOR(acc.vp))).bitwiseAND(F.lit(mask)).alias("hp"), d.bitwiseAND(acc.vp).alias("hn")),
+                lambda h: F.struct(
+                    h.hn.bitwiseOR(F.bitwise_not(F.shiftright(h.d, 1).bitwiseOR(h.hp))).bitwiseAND(F.lit(mask)).alias("vp"),
+                    F.shiftright(h.d, 1).bitwiseAND(h.hp).alias("vn"),
+                    F.when(j + edits <= m, acc.dist + F.when(h.d.bitwiseAND(F.lit(top)) == 0, 1).otherwise(0))
+                    .otherwise(acc.dist + let(F.pow(F.lit(2), m - j + edits).cast("int"), lambda bit: F.when(h.hp.bitwiseAND(bit) != 0, 1).when(h.hn.bitwiseAND(bit) != 0, -1).otherwise(0))).alias("dist"))))
+
+        return F.aggregate(F.sequence(lo, hi), start, step)
+
+    def decide(x: Column, y: Column) -> Column:
+        def sized(z: Column) -> Column:
+            m, n = z.m, z.n
+            start = F.struct(F.lit(mask & ~((1 << edits) - 1)).alias("vp"), F.lit(0).alias("vn"), F.lit(edits).alias("dist"))
+            begun = columns(chars(x, F.lit(first + edits)), chars(y, F.lit(first)), m, F.lit(1), F.least(n, F.lit(first)), start)
+            # no entry of the band is below dist less the rises up to it
+            rest = lambda acc: F.when(n <= first, acc.dist <= edits).when(acc.dist - F.bit_count(acc.vp) > edits, False).otherwise(
+                columns(chars(x, m), chars(y, n), m, F.lit(first + 1), n, acc).dist <= edits)
+            # rests of `edits` characters at most need no more edits; a band needs `edits` rows
+            return F.when(n <= edits, True).when(n - m > edits, False).when(m < edits, F.levenshtein(x, y) <= edits).otherwise(let(begun, rest))
+
+        return let(F.struct(F.length(x).alias("m"), F.length(y).alias("n")), sized)
+
+    tail = lambda x, h: F.substr(x, h + 1, F.length(x))
+    cut = let(common_prefix(a, b, F.length(a)), lambda h: F.struct(F.reverse(tail(a, h)).alias("x"), F.reverse(tail(b, h)).alias("y")))
+    # the rests are reversed now, as are both strings that are compared: the distance stays
+    return let(cut, lambda z: let(common_prefix(z.x, z.y, F.length(z.x)), lambda h: let(
+        F.struct(tail(z.x, h).alias("x"), tail(z.y, h).alias("y")), lambda r: decide(r.x, r.y))))
 
 
 def pairs_of(index: DataFrame, probe: DataFrame) -> DataFrame:
@@ -166,8 +170,7 @@ def links(lines: DataFrame, edits: int) -> DataFrame:
         cut = posts.join(many, "key").join(lines, "id")
         rest = F.concat(F.substr("line", F.lit(1), F.col("first") - 1), F.lit("\u0000"), F.substr("line", F.col("first") + F.col("n"), F.length("line")))
         rows = cut.select("id", F.col("key").alias("salt"), rest.alias("line"))
-        at = F.explode(keys(F.col("line"), F.length("line"), F.col("salt"), edits))
-        return rows.select("id", at.alias("k")).select(F.col("k.key").alias("key"), "id")
+        return posted(rows, keys, F.col("salt"), edits).select("key", "id")
 
     index, probe = stored(rests(index, index_keys).distinct()), stored(rests(probe, probe_keys).distinct())
     used = index.groupBy("key").agg(F.count("*").alias("n")).join(probe.groupBy("key").agg(F.count("*").alias("k"), F.min("id").alias("pivot")), "key").filter("n > 1 or k > 1")
@@ -210,9 +213,9 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST
     return rows.filter(~place.eqNullSafe(F.col("top"))).select("doc_id", "thash", "pos", (~place.eqNullSafe(F.col("first"))).alias("exact"))
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, keep: bool = False) -> DataFrame:
-    """doc_id, n_lines, n_removed, n_near, kept_text of each row; with ``keep`` the columns of
-    docs and then these.
+def dedup_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, keep: dict[str, str] | None = None) -> DataFrame:
+    """doc_id, n_lines, n_removed, n_near, kept_text of each row; with ``keep``, which names
+    these columns anew, all columns of docs come first.
 
     Lines are what stands between line feeds.  Equal lines, and lines of ``shortest``
     characters or more within ``edits`` edits (of characters), form classes, transitively.
@@ -228,18 +231,20 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, k
     if shortest < 4 * (edits + 1):
         raise ValueError("lines to be matched within edits need four characters for each segment")
     gone = repeated_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), edits, shortest).distinct()
+    names = {c: c for c in OUT} | (keep or {})
+    own = {c: free(docs, c) for c in ("_id", "_hash", "_gone", "_near", "_parts")}
     lists = gone.groupBy("doc_id", "thash").agg(F.sort_array(F.collect_list("pos")).alias("gone"), F.count(F.when(~F.col("exact"), 1)).alias("n_near"))
-    lists = lists.select(F.col("doc_id").alias("_id"), F.col("thash").alias("_hash"), F.col("gone").alias("_gone"), F.col("n_near").alias("_near"))
-    wanted = [c for c in docs.columns if c not in OUT] if keep else ["doc_id", "text"]
-    base = docs.select(*wanted)
-    out = base.join(lists, base["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(base["text"]) == F.col("_hash")), "left")
-    gone, parts = F.col("_gone"), F.col("_parts")
-    out = out.withColumn("_parts", F.split("text", "\n", -1))
+    lists = lists.select(F.col("doc_id").alias(own["_id"]), F.col("thash").alias(own["_hash"]), F.col("gone").alias(own["_gone"]), F.col("n_near").alias(own["_near"]))
+    base = docs if keep else docs.select("doc_id", "text")
+    out = base.join(lists, base["doc_id"].cast("long").eqNullSafe(F.col(own["_id"])) & (F.xxhash64(base["text"]) == F.col(own["_hash"])), "left")
+    gone, parts = F.col(own["_gone"]), F.col(own["_parts"])
+    out = out.withColumn(own["_parts"], F.split("text", "\n", -1))
     # the stretches between removed lines, put together
     start = lambda k: F.when(k == 0, 0).otherwise(F.get(gone, k - 1) + 1)
     past = lambda k: F.when(k == F.size(gone), F.size(parts)).otherwise(F.get(gone, k))
     kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size(gone)), lambda k: F.slice(parts, start(k) + 1, past(k) - start(k))))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     return out.select(
-        *(wanted if keep else ["doc_id"]), zero(F.size("_parts")).alias("n_lines"), zero(F.when(gone.isNull(), 0).otherwise(F.size(gone))).alias("n_removed"),
-        zero(F.col("_near")).alias("n_near"), F.when(gone.isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("kept_text"))
+        *([F.col(f"`{c}`") for c in docs.columns] if keep else ["doc_id"]),
+        zero(F.size(parts)).alias(names["n_lines"]), zero(F.when(gone.isNull(), 0).otherwise(F.size(gone))).alias(names["n_removed"]),
+        zero(F.col(own["_near"])).alias(names["n_near"]), F.when(gone.isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias(names["kept_text"]))
