@@ -50,22 +50,34 @@ def index_keys(text: Column, size: Column, salt: Column, edits: int) -> Column:
     return F.array(*out)
 
 
-def probe_keys(text: Column, size: Column, salt: Column, edits: int) -> Column:
-    """(key, first, length) of the substrings that can be a segment of a line that is as long
-    or up to ``edits`` characters shorter: segment i has i edits before it at most, and
-    edits - i after it."""
+def probe_keys(text: Column, size: Column, salt: Column, edits: int, less: int) -> Column:
+    """(key, first, length) of the substrings that can be a segment of a line that is ``less``
+    characters shorter: segment i has i edits before it at most, and edits - i after it."""
     out = []
-    for less in range(edits + 1):
-        other = size - less
-        for i in range(edits + 1):
-            first, n = piece(other, i, edits)
-            for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
-                at = first + shift
-                fits = (at >= 1) & (at + n - 1 <= size) & (n > 0)
-                out.append(F.when(fits, F.struct(F.xxhash64(salt, other, F.lit(i), F.substring(text, at, n)).alias("key"), at.alias("first"), n.alias("n"))))
+    other = size - less
+    for i in range(edits + 1):
+        first, n = piece(other, i, edits)
+        for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
+            at = first + shift
+            fits = (at >= 1) & (at + n - 1 <= size) & (n > 0)
+            out.append(F.when(fits, F.struct(F.xxhash64(salt, other, F.lit(i), F.substring(text, at, n)).alias("key"), at.alias("first"), n.alias("n"))))
     return F.array(*out)
 
 
+def indexed(lines: DataFrame, salt: Column, edits: int) -> DataFrame:
+    return posted(lines, index_keys, salt, edits)
+
+
+def probed(lines: DataFrame, salt: Column, edits: int) -> DataFrame:
+    """One pass for each length a partner may have: generated code for all keys at once is
+    too long to be compiled."""
+    out = None
+    for less in range(edits + 1):
+        part = posted(lines, lambda *a, less=less: probe_keys(*a, less), salt, edits)
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
 def posted(lines: DataFrame, keys, salt: Column, edits: int) -> DataFrame:
     """(key, id, first, n) of lines (id, line[, salt])."""
     # the length is a column of its own, as the keys name it many times
@@ -85,7 +97,7 @@ def common_prefix(a: Column, b: Column, most: Column) -> Column:
     return F.aggregate(steps, F.lit(0), lambda lo, s: F.when((lo + s <= most) & (F.substr(a, lo + 1, s) == F.substr(b, lo + 1, s)), lo + s).otherwise(lo))
 
 
-def within(a: Column, b: Column, edits: int, first: int = 32) -> Column:
+def within(a: Column, b: Column, edits: int, first: int = 10) -> Column:
     """Is the edit distance of a and b (a no longer than b) ``edits`` at most?
 
     What both begin and end with is cut off; the rest goes through a bit-parallel recursion
@@ -158,8 +170,8 @@ def links(lines: DataFrame, edits: int) -> DataFrame:
     Every list (the lines indexed and looked up under one key) of LIST members at most gives
     all its pairs.  Longer lists are refined once by the lines' rests; what is still longer is
     joined to its smallest member, and its members of different classes are paired."""
-    index = stored(posted(lines, index_keys, F.lit(0), edits))
-    probe = stored(posted(lines, probe_keys, F.lit(0), edits))
+    index = stored(indexed(lines, F.lit(0), edits))
+    probe = stored(probed(lines, F.lit(0), edits))
     # a key that nobody else looks up is of no use; one that many share is refined
     used = index.groupBy("key").agg(F.count("*").alias("n")).join(probe.groupBy("key").agg(F.count("*").alias("k")), "key").filter("n > 1 or k > 1")
     used = stored(used)
@@ -167,12 +179,12 @@ def links(lines: DataFrame, edits: int) -> DataFrame:
     pairs = pairs_of(index.join(few, "key", "left_semi"), probe.join(few, "key", "left_semi"))
 
     def rests(posts: DataFrame, keys) -> DataFrame:
-        cut = posts.join(many, "key").join(lines, "id")
+        cut = lines.join(small(stored(posts.join(many, "key"))), "id")
         rest = F.concat(F.substr("line", F.lit(1), F.col("first") - 1), F.lit("\u0000"), F.substr("line", F.col("first") + F.col("n"), F.length("line")))
         rows = cut.select("id", F.col("key").alias("salt"), rest.alias("line"))
-        return posted(rows, keys, F.col("salt"), edits).select("key", "id")
+        return keys(rows, F.col("salt"), edits).select("key", "id")
 
-    index, probe = stored(rests(index, index_keys).distinct()), stored(rests(probe, probe_keys).distinct())
+    index, probe = stored(rests(index, indexed).distinct()), stored(rests(probe, probed).distinct())
     used = index.groupBy("key").agg(F.count("*").alias("n")).join(probe.groupBy("key").agg(F.count("*").alias("k"), F.min("id").alias("pivot")), "key").filter("n > 1 or k > 1")
     used = stored(used)
     few = used.filter(f"n + k <= {2 * LIST}").select("key")

@@ -108,7 +108,7 @@ def test_verification_and_keys(spark):
     assert df.filter(L.within(F.col("a"), F.col("b"), 2) != (F.levenshtein("a", "b") <= 2)).count() == 0
     df = df.filter("length(a) >= 3 and levenshtein(a, b) <= 2")
     index = F.transform(L.index_keys(F.col("a"), F.length("a"), F.lit(0), 2), lambda x: x.key)
-    probe = F.transform(L.probe_keys(F.col("b"), F.length("b"), F.lit(0), 2), lambda x: x.key)
+    probe = F.concat(*[F.transform(L.probe_keys(F.col("b"), F.length("b"), F.lit(0), 2, less), lambda x: x.key) for less in range(3)])
     probe = F.filter(probe, lambda x: x.isNotNull())
     assert df.count() > 100 and df.filter(~F.arrays_overlap(index, probe)).count() == 0
 
