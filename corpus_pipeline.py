@@ -20,6 +20,8 @@ from monthlens.llm.queries import PIECE_MODEL
 
 #: Texts whose language is less likely than this are rejected, as are those without a letter.
 LEAST_SCORE = 0.4
+#: Percent of their five-word shingles that near-duplicates of the pipeline share (op9 alone: 85).
+NEAR_PERCENT = 80
 ORACLE_SQL = None  # no stage but the line stage is expressible in SQL at this cost
 
 
@@ -42,7 +44,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates; a row given twice counts once."""
-    gone = stored(near_duplicates(docs)).filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    gone = stored(near_duplicates(docs, percent=NEAR_PERCENT)).filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(docs.columns)
 
 

@@ -2,16 +2,16 @@
 
 Each document is a set of five-word shingles and has a signature of ``K`` minima.  Documents
 with a Jaccard similarity of 0.85 agree in 54 of 64 coordinates on average, and in fewer than
-``MATCHES`` = 36 with probability under 3e-7.  So:
+36 with probability under 1e-8; ``matches`` gives that number (31 at 0.8) for each threshold.  So:
 
 1. Documents with equal sets are one *node*.
-2. A node is posted under coordinate-value pairs.  Two nodes that agree in MATCHES of K
-   coordinates share one of the first K - MATCHES + 1 of either, in any common order of the
+2. A node is posted under coordinate-value pairs.  Two nodes that agree in m = matches(percent)
+   of K coordinates share one of the first K - m + 1 of either, in any common order of the
    pairs; pairs that a sample of the nodes shows to be frequent come last in that order, so
    what many documents share is hardly posted (the prefix).
 3. In each posting list the members' collisions with its smallest node are counted.  Lists
    whose members are then connected are done (the skip); in the others the members of
-   different parts are compared too.  What is connected by MATCHES collisions is a *cluster*;
+   different parts are compared too.  What is connected by m collisions is a *cluster*;
    every pair with so many lies in one.
 4. In a cluster links are confirmed on the full shingle sets: first those of each node with
    the partner it has most collisions with, then, where that leaves several components, of
@@ -25,6 +25,7 @@ itself.  Nothing is capped or sampled: the sample decides the order of posting a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,8 @@ from monthlens.llm.superkmer import gram_hashes, word_hashes
 U64 = np.uint64
 SHINGLE = 5
 PERCENT = 85
-K, MATCHES = 64, 36
-PREFIX = K - MATCHES + 1
+#: Coordinates of a signature, and the share of pairs at the threshold that may go unseen.
+K, MISSED = 64, 1e-8
 SAMPLE, HOT_SHARE = 4000, 0.004
 #: Nodes compared with each other in one block.
 BLOCK = 1024
@@ -51,6 +52,16 @@ _MUL = _RNG.integers(1, 1 << 63, K, dtype=np.int64).astype(U64) * U64(2) + U64(1
 _ADD = _RNG.integers(0, 1 << 63, K, dtype=np.int64).astype(U64)
 
 
+def matches(percent: int) -> int:
+    """The most coordinates in which all but MISSED of the pairs of ``percent`` agree."""
+    p, below = percent / 100, 0.0
+    for m in range(K + 1):
+        below += comb(K, m) * p**m * (1 - p) ** (K - m)  # P(m agree at most)
+        if below > MISSED:
+            return max(m, 1)
+    return K
+
+
 def shingles(view, size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit names of the shingles of the lower-cased words."""
     text = b" ".join(bytes(view).lower().split())
@@ -105,7 +116,7 @@ def sign(size: int):
     return body
 
 
-def post(hot: np.ndarray, hot_rank: np.ndarray):
+def post(hot: np.ndarray, hot_rank: np.ndarray, prefix: int):
     """(element, node) for the prefix of each node; frequent elements come last."""
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,9 +126,9 @@ def post(hot: np.ndarray, hot_rank: np.ndarray):
             if len(hot):
                 at = np.minimum(np.searchsorted(hot, e), len(hot) - 1)
                 rank = np.where(hot[at] == e, hot_rank[at], 0)
-            order = np.lexsort((e, rank), axis=1)[:, :PREFIX]
+            order = np.lexsort((e, rank), axis=1)[:, :prefix]
             chosen = np.take_along_axis(e, order, 1)
-            yield pa.RecordBatch.from_arrays([pa.array(chosen.ravel().view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), PREFIX))], ["e", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(chosen.ravel().view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), prefix))], ["e", "node"])
 
     return body
 
@@ -149,19 +160,22 @@ def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = (e[-1], node[-1], pivot[-1], told_last)
 
 
-def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            n = (signatures(batch.column("ea")) == signatures(batch.column("eb"))).sum(axis=1)
-            keep = pa.array(n >= MATCHES)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep), pa.array(n.astype(np.int32)).filter(keep)], ["a", "b", "n"])
+def count_pairs(least: int):
+    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                n = (signatures(batch.column("ea")) == signatures(batch.column("eb"))).sum(axis=1)
+                keep = pa.array(n >= least)
+                yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep), pa.array(n.astype(np.int32)).filter(keep)], ["a", "b", "n"])
 
+    return body
 
-def counted(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) with MATCHES collisions at least, and how many."""
+
+def counted(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
+    """Pairs (a, b) with ``least`` collisions at least, and how many."""
     left = nodes.select(F.col("node").alias("a"), F.col("low").alias("ea"))
     right = nodes.select(F.col("node").alias("b"), F.col("low").alias("eb"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "ea", "eb").mapInArrow(count_pairs, "a long, b long, n int")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "ea", "eb").mapInArrow(count_pairs(least), "a long, b long, n int")
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -301,12 +315,17 @@ def compared(rows: DataFrame, value: str, near, part: int = 256) -> DataFrame:
     return rows.mapInArrow(body, "a long, b long").distinct()
 
 
-def collide(a: list[bytes], b: list[bytes]) -> np.ndarray:
-    x, y = (np.frombuffer(b"".join(v), np.uint32).reshape(-1, K) for v in (a, b))
-    n = np.zeros((len(x), len(y)), np.uint8)
-    for k in range(K):
-        n += x[:, k, None] == y[None, :, k]
-    return n >= MATCHES
+def collide(least: int):
+    """near() of signatures: ``least`` equal coordinates."""
+
+    def near(a: list[bytes], b: list[bytes]) -> np.ndarray:
+        x, y = (np.frombuffer(b"".join(v), np.uint32).reshape(-1, K) for v in (a, b))
+        n = np.zeros((len(x), len(y)), np.uint8)
+        for k in range(K):
+            n += x[:, k, None] == y[None, :, k]
+        return n >= least
+
+    return near
 
 
 def similar(percent: int):
@@ -353,6 +372,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     """
     spark = docs.sparkSession
     ship(spark)
+    least = matches(percent)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stored(docs.mapInArrow(sign(shingle), "doc_id long, node long, n_shingles long, low binary"))
     nodes = stored(signed.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("low").alias("low")))
@@ -360,14 +380,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     sample = nodes.sample(min(1.0, SAMPLE / max(n_nodes, 1)), seed=3).select("low").limit(4 * SAMPLE).collect()
     seen, times = np.unique(elements(np.frombuffer(b"".join(r[0] for r in sample), np.uint32).reshape(-1, K)), return_counts=True)
     hot = times >= max(4, int(HOT_SHARE * len(sample)))
-    members = stored(nodes.select("node", "low").mapInArrow(post(seen[hot], times[hot]), "e long, node long")
+    members = stored(nodes.select("node", "low").mapInArrow(post(seen[hot], times[hot], K - least + 1), "e long, node long")
                      .repartition("e").sortWithinPartitions("e", "node").mapInArrow(lists, "e long, node long, pivot long"))
     pairs = members.filter("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    pairs = stored(counted(pairs, nodes))
-    # clusters: parts connected by MATCHES collisions
+    pairs = stored(counted(pairs, nodes, least))
+    # clusters: parts connected by as many collisions
     labels = stored(components(pairs))
     apart = blocks(members.select(F.col("e").alias("key"), "node"), labels, block).join(nodes.select("node", "low"), "node")
-    more = stored(compared(apart, "low", collide))
+    more = stored(compared(apart, "low", collide(least)))
     clusters = labels if more.isEmpty() else stored(components(pairs.select("a", "b").unionAll(more)))
     sets = stored(full_sets(docs, nodes, clusters.select("node"), shingle))
     # links: of each node with the partner it has most collisions with, then between components
