@@ -3,7 +3,7 @@
 Words of a text are brought to a canonical form in which numbers, names and units become
 typed placeholders, so a benchmark question whose values were changed keeps its template.
 Windows of ``WINDOW`` template words of documents are joined by hash with those of the
-benchmark.  A match counts only if its slots are consistent: along one alignment, equal
+benchmark; a shorter question is one window, and documents have windows of its length too.  A match counts only if its slots are consistent: along one alignment, equal
 values of the question always stand for equal values in the document, and only values differ.
 """
 
@@ -113,19 +113,20 @@ class Templates:
         return out
 
 
-def window_hashes(names: np.ndarray, kind: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each window and whether enough of it is plain words; a shorter text is one window."""
-    n = min(window, len(names))
+def window_hashes(names: np.ndarray, kind: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each window of n words and whether enough of it is plain words."""
     plain = np.concatenate([[0], np.cumsum(kind == WORD)])
     return mix(gram_hashes(names, n) + U64(n)), (plain[n:] - plain[:-n]) >= PLAIN * n
 
 
-WINDOWS = "hash long, pos int, n int, slots array<string>"
+WINDOWS = "hash long, pos int, size int, n int, slots array<string>"
 
 
-def windows_of(view_column: str, key: str, key_type: str, wanted=None, window: int = WINDOW):
-    """mapInArrow body: (key, text) to (key, thash, hash, pos, n windows of the text, slots);
-    ``wanted``: broadcast sorted hashes, other windows are left out."""
+def windows_of(view_column: str, key: str, key_type: str, wanted=None, window: int = WINDOW, sizes: list[int] | None = None):
+    """mapInArrow body: (key, text) to (key, thash, hash, pos, size, n windows of the text, slots).
+
+    ``sizes``: lengths of the windows; without them a text has windows of ``window`` words, a
+    shorter one is one window.  ``wanted``: broadcast sorted hashes, other windows are left out."""
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = Templates()
@@ -142,12 +143,18 @@ def windows_of(view_column: str, key: str, key_type: str, wanted=None, window: i
             for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(views)]):
                 texts = [bytes(v).split() for v in views[lo:hi]]
                 templates.meet(set().union(*texts))
-                row, thash, hashes, pos, total, slots = [], [], [], [], [], []
+                row, thash, hashes, pos, size, total, slots = [], [], [], [], [], [], []
                 for r, tokens in enumerate(texts, lo):
                     if not tokens:
                         continue
                     names, kind, first = templates.template(tokens)
-                    h, good = window_hashes(names, kind, window)
+                    mine = [n for n in ([min(window, len(names))] if sizes is None else sizes) if n <= len(names)]
+                    if not mine:
+                        continue
+                    cut = [window_hashes(names, kind, n) for n in mine]
+                    h, good = (np.concatenate(x) for x in zip(*cut))
+                    place = np.concatenate([np.arange(len(x)) for x, _ in cut])
+                    width = np.repeat(mine, [len(x) for x, _ in cut])
                     if want is not None:
                         some = np.flatnonzero(good & bits[(h >> U64(42)).astype(np.int64)])
                         if len(some):
@@ -162,11 +169,13 @@ def windows_of(view_column: str, key: str, key_type: str, wanted=None, window: i
                         row.append(r)
                         thash.append(own)
                         hashes.append(h[k])
-                        pos.append(k)
+                        lo_word, n = int(place[k]), int(width[k])
+                        pos.append(lo_word)
+                        size.append(n)
                         total.append(int(good.sum()))
-                        slots.append(templates.slots(tokens, first, kind, k, min(k + window, len(kind))))
+                        slots.append(templates.slots(tokens, first, kind, lo_word, lo_word + n))
                 at = np.array(row, np.int64)
-                yield pa.RecordBatch.from_arrays([int_column(ids[at], null[at]), pa.array(thash, pa.int64()), pa.array(np.array(hashes, U64).view(np.int64)), pa.array(pos, pa.int32()), pa.array(total, pa.int32()), pa.array(slots, pa.list_(pa.string()))], [key, "thash", "hash", "pos", "n", "slots"])
+                yield pa.RecordBatch.from_arrays([int_column(ids[at], null[at]), pa.array(thash, pa.int64()), pa.array(np.array(hashes, U64).view(np.int64)), pa.array(pos, pa.int32()), pa.array(size, pa.int32()), pa.array(total, pa.int32()), pa.array(slots, pa.list_(pa.string()))], [key, "thash", "hash", "pos", "size", "n", "slots"])
 
     return body
 
@@ -179,8 +188,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
     n_changed the slots whose values differ (0: the question as it is).
 
     Null and empty texts match nothing; questions without a window of plain words enough
-    match nothing either.  Questions of fewer words than a window are one window.  A document
-    given twice is reported once, rows of a null doc_id with a null doc_id.  Questions with a
+    match nothing either.  Questions of fewer words than a window are one window, which is
+    looked for anywhere in a document.  A document given twice is reported once, rows of a null doc_id with a null doc_id.  Questions with a
     null item_id are ignored.  Other columns are ignored.
     """
     spark = docs.sparkSession
@@ -194,7 +203,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
     if hashes.count() <= BROADCAST_WINDOWS:
         found = np.array([r[0] for r in hashes.collect()], np.int64).view(U64)
         wanted = spark.sparkContext.broadcast(np.sort(found))
-    mine = docs.mapInArrow(windows_of("text", "doc_id", "long", wanted, window), f"doc_id long, thash long, {WINDOWS}")
+    sizes = sorted(r[0] for r in bench.select("size").distinct().collect())
+    mine = docs.mapInArrow(windows_of("text", "doc_id", "long", wanted, window, sizes), f"doc_id long, thash long, {WINDOWS}")
     mine = mine.select("doc_id", "thash", "hash", F.col("pos").alias("d_pos"), F.col("slots").alias("d_slots"))
     theirs = bench.select("item_id", "item_hash", "hash", F.col("pos").alias("i_pos"), "n", F.col("slots").alias("i_slots"))
     both = stored(mine.join(theirs, "hash").distinct().withColumn("shift", F.col("d_pos") - F.col("i_pos")))
