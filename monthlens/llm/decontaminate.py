@@ -3,8 +3,8 @@
 Words of a text are brought to a canonical form in which numbers, names and units become
 typed placeholders, so a benchmark question whose values were changed keeps its template.
 Windows of ``WINDOW`` template words of documents are joined by hash with those of the
-benchmark; a shorter question is one window, and documents have windows of its length too.  A match counts only if its slots are consistent: along one alignment, equal
-values of the question always stand for equal values in the document, and only values differ.
+benchmark; a shorter question is one window, and documents have windows of its length too.  A window counts where it stands word for word, and else only if its slots are consistent: along
+one alignment, each of the question's values in it stands for one value in the document.
 """
 
 from __future__ import annotations
@@ -184,8 +184,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
     """(doc_id, thash, item_id, n_windows, n_matched, coverage, n_slots, n_changed): the pairs
     of a document and a question of which it holds ``share`` of the windows at least.
 
-    n_matched counts the question's windows that stand in the document with consistent slots,
-    n_changed the slots whose values differ (0: the question as it is).
+    n_matched counts the question's windows that stand in the document as they are, or with
+    changed values none of which clashes; n_changed the slots whose values differ (0: the
+    question as it is).
 
     Null and empty texts match nothing; questions without a window of plain words enough
     match nothing either.  Questions of fewer words than a window are one window, which is
@@ -210,14 +211,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
     both = stored(mine.join(theirs, "hash").distinct().withColumn("shift", F.col("d_pos") - F.col("i_pos")))
     line = ["doc_id", "thash", "item_id", "item_hash", "shift"]
     pair = [c for c in line if c != "shift"]
-    values = both.select(*line, F.explode(F.arrays_zip(F.col("i_slots").alias("i"), F.col("d_slots").alias("d"))).alias("s")).select(*line, F.col("s.i").alias("i"), F.col("s.d").alias("d")).distinct()
+    slots = lambda rows: rows.select(*line, F.explode(F.arrays_zip(F.col("i_slots").alias("i"), F.col("d_slots").alias("d"))).alias("s")).select(*line, F.col("s.i").alias("i"), F.col("s.d").alias("d")).distinct()
     keyed = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias("k_" + c) for c in line]
-    # an alignment on which one value of the question stands for two is inconsistent
-    clash = values.groupBy(*line, "i").agg(F.count("*").alias("n")).filter("n > 1").select(*keyed).distinct()
-    keys = [f"k_{c}" for c in line]
-    named = both.select("*", *keyed)
-    good = named.join(clash, keys, "left_anti")
-    changed = values.select("*", *keyed).join(clash, keys, "left_anti").groupBy(*pair).agg(F.count("*").alias("n_slots"), F.count(F.when(F.col("i") != F.col("d"), 1)).alias("n_changed"))
+    # values of the question that stand for two on an alignment: windows that hold one count as they are only
+    clash = slots(both).groupBy(*line, "i").agg(F.count("*").alias("n")).filter("n > 1").groupBy(*keyed).agg(F.collect_set("i").alias("clash"))
+    named = both.select("*", *keyed).join(clash, [f"k_{c}" for c in line], "left")
+    good = named.filter((F.col("i_slots") == F.col("d_slots")) | F.col("clash").isNull() | ~F.arrays_overlap("i_slots", "clash"))
+    good = stored(good.select(both.columns))
+    changed = slots(good).groupBy(*pair).agg(F.count("*").alias("n_slots"), F.count(F.when(F.col("i") != F.col("d"), 1)).alias("n_changed"))
     out = good.groupBy(*pair).agg(F.max("n").alias("n_windows"), F.count_distinct("i_pos").alias("n_matched"))
     out = out.withColumn("coverage", F.col("n_matched") / F.col("n_windows")).filter(F.col("coverage") >= share)
     changed = changed.select(*[F.col(c).alias("c_" + c) for c in pair], "n_slots", "n_changed")

@@ -29,3 +29,19 @@ def test_short_question_within_a_document(found):
     assert set(got) == {(1, 1), (2, 1), (4, 2), (6, 1), (6, 2)}
     assert all(r.coverage == 1.0 and r.n_changed == 0 for r in got.values())
     assert got[1, 1].n_windows == 1
+
+
+def test_verbatim_windows_count_beside_a_clash(found):
+    questions = [
+        (1, "Yesterday Tom had 5 apples and a basket of pears when the market closed and the rain began to fall on the roofs of the town, so he went home where Tom slept."),
+        (2, "Yesterday Tom had 5 apples and Mary had 7 apples. How many apples do Tom and Mary have together in the basket?"),
+    ]
+    rows = [
+        (1, PAD + questions[0][1].replace("Tom slept", "Ann slept") + " " + PAD),  # most windows stand as they are
+        (2, PAD + questions[0][1].replace("Tom had", "Ann had") + " " + PAD),
+        (3, PAD + "Yesterday Jim had 8 apples and Sue had 8 apples. How many apples do Ann and Ben have together in the basket?"),  # clashes, nothing as it is
+        (4, PAD + "Yesterday Jim had 8 apples and Sue had 9 apples. How many apples do Jim and Sue have together in the basket?"),
+    ]
+    got = found(rows, questions)
+    assert set(got) == {(1, 1), (2, 1), (4, 2)}
+    assert got[1, 1].n_windows > got[1, 1].n_matched and got[4, 2].coverage == 1.0 and got[4, 2].n_changed == 4
