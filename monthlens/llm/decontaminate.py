@@ -3,7 +3,8 @@
 Words of a text are brought to a canonical form in which numbers, names and units become
 typed placeholders, so a benchmark question whose values were changed keeps its template.
 Windows of ``WINDOW`` template words of documents are joined by hash with those of the
-benchmark; a shorter question is one window, and documents have windows of its length too.  A window counts where it stands word for word, and else only if its slots are consistent: along
+benchmark; a shorter question is one window, and documents have windows of its length too.
+Windows of too few plain words are joined by their words and values as they are.  A window counts where it stands word for word, and else only if its slots are consistent: along
 one alignment, each of the question's values in it stands for one value in the document.
 """
 
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,8 @@ from monthlens.llm.superkmer import gram_hashes
 
 U64 = np.uint64
 WINDOW = 8
-#: Least share of a question's windows that a document must hold, and of plain words in a window.
+#: Least share of a question's windows that a document must hold, and of plain words in a window
+#: whose values may differ.
 SHARE, PLAIN = 0.5, 0.5
 #: Benchmark windows (8 bytes each) up to which their hashes are sent to every task; beyond,
 #: the windows of the documents are joined by shuffle.
@@ -45,6 +48,7 @@ nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand
 NUMERAL = re.compile(r"[-+]?[$€£¥]?\d+(?:[.,:/]\d+)*(?:st|nd|rd|th)?(?P<unit>\D*)")
 EDGE = ".,;:!?\"'()[]{}<>«»„“”‘’…*"
 WORD, NUMBER, UNIT, NAME = range(4)
+SALT = U64(0x9E3779B97F4A7C15)
 SLOT_HASH = [U64(0), *(U64(xxhash.xxh3_64_intdigest(x)) for x in ("<number>", "<unit>", "<name>"))]
 ENDS = b".!?"
 
@@ -72,6 +76,7 @@ class Templates:
     def __init__(self):
         self.known: dict[bytes, int] = {}
         self.kind, self.hash, self.ends, self.value = np.empty(0, np.int8), np.empty(0, U64), np.empty(0, bool), []
+        self.value_hash = np.empty(0, U64)
 
     def meet(self, tokens: set[bytes]) -> None:
         if len(self.known) + len(tokens) > REMEMBER:
@@ -84,6 +89,7 @@ class Templates:
         self.hash = np.append(self.hash, np.array([g[1] for g in got], U64))
         self.ends = np.append(self.ends, np.array([t[-1] in ENDS for t in fresh], bool))
         self.value += [g[2] for g in got]
+        self.value_hash = np.append(self.value_hash, np.array([xxhash.xxh3_64_intdigest(g[2].encode()) for g in got], U64))
 
     def template(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(hash, kind, first token) of each template word; ``meet`` the tokens first.
@@ -101,6 +107,13 @@ class Templates:
         kind = kind[keep]
         return np.where(kind == WORD, self.hash[at[keep]], np.array(SLOT_HASH)[kind]), kind, keep
 
+    def literals(self, tokens: list[bytes], first: np.ndarray, names: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """Hash of each template word with its value; a name's value is that of the whole run."""
+        own = self.value_hash[np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))]
+        place = np.arange(len(tokens)) - np.repeat(first, np.diff(np.append(first, len(tokens))))
+        run = np.add.reduceat(mix(own + place.astype(U64) * SALT), first)
+        return np.where(kind == WORD, names, mix(names ^ run))
+
     def slots(self, tokens: list[bytes], first: np.ndarray, kind: np.ndarray, lo: int, hi: int) -> list[str]:
         """Values of the placeholders among template words lo..hi."""
         out = []
@@ -113,17 +126,21 @@ class Templates:
         return out
 
 
-def window_hashes(names: np.ndarray, kind: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each window of n words and whether enough of it is plain words."""
+def window_hashes(names: np.ndarray, kind: np.ndarray, literals, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each window of n words and whether enough of it is plain words; the hash of
+    other windows is that of their ``literals()``."""
     plain = np.concatenate([[0], np.cumsum(kind == WORD)])
-    return mix(gram_hashes(names, n) + U64(n)), (plain[n:] - plain[:-n]) >= PLAIN * n
+    good = (plain[n:] - plain[:-n]) >= PLAIN * n
+    h = mix(gram_hashes(names, n) + U64(n))
+    return (h if good.all() else np.where(good, h, mix(gram_hashes(literals(), n) + U64(n) + SALT))), good
 
 
-WINDOWS = "hash long, pos int, size int, n int, slots array<string>"
+WINDOWS = "hash long, pos int, size int, plain boolean, n_plain int, n_all int, slots array<string>"
 
 
 def windows_of(view_column: str, key: str, key_type: str, wanted=None, window: int = WINDOW, sizes: list[int] | None = None):
-    """mapInArrow body: (key, text) to (key, thash, hash, pos, size, n windows of the text, slots).
+    """mapInArrow body: (key, text) to (key, thash, hash, pos, size, plain, n_plain,
+    n_all, slots): whether the window is one of plain words, and how many the text has, of all.
 
     ``sizes``: lengths of the windows; without them a text has windows of ``window`` words, a
     shorter one is one window.  ``wanted``: broadcast sorted hashes, other windows are left out."""
@@ -143,7 +160,7 @@ def windows_of(view_column: str, key: str, key_type: str, wanted=None, window: i
             for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(views)]):
                 texts = [bytes(v).split() for v in views[lo:hi]]
                 templates.meet(set().union(*texts))
-                row, thash, hashes, pos, size, total, slots = [], [], [], [], [], [], []
+                row, thash, hashes, pos, size, plain, n_plain, n_all, slots = [], [], [], [], [], [], [], [], []
                 for r, tokens in enumerate(texts, lo):
                     if not tokens:
                         continue
@@ -151,17 +168,18 @@ def windows_of(view_column: str, key: str, key_type: str, wanted=None, window: i
                     mine = [n for n in ([min(window, len(names))] if sizes is None else sizes) if n <= len(names)]
                     if not mine:
                         continue
-                    cut = [window_hashes(names, kind, n) for n in mine]
+                    literals = cache(lambda: templates.literals(tokens, first, names, kind))  # noqa: B023
+                    cut = [window_hashes(names, kind, literals, n) for n in mine]
                     h, good = (np.concatenate(x) for x in zip(*cut))
                     place = np.concatenate([np.arange(len(x)) for x, _ in cut])
                     width = np.repeat(mine, [len(x) for x, _ in cut])
                     if want is not None:
-                        some = np.flatnonzero(good & bits[(h >> U64(42)).astype(np.int64)])
+                        some = np.flatnonzero(bits[(h >> U64(42)).astype(np.int64)])
                         if len(some):
                             at = np.searchsorted(want, h[some])
                             some = some[want[np.minimum(at, len(want) - 1)] == h[some]]
                     else:
-                        some = np.flatnonzero(good)
+                        some = np.arange(len(h))
                     if not len(some):
                         continue
                     own = signed64(xxhash.xxh3_64_intdigest(views[r]))
@@ -172,10 +190,12 @@ def windows_of(view_column: str, key: str, key_type: str, wanted=None, window: i
                         lo_word, n = int(place[k]), int(width[k])
                         pos.append(lo_word)
                         size.append(n)
-                        total.append(int(good.sum()))
+                        plain.append(bool(good[k]))
+                        n_plain.append(int(good.sum()))
+                        n_all.append(len(good))
                         slots.append(templates.slots(tokens, first, kind, lo_word, lo_word + n))
                 at = np.array(row, np.int64)
-                yield pa.RecordBatch.from_arrays([int_column(ids[at], null[at]), pa.array(thash, pa.int64()), pa.array(np.array(hashes, U64).view(np.int64)), pa.array(pos, pa.int32()), pa.array(size, pa.int32()), pa.array(total, pa.int32()), pa.array(slots, pa.list_(pa.string()))], [key, "thash", "hash", "pos", "size", "n", "slots"])
+                yield pa.RecordBatch.from_arrays([int_column(ids[at], null[at]), pa.array(thash, pa.int64()), pa.array(np.array(hashes, U64).view(np.int64)), pa.array(pos, pa.int32()), pa.array(size, pa.int32()), pa.array(plain, pa.bool_()), pa.array(n_plain, pa.int32()), pa.array(n_all, pa.int32()), pa.array(slots, pa.list_(pa.string()))], [key, "thash", "hash", "pos", "size", "plain", "n_plain", "n_all", "slots"])
 
     return body
 
@@ -188,8 +208,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
     changed values none of which clashes; n_changed the slots whose values differ (0: the
     question as it is).
 
-    Null and empty texts match nothing; questions without a window of plain words enough
-    match nothing either.  Questions of fewer words than a window are one window, which is
+    Windows of too few plain words count only as they are.  The share is that of the windows
+    of plain words, or of all windows where that is greater; n_windows and n_matched are those
+    of the greater share.
+
+    Null and empty texts match nothing.  Questions of fewer words than a window are one window, which is
     looked for anywhere in a document.  A document given twice is reported once, rows of a null doc_id with a null doc_id.  Questions with a
     null item_id are ignored.  Other columns are ignored.
     """
@@ -207,7 +230,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
     sizes = sorted(r[0] for r in bench.select("size").distinct().collect())
     mine = docs.mapInArrow(windows_of("text", "doc_id", "long", wanted, window, sizes), f"doc_id long, thash long, {WINDOWS}")
     mine = mine.select("doc_id", "thash", "hash", F.col("pos").alias("d_pos"), F.col("slots").alias("d_slots"))
-    theirs = bench.select("item_id", "item_hash", "hash", F.col("pos").alias("i_pos"), "n", F.col("slots").alias("i_slots"))
+    theirs = bench.select("item_id", "item_hash", "hash", F.col("pos").alias("i_pos"), "plain", "n_plain", "n_all", F.col("slots").alias("i_slots"))
     both = stored(mine.join(theirs, "hash").distinct().withColumn("shift", F.col("d_pos") - F.col("i_pos")))
     line = ["doc_id", "thash", "item_id", "item_hash", "shift"]
     pair = [c for c in line if c != "shift"]
@@ -219,7 +242,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
     good = named.filter((F.col("i_slots") == F.col("d_slots")) | F.col("clash").isNull() | ~F.arrays_overlap("i_slots", "clash"))
     good = stored(good.select(both.columns))
     changed = slots(good).groupBy(*pair).agg(F.count("*").alias("n_slots"), F.count(F.when(F.col("i") != F.col("d"), 1)).alias("n_changed"))
-    out = good.groupBy(*pair).agg(F.max("n").alias("n_windows"), F.count_distinct("i_pos").alias("n_matched"))
+    out = good.groupBy(*pair).agg(F.max("n_plain").alias("n_plain"), F.max("n_all").alias("n_all"), F.count_distinct(F.when(F.col("plain"), F.col("i_pos"))).alias("m_plain"), F.count_distinct("i_pos").alias("m_all"))
+    of_plain = (F.col("n_plain") > 0) & (F.col("m_plain") * F.col("n_all") >= F.col("m_all") * F.col("n_plain"))
+    out = out.withColumn("n_windows", F.when(of_plain, F.col("n_plain")).otherwise(F.col("n_all"))).withColumn("n_matched", F.when(of_plain, F.col("m_plain")).otherwise(F.col("m_all")))
     out = out.withColumn("coverage", F.col("n_matched") / F.col("n_windows")).filter(F.col("coverage") >= share)
     changed = changed.select(*[F.col(c).alias("c_" + c) for c in pair], "n_slots", "n_changed")
     on = [F.col(c).eqNullSafe(F.col("c_" + c)) for c in pair]

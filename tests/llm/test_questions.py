@@ -45,3 +45,21 @@ def test_verbatim_windows_count_beside_a_clash(found):
     got = found(rows, questions)
     assert set(got) == {(1, 1), (2, 1), (4, 2)}
     assert got[1, 1].n_windows > got[1, 1].n_matched and got[4, 2].coverage == 1.0 and got[4, 2].n_changed == 4
+
+
+def test_windows_of_few_plain_words_count_as_they_are(found):
+    questions = [
+        (1, "12 + 30 5 7 11 + 40 9 18 21 + 3 = 8 66 9 10"),
+        (2, "and Paul Anna, 5 km 7 km 9 km 11 kg 30 kg from Lyon, Rome 4 5 6"),
+        (3, "Yesterday Tom had 5 apples and Mary had 7 apples. How many of them were there? 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15"),
+    ]
+    rows = [
+        (1, PAD + questions[0][1] + " " + PAD), (2, PAD + questions[1][1] + " " + PAD),
+        (3, PAD + "12 + 31 5 8 11 + 41 9 19 21 + 4 = 9 66 8 10 " + PAD),  # other values
+        (4, PAD + questions[2][1].replace("Tom", "Jim").replace("had 5", "had 8") + " " + PAD),  # its plain part has other values
+        (5, PAD + "How many of them were there? 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15"),  # most of all windows
+        (6, PAD + questions[1][1].replace("Paul Anna", "Anna Paul").replace("7 km", "8 km").replace("30 kg", "31 kg")),
+    ]
+    got = found(rows, questions)
+    assert set(got) == {(1, 1), (2, 2), (4, 3), (5, 3)}
+    assert got[1, 1].coverage == 1.0 and got[2, 2].coverage == 1.0 and got[1, 1].n_changed == 0
