@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from monthlens.llm import langid, tokens
 from monthlens.llm.common import fold, free, stored, table
-from monthlens.llm.decontaminate import decontaminate
+from monthlens.llm.decontaminate import decontaminate, with_text_hash
 from monthlens.llm.lines import OUT, dedup_lines
 from monthlens.llm.minhash import near_duplicates
 from monthlens.llm.queries import PIECE_MODEL
@@ -43,9 +43,14 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates; a row given twice counts once."""
-    gone = stored(near_duplicates(docs, percent=NEAR_PERCENT)).filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    """One document of each group of near-duplicates; a row given twice counts once.
+
+    Rows go by doc_id and text, so of rows with one doc_id and different texts only those go
+    that are like an earlier document."""
+    gone = stored(near_duplicates(docs, percent=NEAR_PERCENT, hashed=True)).filter(~F.col("kept") & F.col("doc_id").isNotNull())
+    mark = free(docs, "_text_hash")
+    gone = gone.select("doc_id", F.col("thash").alias(mark)).distinct()
+    return with_text_hash(docs, mark).join(gone, ["doc_id", mark], "left_anti").dropDuplicates(["doc_id", "text"]).select(docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

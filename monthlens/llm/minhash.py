@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from monthlens.llm.common import binary_views, int_column, long_column, mix, ship, stored
+from monthlens.llm.common import binary_views, int_column, long_column, mix, ship, signed64, stored
 from monthlens.llm.components import components
 from monthlens.llm.superkmer import gram_hashes, word_hashes
 
@@ -109,9 +109,10 @@ def sign(size: int):
         for batch, sets in sets_of(batches, size):
             lows = [signature(s) if len(s) else None for s in sets]
             node = np.array([node_of(s) for s in sets], U64).view(np.int64)
+            thash = [signed64(xxhash.xxh3_64_intdigest(v)) for v in binary_views(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array(node), pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([None if x is None else x.tobytes() for x in lows], pa.binary())], ["doc_id", "node", "n_shingles", "low"])
+                batch.column("doc_id"), pa.array(thash, pa.int64()), pa.array(node), pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([None if x is None else x.tobytes() for x in lows], pa.binary())], ["doc_id", "thash", "node", "n_shingles", "low"])
 
     return body
 
@@ -357,8 +358,9 @@ def similar(percent: int):
     return near
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row.
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, block: int = BLOCK, hashed: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row; with ``hashed`` also thash, the
+    64-bit hash (xxh3) of its text.
 
     Words are runs without ASCII white space, A-Z lower-cased; a document is the set of its
     five-word shingles (of its whole sequence where it has fewer words).  Documents with
@@ -374,7 +376,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     ship(spark)
     least = matches(percent)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = stored(docs.mapInArrow(sign(shingle), "doc_id long, node long, n_shingles long, low binary"))
+    signed = stored(docs.mapInArrow(sign(shingle), "doc_id long, thash long, node long, n_shingles long, low binary"))
     nodes = stored(signed.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("low").alias("low")))
     n_nodes = nodes.count()
     sample = nodes.sample(min(1.0, SAMPLE / max(n_nodes, 1)), seed=3).select("low").limit(4 * SAMPLE).collect()
@@ -400,6 +402,6 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
         labels = stored(components(links.unionAll(more)))
     group = labels.join(nodes.select("node", "doc_id"), "node").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     of_node = nodes.join(labels, "node", "left").join(group, "label", "left").select("node", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-    out = signed.select("doc_id", "node", "n_shingles").join(of_node, "node", "left")
+    out = signed.select("doc_id", "thash", "node", "n_shingles").join(of_node, "node", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", *["thash"] * hashed, "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

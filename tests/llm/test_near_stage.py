@@ -31,3 +31,13 @@ def test_pairs_between_080_and_085(spark, documents):
 
 def test_matches_follow_the_threshold():
     assert minhash.matches(85) == 36 and minhash.matches(80) == 31 and minhash.matches(100) == 64
+
+
+def test_rows_of_one_id_and_different_texts(spark, documents):
+    rnd = random.Random(12)
+    a, b = copies(rnd, 2)
+    alone = copies(rnd, 0)[0]
+    docs = documents([(1, a), (7, b), (7, alone), (7, alone), (8, alone + " x")], extra=("thash", "_text_hash"))
+    got = C.near(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == sorted([(1, a), (7, alone)])
