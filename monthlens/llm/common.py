@@ -31,6 +31,12 @@ def free(df: DataFrame, name: str) -> str:
     return name
 
 
+def without(df: DataFrame, names: list[str]) -> DataFrame:
+    """``df`` without the columns of those names, in whatever case."""
+    gone = {n.lower() for n in names}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in gone])
+
+
 def ship(spark: SparkSession) -> None:
     ship_package(spark)
 

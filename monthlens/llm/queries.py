@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from monthlens.llm import decontaminate, langid, oracle, quality, tokens, toxicity
 from monthlens.llm.common import table
 from monthlens.llm.fingerprint import fingerprints
+from monthlens.llm.infill import fill_in_middle, restored
 from monthlens.llm.lines import dedup_lines
 from monthlens.llm.minhash import near_duplicates
 from monthlens.llm.suffix import dedup_bytes
@@ -63,7 +64,13 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.summary(docs, PIECE_MODEL).drop("text")
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_toxic_spans, op2_suffix_dedup, op3_template_decontamination, op4_superkmer_dedup, op5_quality_ranking,
-    op6_line_dedup, op7_parsing_fingerprint, op8_language_id, op9_minhash_near_dedup, op10_sentence_pieces)}
+    op6_line_dedup, op7_parsing_fingerprint, op8_language_id, op9_minhash_near_dedup, op10_sentence_pieces, op12_fill_in_middle)}
 ORACLE_SQL = oracle.SQL
