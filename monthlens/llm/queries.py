@@ -12,11 +12,13 @@ from monthlens.llm.fingerprint import fingerprints
 from monthlens.llm.infill import fill_in_middle, restored
 from monthlens.llm.lines import dedup_lines
 from monthlens.llm.minhash import near_duplicates
+from monthlens.llm.packing import pack, token_pieces
 from monthlens.llm.suffix import dedup_bytes
 from monthlens.llm.superkmer import dedup_substrings
 
 #: Where the public vocabulary files lie; a parameter of the operators.
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +66,11 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.summary(docs, PIECE_MODEL).drop("text")
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pack(token_pieces(docs, WORD_TOKENIZER, ids=False))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
@@ -72,5 +79,6 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_toxic_spans, op2_suffix_dedup, op3_template_decontamination, op4_superkmer_dedup, op5_quality_ranking,
-    op6_line_dedup, op7_parsing_fingerprint, op8_language_id, op9_minhash_near_dedup, op10_sentence_pieces, op12_fill_in_middle)}
+    op6_line_dedup, op7_parsing_fingerprint, op8_language_id, op9_minhash_near_dedup, op10_sentence_pieces, op11_best_fit_packing,
+    op12_fill_in_middle)}
 ORACLE_SQL = oracle.SQL
