@@ -8,69 +8,107 @@ pieces within their length and each takes the place that the plan has for its nu
 
 from __future__ import annotations
 
+import hashlib
+import json
 import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from monthlens.llm.common import binary_views, free, ship, stored, without
 
-#: Text bytes in memory at a time; longer texts are encoded in blocks cut at white space.
+#: Longer texts are encoded in blocks of about so many bytes, cut at white space.
 CHUNK = 1 << 20
-#: Words whose ids a worker remembers.
-WORDS = 300_000
+#: New words after which a worker forgets those that have not come up since.
+WORDS = 500_000
 #: Pieces of one length are numbered in buckets of about so many, in up to MOST_BUCKETS.
-BUCKET, MOST_BUCKETS = 400, 4096
+BUCKET, MOST_BUCKETS = 128, 4096
 #: Bits for the number of a piece within its length.
 NUMBER_BITS = 44
 
 
 # ---------------------------------------------------------------- pieces of documents
 
-class WordIds:
-    """Token ids of texts as little-endian 32-bit integers, word by word.
+#: Words whose characters every version of Unicode treats alike: they are lower-cased and parted here.
+PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+#: The steps before BPE for which that is done; with any others the library does all of them.
+STEPS = ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"]
+
+
+def byte_characters() -> dict[int, str]:
+    """The characters that stand for bytes in byte-level vocabularies: a visible byte for
+    itself, the others by turns from U+0100 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+class WordIds(dict):
+    """Token ids of texts as little-endian 32-bit integers, word by word; remembers words.
 
     Fits tokenizers that drop white space and look no further than a word, so that a text's
-    ids are those of its words, one after the other."""
+    ids are those of its words, one after the other.  Of the words remembered, those that have
+    not come up for WORDS new ones are forgotten."""
 
-    def __init__(self, path: str):
+    def __init__(self, spec: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path) if os.path.exists(path) else Tokenizer.from_str(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.known) > WORDS:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
-        if new:
-            found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, found))
+        self.tokenizer = Tokenizer.from_str(spec)
+        self.model = self.tokenizer.model
+        self.before: dict[bytes, bytes] = {}
+        made = json.loads(spec)
+        steps = (made["normalizer"] or {}).get("normalizers", []) + (made["pre_tokenizer"] or {}).get("pretokenizers", [])
+        self.parts = None
+        if [x["type"] for x in steps] == STEPS and steps[3]["invert"] and steps[3]["behavior"] == "Removed" and not steps[4]["add_prefix_space"] and not steps[4]["use_regex"]:
+            self.parts = regex.compile(steps[3]["pattern"]["Regex"])
+        self.special = re.compile("|".join(re.escape(x["content"]) for x in made["added_tokens"]) or "(?!)").search
+        self.bytes = byte_characters()
+
+    def __missing__(self, word: bytes) -> bytes:
+        found = self.before.get(word)
+        if found is None:
+            ids = self.ids(word.decode("utf-8", "replace"))
+            found = struct.pack(f"<{len(ids)}I", *ids)
+        if len(self) >= WORDS:
+            self.before = dict(self)
+            self.clear()
+        self[word] = found
+        return found
+
+    def ids(self, word: str) -> list[int]:
+        if self.parts is None or not (word.isascii() and word.isalpha() or PLAIN.fullmatch(word)) or self.special(word):
+            return self.tokenizer.encode(word, add_special_tokens=False).ids
+        low = word.lower()
+        return [t.id for part in ([low] if low.isalpha() else self.parts.findall(low))
+                for t in self.model.tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(self.bytes))]
 
     def encode(self, views: list) -> Iterator[bytes]:
-        """The ids of each text; texts of up to CHUNK bytes together, longer ones in blocks."""
-        first = 0
-        while first < len(views):
-            past, size = first, 0
-            while past < len(views) and (past == first or size + len(views[past]) <= CHUNK):
-                size += len(views[past])
-                past += 1
-            if past == first + 1 and size > CHUNK:
-                yield b"".join(self._joined([block]).__next__() for block in blocks(bytes(views[first])))
-            else:
-                yield from self._joined([bytes(v) for v in views[first:past]])
-            first = past
+        """The ids of each text; those of a text over CHUNK bytes are found in blocks."""
+        for view in views:
+            text = bytes(view)
+            parts = [text] if len(text) <= CHUNK else blocks(text)
+            yield b"".join([b"".join(map(self.__getitem__, part.split())) for part in parts])  # at ASCII white space
+
+
+_TOKENIZERS: dict[str, WordIds] = {}
+
 
-    def _joined(self, texts: list[bytes]) -> Iterator[bytes]:
-        words = [t.split() for t in texts]  # at ASCII white space
-        self.learn(set().union(*words))
-        for w in words:
-            yield b"".join(map(self.known.__getitem__, w))
+def words_of(spec: str) -> WordIds:
+    """One for each worker process, so that words are remembered from task to task."""
+    key = hashlib.sha256(spec.encode()).hexdigest()
+    if key not in _TOKENIZERS:
+        _TOKENIZERS.clear()
+        _TOKENIZERS[key] = WordIds(spec)
+    return _TOKENIZERS[key]
 
 
 def blocks(text: bytes) -> Iterator[bytes]:
@@ -108,7 +146,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048,
     schema = type(added)([f for f in base.schema.fields if f.name != column] + added.fields)
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(sent.value)
+        words = words_of(sent.value)
         end = np.array([end_id], "<u4").tobytes()
 
         def out(batch, rows, parts, of):

@@ -1,6 +1,7 @@
 """Packing: pieces against the tokenizers library, sequences against their rules and brute force."""
 
 import itertools
+import json
 import math
 import random
 import zlib
@@ -15,6 +16,7 @@ from monthlens.llm import packing
 from monthlens.llm.packing import WordIds, best_fit, pack, places, plan, sequences, token_pieces
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
+SPEC = open(PATH, encoding="utf-8").read()
 LIB = Tokenizer.from_file(PATH)
 
 
@@ -29,7 +31,7 @@ def texts():
 
 
 def test_words_encode_as_whole_texts():
-    words = WordIds(PATH)
+    words = WordIds(SPEC)
     for text, got in zip(texts(), words.encode([t.encode() for t in texts()]), strict=True):
         assert np.frombuffer(got, "<u4").tolist() == lib_ids(text), repr(text)
 
@@ -38,16 +40,37 @@ def test_long_texts_in_blocks(monkeypatch):
     monkeypatch.setattr(packing, "CHUNK", 1000)
     long = " ".join(texts()[:300])
     some = ["a", long, "", "x" * 5000, "b c " * 400, "tail"]
-    got = list(WordIds(PATH).encode([t.encode() for t in some]))
+    got = list(WordIds(SPEC).encode([t.encode() for t in some]))
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [lib_ids(t) for t in some]
 
 
-def test_forgets_words_when_full(monkeypatch):
+def test_forgets_words_that_do_not_return(monkeypatch):
     monkeypatch.setattr(packing, "WORDS", 10)
-    words = WordIds(PATH)
-    for k in range(5):
-        (got,) = words.encode([f"w{k} x{k} y{k} z{k} the".encode() * 3])
-        assert len(words.known) <= 30 and np.frombuffer(got, "<u4").tolist() == lib_ids(f"w{k} x{k} y{k} z{k} the" * 3)
+    words = WordIds(SPEC)
+    for k in range(40):
+        text = f"w{k} x{k} y{k} z{k} the"
+        (got,) = words.encode([text.encode()])
+        assert len(words) <= 10 and len(words.before) <= 10 and np.frombuffer(got, "<u4").tolist() == lib_ids(text)
+    assert b"the" in words
+
+
+def test_plain_words_character_by_character():
+    words = WordIds(SPEC)
+    rnd = random.Random(4)
+    plain = [chr(c) for c in [*range(0x21, 0x7F), *range(0xC0, 0x100)] if c not in (0xD7, 0xF7)]
+    some = ["a" + c for c in plain] + [c + "b" for c in plain] + ["".join(rnd.choices(plain, k=rnd.randint(1, 12))) for _ in range(20000)]
+    some += ["it's", "IT'S", "we'LL've", "''s't", "<|endoftext|>", "a<|endoftext|>b", "<|STARTOFTEXT|>", "<|startoftext|", "12a3"]
+    assert words.parts is not None and all(packing.PLAIN.fullmatch(w) for w in some)
+    for w, e in zip(some, LIB.encode_batch(some, add_special_tokens=False), strict=True):
+        assert words.ids(w) == e.ids, w
+
+
+def test_other_tokenizers_are_asked_themselves():
+    other = json.loads(SPEC)
+    other["normalizer"] = None
+    words = WordIds(json.dumps(other))
+    lib = Tokenizer.from_str(json.dumps(other))
+    assert words.parts is None and [words.ids(w) for w in ("Abc", "it's")] == [lib.encode(w, add_special_tokens=False).ids for w in ("Abc", "it's")]
 
 
 def used_up(done, counts, capacity):
