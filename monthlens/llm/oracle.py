@@ -1,5 +1,37 @@
 """DuckDB restatements of the queries that SQL can express at whole-table cost."""
 
+
+def _vector_codes(rounds: int = 6) -> str:
+    """Components as rows, and each round a join of all of them with all entries."""
+    nearest = """
+near{k} AS (
+  SELECT vec_id, part, min(d * 16 + e) % 16 AS e, min(d) AS d
+  FROM (SELECT vec_id, part, e, CAST(sum((v.x - b.x) * (v.x - b.x)) AS BIGINT) AS d FROM v JOIN book{k} b USING (part, pos) GROUP BY vec_id, part, e)
+  GROUP BY vec_id, part)"""
+    better = """
+book{n} AS MATERIALIZED (
+  SELECT e, part, pos, coalesce(m.x, b.x) AS x FROM book{k} b LEFT JOIN (
+    SELECT e, part, pos, CAST(floor(CAST(sum(x) AS DOUBLE) / count(*)) AS BIGINT) AS x FROM v JOIN near{k} USING (vec_id, part) GROUP BY e, part, pos) m
+  USING (e, part, pos))"""
+    steps = [text for k in range(rounds) for text in (nearest.format(k=k), better.format(k=k, n=k + 1))] + [nearest.format(k=rounds)]
+    return """
+WITH kept AS (
+  SELECT vec_id, label, embedding FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+cell AS (
+  SELECT vec_id, i - 1 AS i, len(embedding) // 8 AS w, CAST(floor(4096 * CAST(embedding[i] AS DOUBLE)) AS BIGINT) AS x
+  FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM kept)),
+v AS MATERIALIZED (
+  SELECT vec_id, i // w AS part, i % w AS pos, x FROM cell),
+book0 AS MATERIALIZED (
+  SELECT r.e, part, pos, x FROM v JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept ORDER BY vec_id LIMIT 16) r USING (vec_id)),""" + ",".join(steps) + """,
+row AS (
+  SELECT vec_id, string_agg(format('{:02x}', e), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM near%d GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, e, pos)) FROM book%d) AS codebooks_sha256
+FROM row JOIN kept USING (vec_id)""" % (rounds, rounds)
+
+
 SQL: dict[str, str] = {
     # Windows of 20 words as texts; each but the earliest of its text marks its words.
     "op4_superkmer_dedup": r"""
@@ -68,4 +100,5 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CA
        sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
        sha256(t) AS restored_sha256
 FROM cut""",
+    "op13_vector_codes": _vector_codes(),
 }

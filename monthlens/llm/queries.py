@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from monthlens.llm import decontaminate, langid, oracle, quality, tokens, toxicity
+from monthlens.llm import decontaminate, langid, oracle, quality, tokens, toxicity, vectors
 from monthlens.llm.common import table
 from monthlens.llm.fingerprint import fingerprints
 from monthlens.llm.infill import fill_in_middle, restored
@@ -77,8 +77,14 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vectors.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    out = vectors.with_group_error(codes, "label")
+    return out.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(vectors.digest(books)).alias("codebooks_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_toxic_spans, op2_suffix_dedup, op3_template_decontamination, op4_superkmer_dedup, op5_quality_ranking,
     op6_line_dedup, op7_parsing_fingerprint, op8_language_id, op9_minhash_near_dedup, op10_sentence_pieces, op11_best_fit_packing,
-    op12_fill_in_middle)}
+    op12_fill_in_middle, op13_vector_codes)}
 ORACLE_SQL = oracle.SQL
