@@ -244,7 +244,7 @@ def lasso_point(Z: np.ndarray, y: np.ndarray, alpha: float, start: np.ndarray, t
     coefficient that breaches its condition most enters. Ties enter one by one."""
     n, p = Z.shape
     yc = y - y.mean()
-    G, q = Z.T @ Z / n, Z.T @ yc / n
+    q = Z.T @ yc / n
     b = start.copy()
     sign = np.sign(b)
 
@@ -275,7 +275,8 @@ def lasso_point(Z: np.ndarray, y: np.ndarray, alpha: float, start: np.ndarray, t
                     sign[A[k]] = 0.0
                     continue
             want = np.zeros(p)
-            want[A] = np.linalg.lstsq(G[np.ix_(A, A)], q[A] - alpha * sign[A], rcond=1e-13)[0]
+            ZA = Z[:, A]
+            want[A] = np.linalg.lstsq(ZA.T @ ZA / n, q[A] - alpha * sign[A], rcond=1e-13)[0]
             move = want - b
             if np.max(np.abs(move)) > 1e-14 * max(1.0, np.max(np.abs(want))):
                 with np.errstate(divide="ignore", invalid="ignore"):
@@ -293,7 +294,7 @@ def lasso_point(Z: np.ndarray, y: np.ndarray, alpha: float, start: np.ndarray, t
                 sign = np.where(b == 0, 0.0, np.sign(b))
         if not settled:
             continue
-        c = q - G @ b
+        c = q - Z.T @ (Z @ b) / n
         breach = np.where(b == 0, np.abs(c) - alpha, 0.0)
         j = int(np.argmax(breach))
         if breach[j] <= tol * alpha:

@@ -149,20 +149,25 @@ def compare_models(f: Features, y: DataFrame, models: list[str], alphas: list[fl
 
 
 def lasso_kfold(f: Features, y: DataFrame, k: int = 5, n_alphas: int = 100, eps: float = 1e-3,
-                train_frac: float = 0.8) -> DataFrame:
+                train_frac: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """K-fold Lasso on the chronological training months, refit at the best
-    alpha, scored on the test months. Columns are scaled once by their
-    training std (a scaler fitted before the folds) and centred per fold by
-    the intercept. Alpha grid: n_alphas log-spaced from alpha_max down to
-    eps * alpha_max (alpha_max from all training months); best alpha = lowest
-    mean held-out MSE. Each fold's training set is one pseudo-outcome of a
-    single distributed Lasso design. -> one row (model 'lasso')."""
+    alpha, scored on the test months.
+
+    Columns are scaled once by their training std (a scaler fitted before the
+    folds) and centred per fold by the intercept. Alpha grid: n_alphas
+    log-spaced from alpha_max down to eps * alpha_max (alpha_max from all
+    training months); best alpha = lowest mean held-out MSE. Each fold's
+    training set is one pseudo-outcome of a single Lasso design; the folds' working
+    sets hold few columns, and only those are read for the predictions.
+    -> (one row: model 'lasso', scores;  the selected features: feature, coef on the
+    scaled column, rank by |coef|)"""
     from pyspark.sql import Window
 
     from monthlens.operators import design as D
     from monthlens.operators import lasso as L
+    from monthlens.operators.columns import columns, pack
+    from monthlens.operators.timeseries import mse, r2
 
-    spark = y.sparkSession
     rows = split_rows(f, y, train_frac)
     train = rows.where(F.col("split") == "train")
     n_tr = train.count()
@@ -172,7 +177,8 @@ def lasso_kfold(f: Features, y: DataFrame, k: int = 5, n_alphas: int = 100, eps:
     vals = cut_lineage(f.values.join(F.broadcast(rows.select("period")), "period"))
     # proportional columns are identical after scaling by their own std:
     # keep one per class (the prediction does not change)
-    vals = vals.join(D.twin_classes(vals).select("feature"), "feature", "left_semi")
+    one = F.lit(0).cast("long").alias("pattern")
+    vals = vals.join(columns(vals, rows.select(one, "period")).select("feature"), "feature", "left_semi")
     m = (vals.join(F.broadcast(train.select("period")), "period").groupBy("feature")
              .agg(F.sum("value").alias("s1"), F.sum(F.col("value") ** 2).alias("s2")))
     var = F.col("s2") / n_tr - (F.col("s1") / n_tr) ** 2
@@ -186,26 +192,25 @@ def lasso_kfold(f: Features, y: DataFrame, k: int = 5, n_alphas: int = 100, eps:
     yy = cut_lineage(fy.unionByName(yall))
     op, pp = D.patterns(yy)
     op, pp = op.cache(), pp.cache()
-    n = op.select("pattern", "n").distinct()
-    mom = cut_lineage(xs.join(F.broadcast(pp), "period").groupBy("pattern", "feature")
-                        .agg(F.sum("value").alias("s")).join(F.broadcast(n), "pattern")
-                        .select("pattern", "feature", (F.col("s") / F.col("n")).alias("mu"), F.lit(1.0).alias("sigma")))
     feats = Features(f.rep, xs, rows.select("period"))
-    des = D.Design(feats, yy, op, pp, mom)
-    amax = (D.standardised_scores(D.Design(feats, yy.where("outcome = 'all'"), op.where("outcome = 'all'"), pp, mom))
-            .agg(F.max(F.abs("score"))).first()[0])
+    des = D.Design(feats, yy, op, pp, pack(xs, pp, collapse=False, standardise=False))
+    top = {r.outcome: r.score for r in L.largest_scores(des).collect()}
+    amax = top.get("all", 1.0)
     grid = list(np.logspace(np.log10(amax * eps), np.log10(amax), n_alphas)[::-1])
     path = L.lasso_path(des, grid)
+    coefs = cut_lineage(path.coefs)
+    used = cut_lineage(xs.join(coefs.select("feature").distinct(), "feature", "left_semi"))   # the working columns, scaled
     # held-out predictions: ybar_f - sum_j mu_fj b_j + sum_j x_tj b_j
-    cb = path.coefs.join(F.broadcast(op), "outcome").join(mom, ["pattern", "feature"])
-    icpt = cb.groupBy("outcome", "alpha_idx").agg(F.sum(-F.col("mu") * F.col("coef")).alias("shift"))
+    mu = path.columns.select("outcome", "feature", "mu")
+    icpt = (coefs.join(mu, ["outcome", "feature"]).groupBy("outcome", "alpha_idx")
+                 .agg(F.sum(-F.col("mu") * F.col("coef")).alias("shift")))
     ybar = yy.groupBy("outcome").agg(F.avg("y").alias("ybar"))
     held = folds.select("period", "y", F.concat(F.lit("fold_"), F.col("fold").cast("string")).alias("outcome"))
     held = held.withColumn("alpha_idx", F.explode(F.sequence(F.lit(0), F.lit(len(grid) - 1))))
-    part = (xs.join(F.broadcast(folds.select("period", "fold")), "period")
-              .select("period", "feature", "value", F.concat(F.lit("fold_"), F.col("fold").cast("string")).alias("outcome"))
-              .join(path.coefs.select("outcome", "alpha_idx", "feature", "coef"), ["outcome", "feature"])
-              .groupBy("outcome", "alpha_idx", "period").agg(F.sum(F.col("value") * F.col("coef")).alias("xb")))
+    part = (used.join(F.broadcast(folds.select("period", "fold")), "period")
+                .select("period", "feature", "value", F.concat(F.lit("fold_"), F.col("fold").cast("string")).alias("outcome"))
+                .join(coefs.select("outcome", "alpha_idx", "feature", "coef"), ["outcome", "feature"])
+                .groupBy("outcome", "alpha_idx", "period").agg(F.sum(F.col("value") * F.col("coef")).alias("xb")))
     pred = (held.join(part, ["outcome", "alpha_idx", "period"], "left")
                 .join(icpt, ["outcome", "alpha_idx"], "left").join(F.broadcast(ybar), "outcome")
                 .select("outcome", "alpha_idx", "y",
@@ -214,17 +219,17 @@ def lasso_kfold(f: Features, y: DataFrame, k: int = 5, n_alphas: int = 100, eps:
               .groupBy("alpha_idx").agg(F.avg("mse").alias("cv_mse")))
     best = cv.orderBy("cv_mse", "alpha_idx").first()["alpha_idx"]
     # refit on all training months at the best alpha, score the test months
-    call = path.coefs.where((F.col("outcome") == "all") & (F.col("alpha_idx") == best))
-    shift = (call.join(F.broadcast(op), "outcome").join(mom, ["pattern", "feature"])
-                 .agg(F.sum(-F.col("mu") * F.col("coef"))).first()[0] or 0.0)
+    call = coefs.where((F.col("outcome") == "all") & (F.col("alpha_idx") == best))
+    chosen = call.join(mu.where("outcome = 'all'").drop("outcome"), "feature").agg(F.sum(-F.col("mu") * F.col("coef")).alias("shift"), F.count("*").alias("nnz")).first()
     ybar_all = yall.agg(F.avg("y")).first()[0]
     test = rows.where(F.col("split") == "test").select("period", "y")
-    xb = (xs.join(F.broadcast(test.select("period")), "period").join(call.select("feature", "coef"), "feature")
-            .groupBy("period").agg(F.sum(F.col("value") * F.col("coef")).alias("xb")))
-    tp = test.join(xb, "period", "left").select("y", (F.lit(ybar_all + shift) + F.coalesce("xb", F.lit(0.0))).alias("p"))
-    from monthlens.operators.timeseries import mse, r2
-    nnz = call.count()
-    return tp.agg(F.lit("lasso").alias("model"), F.lit(float(grid[best])).alias("alpha"),
-                  r2("y", "p").alias("oos_r2"), mse("y", "p").alias("oos_mse"),
-                  F.lit(n_tr).cast("int").alias("n_train"), F.count("*").cast("int").alias("n_test"),
-                  F.lit(nnz).cast("long").alias("n_features"))
+    xb = (used.join(F.broadcast(test.select("period")), "period").join(call.select("feature", "coef"), "feature")
+              .groupBy("period").agg(F.sum(F.col("value") * F.col("coef")).alias("xb")))
+    tp = test.join(xb, "period", "left").select("y", (F.lit(ybar_all + (chosen["shift"] or 0.0)) + F.coalesce("xb", F.lit(0.0))).alias("p"))
+    scores = tp.agg(F.lit("lasso").alias("model"), F.lit(float(grid[best])).alias("alpha"),
+                    r2("y", "p").alias("oos_r2"), mse("y", "p").alias("oos_mse"),
+                    F.lit(n_tr).cast("int").alias("n_train"), F.count("*").cast("int").alias("n_test"),
+                    F.lit(chosen["nnz"]).cast("long").alias("n_features"))
+    # at most as many features as months, so one window over all of them
+    words = call.select("feature", "coef", F.row_number().over(Window.orderBy(F.desc(F.abs("coef")), "feature")).alias("rank"))
+    return scores, words

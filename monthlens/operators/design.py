@@ -1,11 +1,11 @@
-"""Align feature sets with outcomes and compute standardisation moments.
+"""Align feature sets with outcomes.
 
 Month-level tables (periods, outcome series, per-outcome period patterns) have
 one row per calendar month and outcome, so their size is bounded by the
 calendar and the outcome count, never by the document volume; these are the
 only sides broadcast here.
 
-Standardisation follows the population convention: mu = sum(x)/n,
+Standardisation (columns.pack) follows the population convention: mu = sum(x)/n,
 sigma^2 = sum(x^2)/n - mu^2 over the n aligned months, with implicit zeros.
 Features with zero variance over the aligned months get no column.
 """
@@ -14,9 +14,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from monthlens.operators.columns import pack
 from monthlens.operators.vectorize import Features
 from monthlens.session import cut_lineage
 
@@ -27,7 +28,7 @@ class Design:
     y: DataFrame         # outcome, period, y   (aligned months only)
     op: DataFrame        # outcome, pattern, n  (one row per outcome)
     pp: DataFrame        # pattern, period
-    moments: DataFrame   # pattern, feature, mu, sigma   (sigma > 0 only)
+    blocks: DataFrame    # packed columns of each pattern (columns.pack)
 
 
 def align(features: Features, outcomes: DataFrame) -> DataFrame:
@@ -45,91 +46,18 @@ def patterns(y: DataFrame) -> tuple[DataFrame, DataFrame]:
     return op, pp
 
 
-def moments(values: DataFrame, op: DataFrame, pp: DataFrame, rel_tol: float = 1e-12) -> DataFrame:
-    n = op.select("pattern", "n").distinct()
-    m = (values.join(F.broadcast(pp), "period")
-               .groupBy("pattern", "feature")
-               .agg(F.sum("value").alias("s1"), F.sum(F.col("value") * F.col("value")).alias("s2"))
-               .join(F.broadcast(n), "pattern"))
-    mu = F.col("s1") / F.col("n")
-    var = F.col("s2") / F.col("n") - mu * mu
-    return (m.select("pattern", "feature", mu.alias("mu"), var.alias("var"), (F.col("s2") / F.col("n")).alias("m2"))
-             .where(F.col("var") > rel_tol * F.col("m2"))
-             .select("pattern", "feature", "mu", F.sqrt("var").alias("sigma")))
+def build_design(features: Features, outcomes: DataFrame) -> Design:
+    """Aligned design, materialised once.
 
-
-def twin_classes(values: DataFrame) -> DataFrame:
-    """Group features whose columns are positive multiples of each other (they
-    standardise to the same column). Returns ``(feature, class_size)`` for the
-    alphabetically first member of each class -- the member a cyclic solver
-    over sorted columns would load. Signatures hold at most one entry per
-    month, so each collected list is calendar-bounded."""
-    # normalise by the column's largest |value| (exact and independent of
-    # summation order, unlike a sum) and round to 12 digits, so a twin pair
-    # gets the same signature under any partitioning. The signature is spelled
-    # out as a string ("period=value;..."; double -> string is round-trip
-    # exact) so the grouping runs on a plain string key in generated code.
-    cells = (values.groupBy("feature")
-                   .agg(F.array_sort(F.collect_list(F.struct("period", "value"))).alias("c"),
-                        F.max(F.abs("value")).alias("mx")))
-    sig = cells.select("feature", F.array_join(F.transform(
-        "c", lambda x: F.concat(x["period"].cast("string"), F.lit("="),
-                                F.round(x["value"] / F.col("mx"), 12).cast("string"))), ";").alias("sig"))
-    return sig.groupBy("sig").agg(F.min("feature").alias("feature"), F.count("*").alias("class_size")) \
-              .select("feature", "class_size")
-
-
-def build_design(features: Features, outcomes: DataFrame, collapse_twins: bool = True) -> Design:
-    """Aligned, collapsed and standardised design, materialised once.
-
-    The corpus-derived pieces (feature cells, moments) are written to the
+    The corpus-derived pieces (feature cells, packed columns) are written to the
     reliable checkpoint folder: every later job (screening, path rounds,
-    optimality checks, OLS) reads them instead of re-tokenising the corpus,
+    optimality checks) reads them instead of re-tokenising the corpus,
     and executor loss cannot force a recompute from the raw text. Month-level
     tables are only cached."""
     vals = cut_lineage(features.values)          # one pass over the corpus
     # month-level tables: cheap to recompute from their short lineage, so cached
-    periods = features.periods.cache()
-    fs0 = Features(features.rep, vals, periods)
-    y = align(fs0, outcomes).cache()
+    fs = Features(features.rep, vals, features.periods.cache())
+    y = align(fs, outcomes).cache()
     op, pp = patterns(y)
     op, pp = op.cache(), pp.cache()              # month-level, derived from the cached y
-    if collapse_twins:
-        reps = twin_classes(vals).select("feature")
-        vals = vals.join(reps, "feature", "left_semi")
-    vals = cut_lineage(vals)
-    mom = cut_lineage(moments(vals, op, pp))
-    fs = Features(features.rep, vals, periods)
-    return Design(fs, y, op, pp, mom)
-
-
-def centred_target(y: DataFrame) -> DataFrame:
-    """(outcome, period, r) with r = y - mean(y) per outcome (month-level window)."""
-    return y.select("outcome", "period", (F.col("y") - F.avg("y").over(Window.partitionBy("outcome"))).alias("r"))
-
-
-def standardised_scores(d: Design, resid: DataFrame | None = None) -> DataFrame:
-    """c_oj = z_j' r_o / n for every (outcome, feature) with a non-zero cell.
-
-    Because residuals sum to zero over the aligned months, the centring term
-    vanishes and only non-zero cells are touched: c = sum_t x_tj r_t / (n sigma_j).
-    """
-    r = resid if resid is not None else centred_target(d.y)
-    xr = (d.features.values.join(F.broadcast(r), "period")
-                          .groupBy("outcome", "feature")
-                          .agg(F.sum(F.col("value") * F.col("r")).alias("xr")))
-    return (xr.join(F.broadcast(d.op), "outcome")
-              .join(d.moments, ["pattern", "feature"])
-              .select("outcome", "feature", (F.col("xr") / (F.col("n") * F.col("sigma"))).alias("score")))
-
-
-def top_per_group(df: DataFrame, group: str, order: F.Column, m: int, key: str = "feature",
-                  buckets: int = 64) -> DataFrame:
-    """Top-m rows per group, two-stage so that no task sorts a whole group:
-    first per (group, hash bucket), then per group over at most buckets*m rows."""
-    b = F.pmod(F.xxhash64(key), F.lit(buckets))
-    w1 = Window.partitionBy(group, "_b").orderBy(order, key)
-    w2 = Window.partitionBy(group).orderBy(order, key)
-    return (df.withColumn("_b", b).withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= m)
-              .withColumn("_r", F.row_number().over(w2)).where(F.col("_r") <= m)
-              .drop("_b", "_r"))
+    return Design(fs, y, op, pp, pack(vals, pp))

@@ -3,25 +3,21 @@
 Objective per outcome (columns standardised over the aligned months):
     min_b (1/2n) ||y - Z b||^2 + alpha ||b||_1      (no intercept; Z centred)
 
-Plan (never collects the feature matrix):
-
-1. Scores ``c_oj = z_j' (y_o - ybar_o) / n`` for all (outcome, feature) in one
-   aggregate over the non-zero cells (design.standardised_scores).
-2. Candidates: top-m features per outcome (two-stage, bounded groups).
-3. Path: candidate cells are co-grouped with the outcome series and each
-   outcome's n x m block is solved exactly (homotopy) in a grouped Arrow task;
-   every grid point is checked on all its columns, active ones included, and
-   solved anew where ties made the homotopy miss an entry.
-4. Optimality check, distributed: features are hashed into buckets and each
-   bucket's task scores its columns against the residual matrix (outcomes x
-   months x solved alphas) with one matrix product; any non-candidate with
-   |z_j' r(alpha)|/n > alpha joins the candidates and step 3 repeats. On exit every feature satisfies the
-   optimality conditions at every solved alpha, so the result is the full-p
-   path whatever ``m_init`` was -- there is no cap on candidates.
-
-``max_nnz`` ends each path after the first alpha whose support exceeds it;
-``None`` solves the whole grid, which alone shows the support sizes that come
-back further down.
+The whole grid is solved, whatever the number of features (never collects the feature matrix):
+
+1. Columns are packed into blocks over the aligned months (columns.pack), once.
+2. Each outcome has a working set of columns; it starts with the best scores at the outcome itself.
+   In a grouped Arrow task its path is solved exactly on that set (homotopy; every grid
+   point checked on the set's columns, and solved anew where ties made it miss an entry).
+3. A pass over all blocks scores every column against the residuals of all points that
+   are not certified yet. A point without a column whose |z_j' r|/n exceeds alpha is certified: it
+   is optimal over all features, and stays so as sets grow. Of the columns that breach
+   a point, the ``ENTER`` worst join its outcome's set (each task keeps its worst ones, and the
+   worst of these are taken), and outcomes with open points go back to step 2.
+
+Each round certifies a point or adds a column, so the loop ends with every grid point
+certified; how many columns enter at a time decides the rounds alone. What goes through the
+driver is month-level: residuals (outcomes x months x grid) and the names of the working sets.
 """
 
 from __future__ import annotations
@@ -29,20 +25,27 @@ from __future__ import annotations
 import os
 import sys
 import time
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from monthlens.functions.stats import lasso_path_checked
 from monthlens.functions.text import log_grid
-from monthlens.operators.design import Design, standardised_scores, top_per_group
+from monthlens.operators.columns import read_blocks
+from monthlens.operators.design import Design
 from monthlens.session import cut_lineage, ship_package
 
-PATH_SCHEMA = ("kind string, outcome string, alpha_idx int, alpha double, feature string, "
-               "coef double, nnz int, period date, first_idx int, resid array<double>")
+PATH_SCHEMA = "outcome string, alpha_idx int, alpha double, nnz int, features array<string>, coefs array<double>, resid array<double>"
+COLUMN_SCHEMA = "outcome string, feature string, class_size long, x array<double>, mu double, sigma double"
+#: Columns that enter an outcome's working set for each grid point that they breach.
+ENTER = 32
+#: A score may exceed alpha by this share of it.
+TOLERANCE = 1e-6
 
 
 @dataclass
@@ -50,176 +53,193 @@ class LassoPath:
     design: Design
     alphas: list[float]
     coefs: DataFrame   # outcome, alpha_idx, alpha, feature, coef   (non-zero only)
-    nnz: DataFrame     # outcome, alpha_idx, alpha, nnz             (every solved alpha)
+    nnz: DataFrame     # outcome, alpha_idx, alpha, nnz             (every grid point)
     rounds: int
+    columns: DataFrame | None = None   # outcome, feature, class_size, x, mu, sigma   (working sets; x over the months in order)
+
+    def on(self, alphas: list[float]) -> LassoPath:
+        """The path at those of its grid points alone."""
+        wanted = set(alphas)
+        places = [i for i, a in enumerate(self.alphas) if a in wanted]
+        keep = F.col("alpha_idx").isin(*places)
+        return LassoPath(self.design, self.alphas, self.coefs.where(keep), self.nnz.where(keep), self.rounds, self.columns)
 
+    def cells(self) -> DataFrame:
+        """(period, feature, value) of the columns in working sets."""
+        months = self.design.y.groupBy("outcome").agg(F.array_sort(F.collect_list("period")).alias("ps"))
+        pairs = F.explode(F.arrays_zip(F.col("ps").alias("period"), F.col("x").alias("value"))).alias("c")
+        return (self.columns.join(F.broadcast(months), "outcome").select("feature", pairs)
+                    .select("c.period", "feature", "c.value").where(F.col("value") != 0).distinct())
 
-def _fit_fn(alphas: list[float], max_nnz: int | None):
+
+def _solver(alphas: list[float]):
     grid = np.asarray(alphas, dtype=float)
 
-    def fit(key, cells: pd.DataFrame, ys: pd.DataFrame) -> pd.DataFrame:
-        outcome = key[0]
-        ys = ys.sort_values("period")
-        periods = list(ys["period"])
-        n = len(periods)
-        yv = ys["y"].to_numpy(dtype=float)
-        feats = sorted(cells["feature"].unique()) if len(cells) else []
-        pidx = {p: i for i, p in enumerate(periods)}
-        fidx = {f: j for j, f in enumerate(feats)}
-        Z = np.zeros((n, len(feats)))
-        if len(feats):
-            mom = cells.drop_duplicates("feature").set_index("feature")
-            mu = mom.loc[feats, "mu"].to_numpy(dtype=float)
-            sd = mom.loc[feats, "sigma"].to_numpy(dtype=float)
-            X = np.zeros((n, len(feats)))
-            c = cells[cells["period"].isin(pidx.keys())]
-            X[c["period"].map(pidx).to_numpy(), c["feature"].map(fidx).to_numpy()] = c["value"].to_numpy(dtype=float)
-            Z = (X - mu) / sd
-        coefs, resids = lasso_path_checked(Z, yv, grid, max_nnz=max_nnz)
-        solved = coefs.shape[0]
+    def fit(key, cols: pd.DataFrame, ys: pd.DataFrame) -> pd.DataFrame:
+        yv = ys.sort_values("period")["y"].to_numpy(dtype=float)
+        cols = cols.sort_values("feature")
+        names = cols["feature"].to_numpy()
+        Z = np.zeros((len(yv), 0))
+        if len(cols):
+            Z = (np.vstack(cols["x"].to_numpy()).T - cols["mu"].to_numpy(dtype=float)) / cols["sigma"].to_numpy(dtype=float)
+        coefs, resids = lasso_path_checked(Z, yv, grid, tol=TOLERANCE)
         rows = []
-        for i in range(solved):
-            nz = np.nonzero(coefs[i])[0]
-            rows.append(("nnz", outcome, i, float(grid[i]), None, None, int(len(nz)), None, None, None))
-            for j in nz:
-                rows.append(("coef", outcome, i, float(grid[i]), feats[j], float(coefs[i, j]), None, None, None, None))
-        # residuals only where the solution is non-trivial (alpha below the
-        # largest score: above it b = 0 and every score is <= alpha already)
-        amax = float(np.max(np.abs(Z.T @ (yv - yv.mean()) / n))) if len(feats) else 0.0
-        first = int(np.searchsorted(-grid[:solved], -amax, side="right"))
-        if first < solved:
-            for t, p in enumerate(periods):
-                rows.append(("rfull", outcome, None, None, None, None, None, p, first,
-                             [float(v) for v in resids[first:solved, t]]))
-        return pd.DataFrame(rows, columns=["kind", "outcome", "alpha_idx", "alpha", "feature", "coef",
-                                           "nnz", "period", "first_idx", "resid"])
+        for i in range(len(grid)):
+            nz = np.flatnonzero(coefs[i])
+            rows.append((key[0], i, float(grid[i]), len(nz), names[nz].tolist(), coefs[i, nz].tolist(), resids[i].tolist()))
+        return pd.DataFrame(rows, columns=["outcome", "alpha_idx", "alpha", "nnz", "features", "coefs", "resid"])
     return fit
 
 
-VIOL_SCHEMA = "outcome string, feature string"
-FEATURES_PER_BUCKET = 200_000
+def _column(block, j: int) -> tuple:
+    return block.features[j], int(block.class_size[j]), block.X[:, j].tolist(), float(block.mu[j]), float(block.sigma[j])
+
+
+def _worst(blocks: DataFrame, points: dict, months: dict[int, int], known: dict[str, set[str]], enter: int, least: float) -> DataFrame:
+    """Columns outside the known ones with the largest |z_j' r| / (n alpha), over ``least``, of each
+    point: (COLUMN_SCHEMA, hits array of (point, ratio)), the ``enter`` worst of each task.
+
+    points: pattern -> (outcome of each column of R, its place in the grid, R scaled by n alpha)."""
+    spark = blocks.sparkSession
+    sent = spark.sparkContext.broadcast((points, {p: months[p] for p in points}, known))
+    schema = COLUMN_SCHEMA + ", hits array<struct<point:int,ratio:double>>"
+
+    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        points, months, known = sent.value
+        held: dict[int, tuple] = {}    # pattern -> ratios (points x kept), columns, what a column must beat for each point
+        for batch in batches:
+            for pattern, block in read_blocks(batch, months):
+                outcomes, _, R = points[pattern]
+                ratio = np.abs(R.T @ block.Z)                       # points x features
+                for outcome in set(outcomes):
+                    inside = [j for j, f in enumerate(block.features) if f in known.get(outcome, ())]
+                    if inside:
+                        ratio[np.ix_(np.array(outcomes) == outcome, inside)] = 0.0
+                # a column matters where it beats the worst ones held so far for some point
+                beats = held[pattern][2] if pattern in held else np.full(len(ratio), least)
+                new = np.flatnonzero((ratio > beats[:, None]).any(0))
+                if not len(new):
+                    continue
+                both = ratio[:, new]
+                cols = [(block, j) for j in new.tolist()]
+                if pattern in held:
+                    both = np.concatenate([held[pattern][0], both], axis=1)
+                    cols = held[pattern][1] + cols
+                if both.shape[1] > enter:
+                    top = np.argpartition(-both, enter - 1, axis=1)[:, :enter]
+                    beats = np.maximum(np.take_along_axis(both, top, 1).min(1), least)
+                    stay = np.unique(top[np.take_along_axis(both, top, 1) > least])
+                    both, cols = both[:, stay], [cols[j] for j in stay]
+                else:
+                    beats = np.full(len(ratio), least)
+                # only the columns that stay are kept, not their blocks
+                held[pattern] = (both, [c if len(c) == 5 else _column(*c) for c in cols], beats)
+        rows = []
+        for pattern, (ratio, cols, _) in held.items():
+            outcomes = np.array(points[pattern][0])
+            for outcome in dict.fromkeys(outcomes.tolist()):
+                own = np.flatnonzero(outcomes == outcome)
+                for j, (feature, size, x, mu, sigma) in enumerate(cols):
+                    hits = [{"point": int(k), "ratio": float(ratio[k, j])} for k in own if ratio[k, j] > least]
+                    if hits:
+                        rows.append({"outcome": outcome, "feature": feature, "class_size": size, "x": x, "mu": mu, "sigma": sigma, "hits": hits})
+        kinds = pa.schema([("outcome", pa.string()), ("feature", pa.string()), ("class_size", pa.int64()), ("x", pa.list_(pa.float64())), ("mu", pa.float64()), ("sigma", pa.float64()),
+                           ("hits", pa.list_(pa.struct([("point", pa.int32()), ("ratio", pa.float64())])))])
+        yield pa.RecordBatch.from_pylist(rows, kinds)
 
+    return blocks.mapInArrow(body, schema)
 
-def _violators(d: Design, path: DataFrame, cand: DataFrame, alphas: list[float], tol: float,
-               buckets: int | None = None) -> DataFrame:
-    """Non-candidate features whose |score| exceeds alpha at some solved alpha.
 
-    Blocked sparse x dense product in grouped Arrow tasks: features are hashed
-    into buckets; each bucket's task receives its feature cells, moments and
-    candidate flags, plus one copy of the residual matrix (outcomes x months x
-    solved alphas -- calendar-bounded), and scores all its columns against all
-    residuals with one matrix product."""
-    spark = path.sparkSession
-    # pattern keys travel as strings: a nullable bigint would become float64 in pandas
-    nb = buckets or 8
+def _entering(found: DataFrame, enter: int) -> DataFrame:
+    """Of the tasks' worst columns, the ``enter`` worst of each point of an outcome."""
+    from pyspark.sql import Window
+    w = Window.partitionBy("outcome", "h.point").orderBy(F.desc("h.ratio"), "feature")
+    names = (found.select("outcome", "feature", F.explode("hits").alias("h")).withColumn("rank", F.row_number().over(w))
+                  .where(F.col("rank") <= enter).select("outcome", "feature").distinct())
+    return found.drop("hits").join(names, ["outcome", "feature"], "left_semi")
+
+
+def largest_scores(d: Design, m: int = 1) -> DataFrame:
+    """(outcome, feature, score): the ``m`` columns of each outcome with the largest |z_j' (y - mean)| / n."""
+    pattern = {r.outcome: r.pattern for r in d.op.select("outcome", "pattern").collect()}
+    series = {o: g.sort_values("period")["y"].to_numpy(dtype=float) for o, g in d.y.toPandas().groupby("outcome")}
+    points: dict = {}
+    for o, y in series.items():
+        points.setdefault(pattern[o], []).append((o, (y - y.mean()) / len(y)))
+    months = {pattern[o]: len(y) for o, y in series.items()}
+    points = {p: ([x[0] for x in v], [0] * len(v), np.array([x[1] for x in v]).T) for p, v in points.items()}
+    from pyspark.sql import Window
+    w = Window.partitionBy("outcome").orderBy(F.desc("score"), "feature")
+    found = _worst(d.blocks, points, months, {}, m, 0.0).select("outcome", "feature", F.explode("hits.ratio").alias("score"))
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= m).drop("rank")
+
+
+def lasso_path(d: Design, alphas: list[float] | None = None, m_init: int = 128, enter: int = ENTER,
+               max_rounds: int = 1000) -> LassoPath:
+    """Every grid point of every outcome, each certified over all features."""
+    alphas = sorted(alphas if alphas is not None else log_grid(-6, 1, 200), reverse=True)
+    spark = d.y.sparkSession
+    ship_package(spark)
     grid = np.asarray(alphas, dtype=float)
-    bkt = F.pmod(F.xxhash64("feature"), F.lit(nb)).cast("int")
-    none_s, none_d, none_i = F.lit(None).cast("string"), F.lit(None).cast("double"), F.lit(None).cast("int")
-    cells = d.features.values.select(bkt.alias("b"), F.lit("x").alias("kind"), none_s.alias("outcome"), "feature",
-                                     "period", "value", none_s.alias("pattern"), none_d.alias("sigma"))
-    moms = d.moments.select(bkt.alias("b"), F.lit("m").alias("kind"), none_s.alias("outcome"), "feature",
-                            F.lit(None).cast("date").alias("period"), none_d.alias("value"),
-                            F.col("pattern").cast("string").alias("pattern"), "sigma")
-    cands = cand.select(bkt.alias("b"), F.lit("c").alias("kind"), "outcome", "feature",
-                        F.lit(None).cast("date").alias("period"), none_d.alias("value"),
-                        none_s.alias("pattern"), none_d.alias("sigma"))
-    left = cells.unionByName(moms).unionByName(cands)
-    ids = F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("b")
-    res = (path.where(F.col("kind") == "rfull").join(F.broadcast(d.op), "outcome")
-               .select(ids, "outcome", "period", "first_idx", "resid",
-                       F.col("pattern").cast("string").alias("pattern"), "n"))
-
-    def check(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-        if lp.empty or rp.empty:
-            return pd.DataFrame(columns=["outcome", "feature"])
-        x = lp[lp["kind"] == "x"]
-        m = lp[lp["kind"] == "m"]
-        c = lp[lp["kind"] == "c"]
-        feats = sorted(m["feature"].unique())
-        if not feats:
-            return pd.DataFrame(columns=["outcome", "feature"])
-        fidx = {f: j for j, f in enumerate(feats)}
-        periods = sorted(rp["period"].unique())
-        pidx = {p: i for i, p in enumerate(periods)}
-        x = x[x["feature"].isin(fidx.keys()) & x["period"].isin(pidx.keys())]
-        xi = x["period"].map(pidx).to_numpy()
-        xj = x["feature"].map(fidx).to_numpy()
-        xv = x["value"].to_numpy(dtype=float)
-        dense = len(periods) * len(feats) <= 4_000_000
-        if dense:
-            X = np.zeros((len(periods), len(feats)))
-            X[xi, xj] = xv
-        sig = m.set_index(["pattern", "feature"])["sigma"]
-        feats_arr = np.array(feats, dtype=object)
-        out = []
-        for outcome, g in rp.groupby("outcome"):
-            first = int(g["first_idx"].iloc[0])
-            n = float(g["n"].iloc[0])
-            pat = g["pattern"].iloc[0]
-            Rm = np.zeros((len(periods), len(g["resid"].iloc[0])))
-            Rm[g["period"].map(pidx).to_numpy()] = np.vstack(g["resid"].to_numpy())
-            if dense:
-                S = np.abs(X.T @ Rm)                   # features x solved alphas
-            else:                                      # sparse accumulation, bounded chunks
-                S = np.zeros((len(feats), Rm.shape[1]))
-                for s0 in range(0, len(xv), 100_000):
-                    sl = slice(s0, s0 + 100_000)
-                    np.add.at(S, xj[sl], xv[sl, None] * Rm[xi[sl]])
-                S = np.abs(S)
-            sd = sig.reindex(pd.MultiIndex.from_arrays([[pat] * len(feats), feats])).to_numpy(dtype=float)
-            ok = ~np.isnan(sd)
-            a = grid[first:first + Rm.shape[1]]
-            hit = np.zeros(len(feats), dtype=bool)
-            hit[ok] = (S[ok] / (n * sd[ok, None]) - a[None, :] * (1 + tol) > 1e-12).any(axis=1)
-            cands = set(c.loc[c["outcome"] == outcome, "feature"])
-            out.extend((outcome, f) for f in feats_arr[hit] if f not in cands)
-        return pd.DataFrame(out, columns=["outcome", "feature"])
-
-    return left.groupBy("b").cogroup(res.groupBy("b")).applyInPandas(check, VIOL_SCHEMA)
-
-
-def lasso_path(d: Design, alphas: list[float] | None = None, max_nnz: int | None = None,
-               m_init: int = 128, tol: float = 1e-9, max_rounds: int = 1000) -> LassoPath:
-    alphas = list(alphas) if alphas is not None else log_grid(-6, 1, 200)
-    alphas = sorted(alphas, reverse=True)
-    ship_package(d.y.sparkSession)
-    scores = standardised_scores(d)
-    cand = top_per_group(scores, "outcome", F.desc(F.abs("score")), m_init).select("outcome", "feature")
-    cand = cut_lineage(cand)
-    fit = _fit_fn(alphas, max_nnz)
-    # feature buckets for the optimality check: about FEATURES_PER_BUCKET
-    # columns each (sparse accumulation in-task), so the month-level residual
-    # matrix is replicated in proportion to the vocabulary, not to the cluster
-    n_feat = d.moments.count()   # >= distinct features (one row per pattern); no shuffle
-    sp = int(d.y.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    nb = int(min(max(8, -(-n_feat // FEATURES_PER_BUCKET)), max(8, sp)))
-    rounds = 0
+    pattern = {r.outcome: (r.pattern, r.n) for r in d.op.select("outcome", "pattern", "n").collect()}
+    months = {p: n for p, n in pattern.values()}
+    # the outcomes themselves as residuals: the columns with the largest scores start the sets
+    series = {o: g.sort_values("period")["y"].to_numpy(dtype=float) for o, g in d.y.toPandas().groupby("outcome")}
+    resid = {(o, 0): y - y.mean() for o, y in series.items()}
+    scale = {(o, 0): len(y) * max(float(np.abs(y - y.mean()).max()), 1e-300) for o, y in series.items()}
+    known: dict[str, set[str]] = {}
+    sets, ended, rounds = None, [], 0
+    todo = {o: set(range(len(grid))) for o in series}
+    first = True
     debug = os.environ.get("MONTHLENS_DEBUG")
-    t0 = time.time()
-    while True:
+    while todo:
+        t0 = time.time()
+        points: dict = {}
+        for (o, i), r in resid.items():
+            points.setdefault(pattern[o][0], []).append((o, i, r / (scale[o, i] if first else len(r) * grid[i])))
+        points = {p: ([x[0] for x in v], [x[1] for x in v], np.array([x[2] for x in v]).T) for p, v in points.items()}
+        worst = cut_lineage(_worst(d.blocks, points, months, known, m_init if first else enter, 0.0 if first else 1 + TOLERANCE))
+        found = cut_lineage(_entering(worst, m_init if first else enter))
+        names = found.select("outcome", "feature").collect()      # bounded by the points that are open
+        if not first:
+            hit = worst.select("outcome", F.explode("hits.point").alias("point")).distinct().collect()
+            breached: dict[str, set[int]] = {}
+            for r in hit:
+                breached.setdefault(r.outcome, set()).add(points[pattern[r.outcome][0]][1][r.point])
+            todo = breached
+        if debug:
+            print(f"[lasso] round {rounds}: pass {time.time() - t0:.1f}s points {len(resid)} open {sum(map(len, todo.values()))} new {len(names)}", file=sys.stderr, flush=True)
+        first = False
+        if not todo:
+            break
+        for r in names:
+            known.setdefault(r.outcome, set()).add(r.feature)
+        sets = found if sets is None else cut_lineage(sets.unionByName(found))
         rounds += 1
-        cm = (cand.join(F.broadcast(d.op), "outcome")
-                  .join(d.moments, ["pattern", "feature"])
-                  .select("outcome", "feature", "mu", "sigma"))
-        cells = d.features.values.join(cm, "feature").select("outcome", "feature", "period", "value", "mu", "sigma")
-        path = (cells.groupBy("outcome").cogroup(d.y.groupBy("outcome"))
-                     .applyInPandas(fit, PATH_SCHEMA))
-        path = cut_lineage(path)
-        t1 = time.time()
-        viol = _violators(d, path, cand, alphas, tol, nb)
-        viol = cut_lineage(viol)
+        if rounds > max_rounds:
+            raise RuntimeError("the Lasso path did not converge")
+        t0 = time.time()
+        is_open = F.col("outcome").isin(*todo)
+        path = cut_lineage(sets.where(is_open).groupBy("outcome").cogroup(d.y.where(is_open).groupBy("outcome"))
+                               .applyInPandas(_solver(alphas), PATH_SCHEMA))
+        ended = [(df, outs - set(todo)) for df, outs in ended] + [(path, set(todo))]
+        rows = path.where(F.col("nnz") > 0).select("outcome", "alpha_idx", "resid").toPandas()
+        # certified points stay so; above the largest score, which the set has, nothing is active
+        resid = {(o, int(i)): np.asarray(r) for o, i, r in zip(rows["outcome"], rows["alpha_idx"], rows["resid"]) if i in todo[o]}
         if debug:
-            print(f"[lasso] round {rounds}: path {t1 - t0:.1f}s check {time.time() - t1:.1f}s "
-                  f"cand {cand.count()} viol {viol.count()}", file=sys.stderr, flush=True)
-            t0 = time.time()
-        if viol.isEmpty() or rounds >= max_rounds:
-            if rounds >= max_rounds and not viol.isEmpty():
-                raise RuntimeError("Lasso optimality check did not converge")
+            print(f"[lasso] round {rounds}: path {time.time() - t0:.1f}s sets {sum(map(len, known.values()))} largest {max(map(len, known.values()))}", file=sys.stderr, flush=True)
+        if not resid:
             break
-        cand = cut_lineage(cand.unionByName(viol).distinct())
-    coefs = path.where(F.col("kind") == "coef").select("outcome", "alpha_idx", "alpha", "feature", "coef")
-    nnz = path.where(F.col("kind") == "nnz").select("outcome", "alpha_idx", "alpha", "nnz")
-    return LassoPath(d, alphas, coefs, nnz, rounds)
+    solved = None
+    for df, outs in ended:
+        if outs:
+            part = df.where(F.col("outcome").isin(*outs))
+            solved = part if solved is None else solved.unionByName(part)
+    if solved is None:
+        raise ValueError("no outcome has aligned months")
+    pairs = F.explode(F.arrays_zip(F.col("features").alias("feature"), F.col("coefs").alias("coef"))).alias("c")
+    coefs = solved.select("outcome", "alpha_idx", "alpha", pairs).select("outcome", "alpha_idx", "alpha", "c.feature", "c.coef")
+    return LassoPath(d, alphas, coefs, solved.select("outcome", "alpha_idx", "alpha", "nnz"), rounds, sets)
 
 
 def select_k(path: LassoPath, ks: list[int]) -> DataFrame:

@@ -71,6 +71,38 @@ def ols_groups(groups: DataFrame, selected: DataFrame, values: DataFrame, y: Dat
                  .applyInPandas(_fn(keys), _schema(keys, key_types)))
 
 
+def first_reaching(selected: DataFrame, columns: DataFrame, y: DataFrame, targets: DataFrame) -> DataFrame:
+    """Per outcome the smallest k whose OLS reaches the target R².
+
+    selected  outcome, k, feature     (k features each)
+    columns   outcome, feature, x     (raw values over the outcome's months, in order)
+    y         outcome, period, y;  targets  outcome, target_r2
+    -> outcome, k_match int, matched_r2   (outcomes that never reach it are absent)
+
+    A group holds one outcome's working columns and its sizes (both bounded by the months)."""
+    ship_package(selected.sparkSession)
+    sizes = selected.groupBy("outcome", "feature").agg(F.collect_set("k").alias("ks"))
+    left = columns.select("outcome", "feature", "x").join(sizes, ["outcome", "feature"])
+
+    def tried(key, cols: pd.DataFrame, ys: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame(columns=["outcome", "k_match", "matched_r2"])
+        if cols.empty or ys.empty:
+            return empty
+        ys = ys.sort_values("period")
+        yv, target = ys["y"].to_numpy(dtype=float), float(ys["target_r2"].iloc[0])
+        cols = cols.sort_values("feature")
+        X = np.vstack(cols["x"].to_numpy()).T
+        member = [set(ks) for ks in cols["ks"]]
+        for k in sorted(set().union(*member)):
+            r2 = ols(X[:, [j for j, ks in enumerate(member) if k in ks]], yv)["r2"]
+            if r2 >= target:
+                return pd.DataFrame([(key[0], int(k), float(r2))], columns=empty.columns)
+        return empty
+
+    series = y.join(F.broadcast(targets.select("outcome", "target_r2")), "outcome")
+    return left.groupBy("outcome").cogroup(series.groupBy("outcome")).applyInPandas(tried, "outcome string, k_match int, matched_r2 double")
+
+
 def with_stars(df: DataFrame) -> DataFrame:
     """Adds the significance marker to each term."""
     from monthlens.functions.text import stars

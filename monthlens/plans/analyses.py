@@ -17,6 +17,7 @@ from monthlens.operators import inference as I
 from monthlens.operators import lasso as L
 from monthlens.operators import ols as O
 from monthlens.operators import vectorize as V
+from monthlens.session import cut_lineage
 from monthlens.sources import tables as S
 
 # --- fixed values: k sweeps and grids ----------------------
@@ -60,19 +61,11 @@ def generated_articles(spark: SparkSession, sf: str, variants=("base",), tempera
 
 # ------------------------------------------------------------------ lasso -> ols
 def lasso_ols(spark: SparkSession, sf: str, rep: str | V.Features | D.Design, ks=(5,), outcomes=None,
-              complete_months_only: bool = False, max_nnz: int | None = None) -> DataFrame:
-    """Lasso-select exactly k features per outcome, then OLS on the raw
-    selected columns. One row per (outcome, k).
-
-    Topics and embeddings (fewer features than a few hundred) are solved over
-    the whole grid. For representations with far more features than months the
-    path ends after the first grid point with more than ``max_nnz`` features,
-    4 * max(ks) unless given; the README says what that leaves out."""
+              complete_months_only: bool = False) -> DataFrame:
+    """Lasso-select exactly k features per outcome over the whole grid, then
+    OLS on the raw selected columns. One row per (outcome, k)."""
     des = rep if isinstance(rep, D.Design) else design(spark, sf, rep, outcomes, complete_months_only)
-    if max_nnz is None and des.features.rep not in ("topics", "embeddings"):
-        max_nnz = 4 * max(ks)
-    path = L.lasso_path(des, log_grid(*LASSO_GRID), max_nnz=max_nnz)
-    return select_and_fit(des, path, ks, des.features.rep)
+    return select_and_fit(des, L.lasso_path(des, log_grid(*LASSO_GRID)), ks, des.features.rep)
 
 
 def design(spark: SparkSession, sf: str, rep: str | V.Features, outcomes=None,
@@ -87,7 +80,7 @@ def design(spark: SparkSession, sf: str, rep: str | V.Features, outcomes=None,
 def select_and_fit(des: D.Design, path: L.LassoPath, ks, rep: str) -> DataFrame:
     picks = L.select_k(path, list(ks))
     sel = L.selected_features(path, picks)
-    res = O.ols_groups(picks.select("outcome", "k"), sel, des.features.values, des.y, ["outcome", "k"])
+    res = O.ols_groups(picks.select("outcome", "k"), sel, path.cells(), des.y, ["outcome", "k"])
     res = res.join(picks.select("outcome", "k", "alpha", "nnz"), ["outcome", "k"])
     return (O.with_stars(res)
             .select(F.lit(rep).alias("rep"), "outcome", "k", "alpha", "nnz", "n", "n_features", "r2", "adj_r2",
@@ -121,39 +114,21 @@ def selection_frequency(res: DataFrame, top: int = 25) -> DataFrame:
 
 # ------------------------------------------------------------------ k to match
 def k_to_match(spark: SparkSession, sf: str, rep: str | V.Features | D.Design, targets: DataFrame,
-               complete_months_only: bool = False, start_k: int = 8) -> DataFrame:
+               complete_months_only: bool = False, path: L.LassoPath | None = None) -> DataFrame:
     """Smallest support size k (fine grid, smallest alpha per k) whose OLS R²
     reaches the outcome's target R². ``targets(outcome, target_r2)``.
     -> (outcome, target_r2, k_match, matched_r2); NULL when never reached.
 
-    Staged: the path is solved only until its support exceeds m; a path
-    stopped there is an exact prefix of the full path, so every k <= m is
-    final. Outcomes that reach their target stop; the rest continue with m
-    doubled until the grid is exhausted. A support size that comes back after
-    the stop is not seen (see the README)."""
-    targets = targets.cache()
+    One path over the whole grid (``path``, where it was solved before): every
+    support size that occurs is tried."""
+    targets = cut_lineage(targets)
     names = [r[0] for r in targets.select("outcome").collect()]   # outcome names only
-    des = rep if isinstance(rep, D.Design) else design(spark, sf, rep, names, complete_months_only)
-    grid = log_grid(*LASSO_FINE_GRID)
-    pending, found, m = list(names), None, start_k
-    while pending:
-        sub = D.Design(des.features, des.y.where(F.col("outcome").isin(*pending)),
-                       des.op.where(F.col("outcome").isin(*pending)), des.pp, des.moments)
-        path = L.lasso_path(sub, grid, max_nnz=m)
-        picks = L.exact_k_points(path).where(F.col("k") <= m)
-        sel = L.selected_features(path, picks)
-        res = O.ols_groups(picks.select("outcome", "k"), sel, des.features.values, sub.y, ["outcome", "k"])
-        hit = (res.join(targets, "outcome").where(F.col("r2") >= F.col("target_r2"))
-                  .groupBy("outcome").agg(F.min_by(F.struct("k", "r2"), "k").alias("m")))
-        hit = hit.cache()
-        found = hit if found is None else found.unionByName(hit)
-        done = {r[0] for r in hit.select("outcome").collect()}
-        solved = {r[0]: r[1] for r in path.nnz.groupBy("outcome").agg(F.count("*")).collect()}
-        exhausted = {o for o, c in solved.items() if c >= len(grid)}
-        pending = [o for o in pending if o not in done and o not in exhausted and o in solved]
-        m *= 2
-    return (targets.join(found, "outcome", "left")
-                   .select("outcome", "target_r2", F.col("m.k").alias("k_match"), F.col("m.r2").alias("matched_r2")))
+    if path is None:
+        des = rep if isinstance(rep, D.Design) else design(spark, sf, rep, names, complete_months_only)
+        path = L.lasso_path(des, log_grid(*LASSO_FINE_GRID))
+    path, des = path.on(log_grid(*LASSO_FINE_GRID)), path.design
+    found = O.first_reaching(L.selected_features(path, L.exact_k_points(path)), path.columns, des.y, targets)
+    return targets.join(found, "outcome", "left").select("outcome", "target_r2", "k_match", "matched_r2")
 
 
 def compare_reps(a: DataFrame, b: DataFrame, name_a: str, name_b: str) -> DataFrame:
@@ -182,7 +157,7 @@ def representation_table(spark: SparkSession, sf: str, outcome: str = "mret", k:
     for rep in ("topics", "counts", "tfidf", "generated", "embeddings"):
         des = design(spark, sf, rep, [outcome])
         size = des.features.values.agg(F.count_distinct("feature").alias("p"))
-        row = lasso_ols(spark, sf, des, ks=(k,)).crossJoin(F.broadcast(size))   # one row each
+        row = lasso_ols(spark, sf, des, ks=(k,)).withColumn("p", F.lit(size.first()["p"]))
         out = row if out is None else out.unionByName(row)
     return out.select("rep", "outcome", "k", "p", "nnz", "n", "r2", "adj_r2", "f_pvalue")
 

@@ -82,10 +82,10 @@ def q_count_moments(spark, sf):
 @query("lasso_alpha_max")
 def q_alpha_max(spark, sf):
     from monthlens.operators import design as D
+    from monthlens.operators import lasso as L
     f = V.monthly_counts(S.articles(spark, sf))
     des = D.build_design(f, S.outcomes(spark, sf, complete_months_only=False))
-    s = D.standardised_scores(des)
-    return s.groupBy("outcome").agg(r(F.max(F.abs("score")), 6).alias("alpha_max"))
+    return L.largest_scores(des).select("outcome", r("score", 6).alias("alpha_max"))
 
 
 # ----------------------------------------------------------- lasso -> ols
@@ -121,10 +121,13 @@ def q_selection_frequency(spark, sf):
 def q_counts_vs_topics(spark, sf):
     from monthlens.plans import analyses as A
     t = _lasso_all(spark, sf, "topics")
-    dc = A.design(spark, sf, "counts")          # one counts design for both selections
-    c = A.order_terms_by_abs_coef(A.lasso_ols(spark, sf, dc, ks=(5,)))
+    # one path over the points of both grids: k = 5 on the one, k to match on the other
+    grid, fine = A.log_grid(*A.LASSO_GRID), A.log_grid(*A.LASSO_FINE_GRID)
+    des = A.design(spark, sf, "counts")
+    path = A.L.lasso_path(des, sorted({*grid, *fine}))
+    c = A.order_terms_by_abs_coef(A.select_and_fit(des, path.on(grid), (5,), "counts"))
     cmp = A.compare_reps(t, c, "topics", "counts")
-    km = A.k_to_match(spark, sf, dc, t.select("outcome", F.col("r2").alias("target_r2")))
+    km = A.k_to_match(spark, sf, des, t.select("outcome", F.col("r2").alias("target_r2")), path=path)
     return cmp.join(km.drop("target_r2"), "outcome", "left")
 
 
@@ -328,6 +331,12 @@ def q_oos_ridge_lasso(spark, sf):
     return RP.oos_ridge_lasso_compare(spark, sf)
 
 
+@query("oos_lasso_words")
+def q_oos_lasso_words(spark, sf):
+    from monthlens.plans import ridge_plans as RP
+    return RP.lasso_cv_words(spark, sf)
+
+
 @query("recover_topics_summary")
 def q_recover_summary(spark, sf):
     from monthlens.plans import ridge_plans as RP

@@ -117,7 +117,16 @@ def oos_ridge_lasso_compare(spark: SparkSession, sf: str, target: str = "indprol
     out = None
     for rep, alphas in (("topics", CMP_ALPHAS_TOPICS), ("counts", CMP_ALPHAS_COUNTS)):
         f = features(spark, sf, rep)
-        r = compare_models(f, y, ["ridge"], alphas).unionByName(lasso_kfold(f, y))
+        r = compare_models(f, y, ["ridge"], alphas).unionByName(lasso_kfold(f, y)[0])
         r = r.withColumn("rep", F.lit(rep))
         out = r if out is None else out.unionByName(r)
     return out.select("rep", "model", "alpha", "oos_r2", "oos_mse", "n_train", "n_test", "n_features")
+
+
+def lasso_cv_words(spark: SparkSession, sf: str, target: str = "indprol1") -> DataFrame:
+    """The words that the 5-fold Lasso on counts picks, with their coefficients on the scaled
+    counts, largest first."""
+    from monthlens.operators.cv import lasso_kfold
+    from monthlens.plans.analyses import features
+    y = S.outcomes(spark, sf, complete_months_only=False, names=[target]).select("period", "y")
+    return lasso_kfold(features(spark, sf, "counts"), y)[1].select("rank", F.col("feature").alias("word"), "coef")

@@ -62,7 +62,8 @@ def test_lasso_kfold_matches_numpy(spark):
     f, _ = to_spark(spark, X, {})
     per = months(40)
     ys = spark.createDataFrame([(per[i], float(y[i])) for i in range(40)], "period date, y double")
-    got = CV.lasso_kfold(f, ys, k=5, n_alphas=30).first()
+    scores, words = CV.lasso_kfold(f, ys, k=5, n_alphas=30)
+    got = scores.first()
     ntr = 32
     Xs = X / X[:ntr].std(0)
     Xtr, ytr = Xs[:ntr], y[:ntr]
@@ -84,3 +85,6 @@ def test_lasso_kfold_matches_numpy(spark):
     assert got.alpha == pytest.approx(grid[best], rel=1e-9)
     assert got.oos_r2 == pytest.approx(r2_score(y[ntr:], pred), rel=1e-6)
     assert got.n_features == np.count_nonzero(C[best])
+    picked = words.orderBy("rank").collect()
+    want = sorted(((abs(c), f"f{j:02d}", c) for j, c in enumerate(C[best]) if c), reverse=True)
+    assert [r.feature for r in picked] == [w[1] for w in want] and [r.coef for r in picked] == pytest.approx([w[2] for w in want], rel=1e-6)

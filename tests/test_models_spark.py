@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from monthlens.functions.stats import lasso_path_homotopy, ols, r2_score, ridge_loo_dual
 from monthlens.functions.text import log_grid
+from monthlens.operators import columns as C
 from monthlens.operators import design as D
 from monthlens.operators import lasso as L
 from monthlens.operators import ols as O
@@ -70,7 +71,7 @@ def test_distributed_lasso_equals_dense_path(spark):
     f, out = to_spark(spark, X, {"a": y1, "b": y2}, drop_last_for="b")
     des = D.build_design(f, out)
     grid = log_grid(-4, 1, 40)
-    path = L.lasso_path(des, grid, max_nnz=None, m_init=2)     # tiny candidate set -> check rounds
+    path = L.lasso_path(des, grid, m_init=2, enter=1)     # tiny working sets -> check rounds
     assert path.rounds >= 2
     nnz = {(r.outcome, r.alpha_idx): r.nnz for r in path.nnz.collect()}
     coefs = {(r.outcome, r.alpha_idx, r.feature): r.coef for r in path.coefs.collect()}
@@ -86,7 +87,7 @@ def test_distributed_lasso_equals_dense_path(spark):
 def test_twin_classes_keep_first_name(spark):
     X, y1, _ = fixture()
     f, _ = to_spark(spark, X, {"a": y1})
-    tw = {r.feature: r.class_size for r in D.twin_classes(f.values).collect()}
+    tw = {r.feature: r.class_size for r in C.columns(f.values, f.periods.select(F.lit(1).cast("long").alias("pattern"), "period")).collect()}
     assert "f20" in tw and "f21" not in tw and tw["f20"] == 2
 
 
@@ -169,15 +170,15 @@ def test_expanding_ridge_and_no_lookahead(spark):
     assert np.allclose(got.loc[keep, "pred"], got2.loc[keep, "pred"])
 
 
-def test_staged_k_to_match_equals_full_grid(spark):
+def test_k_to_match_equals_ols_at_every_size(spark):
     from monthlens.plans import analyses as A
     X, y1, y2 = fixture(7, n=40, p=60)
     f, out = to_spark(spark, X, {"a": y1, "b": y2})
     des = D.build_design(f, out)
     targets = spark.createDataFrame([("a", 0.5), ("b", 0.3)], "outcome string, target_r2 double")
-    staged = {r.outcome: (r.k_match, r.matched_r2) for r in A.k_to_match(spark, "", des, targets, start_k=2).collect()}
+    staged = {r.outcome: (r.k_match, r.matched_r2) for r in A.k_to_match(spark, "", des, targets).collect()}
     # full grid in one go: OLS at the smallest alpha of every support size
-    path = L.lasso_path(des, log_grid(*A.LASSO_FINE_GRID), max_nnz=None)
+    path = L.lasso_path(des, log_grid(*A.LASSO_FINE_GRID))
     picks = L.exact_k_points(path)
     res = O.ols_groups(picks.select("outcome", "k"), L.selected_features(path, picks), des.features.values, des.y,
                        ["outcome", "k"]).toPandas()
@@ -196,7 +197,7 @@ def test_results_do_not_depend_on_partitioning(spark):
 
     def run(parts):
         ff = Features("t", f.values.repartition(parts), f.periods.repartition(parts))
-        p = L.lasso_path(D.build_design(ff, out.repartition(parts)), grid, max_nnz=None, m_init=5)
+        p = L.lasso_path(D.build_design(ff, out.repartition(parts)), grid, m_init=5)
         return sorted((r.alpha_idx, r.feature, round(r.coef, 10)) for r in p.coefs.collect())
 
     assert run(1) == run(7)
