@@ -2,8 +2,7 @@
 kernel), plain OLS and K-fold Lasso, all fitted on training months only.
 
 Everything Ridge-like runs in the dual on K0[s,t] = sum_j x_sj x_tj / sigma_j^2
-with sigma from the TRAINING months (Spark aggregate over month pairs that
-share a feature). Translation-invariant pieces (RBF distances) and the
+with sigma from the TRAINING months (summed over blocks of columns). Translation-invariant pieces (RBF distances) and the
 intercept's centring are taken in-task on the months x months matrix.
 
 A Nystroem map whose component count exceeds the training rows uses every
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from monthlens.functions.stats import r2_score
-from monthlens.operators.ridge import gram0
+from monthlens.operators.gram import gram, packed
 from monthlens.operators.vectorize import Features
 from monthlens.session import cut_lineage, ship_package
 
@@ -75,36 +74,6 @@ def rbf_from_gram(K0: np.ndarray, train: np.ndarray) -> np.ndarray:
 MODEL_SCHEMA = "model string, alpha double, oos_r2 double, oos_mse double, n_train int, n_test int, n_features long"
 
 
-def _solve_fn(alphas: list[float], k: int):
-    grid = np.asarray(alphas, dtype=float)
-
-    def solve(key, pdf):
-        model = key[0]
-        ys = pdf[pdf["kind"] == "y"].sort_values("t")
-        ts = ys["t"].to_numpy(dtype=int)
-        pos = {t: i for i, t in enumerate(ts)}
-        n = len(ts)
-        K = np.zeros((n, n))
-        kk = pdf[pdf["kind"] == "k"]
-        K[kk["ta"].map(pos).to_numpy(), kk["tb"].map(pos).to_numpy()] = kk["k0"].to_numpy(dtype=float)
-        train = (ys["split"] == "train").to_numpy()
-        y = ys["y"].to_numpy(dtype=float)
-        p = int(pdf["p"].dropna().iloc[0]) if pdf["p"].notna().any() else 0
-        if model.startswith("rbf"):
-            K = rbf_from_gram(K, train)
-        Ktr, Kte = K[np.ix_(train, train)], K[np.ix_(~train, train)]
-        if model.startswith("ols"):
-            alpha = 0.0
-        else:
-            alpha, _ = kfold_alpha(Ktr, y[train], grid, k)
-        pred = dual_predict(Ktr, y[train], Kte, alpha)
-        yt = y[~train]
-        return pd.DataFrame([(model, alpha, r2_score(yt, pred), float(np.mean((yt - pred) ** 2)),
-                              int(train.sum()), int((~train).sum()), p)],
-                            columns=["model", "alpha", "oos_r2", "oos_mse", "n_train", "n_test", "n_features"])
-    return solve
-
-
 def split_rows(f: Features, y: DataFrame, train_frac: float = 0.8) -> DataFrame:
     """Months in both the feature set and the non-null target, with position t
     and 'train' / 'test' split (first floor(train_frac n) months train)."""
@@ -113,17 +82,13 @@ def split_rows(f: Features, y: DataFrame, train_frac: float = 0.8) -> DataFrame:
     return cut_lineage(chrono_split(rows, train_frac))
 
 
-def train_scaled_gram(f: Features, rows: DataFrame) -> DataFrame:
-    """K0 over all rows with 1/sigma^2 weights from the training months only
-    (population std, implicit zeros; zero-variance features dropped)."""
-    tr = rows.where(F.col("split") == "train").select("period")
-    n = tr.count()
-    vals = f.values.join(F.broadcast(rows.select("period")), "period")
-    m = (vals.join(F.broadcast(tr), "period").groupBy("feature")
-             .agg(F.sum("value").alias("s1"), F.sum(F.col("value") ** 2).alias("s2")))
-    var = F.col("s2") / n - (F.col("s1") / n) ** 2
-    w = m.where(var > 1e-12 * F.col("s2") / n).select("feature", (1.0 / var).alias("w"))
-    return gram0(Features(f.rep, vals, rows.select("period")), w)
+def train_scaled_gram(f: Features, rows: DataFrame) -> tuple[np.ndarray, list]:
+    """(Gram over all rows, the rows in order): columns scaled by their population std
+    over the training months only; zero-variance features dropped."""
+    order = [(r.t, r.y, r.split) for r in rows.orderBy("t").collect()]     # one row a month
+    inside = f.values.join(F.broadcast(rows.select("period")), "period")
+    train = np.array([s == "train" for _, _, s in order])
+    return gram(packed(inside, rows.select("period")), len(order), train), order
 
 
 def compare_models(f: Features, y: DataFrame, models: list[str], alphas: list[float], k: int = 5,
@@ -133,19 +98,25 @@ def compare_models(f: Features, y: DataFrame, models: list[str], alphas: list[fl
     spark = y.sparkSession
     ship_package(spark)
     rows = split_rows(f, y, train_frac)
-    k0 = cut_lineage(train_scaled_gram(f, rows))
+    K0, order = train_scaled_gram(f, rows)                     # months squared
+    train = np.array([s == "train" for _, _, s in order])
+    yv = np.array([v for _, v, _ in order], dtype=float)
     p = f.values.select("feature").distinct().count()
-    t = rows.select("period", "t")
-    kt = (k0.join(F.broadcast(t.withColumnRenamed("period", "period_a").withColumnRenamed("t", "ta")), "period_a")
-            .join(F.broadcast(t.withColumnRenamed("period", "period_b").withColumnRenamed("t", "tb")), "period_b"))
-    mods = F.explode(F.array(*[F.lit(m) for m in models])).alias("model")
-    left = kt.select(mods, F.lit("k").alias("kind"), "ta", "tb", "k0", F.lit(None).cast("int").alias("t"),
-                     F.lit(None).cast("double").alias("y"), F.lit(None).cast("string").alias("split"),
-                     F.lit(None).cast("long").alias("p"))
-    right = rows.select(mods, F.lit("y").alias("kind"), F.lit(None).cast("int").alias("ta"),
-                        F.lit(None).cast("int").alias("tb"), F.lit(None).cast("double").alias("k0"),
-                        "t", "y", "split", F.lit(p).cast("long").alias("p"))
-    return left.unionByName(right).groupBy("model").applyInPandas(_solve_fn(alphas, k), MODEL_SCHEMA)
+    grid = np.asarray(alphas, dtype=float)
+
+    def solve(batches):
+        for pdf in batches:
+            out = []
+            for model in pdf["model"]:
+                K = rbf_from_gram(K0, train) if model.startswith("rbf") else K0
+                Ktr, Kte = K[np.ix_(train, train)], K[np.ix_(~train, train)]
+                alpha = 0.0 if model.startswith("ols") else kfold_alpha(Ktr, yv[train], grid, k)[0]
+                pred = dual_predict(Ktr, yv[train], Kte, alpha)
+                out.append((model, alpha, r2_score(yv[~train], pred), float(np.mean((yv[~train] - pred) ** 2)),
+                            int(train.sum()), int((~train).sum()), p))
+            yield pd.DataFrame(out, columns=["model", "alpha", "oos_r2", "oos_mse", "n_train", "n_test", "n_features"])
+
+    return spark.createDataFrame([(m,) for m in models], "model string").repartition(len(models)).mapInPandas(solve, MODEL_SCHEMA)
 
 
 def lasso_kfold(f: Features, y: DataFrame, k: int = 5, n_alphas: int = 100, eps: float = 1e-3,

@@ -1,11 +1,10 @@
 """Ridge regression with a free intercept over long period features.
 
-Key identity: with centring matrix J, the centred Gram J K J of standardised
-features equals J K0 J with K0[s,t] = sum_j x_sj x_tj / sigma_j^2 (scaled but
-uncentred), because the mean terms are rank-one in the all-ones direction.
-So Spark only aggregates K0 over month pairs that share a feature (self-join
-on feature); the n x n centring and eigen-solves happen inside grouped tasks,
-and n is the number of months (calendar-bounded).
+Everything goes through the months x months Gram of the scaled features (dual form): Spark
+sums it over blocks of columns (operators/gram.py), and the eigen-solves happen on
+n x n matrices, n being the number of months (calendar-bounded). Shifting a
+column changes nothing once the Gram is centred, so columns are taken less a
+mean or a first value where that is better conditioned.
 
 Alpha choice is leave-one-out in closed form:
 H = Kc (Kc + aI)^-1 + 11'/n,  e = (y - Hy) / (1 - diag H),  pick min mean e².
@@ -19,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from monthlens.functions.stats import ridge_loo_dual
+from monthlens.operators.gram import expanding_grams, gram, packed
 from monthlens.operators.vectorize import Features
 from monthlens.session import cut_lineage, ship_package
 
@@ -29,103 +29,60 @@ def restrict(f: Features, periods: DataFrame) -> Features:
     return Features(f.rep, f.values.join(F.broadcast(p), "period"), p)
 
 
-def scale_weights(f: Features) -> DataFrame:
-    """(feature, w = 1/sigma^2) over the set's months, population std with
-    implicit zeros; zero-variance features dropped."""
-    n = f.periods.count()
-    m = f.values.groupBy("feature").agg(F.sum("value").alias("s1"), F.sum(F.col("value") ** 2).alias("s2"))
-    var = F.col("s2") / n - (F.col("s1") / n) ** 2
-    return m.where(var > 1e-12 * F.col("s2") / n).select("feature", (1.0 / var).alias("w"))
-
-
-def gram0(f: Features, weights: DataFrame | None = None) -> DataFrame:
-    """(period_a, period_b, k0) for month pairs sharing at least one feature."""
-    w = weights if weights is not None else scale_weights(f)
-    v = f.values.join(w, "feature").select("feature", "period", "value", "w")
-    a = v.select("feature", F.col("period").alias("period_a"), (F.col("value") * F.col("w")).alias("va"))
-    b = v.select("feature", F.col("period").alias("period_b"), F.col("value").alias("vb"))
-    return a.join(b, "feature").groupBy("period_a", "period_b").agg(F.sum(F.col("va") * F.col("vb")).alias("k0"))
+def month_order(periods: DataFrame) -> list:
+    """The months in order (calendar-bounded)."""
+    return sorted(r[0] for r in periods.select("period").distinct().collect())
 
 
 def centred_gram(f: Features) -> DataFrame:
-    """Double-centred Gram of the standardised features, (period_a, period_b, k),
-    for every pair of months. Built from K0 with row/column/grand means; a pair
-    that shares no feature has k0 = 0."""
-    k0 = cut_lineage(gram0(f))
-    n = f.periods.count()
-    row = k0.groupBy("period_a").agg((F.sum("k0") / n).alias("ra"))
-    col = k0.groupBy("period_b").agg((F.sum("k0") / n).alias("cb"))
-    grand = k0.agg((F.sum("k0") / (n * n)).alias("g")).first()["g"]
-    # every pair of months, from one calendar-bounded list of periods
-    every = f.periods.agg(F.sort_array(F.collect_set("period")).alias("ps"))
-    pairs = every.select(F.explode("ps").alias("period_a"), "ps").select("period_a", F.explode("ps").alias("period_b"))
-    none = F.lit(0.0)
-    return (pairs.join(k0, ["period_a", "period_b"], "left")
-                 .join(F.broadcast(row), "period_a", "left").join(F.broadcast(col), "period_b", "left")
-                 .select("period_a", "period_b", (F.coalesce("k0", none) - F.coalesce("ra", none)
-                                                  - F.coalesce("cb", none) + F.lit(grand or 0.0)).alias("k")))
+    """Centred Gram of the standardised features, (period_a, period_b, k), for
+    every pair of months."""
+    spark = f.values.sparkSession
+    order = month_order(f.periods)
+    if not order:
+        return spark.createDataFrame([], "period_a date, period_b date, k double")
+    K = gram(packed(f.values, f.periods), len(order))
+    return spark.createDataFrame([(a, b, float(K[i, j])) for i, a in enumerate(order) for j, b in enumerate(order)],
+                                 "period_a date, period_b date, k double")
 
 
 # ------------------------------------------------------------------ recovery
-def _dense_k0(kdf: pd.DataFrame, pidx: dict) -> np.ndarray:
-    n = len(pidx)
-    K = np.zeros((n, n))
-    if len(kdf):
-        K[kdf["period_a"].map(pidx).to_numpy(), kdf["period_b"].map(pidx).to_numpy()] = kdf["k0"].to_numpy(dtype=float)
-    return K
+#: Targets that one task solves together.
+TARGETS_PER_BLOCK = 2000
 
 
 def ridge_recovery(x: Features, targets: DataFrame, alphas: list[float], blocks: int | None = None) -> DataFrame:
     """Each target series (target, period, y; zeros implicit) regressed on all
     features of ``x`` over the months both cover; LOO alpha; in-sample R².
 
-    Targets are hashed into ``blocks`` groups; each group receives one copy
-    of K0 (months² entries) and solves the eigenproblem once for all its
+    Targets are hashed into blocks of about TARGETS_PER_BLOCK; the Gram (months²
+    numbers) goes to every block, which solves the eigenproblem once for all its
     targets. -> (target, n, alpha, r2, loo_mse)"""
     spark = targets.sparkSession
     ship_package(spark)
-    if blocks is None:   # ~2,000 targets per block, at least 8, at most the shuffle parallelism
-        n_t = targets.select("target").distinct().count()
-        sp = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        blocks = int(min(max(8, -(-n_t // 2000)), max(8, sp)))
+    schema = "target string, n int, alpha double, r2 double, loo_mse double"
     months = x.periods.join(targets.select("period").distinct(), "period")
     xs = restrict(x, months)
-    months = cut_lineage(xs.periods)
-    k0 = cut_lineage(gram0(xs))
+    order = month_order(xs.periods)
+    n = len(order)
+    if n < 3:
+        return spark.createDataFrame([], schema)
+    if blocks is None:
+        blocks = -(-targets.select("target").distinct().count() // TARGETS_PER_BLOCK) or 1
+    Kc = gram(packed(xs.values, xs.periods), n)
     grid = np.asarray(alphas, dtype=float)
-    kb = k0.withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    mb = months.withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    tv = (targets.join(F.broadcast(months), "period")
-                 .withColumn("blk", F.pmod(F.xxhash64("target"), F.lit(blocks)).cast("int")))
-    # every target (even all-zero over the months) must reach its block
-    tl = targets.select("target").distinct().withColumn("blk", F.pmod(F.xxhash64("target"), F.lit(blocks)).cast("int"))
-
-    left = kb.select("blk", F.lit("k").alias("kind"), "period_a", "period_b", "k0",
-                     F.lit(None).cast("string").alias("target"), F.lit(None).cast("double").alias("y"))
-    left = left.unionByName(mb.select("blk", F.lit("m").alias("kind"), F.col("period").alias("period_a"),
-                                      F.lit(None).cast("date").alias("period_b"), F.lit(None).cast("double").alias("k0"),
-                                      F.lit(None).cast("string").alias("target"), F.lit(None).cast("double").alias("y")))
-    left = left.unionByName(tl.select("blk", F.lit("t").alias("kind"), F.lit(None).cast("date").alias("period_a"),
-                                      F.lit(None).cast("date").alias("period_b"), F.lit(None).cast("double").alias("k0"),
-                                      "target", F.lit(None).cast("double").alias("y")))
-    left = left.unionByName(tv.select("blk", F.lit("y").alias("kind"), F.col("period").alias("period_a"),
-                                      F.lit(None).cast("date").alias("period_b"), F.lit(None).cast("double").alias("k0"),
-                                      "target", "y"))
+    index = spark.createDataFrame([(p, i) for i, p in enumerate(order)], "period date, t int")
+    # every target reaches its block, also one without a value in these months
+    cells = (targets.join(F.broadcast(index), "period", "left").where(F.col("y").isNotNull())
+                    .withColumn("blk", F.pmod(F.xxhash64("target"), F.lit(blocks)).cast("int")).select("blk", "target", "t", "y"))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        periods = sorted(pdf.loc[pdf["kind"] == "m", "period_a"].unique())
-        pidx = {p: i for i, p in enumerate(periods)}
-        n = len(periods)
-        K = _dense_k0(pdf[pdf["kind"] == "k"], pidx)
-        names = sorted(pdf.loc[pdf["kind"] == "t", "target"].unique())
-        if n < 3 or not names:
-            return pd.DataFrame(columns=["target", "n", "alpha", "r2", "loo_mse"])
-        ys = pdf[pdf["kind"] == "y"]
+        empty = pd.DataFrame(columns=["target", "n", "alpha", "r2", "loo_mse"])
+        names = sorted(pdf["target"].unique())
         Y = np.zeros((n, len(names)))
         tidx = {t: j for j, t in enumerate(names)}
-        Y[ys["period_a"].map(pidx).to_numpy(), ys["target"].map(tidx).to_numpy()] = ys["y"].to_numpy(dtype=float)
-        J = np.eye(n) - 1.0 / n
-        Kc = J @ K @ J
+        inside = pdf[pdf["t"].notna()]
+        Y[inside["t"].to_numpy(dtype=int), inside["target"].map(tidx).to_numpy(dtype=int)] = inside["y"].to_numpy(dtype=float)
         lam, U = np.linalg.eigh((Kc + Kc.T) / 2)
         lam = np.clip(lam, 0, None)
         U2 = U * U
@@ -133,7 +90,7 @@ def ridge_recovery(x: Features, targets: DataFrame, alphas: list[float], blocks:
         Y = Y[:, keep]
         names = [t for t, k in zip(names, keep) if k]
         if not names:
-            return pd.DataFrame(columns=["target", "n", "alpha", "r2", "loo_mse"])
+            return empty
         ybar = Y.mean(axis=0)
         UY = U.T @ (Y - ybar)                     # all targets of the block at once
         mse = np.empty((len(grid), Y.shape[1]))
@@ -152,9 +109,9 @@ def ridge_recovery(x: Features, targets: DataFrame, alphas: list[float], blocks:
             d = Y[:, cols] - ybar[cols]
             r2[cols] = 1.0 - ((Y[:, cols] - fit) ** 2).sum(axis=0) / (d * d).sum(axis=0)
         out = [(t, n, float(grid[best[j]]), float(r2[j]), float(mse[best[j], j])) for j, t in enumerate(names)]
-        return pd.DataFrame(out, columns=["target", "n", "alpha", "r2", "loo_mse"])
+        return pd.DataFrame(out, columns=empty.columns)
 
-    return left.groupBy("blk").applyInPandas(solve, "target string, n int, alpha double, r2 double, loo_mse double")
+    return cells.groupBy("blk").applyInPandas(solve, schema)
 
 
 # ------------------------------------------------------------------ expanding
@@ -166,45 +123,34 @@ def expanding_ridge(x: Features, y: DataFrame, alphas: list[float], min_train_fr
     features by their population std over rows < t (zero std -> 1), ridge
     with intercept, LOO alpha on rows < t, predict row t.
 
-    Each feature cell at row s is sent to every origin t >= max(s, min_train)
-    (a bounded integer range explode, no join); origins are independent
-    groups, solved in parallel. -> (period, t, y, pred, alpha)"""
-    spark = y.sparkSession
-    ship_package(spark)
-    rows = (y.join(F.broadcast(x.periods), "period").select("period", "y"))
+    The Gram of each origin is summed over blocks of columns (gram.expanding_grams); a task
+    then solves origins from their Gram alone. -> (period, t, y, pred, alpha)"""
     from monthlens.operators.timeseries import positions
-    rows = cut_lineage(positions(rows))
-    n = rows.count()
-    min_train = int(np.floor(n * min_train_frac))
-    grid = np.asarray(alphas, dtype=float)
-    cells = (x.values.join(F.broadcast(rows.select("period", "t")), "period")
-             .withColumn("origin", F.explode(F.sequence(F.greatest(F.col("t"), F.lit(min_train)), F.lit(n - 1))))
-             .select("origin", F.lit("x").alias("kind"), "t", "feature", "value", F.lit(None).cast("double").alias("y")))
-    ys = (rows.withColumn("origin", F.explode(F.sequence(F.greatest(F.col("t"), F.lit(min_train)), F.lit(n - 1))))
-              .select("origin", F.lit("y").alias("kind"), "t", F.lit(None).cast("string").alias("feature"),
-                      F.lit(None).cast("double").alias("value"), "y"))
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = int(pdf["origin"].iloc[0])
-        yy = pdf[pdf["kind"] == "y"].sort_values("t")
-        ytr = yy.loc[yy["t"] < t, "y"].to_numpy(dtype=float)
-        c = pdf[pdf["kind"] == "x"]
-        feats = sorted(c["feature"].unique())
-        fidx = {f: j for j, f in enumerate(feats)}
-        X = np.zeros((t + 1, len(feats)))
-        if len(c):
-            X[c["t"].to_numpy(dtype=int), c["feature"].map(fidx).to_numpy()] = c["value"].to_numpy(dtype=float)
-        sd = X[:t].std(axis=0)
-        sd[sd == 0] = 1.0
-        Xs = X / sd
-        K = Xs @ Xs[:t].T            # (t+1) x t : training columns
-        Ktr = K[:t]
-        alpha, _mse, (lam, U, Uy, ybar, J) = ridge_loo_dual(Ktr, ytr, grid)
-        Kc = J @ Ktr @ J
-        dual = np.linalg.solve(Kc + alpha * np.eye(t), ytr - ybar)
-        kt = K[t] - K[t].mean() - Ktr.mean(axis=0) + Ktr.mean()
-        pred = float(kt @ dual + ybar)
-        return pd.DataFrame([(t, pred, alpha)], columns=["t", "pred", "alpha"])
-
-    out = cells.unionByName(ys).groupBy("origin").applyInPandas(solve, "t int, pred double, alpha double")
+    spark = y.sparkSession
+    ship_package(spark)
+    rows = cut_lineage(positions(y.join(F.broadcast(x.periods), "period").select("period", "y")))
+    series = [r.y for r in rows.orderBy("t").collect()]          # one number a month
+    n = len(series)
+    first = max(int(np.floor(n * min_train_frac)), 2)
+    schema = "t int, pred double, alpha double"
+    if first >= n:
+        return rows.join(spark.createDataFrame([], schema), "t").select("period", "t", "y", "pred", "alpha")
+    grid, yv = np.asarray(alphas, dtype=float), np.asarray(series, dtype=float)
+    inside = x.values.join(F.broadcast(rows.select("period")), "period")
+    grams = expanding_grams(packed(inside, rows.select("period")), n, first)
+
+    def solve(batches):
+        for pdf in batches:
+            out = []
+            for t, flat in zip(pdf["key"], pdf["total"]):
+                K = np.asarray(flat).reshape(t + 1, t + 1)
+                Ktr, ytr = K[:t, :t], yv[:t]
+                alpha, _mse, (_lam, _U, _Uy, ybar, J) = ridge_loo_dual(Ktr, ytr, grid)
+                dual = np.linalg.solve(J @ Ktr @ J + alpha * np.eye(t), ytr - ybar)
+                kt = K[t, :t] - K[t, :t].mean() - Ktr.mean(axis=0) + Ktr.mean()
+                out.append((t, float(kt @ dual + ybar), alpha))
+            yield pd.DataFrame(out, columns=["t", "pred", "alpha"])
+
+    out = grams.mapInPandas(solve, schema)
     return rows.join(out, "t").select("period", "t", "y", "pred", "alpha")

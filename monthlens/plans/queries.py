@@ -343,6 +343,18 @@ def q_recover_summary(spark, sf):
     return RP.recovery_summary(RP.recover_topics(spark, sf))
 
 
+@query("recover_terms_top50_summary")
+def q_recover_top50_summary(spark, sf):
+    from monthlens.plans import ridge_plans as RP
+    return RP.recovery_summary(RP.recover_generated_terms(spark, sf, top=50))
+
+
+@query("recover_terms_all_summary")
+def q_recover_all_summary(spark, sf):
+    from monthlens.plans import ridge_plans as RP
+    return RP.recovery_summary(RP.recover_generated_terms(spark, sf, top=None))
+
+
 @query("expanding_ridge_terms_months")
 def q_expanding_terms_rows(spark, sf):
     from monthlens.plans import ridge_plans as RP
@@ -388,8 +400,7 @@ def q_lookahead_sample(spark, sf):
 
 @query("gram_counts")
 def q_gram_counts(spark, sf):
-    """Centred Gram of the standardised monthly term counts, from the sparse
-    K0 self-join (pairs of months sharing a term) plus the centring identity."""
+    """Centred Gram of the standardised monthly term counts."""
     from monthlens.operators import ridge as R
     g = R.centred_gram(V.monthly_counts(S.articles(spark, sf)))
     return g.select("period_a", "period_b", r("k", 4).alias("k"))

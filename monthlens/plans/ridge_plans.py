@@ -68,7 +68,9 @@ def recovery_summary(res: DataFrame) -> DataFrame:
     return res.agg(F.count("*").alias("n_targets"), F.avg("r2").alias("mean_r2"), F.median("r2").alias("median_r2"),
                    F.min("r2").alias("min_r2"), F.max("r2").alias("max_r2"),
                    F.count_if(F.col("r2") > 0.5).alias("n_r2_gt_05"), F.count_if(F.col("r2") > 0.7).alias("n_r2_gt_07"),
-                   F.count_if(F.col("r2") > 0.9).alias("n_r2_gt_09"), F.median("alpha").alias("median_alpha"))
+                   F.count_if(F.col("r2") > 0.9).alias("n_r2_gt_09"), F.median("alpha").alias("median_alpha"),
+                   F.min_by("target", F.struct("r2", "target")).alias("worst_target"),
+                   F.max_by("target", F.struct("r2", "target")).alias("best_target"))
 
 
 def forecast_rows(spark: SparkSession, sf: str, rep: str, target: str = "indprol1",
