@@ -61,41 +61,54 @@ def monthly_counts(articles: DataFrame, text_col: str = "headline", rep: str = "
 
 
 # ------------------------------------------------------------------ tf-idf
-# idf rows (term string + double) broadcast only below this many terms (~100 MB)
-IDF_BROADCAST_MAX_TERMS = 2_000_000
+#: Bytes of idf rows (terms and numbers) up to which they are broadcast.
+IDF_BROADCAST_BYTES = 64 << 20
 
 
-def tfidf_article(articles: DataFrame, text_col: str = "headline") -> DataFrame:
-    """Smooth TF-IDF, L2-normalised per article:
-    w = tf * (ln((1+N)/(1+df)) + 1), divided by the article's L2 norm.
-    N counts every article, including ones without a token.
-
-    The DTM is materialised once (one pass over the corpus) and keeps its
-    per-article partitioning; the idf table is broadcast only when the
-    vocabulary is below ``IDF_BROADCAST_MAX_TERMS`` (checked), so neither the
-    join nor the per-article norms shuffle the DTM. Larger
-    vocabularies take a shuffle join."""
+def term_rows(articles: DataFrame, text_col: str = "headline") -> DataFrame:
+    """(article_id, period, terms array<struct<term, tf>>): one row for each article with a
+    token. Counting and gathering go by article, so text that lies by article is not shuffled."""
+    return dtm(articles, text_col).groupBy("article_id", "period").agg(F.collect_list(F.struct("term", "tf")).alias("terms"))
+
+
+def _weights(articles: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(term rows with each article's norm, idf by term).
+
+    Smooth idf ln((1+N)/(1+df)) + 1; N counts every article. The term rows are written once. Norms need the
+    idf of every term, but one number an article comes out of that join: it is summed up before
+    any shuffle and joined to the rows, not to their terms. The idf rows are broadcast
+    only where their bytes, summed by a job, are few; else Spark joins by term."""
     from monthlens.session import cut_lineage
 
-    a = with_period(articles) if "period" not in articles.columns else articles
-    n_docs = a.count()
-    d = cut_lineage(dtm(a, text_col))
-    df_ = d.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df_.select("term", (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    if df_.count() <= IDF_BROADCAST_MAX_TERMS:
+    n_docs = articles.count()
+    rows = cut_lineage(term_rows(articles, text_col))
+    cells = rows.select("article_id", F.explode("terms").alias("c")).select("article_id", "c.term", "c.tf")
+    idf = cut_lineage(cells.groupBy("term").agg((F.log((1.0 + n_docs) / (1.0 + F.count("*"))) + 1.0).alias("idf")))
+    if (idf.agg(F.sum(F.octet_length("term") + 40)).first()[0] or 0) <= IDF_BROADCAST_BYTES:
         idf = F.broadcast(idf)
-    w = d.join(idf, "term").select("article_id", "period", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    # per-article L2 norms: a partial-aggregated table with one row per article,
-    # joined back; AQE broadcasts it when small (runtime size check), so the
-    # weighted DTM is not shuffled for the norm; otherwise a sort-merge join
-    norms = w.groupBy("article_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norms, "article_id").select("article_id", "period", "term", (F.col("w") / F.col("norm")).alias("w"))
+    norms = (cells.join(idf, "term").groupBy("article_id")
+                  .agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("norm")))
+    return rows.join(norms, "article_id"), idf
+
+
+def tfidf_article(articles: DataFrame, text_col: str = "headline") -> DataFrame:
+    """(article_id, period, term, w): smooth TF-IDF, L2-normalised per article,
+    w = tf * idf / norm."""
+    a = with_period(articles) if "period" not in articles.columns else articles
+    rows, idf = _weights(a, text_col)
+    cells = rows.select("article_id", "period", "norm", F.explode("terms").alias("c"))
+    return (cells.select("article_id", "period", "norm", "c.term", "c.tf").join(idf, "term")
+                 .select("article_id", "period", "term", (F.col("tf") * F.col("idf") / F.col("norm")).alias("w")))
 
 
 def monthly_tfidf(articles: DataFrame, text_col: str = "headline", rep: str = "tfidf") -> Features:
+    """Monthly sums of the articles' weights. The idf of a term is the same in all articles of a
+    month, so tf / norm is summed first and multiplied by it after."""
     a = with_period(articles) if "period" not in articles.columns else articles
-    vals = (tfidf_article(a, text_col).groupBy("period", F.col("term").alias("feature"))
-            .agg(F.sum("w").alias("value")))
+    rows, idf = _weights(a, text_col)
+    sums = (rows.select("period", "norm", F.explode("terms").alias("c"))
+                .groupBy("period", F.col("c.term").alias("term")).agg(F.sum(F.col("c.tf") / F.col("norm")).alias("share")))
+    vals = sums.join(idf, "term").select("period", F.col("term").alias("feature"), (F.col("share") * F.col("idf")).alias("value"))
     return Features(rep, vals, a.select("period").distinct())
 
 
