@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from monthlens.functions.parse import parse_lenient, parse_strict
 from monthlens.session import cut_lineage, ship_package
-from monthlens.streaming.incremental import IncrementalTable, default_path
+from monthlens.streaming.incremental import COMPACT_AT, IncrementalTable, default_path
 
 # --- fixed values: instructions and prompt template --------------------------
 SYSTEM_BASE = "You are a financial analyst summarizing potential economic or market risks from news articles."
@@ -81,6 +81,13 @@ def global_row_number(df: DataFrame, order_cols: list[str], name: str = "rn") ->
              .drop("_pid", "_mid", "_off"))
 
 
+def positions_from(df: DataFrame, order_cols: list[str], start: int, stop: int | None = None) -> DataFrame:
+    """Rows at positions start (0-based) to before stop in that order; the columns of df."""
+    numbered = global_row_number(df, order_cols, "_at")
+    inside = F.col("_at") >= start if stop is None else (F.col("_at") >= start) & (F.col("_at") < stop)
+    return numbered.where(inside).select(*df.columns)
+
+
 def batches(articles: DataFrame, batch_size: int = 50, text_col: str = "headline") -> DataFrame:
     """``(batch_id, pos, article_id, item)``: consecutive article_id order,
     ``pos`` 1-based inside the batch, item text on one line."""
@@ -134,25 +141,25 @@ def _arrow_rows(spark: SparkSession, rows: int):
             spark.conf.set(key, old)
 
 
-def call_model(work: DataFrame, model: Callable[[pd.DataFrame], pd.Series]) -> DataFrame:
-    """One model call per work row (a batch prompt); ``attempt`` comes with the row.
-    A call that raises fails its own row only."""
+def call_model(calls: DataFrame, model: Callable[[pd.DataFrame], pd.Series]) -> DataFrame:
+    """One model call per setting of each row (batch_id, n, prompt, settings array<struct<variant,
+    temperature, run, asked, attempt>>): the grid is streamed inside the map, over one copy of the
+    prompt. A call that raises fails alone."""
     def run(it):
         for pdf in it:
-            text, err = [], []
-            for i in range(len(pdf)):
-                try:
-                    reply = list(model(pdf.iloc[i:i + 1]))[0]
-                    error = "no reply" if reply is None or pd.isna(reply) else None
-                except Exception as e:
-                    reply, error = None, f"{type(e).__name__}: {e}"[:500]
-                text.append(reply if error is None else None)
-                err.append(error)
-            yield pd.DataFrame({"variant": pdf["variant"], "temperature": pdf["temperature"], "run": pdf["run"],
-                                "asked": pdf["asked"], "n": pdf["n"], "attempt": pdf["attempt"],
-                                "text": pd.Series(text, index=pdf.index, dtype=object),
-                                "error": pd.Series(err, index=pdf.index, dtype=object)})
-    return work.select(*KEYS, "batch_id", "n", "system", "prompt", "attempt").mapInPandas(run, REPLY_SCHEMA)
+            out = []
+            for row in pdf.itertuples(index=False):
+                for s in row.settings:
+                    one = {"variant": s["variant"], "temperature": s["temperature"], "run": s["run"], "asked": s["asked"], "batch_id": row.batch_id,
+                           "n": row.n, "system": SYSTEM.get(s["variant"], SYSTEM_BASE), "prompt": row.prompt, "attempt": s["attempt"]}
+                    try:
+                        reply = list(model(pd.DataFrame([one])))[0]
+                        error = "no reply" if reply is None or pd.isna(reply) else None
+                    except Exception as e:
+                        reply, error = None, f"{type(e).__name__}: {e}"[:500]
+                    out.append((s["variant"], s["temperature"], s["run"], s["asked"], row.n, s["attempt"], reply if error is None else None, error))
+            yield pd.DataFrame(out, columns=["variant", "temperature", "run", "asked", "n", "attempt", "text", "error"])
+    return calls.select("batch_id", "n", "prompt", "settings").mapInPandas(run, REPLY_SCHEMA)
 
 
 def generate(work: DataFrame, model: Callable[[pd.DataFrame], pd.Series], max_attempts: int = 5,
@@ -164,11 +171,17 @@ def generate(work: DataFrame, model: Callable[[pd.DataFrame], pd.Series], max_at
     committed; returns the latest reply of each work row: its columns and
     ``attempt, text, error, valid``. A rerun with the same ``store_path``, in
     this or another application, resumes: finished keys are skipped, failed
-    ones continue their attempt count. Equal prompts are asked once."""
+    ones continue their attempt count. Equal prompts are asked once.
+
+    Prompts are written once each, whatever the number of settings; the settings are
+    narrow rows that meet them again in the call itself."""
     spark = work.sparkSession
     ship_package(spark)
-    store = IncrementalTable(spark, store_path or default_path(spark, "replies"), KEYS, "attempt")
-    work = cut_lineage(work)
+    store = IncrementalTable(spark, store_path or default_path(spark, "replies"), KEYS, "attempt", partition_by="variant")
+    store.compact(REPLY_SCHEMA, at=COMPACT_AT)
+    # the copies of a prompt meet in the task that made them, before anything is shuffled
+    texts = cut_lineage(work.groupBy("batch_id", "n").agg(F.any_value("prompt").alias("prompt")))
+    work = cut_lineage(work.select(*KEYS, "batch_id", "n"))
     for _ in range(max_attempts):
         done = store.read(REPLY_SCHEMA)
         if done is None:
@@ -188,11 +201,13 @@ def generate(work: DataFrame, model: Callable[[pd.DataFrame], pd.Series], max_at
         part = F.pmod(F.xxhash64(*KEYS), F.lit(parts))
         with _arrow_rows(spark, rows_per_call_batch):
             for k in range(parts):
-                store.append(call_model(pending.where(part == k), model))
+                own = pending.where(part == k).groupBy("batch_id").agg(F.collect_list(F.struct("variant", "temperature", "run", "asked", "attempt")).alias("settings"))
+                store.append(call_model(texts.join(own, "batch_id"), model))
     replies = store.read(REPLY_SCHEMA)
     if replies is None:                                # no work at all
         replies = spark.createDataFrame([], REPLY_SCHEMA)
-    out = work.select(*KEYS, "batch_id").join(replies, KEYS)
+    # of its own, so that a later call may compact the store
+    out = cut_lineage(work.select(*KEYS, "batch_id").join(replies, KEYS))
     return out.withColumn("valid", parse_strict("text", "n").isNotNull())
 
 
@@ -227,6 +242,21 @@ def stable_store_path(spark: SparkSession, *key: str) -> str:
     return os.path.join(checkpoint_root(spark) or ensure_checkpoint_dir(spark), "incremental", f"replies-{h}")
 
 
+def model_version(model: Callable) -> str:
+    """What stands for a model in the key of its replies: its name and its ``version`` or, where it
+    has none, a digest of its code, so that a changed model does not get old replies."""
+    import hashlib
+    import inspect
+
+    version = getattr(model, "version", None)
+    if version is None:
+        try:
+            version = hashlib.sha1(inspect.getsource(inspect.getmodule(model) or model).encode()).hexdigest()[:12]
+        except (OSError, TypeError):
+            version = "-"
+    return f"{getattr(model, '__module__', '')}.{getattr(model, '__qualname__', type(model).__name__)}@{version}"
+
+
 def generate_topics(articles: DataFrame, model: Callable[[pd.DataFrame], pd.Series], variants=("base",),
                     temperatures=(0.3,), runs: int = 1, batch_size: int = 50, max_attempts: int = 5,
                     store_path: str | None = None) -> DataFrame:

@@ -54,11 +54,37 @@ def generated_articles(spark: SparkSession, sf: str, variants=("base",), tempera
     one store per model below ``spark.checkpoint.dir``. Later analyses and other
     applications resume from it instead of calling the model again."""
     a = S.articles(spark, sf)
-    store = store_path or I.stable_store_path(spark, f"{model.__module__}.{model.__qualname__}", "batch=50")
+    store = store_path or I.stable_store_path(spark, I.model_version(model), "batch=50")
     g = I.generate_topics(a, model, variants=variants, temperatures=temperatures, runs=runs, store_path=store)
     return g.join(a.select("article_id", "display_date"), "article_id")
 
 
+def write_variants(spark: SparkSession, sf: str, variants, path: str, **kw) -> None:
+    """Generated topics as a table partitioned by variant: article_id, display_date, generated_topics."""
+    g = generated_articles(spark, sf, variants=tuple(variants), **kw)
+    S.write_partitioned(g.select("article_id", "display_date", "generated_topics", "variant"), path, ["variant"])
+
+
+def variant_articles(spark: SparkSession, path: str, variant: str) -> DataFrame:
+    """One variant's articles; only its files are read."""
+    return (spark.read.parquet(path).where(F.col("variant") == variant)
+                 .select("article_id", "display_date", F.col("generated_topics").alias("headline")))
+
+
+def variant_lasso(spark: SparkSession, sf: str, path: str, wanted=None, outcomes=("mret",), k: int = 5) -> DataFrame:
+    """Lasso to OLS on each variant that the table at ``path`` has (of ``wanted``, if given); a
+    variant that is not there is left out."""
+    out = None
+    for v in S.partition_values(spark, path, "variant"):
+        if wanted is None or v in wanted:
+            f = V.monthly_counts(variant_articles(spark, path, v), rep="generated")
+            res = lasso_ols(spark, sf, f, ks=(k,), outcomes=list(outcomes)).withColumn("variant", F.lit(v))
+            out = res if out is None else out.unionByName(res)
+    if out is None:
+        raise ValueError(f"no variant of {wanted} in {path}")
+    return out
+
+
 # ------------------------------------------------------------------ lasso -> ols
 def lasso_ols(spark: SparkSession, sf: str, rep: str | V.Features | D.Design, ks=(5,), outcomes=None,
               complete_months_only: bool = False) -> DataFrame:
@@ -139,6 +165,13 @@ def compare_reps(a: DataFrame, b: DataFrame, name_a: str, name_b: str) -> DataFr
     return j.withColumn("winner", F.when(ra > rb, name_a).when(rb > ra, name_b).otherwise("tie"))
 
 
+def report(cmp: DataFrame) -> DataFrame:
+    """A comparison's columns as printed: '>max' where no size matches, 'N/A' for a missing R²."""
+    shown = lambda c: F.when(F.col(c).isNull(), F.lit("N/A")).otherwise(F.format_string("%.4f", F.col(c)))
+    return cmp.select("outcome", *[shown(c).alias(c) for c in cmp.columns if c.startswith("r2_")], "winner",
+                      F.coalesce(F.col("k_match").cast("string"), F.lit(">max")).alias("k_to_match"), shown("matched_r2").alias("matched_r2"))
+
+
 def side_by_side(a: DataFrame, b: DataFrame, name_a: str, name_b: str) -> DataFrame:
     """Pair two ranked term lists per outcome by rank (|coef| desc), padding
     the shorter with NULLs (full outer join on rank)."""

@@ -119,8 +119,25 @@ sc AS (SELECT outcome, abs(xr / (n * sqrt(s2 / n - (s1 / n) * (s1 / n)))) AS sco
 SELECT outcome, round(max(score), 6) AS alpha_max FROM sc GROUP BY outcome"""
 
 # ------------------------------------------------------------ inference layer
-from monthlens.operators.inference import PROMPT_HEAD, PROMPT_TAIL  # noqa: E402
-from monthlens.operators.audit import LOOKAHEAD_KEYWORDS  # noqa: E402
+# --- fixed values, restated: prompt template and look-ahead keywords ---------
+PROMPT_HEAD = """Below are {n} newspaper headlines, numbered 1 to {n}.
+
+For EACH headline, extract exactly 1-3 keyword topics about the economic or financial risk/theme.
+
+RULES:
+- Output exactly {n} lines, numbered 1 to {n}.
+- Each line must be: <number>. <1-3 keywords>
+- Do NOT skip any line. Do NOT add extra lines.
+- Do NOT repeat the headline -- only output keywords.
+
+Headlines:
+"""
+PROMPT_TAIL = """
+
+Output:"""
+LOOKAHEAD_KEYWORDS = ("crash", "crisis", "lehman", "collapse", "recession", "tarp", "bailout", "meltdown", "contagion",
+                      "systemic", "subprime", "great recession", "2008", "financial crisis")
+# --- end fixed values ---------------------------------------------------------
 
 
 def _lit(s: str) -> str:
@@ -141,6 +158,20 @@ pb AS (SELECT batch_id, count(*) AS n,
 SELECT batch_id, n, md5(replace({_lit(PROMPT_HEAD)}, '{{n}}', CAST(n AS VARCHAR)) || numbered || {_lit(PROMPT_TAIL)})
        AS prompt_md5 FROM pb"""
 
+def _prompts(rows: str) -> str:
+    """Prompts of the numbered articles that ``rows`` names, numbered anew."""
+    return with_(NUMBERED, f"""
+part AS (SELECT article_id, item, row_number() OVER (ORDER BY article_id) - 1 AS rn FROM nb WHERE {rows}),
+pb AS (SELECT CAST(rn // 50 AS BIGINT) AS batch_id, count(*) AS n,
+              string_agg(CAST(rn % 50 + 1 AS VARCHAR) || '. ' || item, chr(10) ORDER BY rn) AS numbered
+       FROM part GROUP BY 1)""") + f"""
+SELECT batch_id, n, md5(replace({_lit(PROMPT_HEAD)}, '{{n}}', CAST(n AS VARCHAR)) || numbered || {_lit(PROMPT_TAIL)})
+       AS prompt_md5 FROM pb"""
+
+
+SQL["head_prompts"] = _prompts("rn < 100")
+SQL["remaining_prompts"] = _prompts("rn >= 100")
+
 RANKED = """
 dt AS (SELECT DISTINCT article_id, term FROM ctoks),
 cnt AS (SELECT a.article_id, count(dt.term) AS c FROM articles a LEFT JOIN dt ON a.article_id = dt.article_id
@@ -178,7 +209,7 @@ SELECT source, count(*) AS n_documents, count(*) FILTER (WHERE e) AS n_empty,
 
 SQL["target_moments"] = with_(MACRO) + """
 SELECT outcome, count(*) AS n, min(period) AS first_period, max(period) AS last_period,
-       round(avg(y), 8) AS mean, round(stddev_samp(y), 8) AS std FROM outc GROUP BY outcome"""
+       round(avg(y), 8) AS mean, round(stddev_pop(y), 8) AS std FROM outc GROUP BY outcome"""
 
 _FLAG = " OR ".join(f"contains(lower(%s), {_lit(k)})" for k in LOOKAHEAD_KEYWORDS)
 
@@ -289,3 +320,22 @@ _OUTCOME_COLS = ["automobile_vol", "building_vol", "furniture_vol", "household_v
                  "machinery_vol", "mret", "vol"]
 SQL["macro_table"] = with_(MACRO) + "SELECT period, " + ", ".join(
     f"round(max(y) FILTER (WHERE outcome = '{c}'), 8) AS {c}" for c in _OUTCOME_COLS) + " FROM macro GROUP BY period"
+
+SQL["macro_from_csv"] = SQL["macro_outcomes"]
+
+# One-feature OLS by the regression aggregates.
+SQL["ols_single_topics"] = with_(MACRO, TOPICS, """
+tp AS (SELECT DISTINCT period FROM topics),
+nm AS (SELECT DISTINCT feature AS topic FROM topics WHERE value <> 0),
+yy AS (SELECT o.outcome, o.period, o.y, nm.topic FROM outc o JOIN tp ON o.period = tp.period CROSS JOIN nm),
+xy AS (SELECT yy.outcome, yy.topic, yy.y, coalesce(t.value, 0.0) AS x
+       FROM yy LEFT JOIN topics t ON t.period = yy.period AND t.feature = yy.topic),
+f AS (SELECT outcome, topic, count(*) AS n, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, regr_r2(y, x) AS r2,
+             sqrt((1 - regr_r2(y, x)) * var_pop(y) / var_pop(x) / (count(*) - 2)) AS se FROM xy GROUP BY 1, 2)""") + """
+SELECT outcome, topic, n, round(a, 6) AS intercept, round(b, 6) AS coef, round(se, 6) AS se, round(b / se, 6) AS t, round(r2, 8) AS r2,
+       round(1 - (n - 1) * (1 - r2) / (n - 2), 8) AS adj_r2, round((b / se) * (b / se), 6) AS fstat FROM f"""
+
+SQL["standardised_variance"] = with_(VECTORS, """
+em AS (SELECT period, pos, avg(x) AS value FROM vexp GROUP BY 1, 2),
+z AS (SELECT pos, (value - avg(value) OVER (PARTITION BY pos)) / stddev_pop(value) OVER (PARTITION BY pos) AS z FROM em)""") + """
+SELECT (SELECT count(DISTINCT period) FROM em) AS n, count(DISTINCT pos) AS p, round(avg(z * z), 8) AS variance FROM z"""

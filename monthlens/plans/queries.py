@@ -63,6 +63,20 @@ def q_macro(spark, sf):
     return S.outcomes(spark, sf).select("period", "outcome", r("y").alias("y"))
 
 
+@query("macro_from_csv")
+def q_macro_from_csv(spark, sf):
+    """The outcomes by month written as CSV with a date column, and read back with a schema."""
+    import os
+    import uuid
+
+    from monthlens.session import ensure_checkpoint_dir
+    path = os.path.join(ensure_checkpoint_dir(spark), "tables", f"macro-{uuid.uuid4().hex}.csv")
+    wide = S.macro_wide(spark, sf).withColumnRenamed("period", "date")
+    wide.write.option("header", True).csv(path)
+    back = S.read_csv_series(spark, path, [c for c in wide.columns if c != "date"])
+    return back.where(F.col("value").isNotNull()).select("period", F.col("name").alias("outcome"), r("value").alias("y"))
+
+
 @query("topic_shares")
 def q_topics(spark, sf):
     return S.topics_long(spark, sf).select("period", "feature", r("value").alias("value"))
@@ -131,6 +145,38 @@ def q_counts_vs_topics(spark, sf):
     return cmp.join(km.drop("target_r2"), "outcome", "left")
 
 
+@query("counts_vs_topics_report")
+def q_counts_vs_topics_report(spark, sf):
+    """The comparison as it is printed: missing values spelled out."""
+    from monthlens.plans import analyses as A
+    return A.report(QUERIES["counts_vs_topics"](spark, sf))
+
+
+@query("ols_single_topics")
+def q_ols_single_topics(spark, sf):
+    """OLS with inference of every outcome on every topic alone."""
+    from monthlens.operators import ols as O
+    from monthlens.plans import analyses as A
+    des = A.design(spark, sf, "topics")
+    topics = des.features.values.select("feature").distinct()
+    groups = des.op.select("outcome").join(topics.withColumnRenamed("feature", "topic"))
+    res = O.ols_groups(groups, groups.withColumn("feature", F.col("topic")), des.features.values, des.y, ["outcome", "topic"])
+    t = F.col("terms")[0]
+    return res.select("outcome", "topic", "n", r("intercept", 6).alias("intercept"), r(t["coef"], 6).alias("coef"), r(t["se"], 6).alias("se"),
+                      r(t["t"], 6).alias("t"), r("r2", 8).alias("r2"), r("adj_r2", 8).alias("adj_r2"), r("fstat", 6).alias("fstat"))
+
+
+@query("standardised_variance")
+def q_standardised_variance(spark, sf):
+    """Months, features and the variance of all cells of the standardised matrix (what scales an RBF kernel)."""
+    from monthlens.operators import gram as G
+    from monthlens.operators import ridge as R
+    f = V.monthly_embeddings(S.article_vectors(spark, sf))
+    n, p = len(R.month_order(f.periods)), f.values.select("feature").distinct().count()
+    trace = float(G.gram(G.packed(f.values, f.periods), n).trace())
+    return spark.range(1).select(F.lit(n).cast("bigint").alias("n"), F.lit(p).cast("bigint").alias("p"), F.round(F.lit(trace / (n * p)), 8).alias("variance"))
+
+
 @query("tfidf_vs_counts")
 def q_tfidf_vs_counts(spark, sf):
     from monthlens.plans import analyses as A
@@ -160,19 +206,17 @@ def q_generated_mret(spark, sf):
 
 @query("persona_lasso")
 def q_persona_lasso(spark, sf):
+    """k = 5 on mret for each instruction variant: the topics are written as a table by variant,
+    and the variants found there are read back one by one."""
+    import os
+    import uuid
+
     from monthlens.plans import analyses as A
-    g = A.generated_articles(spark, sf, variants=("base", "bull", "bear")).cache()
-    out = None
-    for v in ("base", "bull", "bear"):
-        gv = g.where(F.col("variant") == v).select("article_id", "display_date",
-                                                  F.col("generated_topics").alias("headline"))
-        res = A.lasso_ols(spark, sf, V.monthly_counts(gv, rep="generated"), ks=(5,), outcomes=["mret"])
-        # one aggregate value per variant comes back as a literal
-        empty = g.where(F.col("variant") == v).agg(F.avg((F.col("generated_topics") == "").cast("double"))).first()[0]
-        res = res.withColumn("variant", F.lit(v)).withColumn("empty_share", F.lit(empty))
-        out = res if out is None else out.unionByName(res)
-    return out.select("variant", F.upper("variant").alias("label"), "empty_share", "outcome", "k", "nnz", "r2",
-                      "adj_r2", "f_pvalue", "terms")
+    from monthlens.session import ensure_checkpoint_dir
+    path = os.path.join(ensure_checkpoint_dir(spark), "tables", f"topics-by-variant-{uuid.uuid4().hex}")
+    A.write_variants(spark, sf, ("base", "bull", "bear"), path)
+    return A.variant_lasso(spark, sf, path).select("variant", F.upper("variant").alias("label"), "outcome", "k", "nnz", "r2",
+                                                   "adj_r2", "f_pvalue", "terms")
 
 
 @query("embeddings_k_sweep")
@@ -194,6 +238,22 @@ def q_batch_prompts(spark, sf):
     return I.prompts(items).select("batch_id", F.col("n").cast("bigint").alias("n"), F.md5("prompt").alias("prompt_md5"))
 
 
+@query("head_prompts")
+def q_head_prompts(spark, sf):
+    """The prompts of the first 100 articles (a trial run: the limit is the feature)."""
+    from monthlens.operators import inference as I
+    first = S.articles(spark, sf).orderBy("article_id").limit(100)
+    return I.prompts(I.batches(first, 50)).select("batch_id", F.col("n").cast("bigint").alias("n"), F.md5("prompt").alias("prompt_md5"))
+
+
+@query("remaining_prompts")
+def q_remaining_prompts(spark, sf):
+    """The prompts of all articles after those first 100, by position."""
+    from monthlens.operators import inference as I
+    rest = I.positions_from(S.articles(spark, sf), ["article_id"], 100)
+    return I.prompts(I.batches(rest, 50)).select("batch_id", F.col("n").cast("bigint").alias("n"), F.md5("prompt").alias("prompt_md5"))
+
+
 @query("generated_topics")
 def q_generated_topics(spark, sf):
     return _gen(spark, sf).select("article_id", "generated_topics")
@@ -230,10 +290,10 @@ def q_lookahead(spark, sf):
 # ----------------------------------------------------------- time series
 @query("target_moments")
 def q_target_moments(spark, sf):
-    """Sample, span, mean and standard deviation of every outcome."""
+    """Sample, span, mean and population standard deviation of every outcome."""
     return S.outcomes(spark, sf).groupBy("outcome").agg(
         F.count("*").alias("n"), F.min("period").alias("first_period"), F.max("period").alias("last_period"),
-        r(F.avg("y"), 8).alias("mean"), r(F.stddev_samp("y"), 8).alias("std"))
+        r(F.avg("y"), 8).alias("mean"), r(F.stddev_pop("y"), 8).alias("std"))
 
 
 def _indprol1(spark, sf):

@@ -161,3 +161,13 @@ def write_partitioned(df: DataFrame, path: str, partition_by: list[str] | None =
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
+
+
+def partition_values(spark: SparkSession, path: str, column: str) -> list[str]:
+    """Values of a partition column that a table has, from its folder names; none where there is no table."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    names = [x.getPath().getName() for x in fs.listStatus(p) if x.isDirectory()]
+    return sorted(n[len(column) + 1:] for n in names if n.startswith(f"{column}="))

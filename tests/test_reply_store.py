@@ -88,3 +88,87 @@ def test_commits_inside_a_round(spark, tmp_path, monkeypatch):
 def test_stores_lie_below_the_named_folder(spark):
     root = spark.conf.get("spark.checkpoint.dir")
     assert I.stable_store_path(spark, "m").startswith(f"{root}/incremental/")
+
+
+def store_of(spark, folder):
+    return I.IncrementalTable(spark, f"{folder}/store", I.KEYS, "attempt", partition_by="variant")
+
+
+def test_one_copy_of_each_prompt_whatever_the_grid(spark, tmp_path, monkeypatch):
+    written = []
+    real = I.cut_lineage
+
+    def noted(df):
+        out = real(df)
+        if "prompt" in out.columns:
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(I, "cut_lineage", noted)
+    g = I.generate_topics(articles(spark, ROWS), echo(tmp_path), variants=("base", "bull"), temperatures=(0.1, 0.9), runs=3, batch_size=5, store_path=f"{tmp_path}/store")
+    assert g.count() == 12 * len(ROWS) and calls(tmp_path) == 60
+    assert written == [5]                                       # 5 prompts, 60 calls
+    assert {(r.variant, r.temperature, r.run) for r in g.select("variant", "temperature", "run").distinct().collect()} == \
+        {(v, t, k) for v in ("base", "bull") for t in (0.1, 0.9) for k in range(3)}
+
+
+def test_a_torn_commit_is_not_read(spark, tmp_path):
+    import glob
+    import os
+
+    topics(spark, ROWS, tmp_path)
+    store = store_of(spark, tmp_path)
+    (whole,) = store.commits()
+    torn = f"{tmp_path}/store/commit=99999999999999999999-torn/variant=base"
+    os.makedirs(torn)
+    part = glob.glob(f"{whole.removeprefix('file:')}/variant=base/*.parquet")[0]
+    with open(part, "rb") as f, open(f"{torn}/{os.path.basename(part)}", "wb") as g:
+        g.write(f.read()[:100])                                 # half a file, and no mark of success
+    assert store.commits() == [whole]
+    before = calls(tmp_path)
+    assert topics(spark, ROWS, tmp_path) == dict(ROWS) and calls(tmp_path) == before
+
+
+def test_compaction_keeps_the_latest_row_of_each_key(spark, tmp_path):
+    for attempts in range(1, 5):
+        topics(spark, ROWS, tmp_path, fail=("headline 7", "headline 19"), max_attempts=attempts)
+    store = store_of(spark, tmp_path)
+    before = {(r.asked, r.attempt, r.text) for r in store.read(I.REPLY_SCHEMA).collect()}
+    rows = spark.read.parquet(f"{tmp_path}/store").count()
+    assert len(store.commits()) == 4 and rows > len(before) == 5
+    assert store.compact(I.REPLY_SCHEMA) and not store.compact(I.REPLY_SCHEMA)
+    assert len(store.commits()) == 1 and spark.read.parquet(f"{tmp_path}/store").count() == 5      # a row for each key
+    assert {(r.asked, r.attempt, r.text) for r in store.read(I.REPLY_SCHEMA).collect()} == before
+
+
+def test_a_variant_is_found_and_read_alone(spark, tmp_path):
+    g = I.generate_topics(articles(spark, ROWS), echo(tmp_path), variants=("base", "bear"), batch_size=5, store_path=f"{tmp_path}/store")
+    assert g.count() == 44
+    store = store_of(spark, tmp_path)
+    assert store.values() == ["base", "bear"]
+    plan = store.read(I.REPLY_SCHEMA).where("variant = 'bear'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(variant" in plan and "= bear)" in plan
+
+
+def test_variants_that_are_there(spark, tmp_path):
+    from monthlens.plans import analyses as A
+    from monthlens.sources import tables as S
+    path = f"{tmp_path}/by_variant"
+    assert S.partition_values(spark, path, "variant") == []
+    rows = spark.createDataFrame([(1, dt.datetime(2020, 1, 1), "a b", "bull"), (2, dt.datetime(2020, 2, 1), "c", "bear")],
+                                 "article_id long, display_date timestamp_ntz, generated_topics string, variant string")
+    S.write_partitioned(rows, path, ["variant"])
+    assert S.partition_values(spark, path, "variant") == ["bear", "bull"]
+    one = A.variant_articles(spark, path, "bull")
+    assert [r.headline for r in one.collect()] == ["a b"]
+    assert "(variant" in one._jdf.queryExecution().executedPlan().toString().split("PartitionFilters:")[1][:60]
+
+
+def test_a_changed_model_has_other_replies():
+    def model(batch):
+        return batch
+
+    model.version = "1"
+    first = I.model_version(model)
+    model.version = "2"
+    assert I.model_version(model) != first and I.model_version(echo("x")).count("@") == 1
