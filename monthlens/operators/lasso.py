@@ -220,7 +220,10 @@ def lasso_path(d: Design, alphas: list[float] | None = None, m_init: int = 128,
             raise RuntimeError("the Lasso path did not converge")
         t0 = time.time()
         is_open = F.col("outcome").isin(*todo)
-        path = cut_lineage(sets.where(is_open).groupBy("outcome").cogroup(d.y.where(is_open).groupBy("outcome"))
+        # little data and much work: dealt by a number of partitions that is not coalesced by size
+        lanes = 2 * len(todo)
+        path = cut_lineage(sets.where(is_open).repartition(lanes, "outcome").groupBy("outcome")
+                               .cogroup(d.y.where(is_open).repartition(lanes, "outcome").groupBy("outcome"))
                                .applyInPandas(_solver(alphas), PATH_SCHEMA))
         ended = [(df, outs - set(todo)) for df, outs in ended] + [(path, set(todo))]
         rows = path.where(F.col("nnz") > 0).select("outcome", "alpha_idx", "resid").toPandas()

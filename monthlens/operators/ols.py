@@ -100,7 +100,8 @@ def first_reaching(selected: DataFrame, columns: DataFrame, y: DataFrame, target
         return empty
 
     series = y.join(F.broadcast(targets.select("outcome", "target_r2")), "outcome")
-    return left.groupBy("outcome").cogroup(series.groupBy("outcome")).applyInPandas(tried, "outcome string, k_match int, matched_r2 double")
+    lanes = 2 * max(targets.count(), 1)            # few rows, much work: not to be coalesced by size
+    return left.repartition(lanes, "outcome").groupBy("outcome").cogroup(series.repartition(lanes, "outcome").groupBy("outcome")).applyInPandas(tried, "outcome string, k_match int, matched_r2 double")
 
 
 def with_stars(df: DataFrame) -> DataFrame:
