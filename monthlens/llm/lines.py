@@ -6,8 +6,8 @@ length and the segment's number) and looked up, for each length a partner may ha
 substrings that could be that segment.  Where a segment is shared by very many lines its lists
 are refined: with the segment cut out the rest still lies within the same number of edits, so
 the rest is indexed and looked up again.  Lists that stay long are joined to a pivot first, and
-only lines that then lie in different classes are paired further.  Pairs are verified by
-banded bit-parallel edit distance.
+only lines that then lie in different classes are compared further, block by block.  Pairs whose
+counts of characters rule them out are dropped; the others are verified by banded bit-parallel edit distance.
 """
 
 from __future__ import annotations
@@ -22,7 +22,13 @@ EDITS = 2
 #: Lines of fewer characters are matched exactly only.
 SHORTEST = 40
 #: Members up to which a list's pairs are all looked at.
-LIST = 64
+LIST = 32
+#: Times that long lists are refined by what is left of their lines.
+LEVELS = 5
+#: Members of a block where lists that stay long are compared block by block.
+BLOCK = 256
+#: Characters that are counted together to tell lines apart before they are compared; all others are the last count.
+COUNTED = ("e", "t", "a", "o", "i", "n", "s", "h", "r", "dl", "ucm", "fgpwyb", "0123", "456789", " ")
 #: Rows (of a few longs) up to which a side of a join is broadcast; beyond, Spark joins by shuffle.
 SMALL = 1_000_000
 OUT = ("n_lines", "n_removed", "n_near", "kept_text")
@@ -33,57 +39,55 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL else df
 
 
-def piece(size: Column, number: int, edits: int) -> tuple[Column, Column]:
-    """First character (from 1) and length of a line's segment: the last ones take the rest."""
-    parts = edits + 1
-    base, more = F.floor(size / parts).cast("int"), (size % parts).cast("int")
-    plain = parts - more  # segments of the base length
-    return (F.lit(number) * base + F.greatest(F.lit(0), F.lit(number) - plain) + 1).cast("int"), (base + (F.lit(number) >= plain).cast("int")).cast("int")
+def index_places(edits: int) -> list[tuple[int, int, int]]:
+    """(segment, shift, characters that the other line is shorter) under which a line is indexed."""
+    return [(i, 0, 0) for i in range(edits + 1)]
 
 
-def index_keys(text: Column, size: Column, salt: Column, edits: int) -> Column:
-    """(key, first, length) of each segment."""
-    out = []
-    for i in range(edits + 1):
-        first, n = piece(size, i, edits)
-        out.append(F.struct(F.xxhash64(salt, size, F.lit(i), F.substring(text, first, n)).alias("key"), first.alias("first"), n.alias("n")))
-    return F.array(*out)
+def probe_places(edits: int) -> list[tuple[int, int, int]]:
+    """Under which it is looked up: segment i of a line that is ``less`` characters shorter has i edits
+    before it at most, and edits - i after it. Its own segments are left out."""
+    out = [(i, shift, less) for less in range(edits + 1) for i in range(edits + 1)
+           for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1)]
+    return [x for x in out if x not in index_places(edits)]
 
 
-def probe_keys(text: Column, size: Column, salt: Column, edits: int, less: int) -> Column:
-    """(key, first, length) of the substrings that can be a segment of a line that is ``less``
-    characters shorter: segment i has i edits before it at most, and edits - i after it."""
-    out = []
-    other = size - less
-    for i in range(edits + 1):
-        first, n = piece(other, i, edits)
-        for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
-            at = first + shift
-            fits = (at >= 1) & (at + n - 1 <= size) & (n > 0)
-            out.append(F.when(fits, F.struct(F.xxhash64(salt, other, F.lit(i), F.substring(text, at, n)).alias("key"), at.alias("first"), n.alias("n"))))
-    return F.array(*out)
+def posted(lines: DataFrame, places: list[tuple[int, int, int]], edits: int, *more: str) -> DataFrame:
+    """(key, id, first, n, more columns) of lines (id, line, salt, more): one row for each place.
 
+    The places are exploded first, so that one short expression is compiled for all of them."""
+    spots = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(shift).alias("shift"), F.lit(less).alias("less")) for i, shift, less in places])
+    rows = lines.select("id", "line", "salt", *more, F.length("line").alias("size"), F.explode(spots).alias("s"))
+    rows = rows.select("id", "line", "salt", *more, "size", (F.col("size") - F.col("s.less")).alias("other"), F.col("s.i").alias("i"), F.col("s.shift").alias("shift"))
+    parts = edits + 1
+    base, extra = F.floor(F.col("other") / parts).cast("int"), F.col("other") % parts
+    plain = F.lit(parts) - extra  # segments of the base length; the last ones are one longer
+    rows = rows.withColumn("n", base + (F.col("i") >= plain).cast("int"))
+    rows = rows.withColumn("first", F.col("i") * base + F.greatest(F.lit(0), F.col("i") - plain) + 1 + F.col("shift"))
+    rows = rows.where("n > 0 and first >= 1 and first + n - 1 <= size")
+    return rows.select(F.xxhash64("salt", "other", "i", F.substr("line", F.col("first"), F.col("n"))).alias("key"), "id", "first", "n", *more)
 
-def indexed(lines: DataFrame, salt: Column, edits: int) -> DataFrame:
-    return posted(lines, index_keys, salt, edits)
 
+def counts_of(line: Column) -> tuple[Column, Column]:
+    """How often the COUNTED characters and all others occur (255 at most each), a byte each in two longs.
 
-def probed(lines: DataFrame, salt: Column, edits: int) -> DataFrame:
-    """One pass for each length a partner may have: generated code for all keys at once is
-    too long to be compiled."""
-    out = None
-    for less in range(edits + 1):
-        part = posted(lines, lambda *a, less=less: probe_keys(*a, less), salt, edits)
-        out = part if out is None else out.unionAll(part)
-    return out
+    An edit changes two of the counts by one, or one of them: lines within ``edits`` edits differ by
+    2 * edits in sum at most."""
+    size = F.length(line)
+    each = [size - F.length(F.translate(line, chars, "")) for chars in COUNTED]
+    others = size
+    for c in each:
+        others = others - c
+    held = [F.least(c, F.lit(255)).cast("long") for c in [*each, others]]
+    pack = lambda xs: sum((F.shiftleft(x, 8 * k) for k, x in enumerate(xs[1:], 1)), xs[0])
+    return pack(held[:8]), pack(held[8:])
 
 
-def posted(lines: DataFrame, keys, salt: Column, edits: int) -> DataFrame:
-    """(key, id, first, n) of lines (id, line[, salt])."""
-    # the length is a column of its own, as the keys name it many times
-    rows = lines.withColumn("size", F.length("line"))
-    rows = rows.select("id", F.explode(keys(F.col("line"), F.col("size"), salt, edits)).alias("k")).filter("k is not null")
-    return rows.select(F.col("k.key").alias("key"), "id", F.col("k.first").alias("first"), F.col("k.n").alias("n"))
+def alike(edits: int) -> Column:
+    """Whether the counts c0, c1 and d0, d1 of two lines leave ``edits`` edits possible."""
+    part = lambda c, k: F.shiftrightunsigned(c, 8 * k).bitwiseAND(F.lit(255))
+    away = sum((F.abs(part(F.col(a), k) - part(F.col(b), k)) for a, b in (("c0", "d0"), ("c1", "d1")) for k in range(8)), F.lit(0))
+    return away <= 2 * edits
 
 
 def let(value: Column, use) -> Column:
@@ -143,10 +147,10 @@ def within(a: Column, b: Column, edits: int, first: int = 10) -> Column:
         F.struct(tail(z.x, h).alias("x"), tail(z.y, h).alias("y")), lambda r: decide(r.x, r.y))))
 
 
-def pairs_of(index: DataFrame, probe: DataFrame) -> DataFrame:
-    """Different ids (a, b) that share a key."""
-    p = probe.select("key", F.col("id").alias("other"))
-    both = index.select("key", "id").join(p, "key").filter("id <> other")
+def pairs_of(index: DataFrame, probe: DataFrame, edits: int) -> DataFrame:
+    """Different ids (a, b) that share a key and whose counts leave them possible."""
+    p = probe.select("key", F.col("id").alias("other"), F.col("c0").alias("d0"), F.col("c1").alias("d1"))
+    both = index.select("key", "id", "c0", "c1").join(p, (index["key"] == p["key"]) & (F.col("id") != F.col("other")) & alike(edits))
     return both.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
@@ -164,43 +168,71 @@ def verified(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
     return texts.filter((F.length("t") - F.length("s") <= edits) & within(F.col("s"), F.col("t"), edits)).select("a", "b")
 
 
+#: In a sum over a key's posts an index counts this much, a look-up one.
+INDEXED = 1 << 32
+
+
+def lists(lines: DataFrame, edits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(index, probe, long) of lines (id, line, salt, c0, c1): the posts of the keys that
+    can join two lines, of short lists; and the posts of long lists, with the line.
+
+    Keys are counted first and their posts made again for those that are of use, so that
+    not every post is written."""
+    one = lambda df, v: df.select("key", F.lit(v).cast("long").alias("v"))
+    places = index_places(edits), probe_places(edits)
+    counted = one(posted(lines, places[0], edits), INDEXED).unionAll(one(posted(lines, places[1], edits), 1)).groupBy("key").agg(F.sum("v").alias("v"))
+    n, k = F.shiftright("v", 32), F.col("v").bitwiseAND(F.lit(INDEXED - 1))
+    used = stored(counted.where((n > 1) | ((n > 0) & (k > 0))).select("key", (n + k > 2 * LIST).alias("long")))
+    used = small(used)
+    mark = lambda p, kind: posted(lines, p, edits, "line", "c0", "c1").join(used, "key").withColumn("index", F.lit(kind))
+    posts = mark(places[0], True).unionAll(mark(places[1], False))
+    posts = stored(posts.select("key", "id", "first", "n", "c0", "c1", "long", "index", F.when(F.col("long"), F.col("line")).alias("line")))
+    short = posts.where("not long")
+    return short.where("index"), short, posts.where("long")
+
+
 def links(lines: DataFrame, edits: int) -> DataFrame:
     """(a, b): links that join all lines within ``edits`` edits into the right classes.
 
-    Every list (the lines indexed and looked up under one key) of LIST members at most gives
-    all its pairs.  Longer lists are refined once by the lines' rests; what is still longer is
-    joined to its smallest member, and its members of different classes are paired."""
-    index = stored(indexed(lines, F.lit(0), edits))
-    probe = stored(probed(lines, F.lit(0), edits))
-    # a key that nobody else looks up is of no use; one that many share is refined
-    used = index.groupBy("key").agg(F.count("*").alias("n")).join(probe.groupBy("key").agg(F.count("*").alias("k")), "key").filter("n > 1 or k > 1")
-    used = stored(used)
-    few, many = used.filter(f"n + k <= {2 * LIST}").select("key"), small(used.filter(f"n + k > {2 * LIST}").select("key"))
-    pairs = pairs_of(index.join(few, "key", "left_semi"), probe.join(few, "key", "left_semi"))
-
-    def rests(posts: DataFrame, keys) -> DataFrame:
-        cut = lines.join(small(stored(posts.join(many, "key"))), "id")
+    Every list (the lines indexed and looked up under one key) of LIST members or so gives
+    its pairs, as far as the lines' counts of characters leave them possible. Longer lists are refined: without the
+    segment that is shared the rests of two lines still lie within ``edits`` edits, so they are
+    indexed and looked up again, apart from other lists, up to LEVELS times and while
+    four characters for each segment are left. What is still longer is joined to its smallest member, and members of
+    different classes are compared block by block."""
+    counts = counts_of(F.col("line"))
+    now = lines.select("id", "line", F.lit(0).cast("long").alias("salt"), counts[0].alias("c0"), counts[1].alias("c1"))
+    pairs, stay = None, None
+    for level in range(LEVELS + 1):
+        index, probe, long = lists(now, edits)
+        part = pairs_of(index, probe, edits)
+        pairs = part if pairs is None else pairs.unionAll(part)
+        if long.isEmpty():
+            break
         rest = F.concat(F.substr("line", F.lit(1), F.col("first") - 1), F.lit("\u0000"), F.substr("line", F.col("first") + F.col("n"), F.length("line")))
-        rows = cut.select("id", F.col("key").alias("salt"), rest.alias("line"))
-        return keys(rows, F.col("salt"), edits).select("key", "id")
-
-    index, probe = stored(rests(index, indexed).distinct()), stored(rests(probe, probed).distinct())
-    used = index.groupBy("key").agg(F.count("*").alias("n")).join(probe.groupBy("key").agg(F.count("*").alias("k"), F.min("id").alias("pivot")), "key").filter("n > 1 or k > 1")
-    used = stored(used)
-    few = used.filter(f"n + k <= {2 * LIST}").select("key")
-    pairs = pairs.unionAll(pairs_of(index.join(few, "key", "left_semi"), probe.join(few, "key", "left_semi"))).distinct()
-    many = stored(used.filter(f"n + k > {2 * LIST}").select("key", "pivot"))
-    both = stored(index.unionAll(probe).join(many, "key").distinct())
-    star = both.filter("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
+        cut = long.select("key", "id", "c0", "c1", rest.alias("rest"))
+        done = (F.length("rest") < 4 * (edits + 1)) | F.lit(level == LEVELS)
+        over = cut.where(done).select("key", "id", "c0", "c1").distinct()
+        stay = over if stay is None else stay.unionAll(over)
+        now = stored(cut.where(~done).select("id", F.col("rest").alias("line"), F.col("key").alias("salt"), "c0", "c1").distinct())
+        if now.isEmpty():
+            break
+    if stay is None:
+        return stored(verified(pairs.distinct(), lines, edits))
+    stay = stored(stay)
+    pivots = stay.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("m"))
+    star = stay.select("key", "id").join(pivots, "key").where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
     found = stored(verified(pairs.unionAll(star).distinct(), lines, edits))
-    if many.isEmpty():
-        return found
     label = components(found)
-    named = both.join(label.select(F.col("node").alias("id"), "label"), "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-    apart = named.groupBy("key").agg(F.count_distinct("label").alias("parts")).filter("parts > 1").select("key")
-    named = stored(named.join(apart, "key", "left_semi"))
-    other = named.select("key", F.col("id").alias("other"), F.col("label").alias("there"))
-    rest = named.join(other, "key").filter("label <> there and id < other").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
+    named = stay.join(label.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    apart = named.groupBy("key").agg(F.count_distinct("label").alias("parts"), F.count("*").alias("m")).where("parts > 1").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    named = stored(named.join(apart, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = named.select("key", "id", "label", "c0", "c1", F.col("block").alias("x"), every.alias("y")).where("x <= y")
+    right = named.select(F.col("key").alias("k"), F.col("id").alias("other"), F.col("label").alias("there"), F.col("c0").alias("d0"), F.col("c1").alias("d1"), F.col("block").alias("v"), every.alias("u")).where("u <= v")
+    once = (F.col("x") < F.col("y")) | (F.col("id") < F.col("other"))
+    rest = left.join(right, (F.col("key") == F.col("k")) & (F.col("x") == F.col("u")) & (F.col("y") == F.col("v")) & (F.col("label") != F.col("there")) & once & alike(edits))
+    rest = rest.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
     return found.unionAll(verified(rest, lines, edits))
 
 

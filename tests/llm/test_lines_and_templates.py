@@ -107,10 +107,36 @@ def test_verification_and_keys(spark):
     df = spark.createDataFrame(pairs, "a string, b string")
     assert df.filter(L.within(F.col("a"), F.col("b"), 2) != (F.levenshtein("a", "b") <= 2)).count() == 0
     df = df.filter("length(a) >= 3 and levenshtein(a, b) <= 2")
-    index = F.transform(L.index_keys(F.col("a"), F.length("a"), F.lit(0), 2), lambda x: x.key)
-    probe = F.concat(*[F.transform(L.probe_keys(F.col("b"), F.length("b"), F.lit(0), 2, less), lambda x: x.key) for less in range(3)])
-    probe = F.filter(probe, lambda x: x.isNotNull())
-    assert df.count() > 100 and df.filter(~F.arrays_overlap(index, probe)).count() == 0
+    df = df.withColumn("id", F.monotonically_increasing_id()).cache()
+    salted = lambda c: df.select("id", F.col(c).alias("line"), F.lit(0).cast("long").alias("salt"))
+    index = L.posted(salted("a"), L.index_places(2), 2)
+    probe = L.posted(salted("b"), L.index_places(2) + L.probe_places(2), 2)
+    assert len(L.probe_places(2)) == 9 and df.count() > 100
+    assert index.join(probe, ["id", "key"]).select("id").distinct().count() == df.count()      # a shared key for every pair
+    at = probe.join(df, "id").where(F.substr("b", F.col("first"), F.col("n")).isNull() | (F.col("first") + F.col("n") - 1 > F.length("b")))
+    assert at.count() == 0
+    c, d = L.counts_of(F.col("a")), L.counts_of(F.col("b"))
+    counted = df.select(c[0].alias("c0"), c[1].alias("c1"), d[0].alias("d0"), d[1].alias("d1"))
+    assert counted.where(~L.alike(2)).count() == 0                                             # no pair within two edits is ruled out
+
+
+def test_counts_tell_lines_apart(spark):
+    rows = [("x" * 300, "x" * 300 + "é", True), ("the same words", "the same wards", True), ("abc " * 20, "abd " * 20, False), ("", "", True), ("\u00ff" * 400, "e" * 400, False), ("0" * 5, "4" * 5, False)]
+    df = spark.createDataFrame(rows, "a string, b string, want boolean")
+    c, d = L.counts_of(F.col("a")), L.counts_of(F.col("b"))
+    got = df.select("want", c[0].alias("c0"), c[1].alias("c1"), d[0].alias("d0"), d[1].alias("d1")).withColumn("is", L.alike(2)).collect()
+    assert all(r["is"] == r.want for r in got)
+
+
+def test_lists_that_stay_long_are_compared_in_blocks(documents, monkeypatch):
+    monkeypatch.setattr(L, "LIST", 2)
+    monkeypatch.setattr(L, "LEVELS", 0)
+    monkeypatch.setattr(L, "BLOCK", 3)
+    rows = corpus(random.Random(5))
+    got = L.dedup_lines(documents(rows)).collect()
+    want = brute(rows)
+    key = lambda r: tuple((x is not None, x if x is not None else 0) for x in r)
+    assert sorted([(r.doc_id, r.n_lines, r.n_removed, r.n_near, r.kept_text) for r in got], key=key) == sorted([(r[0], *want[r]) for r in rows], key=key)
 
 
 def test_no_lines(documents):
