@@ -22,7 +22,9 @@ EDITS = 2
 #: Lines of fewer characters are matched exactly only.
 SHORTEST = 40
 #: Members up to which a list's pairs are all looked at.
-LIST = 32
+LIST = 8
+#: Members up to which a list is not refined; over LIST of them meet a pivot first.
+REFINED = 64
 #: Times that long lists are refined by what is left of their lines.
 LEVELS = 5
 #: Members of a block where lists that stay long are compared block by block.
@@ -172,9 +174,9 @@ def verified(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
 INDEXED = 1 << 32
 
 
-def lists(lines: DataFrame, edits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(index, probe, long) of lines (id, line, salt, c0, c1): the posts of the keys that
-    can join two lines, of short lists; and the posts of long lists, with the line.
+def lists(lines: DataFrame, edits: int) -> DataFrame:
+    """(key, id, index, m, c0, c1, rest) of lines (id, line, salt): the posts of the keys that can
+    join two lines; m counts a key's posts, rest is the line without the key's segment, where m is over REFINED.
 
     Keys are counted first and their posts made again for those that are of use, so that
     not every post is written."""
@@ -182,46 +184,40 @@ def lists(lines: DataFrame, edits: int) -> tuple[DataFrame, DataFrame, DataFrame
     places = index_places(edits), probe_places(edits)
     counted = one(posted(lines, places[0], edits), INDEXED).unionAll(one(posted(lines, places[1], edits), 1)).groupBy("key").agg(F.sum("v").alias("v"))
     n, k = F.shiftright("v", 32), F.col("v").bitwiseAND(F.lit(INDEXED - 1))
-    used = stored(counted.where((n > 1) | ((n > 0) & (k > 0))).select("key", (n + k > 2 * LIST).alias("long")))
-    used = small(used)
-    mark = lambda p, kind: posted(lines, p, edits, "line", "c0", "c1").join(used, "key").withColumn("index", F.lit(kind))
+    used = small(stored(counted.where((n > 1) | ((n > 0) & (k > 0))).select("key", (n + k).alias("m"))))
+    mark = lambda p, kind: posted(lines, p, edits, "line").join(used, "key").withColumn("index", F.lit(kind))
     posts = mark(places[0], True).unionAll(mark(places[1], False))
-    posts = stored(posts.select("key", "id", "first", "n", "c0", "c1", "long", "index", F.when(F.col("long"), F.col("line")).alias("line")))
-    short = posts.where("not long")
-    return short.where("index"), short, posts.where("long")
+    rest = F.concat(F.substr("line", F.lit(1), F.col("first") - 1), F.lit("\u0000"), F.substr("line", F.col("first") + F.col("n"), F.length("line")))
+    counts = counts_of(F.col("line"))
+    return stored(posts.select("key", "id", "index", "m", counts[0].alias("c0"), counts[1].alias("c1"), F.when(F.col("m") > REFINED, rest).alias("rest")))
 
 
 def links(lines: DataFrame, edits: int) -> DataFrame:
     """(a, b): links that join all lines within ``edits`` edits into the right classes.
 
-    Every list (the lines indexed and looked up under one key) of LIST members or so gives
-    its pairs, as far as the lines' counts of characters leave them possible. Longer lists are refined: without the
-    segment that is shared the rests of two lines still lie within ``edits`` edits, so they are
+    Every list (the lines indexed and looked up under one key) of LIST posts at most gives
+    its pairs, as far as the lines' counts of characters leave them possible. Lists of more than REFINED are refined: without
+    the segment that is shared the rests of two lines still lie within ``edits`` edits, so they are
     indexed and looked up again, apart from other lists, up to LEVELS times and while
-    four characters for each segment are left. What is still longer is joined to its smallest member, and members of
-    different classes are compared block by block."""
-    counts = counts_of(F.col("line"))
-    now = lines.select("id", "line", F.lit(0).cast("long").alias("salt"), counts[0].alias("c0"), counts[1].alias("c1"))
+    four characters for each segment are left. All other lists are joined to their smallest member first, and members
+    that then lie in different classes are compared, block by block."""
+    now = lines.select("id", "line", F.lit(0).cast("long").alias("salt"))
     pairs, stay = None, None
     for level in range(LEVELS + 1):
-        index, probe, long = lists(now, edits)
-        part = pairs_of(index, probe, edits)
+        posts = lists(now, edits)
+        few = posts.where(F.col("m") <= LIST)
+        part = pairs_of(few.where("index"), few, edits)
         pairs = part if pairs is None else pairs.unionAll(part)
-        if long.isEmpty():
-            break
-        rest = F.concat(F.substr("line", F.lit(1), F.col("first") - 1), F.lit("\u0000"), F.substr("line", F.col("first") + F.col("n"), F.length("line")))
-        cut = long.select("key", "id", "c0", "c1", rest.alias("rest"))
-        done = (F.length("rest") < 4 * (edits + 1)) | F.lit(level == LEVELS)
-        over = cut.where(done).select("key", "id", "c0", "c1").distinct()
+        end = (F.length("rest") < 4 * (edits + 1)) | F.lit(level == LEVELS)
+        over = posts.where((F.col("m") > LIST) & (F.col("rest").isNull() | end)).select("key", "id", "c0", "c1").distinct()
         stay = over if stay is None else stay.unionAll(over)
-        now = stored(cut.where(~done).select("id", F.col("rest").alias("line"), F.col("key").alias("salt"), "c0", "c1").distinct())
+        now = stored(posts.where(F.col("rest").isNotNull() & ~end).select("id", F.col("rest").alias("line"), F.col("key").alias("salt")).distinct())
         if now.isEmpty():
             break
-    if stay is None:
-        return stored(verified(pairs.distinct(), lines, edits))
     stay = stored(stay)
-    pivots = stay.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("m"))
-    star = stay.select("key", "id").join(pivots, "key").where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
+    first = stay.groupBy("key").agg(F.min(F.struct("id", "c0", "c1")).alias("p"))
+    pivots = first.select("key", F.col("p.id").alias("pivot"), F.col("p.c0").alias("d0"), F.col("p.c1").alias("d1"))
+    star = stay.join(pivots, "key").where((F.col("id") != F.col("pivot")) & alike(edits)).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
     found = stored(verified(pairs.unionAll(star).distinct(), lines, edits))
     label = components(found)
     named = stay.join(label.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))

@@ -86,6 +86,7 @@ def corpus(rnd):
 @pytest.mark.parametrize("limit", [64, 2])
 def test_lines_against_brute_force(documents, monkeypatch, limit):
     monkeypatch.setattr(L, "LIST", limit)  # 2: the refined and the pivot path
+    monkeypatch.setattr(L, "REFINED", limit)
     rows = corpus(random.Random(3))
     got = L.dedup_lines(documents(rows, extra=("gone", "n_lines", "pos"))).collect()
     want = brute(rows)
@@ -130,6 +131,7 @@ def test_counts_tell_lines_apart(spark):
 
 def test_lists_that_stay_long_are_compared_in_blocks(documents, monkeypatch):
     monkeypatch.setattr(L, "LIST", 2)
+    monkeypatch.setattr(L, "REFINED", 4)
     monkeypatch.setattr(L, "LEVELS", 0)
     monkeypatch.setattr(L, "BLOCK", 3)
     rows = corpus(random.Random(5))
