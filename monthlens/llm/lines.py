@@ -24,9 +24,9 @@ SHORTEST = 40
 #: Members up to which a list's pairs are all looked at.
 LIST = 8
 #: Members up to which a list is not refined; over LIST of them meet a pivot first.
-REFINED = 64
+REFINED = 256
 #: Times that long lists are refined by what is left of their lines.
-LEVELS = 5
+LEVELS = 4
 #: Members of a block where lists that stay long are compared block by block.
 BLOCK = 256
 #: Characters that are counted together to tell lines apart before they are compared; all others are the last count.
@@ -55,19 +55,20 @@ def probe_places(edits: int) -> list[tuple[int, int, int]]:
 
 
 def posted(lines: DataFrame, places: list[tuple[int, int, int]], edits: int, *more: str) -> DataFrame:
-    """(key, id, first, n, more columns) of lines (id, line, salt, more): one row for each place.
+    """(key, id, index, first, n, more columns) of lines (id, line, salt, more): one row for each
+    place; index: is it one of the line's own segments?
 
     The places are exploded first, so that one short expression is compiled for all of them."""
-    spots = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(shift).alias("shift"), F.lit(less).alias("less")) for i, shift, less in places])
+    spots = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(shift).alias("shift"), F.lit(less).alias("less"), F.lit(less == 0 and shift == 0).alias("index")) for i, shift, less in places])
     rows = lines.select("id", "line", "salt", *more, F.length("line").alias("size"), F.explode(spots).alias("s"))
-    rows = rows.select("id", "line", "salt", *more, "size", (F.col("size") - F.col("s.less")).alias("other"), F.col("s.i").alias("i"), F.col("s.shift").alias("shift"))
+    rows = rows.select("id", "line", "salt", *more, "size", (F.col("size") - F.col("s.less")).alias("other"), F.col("s.i").alias("i"), F.col("s.shift").alias("shift"), F.col("s.index").alias("index"))
     parts = edits + 1
     base, extra = F.floor(F.col("other") / parts).cast("int"), F.col("other") % parts
     plain = F.lit(parts) - extra  # segments of the base length; the last ones are one longer
     rows = rows.withColumn("n", base + (F.col("i") >= plain).cast("int"))
     rows = rows.withColumn("first", F.col("i") * base + F.greatest(F.lit(0), F.col("i") - plain) + 1 + F.col("shift"))
     rows = rows.where("n > 0 and first >= 1 and first + n - 1 <= size")
-    return rows.select(F.xxhash64("salt", "other", "i", F.substr("line", F.col("first"), F.col("n"))).alias("key"), "id", "first", "n", *more)
+    return rows.select(F.xxhash64("salt", "other", "i", F.substr("line", F.col("first"), F.col("n"))).alias("key"), "id", "index", "first", "n", *more)
 
 
 def counts_of(line: Column) -> tuple[Column, Column]:
@@ -180,13 +181,12 @@ def lists(lines: DataFrame, edits: int) -> DataFrame:
 
     Keys are counted first and their posts made again for those that are of use, so that
     not every post is written."""
-    one = lambda df, v: df.select("key", F.lit(v).cast("long").alias("v"))
-    places = index_places(edits), probe_places(edits)
-    counted = one(posted(lines, places[0], edits), INDEXED).unionAll(one(posted(lines, places[1], edits), 1)).groupBy("key").agg(F.sum("v").alias("v"))
+    places = index_places(edits) + probe_places(edits)
+    weight = F.when(F.col("index"), F.lit(INDEXED)).otherwise(F.lit(1)).cast("long")
+    counted = posted(lines, places, edits).groupBy("key").agg(F.sum(weight).alias("v"))
     n, k = F.shiftright("v", 32), F.col("v").bitwiseAND(F.lit(INDEXED - 1))
     used = small(stored(counted.where((n > 1) | ((n > 0) & (k > 0))).select("key", (n + k).alias("m"))))
-    mark = lambda p, kind: posted(lines, p, edits, "line").join(used, "key").withColumn("index", F.lit(kind))
-    posts = mark(places[0], True).unionAll(mark(places[1], False))
+    posts = posted(lines, places, edits, "line").join(used, "key")
     rest = F.concat(F.substr("line", F.lit(1), F.col("first") - 1), F.lit("\u0000"), F.substr("line", F.col("first") + F.col("n"), F.length("line")))
     counts = counts_of(F.col("line"))
     return stored(posts.select("key", "id", "index", "m", counts[0].alias("c0"), counts[1].alias("c1"), F.when(F.col("m") > REFINED, rest).alias("rest")))
