@@ -24,9 +24,9 @@ SHORTEST = 40
 #: Members up to which a list's pairs are all looked at.
 LIST = 8
 #: Members up to which a list is not refined; over LIST of them meet a pivot first.
-REFINED = 256
+REFINED = 1024
 #: Times that long lists are refined by what is left of their lines.
-LEVELS = 4
+LEVELS = 3
 #: Members of a block where lists that stay long are compared block by block.
 BLOCK = 256
 #: Characters that are counted together to tell lines apart before they are compared; all others are the last count.
@@ -222,12 +222,16 @@ def links(lines: DataFrame, edits: int) -> DataFrame:
     label = components(found)
     named = stay.join(label.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     apart = named.groupBy("key").agg(F.count_distinct("label").alias("parts"), F.count("*").alias("m")).where("parts > 1").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    named = stored(named.join(apart, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
+    named = named.join(apart, "key")
+    # a pair is made under the first of the keys that both have
+    named = named.join(named.groupBy("id").agg(F.collect_set("key").alias("keys")), "id")
+    named = stored(named.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = named.select("key", "id", "label", "c0", "c1", F.col("block").alias("x"), every.alias("y")).where("x <= y")
-    right = named.select(F.col("key").alias("k"), F.col("id").alias("other"), F.col("label").alias("there"), F.col("c0").alias("d0"), F.col("c1").alias("d1"), F.col("block").alias("v"), every.alias("u")).where("u <= v")
+    left = named.select("key", "id", "label", "keys", "c0", "c1", F.col("block").alias("x"), every.alias("y")).where("x <= y")
+    right = named.select(F.col("key").alias("k"), F.col("id").alias("other"), F.col("label").alias("there"), F.col("keys").alias("theirs"), F.col("c0").alias("d0"), F.col("c1").alias("d1"), F.col("block").alias("v"), every.alias("u")).where("u <= v")
     once = (F.col("x") < F.col("y")) | (F.col("id") < F.col("other"))
-    rest = left.join(right, (F.col("key") == F.col("k")) & (F.col("x") == F.col("u")) & (F.col("y") == F.col("v")) & (F.col("label") != F.col("there")) & once & alike(edits))
+    rest = left.join(right, (F.col("key") == F.col("k")) & (F.col("x") == F.col("u")) & (F.col("y") == F.col("v")) & (F.col("label") != F.col("there")) & once & alike(edits)
+                     & (F.array_min(F.array_intersect("keys", "theirs")) == F.col("key")))
     rest = rest.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
     return found.unionAll(verified(rest, lines, edits))
 
