@@ -134,7 +134,8 @@ def q_selection_frequency(spark, sf):
 @query("counts_vs_topics")
 def q_counts_vs_topics(spark, sf):
     from monthlens.plans import analyses as A
-    t = _lasso_all(spark, sf, "topics")
+    from monthlens.session import cut_lineage
+    t = cut_lineage(_lasso_all(spark, sf, "topics"))       # read for the comparison and for the targets
     # one path over the points of both grids: k = 5 on the one, k to match on the other
     grid, fine = A.log_grid(*A.LASSO_GRID), A.log_grid(*A.LASSO_FINE_GRID)
     des = A.design(spark, sf, "counts")
