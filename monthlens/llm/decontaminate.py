@@ -4,8 +4,13 @@ Words of a text are brought to a canonical form in which numbers, names and unit
 typed placeholders, so a benchmark question whose values were changed keeps its template.
 Windows of ``WINDOW`` template words of documents are joined by hash with those of the
 benchmark; a shorter question is one window, and documents have windows of its length too.
-Windows of too few plain words are joined by their words and values as they are.  A window counts where it stands word for word, and else only if its slots are consistent: along
-one alignment, each of the question's values in it stands for one value in the document.
+Windows of too few plain words are joined by their words and values as they are.  A window counts
+where it stands word for word, and else only if its slots are consistent: along one alignment,
+each of the question's values in it stands for one value in the document.
+
+Names show by their capitals, so a copy in another case has another template.  Beside the
+template windows a text therefore has *folded* windows: of its words in lower case, without
+marks at their edges and without placeholders.  They are joined alike and have no slots.
 """
 
 from __future__ import annotations
@@ -13,6 +18,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +37,8 @@ SHARE, PLAIN = 0.5, 0.5
 #: Benchmark windows (8 bytes each) up to which their hashes are sent to every task; beyond,
 #: the windows of the documents are joined by shuffle.
 BROADCAST_WINDOWS = 2_000_000
+#: Documents with a question (16 bytes each) up to which their ids are sent to every task.
+BROADCAST_LEAKS = 1_000_000
 CHUNK, REMEMBER = 4 << 20, 400_000
 # fixed values: units of measure, lower case
 UNITS = frozenset("""
@@ -91,13 +99,17 @@ class Templates:
         self.value += [g[2] for g in got]
         self.value_hash = np.append(self.value_hash, np.array([xxhash.xxh3_64_intdigest(g[2].encode()) for g in got], U64))
 
-    def template(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hash, kind, first token) of each template word; ``meet`` the tokens first.
+    def places(self, tokens: list[bytes]) -> np.ndarray:
+        """Where the tokens are remembered; ``meet`` them first."""
+        self.meet(set(tokens))
+        return np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
+
+    def template(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, kind, first token) of each template word of the tokens at these places.
 
         A capital word is a name unless a sentence begins with it, a unit word a unit only
         after a number; a run of names is one name."""
-        at = np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
-        kind = self.kind[at].copy()
+        kind = self.kind[at]
         start = np.concatenate([[True], self.ends[at[:-1]]])
         kind[(kind == NAME) & start] = WORD
         after_number = np.concatenate([[False], kind[:-1] == NUMBER])
@@ -107,22 +119,22 @@ class Templates:
         kind = kind[keep]
         return np.where(kind == WORD, self.hash[at[keep]], np.array(SLOT_HASH)[kind]), kind, keep
 
-    def literals(self, tokens: list[bytes], first: np.ndarray, names: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    def literals(self, at: np.ndarray, first: np.ndarray, names: np.ndarray, kind: np.ndarray) -> np.ndarray:
         """Hash of each template word with its value; a name's value is that of the whole run."""
-        own = self.value_hash[np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))]
-        place = np.arange(len(tokens)) - np.repeat(first, np.diff(np.append(first, len(tokens))))
+        own = self.value_hash[at]
+        place = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
         run = np.add.reduceat(mix(own + place.astype(U64) * SALT), first)
         return np.where(kind == WORD, names, mix(names ^ run))
 
-    def slots(self, tokens: list[bytes], first: np.ndarray, kind: np.ndarray, lo: int, hi: int) -> list[str]:
+    def slots(self, at: np.ndarray, first: np.ndarray, kind: np.ndarray, lo: int, hi: int) -> list[str]:
         """Values of the placeholders among template words lo..hi."""
         out = []
         for k in range(lo, hi):
             if kind[k] != WORD:
-                a, b = first[k], first[k + 1] if k + 1 < len(first) else len(tokens)
+                a, b = first[k], first[k + 1] if k + 1 < len(first) else len(at)
                 if kind[k] != NAME:
                     b = a + 1
-                out.append(" ".join(self.value[self.known[t]] for t in tokens[a:b]))
+                out.append(" ".join(self.value[p] for p in at[a:b].tolist()))
         return out
 
 
@@ -135,15 +147,27 @@ def window_hashes(names: np.ndarray, kind: np.ndarray, literals, n: int) -> tupl
     return (h if good.all() else np.where(good, h, mix(gram_hashes(literals(), n) + U64(n) + SALT))), good
 
 
-WINDOWS = "hash long, pos int, size int, plain boolean, n_plain int, n_all int, slots array<string>"
+def folded_windows(words: np.ndarray, begin: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the windows of n words that lie within one text, their first words and texts;
+    text t has words[begin[t] : begin[t + 1]]."""
+    if len(words) < n:
+        return np.array([], U64), np.array([], np.int64), np.array([], np.int64)
+    text = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+    at = np.flatnonzero(text[: len(words) - n + 1] == text[n - 1 :])
+    return mix(gram_hashes(words, n) + U64(n) + SALT + SALT)[at], at, text[at]
+
 
+WINDOWS = "hash long, pos int, size int, folded boolean, plain boolean, n_plain int, n_all int, slots array<string>"
 
-def windows_of(view_column: str, key: str, key_type: str, wanted=None, window: int = WINDOW, sizes: list[int] | None = None):
-    """mapInArrow body: (key, text) to (key, thash, hash, pos, size, plain, n_plain,
-    n_all, slots): whether the window is one of plain words, and how many the text has, of all.
 
-    ``sizes``: lengths of the windows; without them a text has windows of ``window`` words, a
-    shorter one is one window.  ``wanted``: broadcast sorted hashes, other windows are left out."""
+def windows_of(view_column: str, key: str, key_type: str, wanted=None, window: int = WINDOW, sizes: tuple[list[int], list[int]] | None = None):
+    """mapInArrow body: (key, text) to (key, thash, hash, pos, size, folded, plain, n_plain,
+    n_all, slots): whether the window is folded or one of plain words, and how many of plain
+    words, and of its sort at all, the text has.
+
+    ``sizes``: lengths of the template windows and of the folded ones; without them a text has
+    windows of ``window`` words, a shorter one is one window.  ``wanted``: broadcast sorted
+    hashes, other windows are left out."""
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = Templates()
@@ -152,6 +176,17 @@ def windows_of(view_column: str, key: str, key_type: str, wanted=None, window: i
             # one bit for each hash rules out nearly all windows at once
             bits = np.zeros(1 << 22, bool)
             bits[(want >> U64(42)).astype(np.int64)] = True
+
+        def asked(h: np.ndarray) -> np.ndarray:
+            """Which of the windows to report."""
+            if want is None:
+                return np.arange(len(h))
+            some = np.flatnonzero(bits[(h >> U64(42)).astype(np.int64)])
+            if len(some):
+                at = np.searchsorted(want, h[some])
+                some = some[want[np.minimum(at, len(want) - 1)] == h[some]]
+            return some
+
         for batch in batches:
             ids, null = long_column(batch.column(key))
             views = binary_views(batch.column(view_column))
@@ -159,43 +194,43 @@ def windows_of(view_column: str, key: str, key_type: str, wanted=None, window: i
             cuts = np.flatnonzero(np.diff(ends // CHUNK, prepend=-1))
             for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(views)]):
                 texts = [bytes(v).split() for v in views[lo:hi]]
-                templates.meet(set().union(*texts))
-                row, thash, hashes, pos, size, plain, n_plain, n_all, slots = [], [], [], [], [], [], [], [], []
-                for r, tokens in enumerate(texts, lo):
-                    if not tokens:
+                begin = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+                places = templates.places(list(chain.from_iterable(texts)))
+                found = []  # (row, hash, pos, size, folded, plain, n_plain, n_all, slots)
+                for r in range(len(texts)):
+                    at = places[begin[r] : begin[r + 1]]
+                    if not len(at):
                         continue
-                    names, kind, first = templates.template(tokens)
-                    mine = [n for n in ([min(window, len(names))] if sizes is None else sizes) if n <= len(names)]
+                    names, kind, first = templates.template(at)
+                    mine = [n for n in ([min(window, len(names))] if sizes is None else sizes[0]) if n <= len(names)]
                     if not mine:
                         continue
-                    literals = cache(lambda: templates.literals(tokens, first, names, kind))  # noqa: B023
+                    literals = cache(lambda: templates.literals(at, first, names, kind))  # noqa: B023
                     cut = [window_hashes(names, kind, literals, n) for n in mine]
                     h, good = (np.concatenate(x) for x in zip(*cut))
+                    if not len(some := asked(h)):
+                        continue
                     place = np.concatenate([np.arange(len(x)) for x, _ in cut])
                     width = np.repeat(mine, [len(x) for x, _ in cut])
-                    if want is not None:
-                        some = np.flatnonzero(bits[(h >> U64(42)).astype(np.int64)])
-                        if len(some):
-                            at = np.searchsorted(want, h[some])
-                            some = some[want[np.minimum(at, len(want) - 1)] == h[some]]
-                    else:
-                        some = np.arange(len(h))
-                    if not len(some):
-                        continue
-                    own = signed64(xxhash.xxh3_64_intdigest(views[r]))
+                    n_plain = int(good.sum())
+                    for k in some.tolist():
+                        p, n = int(place[k]), int(width[k])
+                        found.append((lo + r, h[k], p, n, False, bool(good[k]), n_plain, len(good), templates.slots(at, first, kind, p, p + n)))
+                words, long = templates.hash[places], np.diff(begin)
+                for n in sorted({min(window, x) for x in long.tolist()} - {0}) if sizes is None else sizes[1]:
+                    h, at, text = folded_windows(words, begin, n)
+                    some = asked(h)
+                    if sizes is None:
+                        some = some[np.minimum(long[text[some]], window) == n]
                     for k in some.tolist():
-                        row.append(r)
-                        thash.append(own)
-                        hashes.append(h[k])
-                        lo_word, n = int(place[k]), int(width[k])
-                        pos.append(lo_word)
-                        size.append(n)
-                        plain.append(bool(good[k]))
-                        n_plain.append(int(good.sum()))
-                        n_all.append(len(good))
-                        slots.append(templates.slots(tokens, first, kind, lo_word, lo_word + n))
+                        r = int(text[k])
+                        found.append((lo + r, h[k], int(at[k] - begin[r]), n, True, False, 0, int(long[r]) - n + 1, []))
+                row, *cols = zip(*found) if found else [()] * 9
+                own = {r: signed64(xxhash.xxh3_64_intdigest(views[r])) for r in set(row)}
                 at = np.array(row, np.int64)
-                yield pa.RecordBatch.from_arrays([int_column(ids[at], null[at]), pa.array(thash, pa.int64()), pa.array(np.array(hashes, U64).view(np.int64)), pa.array(pos, pa.int32()), pa.array(size, pa.int32()), pa.array(plain, pa.bool_()), pa.array(n_plain, pa.int32()), pa.array(n_all, pa.int32()), pa.array(slots, pa.list_(pa.string()))], [key, "thash", "hash", "pos", "size", "plain", "n_plain", "n_all", "slots"])
+                hashes, types = np.array(cols[0], U64).view(np.int64), (pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.int32(), pa.int32(), pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([int_column(ids[at], null[at]), pa.array([own[r] for r in row], pa.int64()), pa.array(hashes), *(pa.array(c, t) for c, t in zip(cols[1:], types))],
+                                                 [key, "thash", "hash", "pos", "size", "folded", "plain", "n_plain", "n_all", "slots"])
 
     return body
 
@@ -209,8 +244,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
     question as it is).
 
     Windows of too few plain words count only as they are.  The share is that of the windows
-    of plain words, or of all windows where that is greater; n_windows and n_matched are those
-    of the greater share.
+    of plain words, of all template windows, or of the folded windows, whichever is greatest;
+    n_windows and n_matched are those of the greatest share.  So a copy in capitals or in small
+    letters is found, as are its literal parts.
 
     Null and empty texts match nothing.  Questions of fewer words than a window are one window, which is
     looked for anywhere in a document.  A document given twice is reported once, rows of a null doc_id with a null doc_id.  Questions with a
@@ -227,10 +263,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
     if hashes.count() <= BROADCAST_WINDOWS:
         found = np.array([r[0] for r in hashes.collect()], np.int64).view(U64)
         wanted = spark.sparkContext.broadcast(np.sort(found))
-    sizes = sorted(r[0] for r in bench.select("size").distinct().collect())
+    lengths = bench.select("size", "folded").distinct().collect()
+    sizes = tuple(sorted(r["size"] for r in lengths if r.folded == f) for f in (False, True))
     mine = docs.mapInArrow(windows_of("text", "doc_id", "long", wanted, window, sizes), f"doc_id long, thash long, {WINDOWS}")
     mine = mine.select("doc_id", "thash", "hash", F.col("pos").alias("d_pos"), F.col("slots").alias("d_slots"))
-    theirs = bench.select("item_id", "item_hash", "hash", F.col("pos").alias("i_pos"), "plain", "n_plain", "n_all", F.col("slots").alias("i_slots"))
+    theirs = bench.select("item_id", "item_hash", "hash", F.col("pos").alias("i_pos"), "folded", "plain", "n_plain", "n_all", F.col("slots").alias("i_slots"))
     both = stored(mine.join(theirs, "hash").distinct().withColumn("shift", F.col("d_pos") - F.col("i_pos")))
     line = ["doc_id", "thash", "item_id", "item_hash", "shift"]
     pair = [c for c in line if c != "shift"]
@@ -242,9 +279,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
     good = named.filter((F.col("i_slots") == F.col("d_slots")) | F.col("clash").isNull() | ~F.arrays_overlap("i_slots", "clash"))
     good = stored(good.select(both.columns))
     changed = slots(good).groupBy(*pair).agg(F.count("*").alias("n_slots"), F.count(F.when(F.col("i") != F.col("d"), 1)).alias("n_changed"))
-    out = good.groupBy(*pair).agg(F.max("n_plain").alias("n_plain"), F.max("n_all").alias("n_all"), F.count_distinct(F.when(F.col("plain"), F.col("i_pos"))).alias("m_plain"), F.count_distinct("i_pos").alias("m_all"))
-    of_plain = (F.col("n_plain") > 0) & (F.col("m_plain") * F.col("n_all") >= F.col("m_all") * F.col("n_plain"))
-    out = out.withColumn("n_windows", F.when(of_plain, F.col("n_plain")).otherwise(F.col("n_all"))).withColumn("n_matched", F.when(of_plain, F.col("m_plain")).otherwise(F.col("m_all")))
+    part = {"plain": F.col("plain"), "all": ~F.col("folded"), "fold": F.col("folded")}
+    most = lambda c, rows: F.coalesce(F.max(F.when(rows, F.col(c))), F.lit(0))
+    out = good.groupBy(*pair).agg(most("n_plain", part["all"]).alias("n_plain"), *[most("n_all", part[k]).alias("n_" + k) for k in ("all", "fold")],
+                                  *[F.count_distinct(F.when(rows, F.col("i_pos"))).alias("m_" + k) for k, rows in part.items()])
+    # the greatest of the shares m / n, the first of equal ones; of none there is -1 of 1
+    share_of = lambda k: F.struct(F.when(F.col("n_" + k) > 0, F.col("m_" + k) / F.col("n_" + k)).otherwise(F.lit(-1.0)).alias("s"), F.lit(-list(part).index(k)).alias("k"), F.col("n_" + k).cast("long").alias("n"), F.col("m_" + k).alias("m"))
+    out = out.withColumn("top", F.greatest(*[share_of(k) for k in part])).withColumn("n_windows", F.col("top.n")).withColumn("n_matched", F.col("top.m"))
     out = out.withColumn("coverage", F.col("n_matched") / F.col("n_windows")).filter(F.col("coverage") >= share)
     changed = changed.select(*[F.col(c).alias("c_" + c) for c in pair], "n_slots", "n_changed")
     on = [F.col(c).eqNullSafe(F.col("c_" + c)) for c in pair]
@@ -272,6 +313,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     found = leaks(docs, benchmark, window, share).select("doc_id", "thash").distinct()
     mark, leak_id, leak_hash = (free(docs, c) for c in ("_text_hash", "_leak_id", "_leak_hash"))
     marked = with_text_hash(docs, mark)
-    found = found.select(F.col("doc_id").alias(leak_id), F.col("thash").alias(leak_hash))
+    found = stored(found.select(F.col("doc_id").alias(leak_id), F.col("thash").alias(leak_hash)))
+    if found.count() <= BROADCAST_LEAKS:  # so that the texts need no shuffle
+        found = F.broadcast(found)
     cond = marked["doc_id"].cast("long").eqNullSafe(found[leak_id]) & (marked[mark] == found[leak_hash])
     return marked.join(found, cond, "left_anti").drop(mark)

@@ -1,5 +1,7 @@
 """Questions that op3 must find in documents."""
 
+import random
+
 import pytest
 
 from monthlens.llm import decontaminate as D
@@ -63,3 +65,45 @@ def test_windows_of_few_plain_words_count_as_they_are(found):
     got = found(rows, questions)
     assert set(got) == {(1, 1), (2, 2), (4, 3), (5, 3)}
     assert got[1, 1].coverage == 1.0 and got[2, 2].coverage == 1.0 and got[1, 1].n_changed == 0
+
+
+def test_copies_in_another_case(found):
+    questions = [
+        (1, "In March Paul Keller of Zurich sold 12 boxes of Swiss cheese to Anna Meyer. How many boxes had Paul left on Friday?"),
+        (2, "What is the capital of the country whose flag shows a red disc on a plain white ground?"), (3, "Who wrote Faust?"),
+    ]
+    rows = [(10 * k + j, PAD + change(q) + " " + PAD) for k, q in questions for j, change in enumerate((str, str.lower, str.upper, str.title))]
+    got = found([*rows, (90, PAD * 3), (91, "in march paul keller of zurich went home")], questions)
+    assert set(got) == {(10 * k + j, k) for k, _ in questions for j in range(4)}
+    assert all(r.coverage == 1.0 and r.n_changed == 0 for r in got.values())
+
+
+def test_folded_windows_by_brute_force(found):
+    """Pairs found among texts without any capital, number or unit are those of shared windows."""
+    rnd = random.Random(8)
+    words = [f"{a}{b}ar" for a in "bcdrst" for b in "aeiou"]
+    text = lambda n: [rnd.choice(words) for _ in range(n)]
+    questions = {k: text(rnd.choice([3, 8, 12, 20])) for k in range(12)}
+    docs = {}
+    for k in range(40):
+        q = list(questions[rnd.randrange(12)])
+        for _ in range(rnd.randrange(3)):
+            q[rnd.randrange(len(q))] = "zzar"
+        docs[k] = [w.upper() if rnd.random() < 0.5 else w for w in text(rnd.randrange(20)) + q + text(5)]
+
+    def windows(ws, n):
+        return [tuple(w.lower() for w in ws[i : i + n]) for i in range(len(ws) - n + 1)]
+
+    want = set()
+    for d, ws in docs.items():
+        for k, q in questions.items():
+            n = min(8, len(q))
+            have = set(windows(ws, n))
+            mine = windows(q, n)
+            if sum(w in have for w in mine) >= 0.5 * len(mine):
+                want.add((d, k))
+    assert want
+    got = found([(d, " ".join(ws)) for d, ws in docs.items()], [(k, " ".join(q)) for k, q in questions.items()])
+    assert {p for p in got if p in want} == want
+    # what else is found stands in the document as a template, with other values
+    assert all(r.n_changed > 0 for p, r in got.items() if p not in want)
