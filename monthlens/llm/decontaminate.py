@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from monthlens.llm.common import binary_views, free, int_column, long_column, mix, ship, signed64, stored
+from monthlens.llm.common import binary_views, free, int_column, long_column, mix, ship, signed64, stored, with_text_hash
 from monthlens.llm.superkmer import gram_hashes
 
 U64 = np.uint64
@@ -296,18 +296,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
     return out.join(changed, cond, "left").select("doc_id", "thash", "item_id", F.col("n_windows").cast("long").alias("n_windows"), F.col("n_matched").cast("long").alias("n_matched"), "coverage", zero("n_slots"), zero("n_changed"))
 
 
-def with_text_hash(docs: DataFrame, name: str) -> DataFrame:
-    """docs and, as ``name``, the 64-bit hash (xxh3) of the text."""
-    ship(docs.sparkSession)
-
-    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [signed64(xxhash.xxh3_64_intdigest(v)) for v in binary_views(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int64())], [*batch.schema.names, name])
-
-    return docs.mapInArrow(body, docs.select("*", F.lit(0).cast("long").alias(name)).schema)
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
     """The rows of docs, with their columns, that hold no question (see ``leaks``)."""
     found = leaks(docs, benchmark, window, share).select("doc_id", "thash").distinct()

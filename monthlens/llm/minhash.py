@@ -111,8 +111,8 @@ def sign(size: int):
             node = np.array([node_of(s) for s in sets], U64).view(np.int64)
             thash = [signed64(xxhash.xxh3_64_intdigest(v)) for v in binary_views(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array(thash, pa.int64()), pa.array(node), pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([None if x is None else x.tobytes() for x in lows], pa.binary())], ["doc_id", "thash", "node", "n_shingles", "low"])
+                batch.column("doc_id"), pa.array(thash, pa.int64()), batch.column("jhash"), pa.array(node), pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([None if x is None else x.tobytes() for x in lows], pa.binary())], ["doc_id", "thash", "jhash", "node", "n_shingles", "low"])
 
     return body
 
@@ -180,9 +180,10 @@ def counted(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(node, names) of the wanted nodes, from the text of one document of each."""
-    need = wanted.join(nodes.select("node", "doc_id"), "node").select(F.col("doc_id").alias("r_id"), "node")
-    text = need.join(docs.select("doc_id", "text"), F.col("r_id").eqNullSafe(F.col("doc_id"))).select("node", "text")
+    """(node, names) of the wanted nodes, from the text of one document of each.  Documents go
+    by id and hash of the text, so many null or equal ids are no group."""
+    need = wanted.join(nodes.select("node", "doc_id", "jhash"), "node").select(F.col("doc_id").alias("r_id"), F.col("jhash").alias("r_hash"), "node")
+    text = need.join(docs, F.col("r_id").eqNullSafe(F.col("doc_id")) & (F.col("r_hash") == F.col("jhash"))).select("node", "text")
 
     def body(batches):
         for batch, sets in sets_of(batches, size):
@@ -375,9 +376,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     spark = docs.sparkSession
     ship(spark)
     least = matches(percent)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = stored(docs.mapInArrow(sign(shingle), "doc_id long, thash long, node long, n_shingles long, low binary"))
-    nodes = stored(signed.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("low").alias("low")))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("jhash"))
+    signed = stored(docs.mapInArrow(sign(shingle), "doc_id long, thash long, jhash long, node long, n_shingles long, low binary"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "jhash")).alias("first")  # an id before none
+    nodes = signed.filter("n_shingles > 0").groupBy("node").agg(first, F.any_value("low").alias("low"))
+    nodes = stored(nodes.select("node", "first.doc_id", "first.jhash", "low"))
     n_nodes = nodes.count()
     sample = nodes.sample(min(1.0, SAMPLE / max(n_nodes, 1)), seed=3).select("low").limit(4 * SAMPLE).collect()
     seen, times = np.unique(elements(np.frombuffer(b"".join(r[0] for r in sample), np.uint32).reshape(-1, K)), return_counts=True)

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from monthlens.llm.common import binary_views, int_column, long_column, mix, stored
+from monthlens.llm.common import binary_views, int_column, long_column, mix, stored, with_text_hash
 
 U64 = np.uint64
 TOP = U64(0xFFFFFFFFFFFFFFFF)
@@ -257,9 +257,9 @@ def pack(docs: DataFrame, found: DataFrame, units: Callable, window: int) -> Dat
     """Step 3: the packed string of each check, cut from its document.  One row of a document
     that is given several times is enough."""
     checks = (found.filter(F.col("kind") == CHECK).groupBy("doc_id", "thash")
-              .agg(F.collect_list(F.struct("sid", "flag", "span")).alias("runs")))
-    keyed = docs.select(F.col("doc_id").alias("d_id"), "text")
-    joined = checks.join(keyed, F.col("doc_id").eqNullSafe(F.col("d_id")), "inner").select("doc_id", "thash", "runs", "text")
+              .agg(F.collect_set(F.struct("sid", "flag", "span")).alias("runs")))
+    keyed = with_text_hash(docs.select(F.col("doc_id").alias("d_id"), "text"), "d_hash")
+    joined = checks.join(keyed, F.col("doc_id").eqNullSafe(F.col("d_id")) & (F.col("thash") == F.col("d_hash")), "inner").select("doc_id", "thash", "runs", "text")
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -270,8 +270,6 @@ def pack(docs: DataFrame, found: DataFrame, units: Callable, window: int) -> Dat
             sid, flag, span = (runs.values.field(k).to_numpy(zero_copy_only=False) for k in range(3))
             strings, take, row_of = [], [], []
             for row, view in enumerate(binary_views(batch.column(3))):
-                if signed(np.array([xxhash.xxh3_64_intdigest(view)], U64))[0] != thash[row]:
-                    continue  # another text under the same id
                 text, start, end, _ = units(view, grams=False)
                 a, b = offs[row], offs[row + 1]
                 first, n = span[a:b] >> 32, span[a:b] & 0xFFFFFFFF
@@ -325,16 +323,16 @@ def by_shard(kernel: Callable, chunk_bytes: int = 1 << 21) -> Callable:
 
 
 def spans_by_document(marks: DataFrame) -> DataFrame:
-    """(doc_id, thash) with the marked runs, as many at most as the document has."""
-    return marks.groupBy("doc_id", "thash").agg(F.collect_list("span").alias("spans"))
+    """(doc_id, thash) with the marked runs, as many at most as the document has, however often
+    it is given."""
+    return marks.groupBy("doc_id", "thash").agg(F.collect_set("span").alias("spans"))
 
 
 def with_spans(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """doc_id, text, thashes, spans: each document with the marks of its id, by text hash."""
-    per_id = (spans_by_document(marks).groupBy(F.col("doc_id").alias("m_id"))
-              .agg(F.collect_list(F.struct("thash", "spans")).alias("marks")))
-    return (docs.select("doc_id", "text")
-            .join(per_id, F.col("doc_id").eqNullSafe(F.col("m_id")), "left").select("doc_id", "text", "marks"))
+    """doc_id, text, marks: each document with the marks of its id and text hash."""
+    per_text = spans_by_document(marks).select(F.col("doc_id").alias("m_id"), F.col("thash").alias("m_hash"), F.array(F.struct("thash", "spans")).alias("marks"))
+    return (with_text_hash(docs.select("doc_id", "text"), "d_hash")
+            .join(per_text, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("d_hash") == F.col("m_hash")), "left").select("doc_id", "text", "marks"))
 
 
 def marked_units(n: int, spans: np.ndarray, window: int) -> np.ndarray:

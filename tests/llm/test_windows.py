@@ -119,3 +119,16 @@ def test_cut_finds_the_runs():
         assert np.repeat(seed, n).tolist() == low
         for s, f, m, flag in zip(seed.tolist(), first.tolist(), n.tolist(), inside.tolist()):
             assert flag or grams[f : f + m + 7].tolist().count(s) == 1
+
+
+def test_many_null_ids_and_rows_given_often(documents):
+    """A third of the rows without an id, others given a hundred times: no group of an id."""
+    rnd = random.Random(21)
+    shared = " ".join(f"s{rnd.randrange(10**6)}" for _ in range(30))
+    rows = [(None, f"{shared} n{k} " + " ".join(f"t{rnd.randrange(10**6)}" for _ in range(15))) for k in range(60)]
+    rows += [(k, f"u{k} " * 3 + shared) for k in range(60)] + [(500, "v " + shared)] * 100
+    got = dedup_substrings(documents(rows)).collect()
+    assert len(got) == len(rows) and sum(r.n_removed == 0 and r.n_words > 0 for r in got if r.doc_id is not None) <= 1
+    assert all(r.n_removed >= 30 for r in got if r.doc_id not in (None, 0))
+    out = dedup_bytes(documents(rows)).collect()
+    assert len(out) == len(rows) and all(r.n_removed >= 150 for r in out)
