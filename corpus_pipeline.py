@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from monthlens.llm import langid, tokens
-from monthlens.llm.common import fold, free, stored, table
-from monthlens.llm.decontaminate import decontaminate, with_text_hash
+from monthlens.llm.common import fold, free, stored, table, with_text_hash
+from monthlens.llm.decontaminate import decontaminate
 from monthlens.llm.lines import OUT, dedup_lines
 from monthlens.llm.minhash import near_duplicates
 from monthlens.llm.queries import PIECE_MODEL
@@ -22,6 +22,8 @@ from monthlens.llm.queries import PIECE_MODEL
 LEAST_SCORE = 0.4
 #: Percent of their five-word shingles that near-duplicates of the pipeline share (op9 alone: 85).
 NEAR_PERCENT = 80
+#: Rows (24 bytes each) of ids that go or are given twice up to which they are sent to every task.
+BROADCAST_ROWS = 1_000_000
 ORACLE_SQL = None  # no stage but the line stage is expressible in SQL at this cost
 
 
@@ -46,11 +48,21 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates; a row given twice counts once.
 
     Rows go by doc_id and text, so of rows with one doc_id and different texts only those go
-    that are like an earlier document."""
-    gone = stored(near_duplicates(docs, percent=NEAR_PERCENT, hashed=True)).filter(~F.col("kept") & F.col("doc_id").isNotNull())
-    mark = free(docs, "_text_hash")
-    gone = gone.select("doc_id", F.col("thash").alias(mark)).distinct()
-    return with_text_hash(docs, mark).join(gone, ["doc_id", mark], "left_anti").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    that are like an earlier document.  Texts stay where they lie: the ids that go, and those
+    of rows given twice, come to them (by shuffle beyond ``BROADCAST_ROWS`` of them), and only
+    the rows given twice are shuffled."""
+    found = stored(near_duplicates(docs, percent=NEAR_PERCENT, hashed=True))
+    mark, id_, n = (free(docs, c) for c in ("_text_hash", "_id", "_n"))
+    told = found.groupBy(F.col("doc_id").alias(id_), F.col("thash").alias(mark)).agg(F.count("*").alias(n), F.bool_and(F.col("kept") | F.col("doc_id").isNull()).alias("stays"))
+    told = stored(told.filter((F.col(n) > 1) | ~F.col("stays")).withColumn(n, F.when(F.col("stays"), F.col(n)).otherwise(0)).select(id_, mark, n))
+    if told.count() <= BROADCAST_ROWS:
+        told = F.broadcast(told)
+    there = free(docs, "_there")
+    told = told.withColumnRenamed(mark, there)
+    hashed = with_text_hash(docs, mark)
+    rows = hashed.join(told, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.col(mark) == F.col(there)), "left")
+    once = rows.filter(F.col(n).isNull()).select(docs.columns)
+    return once.unionAll(rows.filter(F.col(n) > 1).select(docs.columns).dropDuplicates(["doc_id", "text"]))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
