@@ -171,7 +171,8 @@ def learn(labelled: DataFrame, sample: int = SAMPLE):
 
 
 def predict(docs: DataFrame, model, pred: str = "lang_pred", score: str = "score") -> DataFrame:
-    """The columns of docs plus the predicted language and its probability."""
+    """The columns of docs plus the predicted language and its probability; columns of docs of
+    these two names are replaced."""
     ship(docs.sparkSession)
     classes, w, t, idf = model
     sent = docs.sparkSession.sparkContext.broadcast((classes, w.astype(np.float32), t, idf))  # BUCKETS rows
@@ -204,7 +205,7 @@ def identify(docs: DataFrame, held: int = 5, sample: int = SAMPLE) -> DataFrame:
     Learns from text and non-null lang of rows whose crc32(doc_id) mod ``held`` is not 0.
     Texts that are null or have no letter are ``und`` with score 0, as is everything when
     there is nothing to learn from.  Equal texts get equal predictions.  Null ids count as
-    the empty text in the fold.
+    the empty text in the fold.  Rows given twice each get a row.  Other columns are ignored.
     """
     ship(docs.sparkSession)
     docs = docs.select("doc_id", "text", "lang")

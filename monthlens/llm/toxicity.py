@@ -288,7 +288,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
 
 def tag(docs: DataFrame, field: Field) -> DataFrame:
     """The columns of docs plus score double and spans array<struct<first, past>>: byte offsets
-    of the tokens that are likelier toxic than not."""
+    of the tokens that are likelier toxic than not.  Columns of docs of these two names are replaced."""
     ship(docs.sparkSession)
     base = docs.drop("score", "spans")
     names = base.columns
@@ -325,7 +325,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, held: int = 3) -> DataFrame:
 
     Learns ``labels.toxic`` (null: no label) only from rows whose crc32(doc_id) mod ``held``
     is not 1.  Null and empty texts have no token and get the lowest score; so does everything
-    where nothing is labelled toxic.  Equal texts get equal scores.
+    where nothing is labelled toxic.  Equal texts get equal scores.  Rows of a null id are scored
+    but teach nothing; rows given twice each get a row.  Other columns are ignored.
     """
     ship(docs.sparkSession)
     mine = labels.filter(fold(F.col("doc_id"), held) != 1)
