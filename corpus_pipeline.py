@@ -28,7 +28,10 @@ ORACLE_SQL = None  # no stage but the line stage is expressible in SQL at this c
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; learns as op8 does."""
+    """Documents whose language is recognised; learns as op8 does.
+
+    Null texts and those without a letter go, as does everything where no row has a lang to
+    learn from.  Rows given twice stay or go alike."""
     langid.ship(spark)
     learnt = docs.filter((fold(F.col("doc_id"), 5) != 0) & F.col("lang").isNotNull())
     lang, score = free(docs, "_lang"), free(docs, "_score")
@@ -66,12 +69,16 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark question."""
+    """Documents that hold no benchmark question.
+
+    Null and empty texts hold none.  Rows go by doc_id (null too) and text, so rows given twice
+    stay or go alike; without questions all stay."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark")).select(docs.columns)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and digests of the ids and of what they decode to."""
+    """Token ids of each document, and digests of the ids and of what they decode to.  A null
+    text is the empty one; rows given twice each get a row."""
     out = tokens.encoded_with_digests(docs.select("doc_id", "lang", "source", "text"), PIECE_MODEL)
     return out.select("doc_id", "lang", "source", "ids", "n_tokens", "ids_sha256", "decoded_sha256")
 
