@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 import corpus_pipeline as C
 from monthlens.llm import minhash
 from monthlens.llm.minhash import near_duplicates
@@ -33,7 +35,9 @@ def test_matches_follow_the_threshold():
     assert minhash.matches(85) == 36 and minhash.matches(80) == 31 and minhash.matches(100) == 64
 
 
-def test_rows_of_one_id_and_different_texts(spark, documents):
+@pytest.mark.parametrize("sent", [1_000_000, 0])
+def test_rows_of_one_id_and_different_texts(spark, documents, monkeypatch, sent):
+    monkeypatch.setattr(C, "BROADCAST_ROWS", sent)
     rnd = random.Random(12)
     a, b = copies(rnd, 2)
     alone = copies(rnd, 0)[0]
