@@ -117,3 +117,43 @@ def test_quality(spark, documents):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert len({r.score for r in quality.classify(documents(rows[:9]), none).collect()}) == 1
     assert quality.classify(documents([]), marks).collect() == []
+
+
+def test_quality_learns_from_every_labelled_row(spark, documents):
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(6)
+    texts = [(k, " ".join(rnd.choice(["plain", "word", "Or", "7", "!!"]) for _ in range(4))) for k in range(32000)]
+    quality_of = {k: int(rnd.random() < 0.1 + 0.8 * ("plain" in text)) for k, text in texts}
+    rows = documents(texts).select("doc_id", "text").localCheckpoint()
+    # what a draw by hash of about 20,000 rows, half of each class, leaves out
+    learning = [k for k, _ in texts if fold_of(k, 5) != 0]
+    ones = sum(quality_of[k] for k in learning)
+    drawn = F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(1 << 20)) < 10000 / min(ones, len(learning) - ones) * (1 << 20)
+    out = [r[0] for r in spark.range(32000).filter(~drawn).collect() if fold_of(r[0], 5) != 0]
+    # as many of each class, so that the classes keep their sizes
+    pairs = list(zip([k for k in out if quality_of[k]], [k for k in out if not quality_of[k]]))
+    out = {k for pair in pairs for k in pair}
+    assert len(out) > 200
+    flipped = {k: 1 - y if k in out else y for k, y in quality_of.items()}
+    marks = [spark.createDataFrame([(k, y, 0) for k, y in m.items()], "doc_id long, quality int, toxic int") for m in (quality_of, flipped)]
+    a, b = ({r.doc_id: r.score for r in quality.classify(rows, m).collect()} for m in marks)
+    assert a != b
+
+
+def test_quality_weights_are_those_of_all_pairs(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, quality.N_FEATURES)).astype(np.float32)
+    y = (x[:, 0] + 0.5 * x[:, 1] + rng.normal(size=300) > 0.8).astype(int)
+    rows = spark.createDataFrame([(int(b), a.tolist()) for a, b in zip(x, y)], "y int, x array<float>").repartition(5)
+    mean, scale, w, cut, _ = quality.learned(rows)
+    z = np.clip((x - x.mean(0)) / x.std(0), -8, 8)
+    assert np.allclose(mean, x.mean(0), atol=1e-5) and np.allclose(scale, x.std(0), atol=1e-5)
+    d = (z[y == 1][:, None] - z[y == 0]).reshape(-1, x.shape[1])
+    v = np.zeros(x.shape[1])
+    for _ in range(12):
+        p = 1 / (1 + np.exp(d @ v))
+        v += np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / len(d) + quality.RIDGE * np.eye(len(v)), d.T @ p / len(d) - quality.RIDGE * v)
+    assert np.abs(w - v).max() < 0.01
+    s = quality.raw_scores(x.astype(float), mean, scale, w)
+    assert ((s >= cut) != y).sum() == min(((s >= c) != y).sum() for c in [*s, s.max() + 1])
