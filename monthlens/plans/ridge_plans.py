@@ -11,6 +11,7 @@ from monthlens.functions.text import bar
 from monthlens.operators import ridge as R
 from monthlens.operators import timeseries as TS
 from monthlens.operators import vectorize as V
+from monthlens.session import cut_lineage
 from monthlens.sources import tables as S
 
 # --- fixed values: alpha grids (ascending, as 10**linspace) -------------------
@@ -115,7 +116,7 @@ def oos_ridge_lasso_compare(spark: SparkSession, sf: str, target: str = "indprol
     """Counts vs topics, chronological 80/20, 5-fold Ridge and 5-fold Lasso."""
     from monthlens.operators.cv import compare_models, lasso_kfold
     from monthlens.plans.analyses import features
-    y = S.outcomes(spark, sf, complete_months_only=False, names=[target]).select("period", "y")
+    y = cut_lineage(S.outcomes(spark, sf, complete_months_only=False, names=[target]).select("period", "y"))
     out = None
     for rep, alphas in (("topics", CMP_ALPHAS_TOPICS), ("counts", CMP_ALPHAS_COUNTS)):
         f = features(spark, sf, rep)

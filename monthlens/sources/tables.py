@@ -76,14 +76,14 @@ def _complete_orders(orders: DataFrame) -> DataFrame:
     return orders.where(month("o_orderdate") < F.lit(cut))
 
 
-def macro_long(spark: SparkSession, sf_dir: str, complete_months_only: bool = False) -> DataFrame:
+def macro_long(spark: SparkSession, sf_dir: str, complete_months_only: bool = False, segments: bool = True) -> DataFrame:
     """Outcomes in long form ``(period date, outcome string, y double)``, NULLs kept.
 
     mret      ln(total price / previous month's total price)
     vol       population std of ln(order price) in the month
     indpro    growth of the monthly order count
     indprol1  next month's indpro
-    <seg>_vol the same per customer market segment
+    <seg>_vol the same per customer market segment (with ``segments``)
     """
     orders = read_table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_totalprice", F.col("o_orderdate").cast("timestamp_ntz").alias("o_orderdate"))
@@ -98,6 +98,8 @@ def macro_long(spark: SparkSession, sf_dir: str, complete_months_only: bool = Fa
           .withColumn("indprol1", F.lead("indpro").over(w)))
     base = m.select("period", F.expr(
         "stack(4, 'mret', mret, 'vol', vol, 'indpro', indpro, 'indprol1', indprol1) as (outcome, y)"))
+    if not segments:
+        return base.select("period", "outcome", F.col("y").cast("double").alias("y"))
     cust = read_table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
     seg = (orders.join(cust, "o_custkey")
@@ -110,7 +112,9 @@ def macro_long(spark: SparkSession, sf_dir: str, complete_months_only: bool = Fa
 def outcomes(spark: SparkSession, sf_dir: str, complete_months_only: bool = False,
              names: list[str] | None = None) -> DataFrame:
     """Non-null outcome values ``(period, outcome, y)``; ``names`` filters outcomes."""
-    o = macro_long(spark, sf_dir, complete_months_only).where(F.col("y").isNotNull() & ~F.isnan("y"))
+    # customers are read only where an outcome by segment is asked for
+    segments = not names or any(n.endswith("_vol") for n in names)
+    o = macro_long(spark, sf_dir, complete_months_only, segments).where(F.col("y").isNotNull() & ~F.isnan("y"))
     if names:
         o = o.where(F.col("outcome").isin(*names))
     return o
