@@ -35,15 +35,33 @@ def columns(values: DataFrame, pp: DataFrame, collapse: bool = True) -> DataFram
 
     Columns that are positive multiples of each other there standardise alike; with
     ``collapse`` the alphabetically first stands for its class.  They are grouped by a
-    128-bit digest of the column over its largest value, rounded to 12 digits."""
-    cells = values.where(F.col("value") != 0).join(F.broadcast(month_index(pp)), "period")
-    cols = cells.groupBy("pattern", "n", "feature").agg(F.array_sort(F.collect_list(F.struct("t", "value"))).alias("cells"), F.max(F.abs("value")).alias("most"))
-    if not collapse:
-        return cols.select("pattern", "n", "feature", F.lit(1).cast("long").alias("class_size"), "cells")
-    shape = F.array_join(F.transform("cells", lambda x: F.concat_ws("=", x["t"].cast("string"), F.round(x["value"] / F.col("most"), 12).cast("string"))), ";")
-    return (cols.withColumn("shape", F.md5(shape)).groupBy("pattern", "n", "shape")
-                .agg(F.min("feature").alias("feature"), F.count("*").alias("class_size"), F.min_by("cells", "feature").alias("cells"))
-                .drop("shape"))
+    128-bit digest of the column over its largest value, rounded to 12 digits.
+
+    Cells meet by feature once, whatever the number of patterns: columns proportional over all
+    months are so in each pattern, so only one of each such class is dealt out to the patterns."""
+    months = pp.select("period").distinct().withColumn("t", F.row_number().over(Window.orderBy("period")) - 1)  # month-level
+    cells = values.where(F.col("value") != 0).join(F.broadcast(months), "period")
+    cols = cells.groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("t", "value"))).alias("cells")).withColumn("class_size", F.lit(1).cast("long"))
+    if collapse:
+        cols = _classes(cols, [])
+    # where each month of them all lies in a pattern
+    patterns = pp.select("pattern").distinct()
+    place = (months.withColumnRenamed("t", "every").crossJoin(F.broadcast(patterns)).join(month_index(pp), ["pattern", "period"], "left").groupBy("pattern")
+                   .agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("every", "t"))), lambda x: x["t"]).alias("place")))
+    own = F.transform(F.filter("cells", lambda x: F.get("place", x["t"]).isNotNull()), lambda x: F.struct(F.get("place", x["t"]).alias("t"), x["value"].alias("value")))
+    cols = cols.crossJoin(F.broadcast(place)).select("pattern", "n", "feature", "class_size", own.alias("cells")).where(F.size("cells") > 0)
+    # one pattern has all months
+    return _classes(cols, ["pattern", "n"]) if collapse and patterns.count() > 1 else cols
+
+
+def _classes(cols: DataFrame, keys: list[str]) -> DataFrame:
+    """One column for each class of proportional ones, by ``keys``: class sizes summed, the first feature's cells."""
+    most = F.array_max(F.transform("cells", lambda x: F.abs(x["value"])))
+    shape = F.transform("cells", lambda x: F.struct(x["t"], F.rint(x["value"] / F.col("most") * 1e12).cast("long")))
+    digest = F.struct(F.xxhash64(F.lit(0), "shape"), F.xxhash64(F.lit(1), "shape")).alias("digest")
+    return (cols.withColumn("most", most).withColumn("shape", shape).select(*keys, "feature", "class_size", "cells", digest).groupBy(*keys, "digest")
+                .agg(F.min("feature").alias("feature"), F.sum("class_size").alias("class_size"), F.min_by("cells", "feature").alias("cells"))
+                .select(*keys, "feature", "class_size", "cells"))
 
 
 def pack(values: DataFrame, pp: DataFrame, collapse: bool = True, standardise: bool = True, size: int | None = None) -> DataFrame:

@@ -18,8 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from monthlens.operators.columns import pack
-from monthlens.operators.vectorize import Features
-from monthlens.session import cut_lineage
+from monthlens.operators.vectorize import Features, kept
 
 
 @dataclass
@@ -54,10 +53,8 @@ def build_design(features: Features, outcomes: DataFrame) -> Design:
     optimality checks) reads them instead of re-tokenising the corpus,
     and executor loss cannot force a recompute from the raw text. Month-level
     tables are only cached."""
-    vals = cut_lineage(features.values)          # one pass over the corpus
-    # month-level tables: cheap to recompute from their short lineage, so cached
-    fs = Features(features.rep, vals, features.periods.cache())
+    fs = kept(features)                          # one pass over the corpus
     y = align(fs, outcomes).cache()
     op, pp = patterns(y)
     op, pp = op.cache(), pp.cache()              # month-level, derived from the cached y
-    return Design(fs, y, op, pp, pack(vals, pp))
+    return Design(fs, y, op, pp, pack(fs.values, pp))

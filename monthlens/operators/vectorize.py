@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from monthlens.functions.text import is_stop_word, tokens
+from monthlens.session import cut_lineage
 from monthlens.sources.tables import month
 
 
@@ -26,17 +27,28 @@ class Features:
     rep: str
     values: DataFrame   # period, feature, value
     periods: DataFrame  # period
+    stored: bool = False  # both read a table, not the source
 
     def long(self) -> DataFrame:
         return self.values.select(F.lit(self.rep).alias("rep"), "period", "feature", "value")
 
 
+def kept(f: Features) -> Features:
+    """``f`` with its values and months written once, so that later jobs do not go back to the source."""
+    return f if f.stored else Features(f.rep, cut_lineage(f.values), cut_lineage(f.periods), True)
+
+
 def _token_rows(docs: DataFrame, text_col: str, key_cols: list[str]) -> DataFrame:
     """One row per non-stop token occurrence (JVM regex + InSet lookup)."""
     return (docs.select(*key_cols, F.explode(tokens(text_col)).alias("term"))
                 .where(~is_stop_word("term")))
 
 
+def _content(term: str) -> F.Column:
+    """The term, or null for a stop word."""
+    return F.when(~is_stop_word(term), F.col(term))
+
+
 def with_period(df: DataFrame, ts_col: str = "display_date") -> DataFrame:
     return df.withColumn("period", month(ts_col))
 
@@ -52,12 +64,12 @@ def dtm(articles: DataFrame, text_col: str = "headline") -> DataFrame:
 def monthly_counts(articles: DataFrame, text_col: str = "headline", rep: str = "counts") -> Features:
     """Monthly sums of term counts. Tokens are aggregated straight to
     (period, term): the map-side partial aggregate collapses hot terms before
-    the shuffle, so no per-article matrix is materialised."""
+    the shuffle, so no per-article matrix is materialised. One pass over the text: a row
+    without a feature keeps the month of articles without a token."""
     a = with_period(articles) if "period" not in articles.columns else articles
-    vals = (_token_rows(a, text_col, ["period"])
-            .groupBy("period", F.col("term").alias("feature"))
-            .agg(F.count("*").cast("double").alias("value")))
-    return Features(rep, vals, a.select("period").distinct())
+    cells = cut_lineage(a.select("period", F.explode_outer(tokens(text_col)).alias("term"))
+                         .groupBy("period", _content("term").alias("feature")).agg(F.count("*").cast("double").alias("value")))
+    return Features(rep, cells.where(F.col("feature").isNotNull()), cells.select("period").distinct(), True)
 
 
 # ------------------------------------------------------------------ tf-idf
@@ -66,9 +78,13 @@ IDF_BROADCAST_BYTES = 64 << 20
 
 
 def term_rows(articles: DataFrame, text_col: str = "headline") -> DataFrame:
-    """(article_id, period, terms array<struct<term, tf>>): one row for each article with a
-    token. Counting and gathering go by article, so text that lies by article is not shuffled."""
-    return dtm(articles, text_col).groupBy("article_id", "period").agg(F.collect_list(F.struct("term", "tf")).alias("terms"))
+    """(article_id, period, terms array<struct<term, tf>>, copies): one row for each article, and how many rows it had.
+    Counting and gathering go by article, so text that lies by article is not shuffled."""
+    words = articles.select("article_id", "period", F.posexplode_outer(tokens(text_col)).alias("at", "word"))
+    counts = (words.groupBy("article_id", "period", _content("word").alias("term"))
+                   .agg(F.count("*").alias("tf"), F.count_if(F.coalesce("at", F.lit(0)) == 0).alias("first")))
+    cell = F.when(F.col("term").isNotNull(), F.struct("term", "tf"))
+    return counts.groupBy("article_id", "period").agg(F.collect_list(cell).alias("terms"), F.sum("first").alias("copies"))
 
 
 def _weights(articles: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -78,17 +94,15 @@ def _weights(articles: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:
     idf of every term, but one number an article comes out of that join: it is summed up before
     any shuffle and joined to the rows, not to their terms. The idf rows are broadcast
     only where their bytes, summed by a job, are few; else Spark joins by term."""
-    from monthlens.session import cut_lineage
-
-    n_docs = articles.count()
     rows = cut_lineage(term_rows(articles, text_col))
+    n_docs = rows.agg(F.sum("copies")).first()[0] or 0
     cells = rows.select("article_id", F.explode("terms").alias("c")).select("article_id", "c.term", "c.tf")
     idf = cut_lineage(cells.groupBy("term").agg((F.log((1.0 + n_docs) / (1.0 + F.count("*"))) + 1.0).alias("idf")))
     if (idf.agg(F.sum(F.octet_length("term") + 40)).first()[0] or 0) <= IDF_BROADCAST_BYTES:
         idf = F.broadcast(idf)
     norms = (cells.join(idf, "term").groupBy("article_id")
                   .agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("norm")))
-    return rows.join(norms, "article_id"), idf
+    return rows.join(norms, "article_id", "left"), idf
 
 
 def tfidf_article(articles: DataFrame, text_col: str = "headline") -> DataFrame:
@@ -102,14 +116,23 @@ def tfidf_article(articles: DataFrame, text_col: str = "headline") -> DataFrame:
 
 
 def monthly_tfidf(articles: DataFrame, text_col: str = "headline", rep: str = "tfidf") -> Features:
-    """Monthly sums of the articles' weights. The idf of a term is the same in all articles of a
-    month, so tf / norm is summed first and multiplied by it after."""
+    """Monthly sums of the articles' weights."""
+    return monthly_counts_and_tfidf(articles, text_col, rep=rep)[1]
+
+
+def monthly_counts_and_tfidf(articles: DataFrame, text_col: str = "headline", rep: str = "tfidf") -> tuple[Features, Features]:
+    """Both from one pass over the text. The idf of a term is the same in all articles of a
+    month, so tf / norm is summed first and multiplied by it after. A row without a term
+    keeps the month of articles without a token."""
     a = with_period(articles) if "period" not in articles.columns else articles
     rows, idf = _weights(a, text_col)
-    sums = (rows.select("period", "norm", F.explode("terms").alias("c"))
-                .groupBy("period", F.col("c.term").alias("term")).agg(F.sum(F.col("c.tf") / F.col("norm")).alias("share")))
-    vals = sums.join(idf, "term").select("period", F.col("term").alias("feature"), (F.col("share") * F.col("idf")).alias("value"))
-    return Features(rep, vals, a.select("period").distinct())
+    sums = (rows.select("period", "norm", F.explode_outer("terms").alias("c")).groupBy("period", F.col("c.term").alias("feature"))
+                .agg(F.sum(F.col("c.tf") / F.col("norm")).alias("share"), F.sum("c.tf").cast("double").alias("count")))
+    sums = cut_lineage(sums.join(idf.withColumnRenamed("term", "feature"), "feature", "left"))
+    cells, periods = sums.where(F.col("feature").isNotNull()), sums.select("period").distinct()
+    counts = cells.select("period", "feature", F.col("count").alias("value"))
+    weights = cells.select("period", "feature", (F.col("share") * F.col("idf")).alias("value"))
+    return Features("counts", counts, periods, True), Features(rep, weights, periods, True)
 
 
 # ------------------------------------------------------------------ vectors
@@ -139,11 +162,11 @@ def dim_name(pos: F.Column) -> F.Column:
 
 def monthly_embeddings(vectors: DataFrame, col: str = "embedding", drop_failed: bool = False,
                        rep: str = "embeddings") -> Features:
-    m = monthly_vector_mean(vectors, col, drop_failed)
+    m = cut_lineage(monthly_vector_mean(vectors, col, drop_failed))  # one row a month
     vals = (m.select("period", F.posexplode("mean").alias("pos", "value"))
              .select("period", dim_name(F.col("pos")).alias("feature"), "value")
              .where(F.col("value") != 0))
-    return Features(rep, vals, m.select("period"))
+    return Features(rep, vals, m.select("period"), True)
 
 
 def vectors_failed_summary(vectors: DataFrame, col: str = "embedding") -> DataFrame:

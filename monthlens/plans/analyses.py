@@ -34,8 +34,8 @@ def features(spark: SparkSession, sf: str, rep: str, drop_failed: bool = False)
     if rep == "tfidf":
         return V.monthly_tfidf(S.articles(spark, sf))
     if rep == "topics":
-        t = S.topics_long(spark, sf)
-        return V.Features("topics", t, t.select("period").distinct())
+        t = cut_lineage(S.topics_long(spark, sf))              # months by brands
+        return V.Features("topics", t, t.select("period").distinct(), True)
     if rep == "embeddings":
         return V.monthly_embeddings(S.article_vectors(spark, sf), drop_failed=drop_failed)
     if rep.startswith("generated"):
@@ -74,11 +74,11 @@ def variant_articles(spark: SparkSession, path: str, variant: str) -> DataFrame:
 def variant_lasso(spark: SparkSession, sf: str, path: str, wanted=None, outcomes=("mret",), k: int = 5) -> DataFrame:
     """Lasso to OLS on each variant that the table at ``path`` has (of ``wanted``, if given); a
     variant that is not there is left out."""
-    out = None
+    out, y = None, read_outcomes(spark, sf, outcomes)
     for v in S.partition_values(spark, path, "variant"):
         if wanted is None or v in wanted:
             f = V.monthly_counts(variant_articles(spark, path, v), rep="generated")
-            res = lasso_ols(spark, sf, f, ks=(k,), outcomes=list(outcomes)).withColumn("variant", F.lit(v))
+            res = lasso_ols(spark, sf, f, ks=(k,), y=y).withColumn("variant", F.lit(v))
             out = res if out is None else out.unionByName(res)
     if out is None:
         raise ValueError(f"no variant of {wanted} in {path}")
@@ -87,20 +87,24 @@ def variant_lasso(spark: SparkSession, sf: str, path: str, wanted=None, outcomes
 
 # ------------------------------------------------------------------ lasso -> ols
 def lasso_ols(spark: SparkSession, sf: str, rep: str | V.Features | D.Design, ks=(5,), outcomes=None,
-              complete_months_only: bool = False) -> DataFrame:
+              complete_months_only: bool = False, y: DataFrame | None = None) -> DataFrame:
     """Lasso-select exactly k features per outcome over the whole grid, then
     OLS on the raw selected columns. One row per (outcome, k)."""
-    des = rep if isinstance(rep, D.Design) else design(spark, sf, rep, outcomes, complete_months_only)
+    des = rep if isinstance(rep, D.Design) else design(spark, sf, rep, outcomes, complete_months_only, y)
     return select_and_fit(des, L.lasso_path(des, log_grid(*LASSO_GRID)), ks, des.features.rep)
 
 
 def design(spark: SparkSession, sf: str, rep: str | V.Features, outcomes=None,
-           complete_months_only: bool = False) -> D.Design:
+           complete_months_only: bool = False, y: DataFrame | None = None) -> D.Design:
     """Materialised design of one representation against the outcomes (build
-    once, reuse for several selections)."""
+    once, reuse for several selections). ``y``: the outcomes, where they were read before."""
     f = rep if isinstance(rep, V.Features) else features(spark, sf, rep)
-    y = S.outcomes(spark, sf, complete_months_only, list(outcomes) if outcomes else None)
-    return D.build_design(f, y)
+    return D.build_design(f, read_outcomes(spark, sf, outcomes, complete_months_only) if y is None else y)
+
+
+def read_outcomes(spark: SparkSession, sf: str, outcomes=None, complete_months_only: bool = False) -> DataFrame:
+    """The outcomes written as a table, months by outcomes."""
+    return cut_lineage(S.outcomes(spark, sf, complete_months_only, list(outcomes) if outcomes else None))
 
 
 def select_and_fit(des: D.Design, path: L.LassoPath, ks, rep: str) -> DataFrame:
@@ -186,9 +190,10 @@ def side_by_side(a: DataFrame, b: DataFrame, name_a: str, name_b: str) -> DataFr
 
 def representation_table(spark: SparkSession, sf: str, outcome: str = "mret", k: int = 5) -> DataFrame:
     """One row per representation: number of features, R², adjusted R², picks."""
-    out = None
-    for rep in ("topics", "counts", "tfidf", "generated", "embeddings"):
-        des = design(spark, sf, rep, [outcome])
+    out, y = None, read_outcomes(spark, sf, [outcome])
+    counts, tfidf = V.monthly_counts_and_tfidf(S.articles(spark, sf))
+    for rep in ("topics", counts, tfidf, "generated", "embeddings"):
+        des = design(spark, sf, rep, y=y)
         size = des.features.values.agg(F.count_distinct("feature").alias("p"))
         row = lasso_ols(spark, sf, des, ks=(k,)).withColumn("p", F.lit(size.first()["p"]))
         out = row if out is None else out.unionByName(row)

@@ -181,14 +181,16 @@ def q_standardised_variance(spark, sf):
 @query("tfidf_vs_counts")
 def q_tfidf_vs_counts(spark, sf):
     from monthlens.plans import analyses as A
-    return A.compare_reps(_lasso_all(spark, sf, "tfidf"), _lasso_all(spark, sf, "counts"), "tfidf", "counts")
+    y = A.read_outcomes(spark, sf)
+    c, t = (A.lasso_ols(spark, sf, f, ks=(5,), y=y) for f in V.monthly_counts_and_tfidf(S.articles(spark, sf)))
+    return A.compare_reps(A.order_terms_by_abs_coef(t), A.order_terms_by_abs_coef(c), "tfidf", "counts")
 
 
 @query("tfidf_counts_side_by_side")
 def q_side_by_side(spark, sf):
     from monthlens.plans import analyses as A
-    c = A.lasso_ols(spark, sf, "counts", ks=(5,), outcomes=["mret"])
-    t = A.lasso_ols(spark, sf, "tfidf", ks=(5,), outcomes=["mret"])
+    y = A.read_outcomes(spark, sf, ["mret"])
+    c, t = (A.lasso_ols(spark, sf, f, ks=(5,), y=y) for f in V.monthly_counts_and_tfidf(S.articles(spark, sf)))
     return A.side_by_side(c, t, "counts", "tfidf")
 
 
