@@ -16,19 +16,25 @@ outputs that plain SQL can restate:
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 import regex
 
 from monthlens.functions.text import ENGLISH_STOP_WORDS, TOKEN_PATTERN
 
 _TOKEN = regex.compile(TOKEN_PATTERN)
+_ASCII_TOKEN = re.compile(r"\w{2,}", re.ASCII)   # the same in ASCII text
 _DIGIT = regex.compile(r"[0-9]")
 _STOP = frozenset(ENGLISH_STOP_WORDS)
 
 
+def distinct_terms(text: str) -> set[str]:
+    return set((_ASCII_TOKEN if text.isascii() else _TOKEN).findall(text.lower())) - _STOP
+
+
 def ranked_terms(text: str) -> list[str]:
-    toks = {t for t in _TOKEN.findall(text.lower()) if t not in _STOP}
-    return sorted(toks, key=lambda t: (-len(t), t))
+    return sorted(distinct_terms(text), key=lambda t: (-len(t), t))
 
 
 def keywords(text: str, variant: str = "base", temperature: float = 0.0, run: int = 0) -> str:
@@ -64,13 +70,21 @@ def hashed_embedding_model(dims: int = 64):
 
     import numpy as np
 
+    places: dict[str, int] = {}    # of terms met before: place, or dims + place where the sign is minus
+
+    def place(t: str) -> int:
+        h = int.from_bytes(hashlib.md5(t.encode()).digest()[:4], "little")
+        if len(places) >= 1 << 18:
+            places.clear()
+        places[t] = at = h % dims + (0 if (h >> 31) & 1 else dims)
+        return at
+
     def model(batch: pd.DataFrame) -> pd.Series:
         vecs = []
         for item in batch["item"]:
-            v = np.zeros(dims)
-            for t in ranked_terms(item):
-                h = int.from_bytes(hashlib.md5(t.encode()).digest()[:4], "little")
-                v[h % dims] += 1.0 if (h >> 31) & 1 else -1.0
+            at = [places[t] if t in places else place(t) for t in distinct_terms(item)]
+            n = np.bincount(np.array(at, dtype=int), minlength=2 * dims)
+            v = (n[:dims] - n[dims:]).astype(float)
             nrm = np.linalg.norm(v)
             vecs.append((v / nrm).tolist() if nrm > 0 else v.tolist())
         return pd.Series(vecs, dtype=object)

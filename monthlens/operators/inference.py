@@ -81,6 +81,17 @@ def global_row_number(df: DataFrame, order_cols: list[str], name: str = "rn") ->
              .drop("_pid", "_mid", "_off"))
 
 
+def first_places(ids: DataFrame) -> DataFrame:
+    """(article_id, first): how many rows lie before each id; ``ids`` (article_id, rows). As
+    ``global_row_number``: running sums within range partitions, and what lies before each."""
+    s = cut_lineage(ids.orderBy("article_id").withColumn("_pid", F.spark_partition_id()))
+    before = F.coalesce(F.sum("_c").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offs = s.groupBy("_pid").agg(F.sum("rows").alias("_c")).select("_pid", before.alias("_off"))
+    within = Window.partitionBy("_pid").orderBy("article_id").rowsBetween(Window.unboundedPreceding, 0)
+    return (s.withColumn("_run", F.sum("rows").over(within) - F.col("rows")).join(F.broadcast(offs), "_pid")
+             .select("article_id", (F.col("_off") + F.col("_run")).alias("first")))
+
+
 def positions_from(df: DataFrame, order_cols: list[str], start: int, stop: int | None = None) -> DataFrame:
     """Rows at positions start (0-based) to before stop in that order; the columns of df."""
     numbered = global_row_number(df, order_cols, "_at")
@@ -90,8 +101,12 @@ def positions_from(df: DataFrame, order_cols: list[str], start: int, stop: int |
 
 def batches(articles: DataFrame, batch_size: int = 50, text_col: str = "headline") -> DataFrame:
     """``(batch_id, pos, article_id, item)``: consecutive article_id order,
-    ``pos`` 1-based inside the batch, item text on one line."""
-    a = global_row_number(articles.select("article_id", text_col), ["article_id"])
+    ``pos`` 1-based inside the batch, item text on one line. Ids alone are sorted and numbered, not
+    texts; rows of one id lie side by side, in the order of their texts."""
+    ids = first_places(articles.select("article_id").groupBy("article_id").agg(F.count("*").alias("rows")))
+    same = Window.partitionBy("article_id").orderBy(text_col)
+    a = (articles.select("article_id", text_col, (F.row_number().over(same) - 1).alias("_of_id"))
+                 .join(ids, "article_id").withColumn("rn", F.col("first") + F.col("_of_id")))
     return a.select(
         F.floor(F.col("rn") / batch_size).cast("bigint").alias("batch_id"),
         (F.col("rn") % batch_size + 1).cast("int").alias("pos"),
