@@ -301,6 +301,8 @@ def embed(articles: DataFrame, model: Callable[[pd.DataFrame], pd.Series], batch
                                 "embedding": [list(map(float, v)) if v is not None else [0.0] * dims for v in vecs],
                                 "status": ["ok" if o else "failed" for o in ok]})
     with _arrow_rows(spark, batch_size):
-        out = (items.repartition("batch_id").sortWithinPartitions("batch_id", "pos")
+        # much work on little data: a number of partitions that is not coalesced by size
+        lanes = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        out = (items.repartition(lanes, "batch_id").sortWithinPartitions("batch_id", "pos")
                     .mapInPandas(run, "article_id bigint, embedding array<float>, status string"))
         return cut_lineage(out)
