@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from monthlens.llm.common import free, stored
-from monthlens.llm.components import components
+from monthlens.llm.components import components, edges_of
 
 EDITS = 2
 #: Lines of fewer characters are matched exactly only.
@@ -151,10 +151,10 @@ def within(a: Column, b: Column, edits: int, first: int = 10) -> Column:
 
 
 def pairs_of(index: DataFrame, probe: DataFrame, edits: int) -> DataFrame:
-    """Different ids (a, b) that share a key and whose counts leave them possible."""
+    """Different ids (a, b) that share a key and whose counts leave them possible; a pair may come repeatedly."""
     p = probe.select("key", F.col("id").alias("other"), F.col("c0").alias("d0"), F.col("c1").alias("d1"))
     both = index.select("key", "id", "c0", "c1").join(p, (index["key"] == p["key"]) & (F.col("id") != F.col("other")) & alike(edits))
-    return both.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    return both.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
 
 
 def verified(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
@@ -215,16 +215,19 @@ def links(lines: DataFrame, edits: int) -> DataFrame:
         if now.isEmpty():
             break
     stay = stored(stay)
-    first = stay.groupBy("key").agg(F.min(F.struct("id", "c0", "c1")).alias("p"))
+    first = small(stored(stay.groupBy("key").agg(F.min(F.struct("id", "c0", "c1")).alias("p"))))
     pivots = first.select("key", F.col("p.id").alias("pivot"), F.col("p.c0").alias("d0"), F.col("p.c1").alias("d1"))
     star = stay.join(pivots, "key").where((F.col("id") != F.col("pivot")) & alike(edits)).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
-    found = stored(verified(pairs.unionAll(star).distinct(), lines, edits))
-    label = components(found)
-    named = stay.join(label.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    apart = named.groupBy("key").agg(F.count_distinct("label").alias("parts"), F.count("*").alias("m")).where("parts > 1").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    named = named.join(apart, "key")
+    found = verified(pairs.unionAll(star).distinct(), lines, edits)
+    labels = components(found)
+    named = stay.join(small(labels).select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    apart = named.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("m")).where("least < most")
+    apart = stored(apart.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
+    if apart.isEmpty():
+        return edges_of(labels)
     # a pair is made under the first of the keys that both have
-    named = named.join(named.groupBy("id").agg(F.collect_set("key").alias("keys")), "id")
+    named = named.join(small(apart), "key").groupBy("id", "label").agg(F.collect_list(F.struct("key", "c0", "c1", "blocks")).alias("at"))
+    named = named.select("id", "label", F.col("at.key").alias("keys"), F.inline("at"))
     named = stored(named.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     left = named.select("key", "id", "label", "keys", "c0", "c1", F.col("block").alias("x"), every.alias("y")).where("x <= y")
@@ -233,7 +236,7 @@ def links(lines: DataFrame, edits: int) -> DataFrame:
     rest = left.join(right, (F.col("key") == F.col("k")) & (F.col("x") == F.col("u")) & (F.col("y") == F.col("v")) & (F.col("label") != F.col("there")) & once & alike(edits)
                      & (F.array_min(F.array_intersect("keys", "theirs")) == F.col("key")))
     rest = rest.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-    return found.unionAll(verified(rest, lines, edits))
+    return edges_of(labels).unionAll(verified(rest, lines, edits))
 
 
 def line_table(docs: DataFrame) -> DataFrame:
@@ -274,10 +277,10 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, k
     """
     if shortest < 4 * (edits + 1):
         raise ValueError("lines to be matched within edits need four characters for each segment")
-    gone = repeated_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), edits, shortest).distinct()
+    gone = repeated_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), edits, shortest)
     names = {c: c for c in OUT} | (keep or {})
     own = {c: free(docs, c) for c in ("_id", "_hash", "_gone", "_near", "_parts")}
-    lists = gone.groupBy("doc_id", "thash").agg(F.sort_array(F.collect_list("pos")).alias("gone"), F.count(F.when(~F.col("exact"), 1)).alias("n_near"))
+    lists = gone.groupBy("doc_id", "thash").agg(F.sort_array(F.collect_set("pos")).alias("gone"), F.size(F.collect_set(F.when(~F.col("exact"), F.col("pos")))).alias("n_near"))
     lists = lists.select(F.col("doc_id").alias(own["_id"]), F.col("thash").alias(own["_hash"]), F.col("gone").alias(own["_gone"]), F.col("n_near").alias(own["_near"]))
     base = docs if keep else docs.select("doc_id", "text")
     out = base.join(lists, base["doc_id"].cast("long").eqNullSafe(F.col(own["_id"])) & (F.xxhash64(base["text"]) == F.col(own["_hash"])), "left")

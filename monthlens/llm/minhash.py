@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from monthlens.llm.common import binary_views, int_column, long_column, mix, ship, signed64, stored
-from monthlens.llm.components import components
+from monthlens.llm.components import components, edges_of
 from monthlens.llm.superkmer import gram_hashes, word_hashes
 
 U64 = np.uint64
@@ -390,19 +390,19 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     pairs = members.filter("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     pairs = stored(counted(pairs, nodes, least))
     # clusters: parts connected by as many collisions
-    labels = stored(components(pairs))
+    labels = components(pairs)
     apart = blocks(members.select(F.col("e").alias("key"), "node"), labels, block).join(nodes.select("node", "low"), "node")
     more = stored(compared(apart, "low", collide(least)))
-    clusters = labels if more.isEmpty() else stored(components(pairs.select("a", "b").unionAll(more)))
+    clusters = labels if more.isEmpty() else components(edges_of(labels).unionAll(more))
     sets = stored(full_sets(docs, nodes, clusters.select("node"), shingle))
     # links: of each node with the partner it has most collisions with, then between components
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
     links = stored(confirmed(best, sets, percent))
-    labels = stored(components(links))
+    labels = components(links)
     apart = blocks(clusters.select(F.col("label").alias("key"), "node"), labels, block).join(sets, "node")
     more = stored(compared(apart, "names", similar(percent)))
     if not more.isEmpty():
-        labels = stored(components(links.unionAll(more)))
+        labels = components(edges_of(labels).unionAll(more))
     group = labels.join(nodes.select("node", "doc_id"), "node").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     of_node = nodes.join(labels, "node", "left").join(group, "label", "left").select("node", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     out = signed.select("doc_id", "thash", "node", "n_shingles").join(of_node, "node", "left")

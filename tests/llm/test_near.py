@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 
 from monthlens.llm import minhash
+import monthlens.llm.components as C
 from monthlens.llm.components import components
 from monthlens.llm.minhash import near_duplicates
 
@@ -100,6 +101,21 @@ def test_components_of_paths_and_stars(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_components_joined_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(C, "BROADCAST_EDGES", 0)
+    edges = [(k, k + 1) for k in range(100, 110)] + [(50, k) for k in range(106, 120)] + [(7, 8), (8, 7)]
+    got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert got == {**{k: 50 for k in (50, *range(100, 120))}, 7: 7, 8: 7}
+
+
+def test_stars_take_no_round(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(C, "stored", lambda df, real=C.stored: (written.append(1), real(df))[1])
+    edges = [(500, k) for k in range(501, 520)] + [(7, 8)]
+    assert dict(components(spark.createDataFrame(edges, "a long, b long")).collect()) == {**{k: 500 for k in range(500, 520)}, 7: 7, 8: 7}
+    assert len(written) == 2                                    # the edges and the labels
+
+
 def test_lists_keep_state_between_batches():
     rnd = random.Random(2)
     rows = sorted((rnd.randint(0, 30), n) for n in range(60))
