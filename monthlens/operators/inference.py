@@ -60,6 +60,8 @@ REPLY_SCHEMA = ("variant string, temperature double, run int, asked string, n in
                 "text string, error string")
 #: Calls whose replies are committed together: what a failed job loses at most.
 CALLS_PER_COMMIT = 5000
+#: Prompts are dealt over so many places, and each commit takes a stretch of them.
+PLACES = 1 << 30
 
 
 # ------------------------------------------------------------------ numbering
@@ -177,6 +179,11 @@ def call_model(calls: DataFrame, model: Callable[[pd.DataFrame], pd.Series]) ->
     return calls.select("batch_id", "n", "prompt", "settings").mapInPandas(run, REPLY_SCHEMA)
 
 
+def place(batch_id: str):
+    """A number below PLACES that stands for a batch."""
+    return F.pmod(F.xxhash64(batch_id), F.lit(PLACES))
+
+
 def generate(work: DataFrame, model: Callable[[pd.DataFrame], pd.Series], max_attempts: int = 5,
              store_path: str | None = None, rows_per_call_batch: int = 16,
              calls_per_commit: int = CALLS_PER_COMMIT) -> DataFrame:
@@ -194,9 +201,11 @@ def generate(work: DataFrame, model: Callable[[pd.DataFrame], pd.Series], max_at
     ship_package(spark)
     store = IncrementalTable(spark, store_path or default_path(spark, "replies"), KEYS, "attempt", partition_by="variant")
     store.compact(REPLY_SCHEMA, at=COMPACT_AT)
-    # the copies of a prompt meet in the task that made them, before anything is shuffled
-    texts = cut_lineage(work.groupBy("batch_id", "n").agg(F.any_value("prompt").alias("prompt")))
-    work = cut_lineage(work.select(*KEYS, "batch_id", "n"))
+    # the copies of a prompt meet in the task that made them, before anything is shuffled; each file
+    # is in order of place, so that a part of the calls reads its own pages of the prompts alone
+    texts = work.groupBy("batch_id", "n").agg(F.any_value("prompt").alias("prompt"), F.collect_list(F.struct(*KEYS)).alias("asks"))
+    texts = cut_lineage(texts.withColumn("place", place("batch_id")).sortWithinPartitions("place"))
+    work = cut_lineage(texts.select(F.inline("asks"), "batch_id", "n"))
     for _ in range(max_attempts):
         done = store.read(REPLY_SCHEMA)
         if done is None:
@@ -213,11 +222,13 @@ def generate(work: DataFrame, model: Callable[[pd.DataFrame], pd.Series], max_at
         if not calls:
             break
         parts = -(-calls // calls_per_commit)
-        part = F.pmod(F.xxhash64(*KEYS), F.lit(parts))
+        ends = [PLACES * k // parts for k in range(parts + 1)]
         with _arrow_rows(spark, rows_per_call_batch):
             for k in range(parts):
-                own = pending.where(part == k).groupBy("batch_id").agg(F.collect_list(F.struct("variant", "temperature", "run", "asked", "attempt")).alias("settings"))
-                store.append(call_model(texts.join(own, "batch_id"), model))
+                inside = lambda x, k=k: (x >= ends[k]) & (x < ends[k + 1])
+                own = pending.where(inside(place("batch_id"))).groupBy("batch_id").agg(F.collect_list(F.struct("variant", "temperature", "run", "asked", "attempt")).alias("settings"))
+                prompts_of = texts.where(inside(F.col("place"))).select("batch_id", "n", "prompt")
+                store.append(call_model(prompts_of.join(own, "batch_id"), model))
     replies = store.read(REPLY_SCHEMA)
     if replies is None:                                # no work at all
         replies = spark.createDataFrame([], REPLY_SCHEMA)

@@ -7,6 +7,10 @@ run as Spark jobs, the per-outcome solves in grouped Arrow tasks.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,13 +21,14 @@ from monthlens.operators import inference as I
 from monthlens.operators import lasso as L
 from monthlens.operators import ols as O
 from monthlens.operators import vectorize as V
-from monthlens.session import cut_lineage
+from monthlens.session import cut_lineage, ship_package
 from monthlens.sources import tables as S
 
 # --- fixed values: k sweeps and grids ----------------------
 K_SWEEP = (3, 5, 7, 10, 14, 15, 19, 20, 25, 30)
 LASSO_GRID = (-6, 1, 200)        # k selection
 LASSO_FINE_GRID = (-7, 1, 300)   # smallest k reaching a target R²
+VARIANTS_AT_ONCE = 3
 # --- end fixed values ---------------------------------------------------------
 
 
@@ -73,16 +78,21 @@ def variant_articles(spark: SparkSession, path: str, variant: str) -> DataFrame:
 
 def variant_lasso(spark: SparkSession, sf: str, path: str, wanted=None, outcomes=("mret",), k: int = 5) -> DataFrame:
     """Lasso to OLS on each variant that the table at ``path`` has (of ``wanted``, if given); a
-    variant that is not there is left out."""
-    out, y = None, read_outcomes(spark, sf, outcomes)
-    for v in S.partition_values(spark, path, "variant"):
-        if wanted is None or v in wanted:
-            f = V.monthly_counts(variant_articles(spark, path, v), rep="generated")
-            res = lasso_ols(spark, sf, f, ks=(k,), y=y).withColumn("variant", F.lit(v))
-            out = res if out is None else out.unionByName(res)
-    if out is None:
+    variant that is not there is left out. The jobs of ``VARIANTS_AT_ONCE`` variants run side by side:
+    a path's rounds are small jobs that leave most cores idle."""
+    found = [v for v in S.partition_values(spark, path, "variant") if wanted is None or v in wanted]
+    if not found:
         raise ValueError(f"no variant of {wanted} in {path}")
-    return out
+    y = read_outcomes(spark, sf, outcomes)
+    ship_package(spark)
+
+    def fitted(v: str) -> DataFrame:
+        f = V.monthly_counts(variant_articles(spark, path, v), rep="generated")
+        return lasso_ols(spark, sf, f, ks=(k,), y=y).withColumn("variant", F.lit(v))
+
+    with ThreadPoolExecutor(VARIANTS_AT_ONCE) as pool:
+        waiting = [pool.submit(inheritable_thread_target(spark)(fitted), v) for v in found]
+        return reduce(DataFrame.unionByName, [x.result() for x in waiting])
 
 
 # ------------------------------------------------------------------ lasso -> ols

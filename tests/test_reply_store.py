@@ -172,3 +172,28 @@ def test_a_changed_model_has_other_replies():
     first = I.model_version(model)
     model.version = "2"
     assert I.model_version(model) != first and I.model_version(echo("x")).count("@") == 1
+
+
+def test_prompts_lie_in_order_and_a_commit_asks_for_a_stretch(spark, tmp_path, monkeypatch):
+    """Each commit's scan of the prompts has a range of places that Parquet can prune by."""
+    plans, kept = [], []
+    real, cut = I.call_model, I.cut_lineage
+
+    def noted(calls, model):
+        plans.append(calls._jdf.queryExecution().executedPlan().toString())
+        return real(calls, model)
+
+    def cutting(df):
+        out = cut(df)
+        if "prompt" in out.columns:
+            kept.append(out)
+        return out
+
+    monkeypatch.setattr(I, "call_model", noted)
+    monkeypatch.setattr(I, "cut_lineage", cutting)
+    work = I.work_items(I.prompts(I.batches(articles(spark, ROWS), 2)), I.settings(["base", "bull"], [0.3], 1))
+    out = I.generate(work, echo(tmp_path), store_path=f"{tmp_path}/store", calls_per_commit=6)
+    assert out.count() == 22 and calls(tmp_path) == 22 and len(plans) == 4
+    assert all("GreaterThanOrEqual(place," in p and "LessThan(place," in p for p in plans)
+    for part in kept[0].select("place").rdd.glom().collect():
+        assert [r.place for r in part] == sorted(r.place for r in part)
